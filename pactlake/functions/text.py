@@ -75,7 +75,7 @@ def roles_text(roles: Column | str) -> Column:
         F.filter(_col(roles), lambda r: r.isNotNull()),
         lambda r: F.regexp_replace(trimmed(r), "^ROLE_", ""),
     )
-    kept = F.array_sort(F.array_distinct(F.filter(bare, lambda r: ~is_blank(r))))
+    kept = F.sort_array(F.array_distinct(F.filter(bare, lambda r: ~is_blank(r))))
     return F.when(F.size(kept) > 0, F.array_join(kept, ",")).otherwise("-")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import is_blank, trimmed
 from pactlake.functions.versions import version_of
-from pactlake.operators.policy import resolve_pack
+from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import ACTIVE
 
 
@@ -18,18 +18,18 @@ def version_summary(versions: DataFrame) -> DataFrame:
     )
 
 
-def contract_catalog(contracts: DataFrame, versions: DataFrame, packs: DataFrame) -> DataFrame:
+def contract_catalog(contracts: DataFrame, versions: DataFrame, packs: PolicyPacks) -> DataFrame:
     """One summary row per contract, sorted by id.
 
     The list of versions is a table of its own (contract_versions): a contract may have very many.
     """
-    joined = resolve_pack(contracts, packs).join(version_summary(versions), "contract_id", "left")
+    joined = contracts.join(version_summary(versions), "contract_id", "left")
     return joined.select(
         "contract_id",
         "owner_team",
         "domain",
         "compatibility_mode",
-        "policy_pack",
+        packs.resolve("policy_pack").alias("policy_pack"),
         version_of(F.col("latest_num")).alias("latest_version"),
         F.coalesce("version_count", F.lit(0)).cast("long").alias("version_count"),
         F.lit(ACTIVE).alias("status"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.operators.diff import change_text, pair_changes
-from pactlake.operators.policy import baseline_severities
+from pactlake.operators.policy import BASELINE_RULES, PolicyPacks
 from pactlake.schemas import FORWARD_PREFIX, MIRRORED_KIND, PAIR, RULES
 
 CHECK = [*PAIR, "mode", "pack"]
@@ -53,34 +53,30 @@ def evaluate_rules(seen: Column, severities: Column) -> Column:
             F.coalesce(severities[s["rule"]], F.lit("BREAKING")).alias("severity"),
         ),
     )
-    return F.array_sort(F.filter(judged, lambda j: j["severity"] != "IGNORE"))
+    return F.sort_array(F.filter(judged, lambda j: j["severity"] != "IGNORE"))
 
 
-def check_compatibility(fields: DataFrame, checks: DataFrame, packs: DataFrame) -> DataFrame:
-    """check_results for every distinct (pair, mode, pack) in `checks`.
+def check_compatibility(shapes: DataFrame, checks: DataFrame, packs: PolicyPacks) -> DataFrame:
+    """check_results for every distinct check (pair, mode, pack).
 
-    Checks are reduced to distinct pairs before any field is touched, and each pair is diffed once
-    whatever the number of modes and packs asked for (a pair's set of those is bounded by three
-    modes times the packs in the configuration).
+    Repeated checks fall together before any document is touched.
     """
-    asked = checks.groupBy(*PAIR).agg(
-        F.array_sort(F.collect_set(F.struct("mode", "pack"))).alias("asked")
-    )
-    return verdicts(pair_changes(fields, asked, carry=["asked"]), packs)
+    return verdicts(pair_changes(shapes, checks.select(*CHECK).distinct()), packs)
 
 
-def verdicts(changes: DataFrame, packs: DataFrame) -> DataFrame:
-    """Judge pair_changes rows that carry `asked`: an array of (mode, pack)."""
-    severities = packs.select(F.col("pack").alias("known_pack"), "severities")
-    per_check = changes.select(*PAIR, "changes", F.explode("asked").alias("ask")).select(
-        *PAIR, F.col("ask.mode").alias("mode"), F.col("ask.pack").alias("pack"), "changes"
+def verdicts(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
+    """Judge pair_changes rows that carry `mode` and `pack`; a projection plus the severity join."""
+    severities = packs.table(changes.sparkSession).select(
+        F.col("pack").alias("known_pack"), "severities"
     )
-    judged = per_check.join(severities, F.col("pack") == F.col("known_pack"), "left").select(
+    baseline = F.create_map(*[F.lit(x) for item in BASELINE_RULES.items() for x in item])
+    seen = changes.join(severities, F.col("pack") == F.col("known_pack"), "left").select(
         *CHECK,
-        evaluate_rules(
-            expand_directions(F.col("changes"), F.col("mode")),
-            F.coalesce("severities", baseline_severities()),
-        ).alias("judged"),
+        F.coalesce("severities", baseline).alias("severities"),
+        expand_directions(F.col("changes"), F.col("mode")).alias("seen"),
+    )
+    judged = seen.select(
+        *CHECK, evaluate_rules(F.col("seen"), F.col("severities")).alias("judged")
     )
 
     def messages(severity: str) -> Column:

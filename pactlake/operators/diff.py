@@ -1,54 +1,82 @@
 """Semantic diff of schema versions: all pairs in one job.
 
-The rows of both sides of a pair meet in one shuffle on the pair. Everything after it (lining up
-the fields, finding changes, collecting them per pair) reuses that partitioning. A pair holds two
-documents, so its group is bounded by what two single files can hold, however many versions or
-checks one contract has.
+A pair meets its two documents by two equi-joins on (contract, version), a unique key on the
+document side. Everything after that is a projection of one row per pair: hash-based array
+differences drop the untouched fields, and only changed ones are looked at. Nothing is grouped,
+so no contract, however many versions or checks it has, ends up in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pactlake.operators.documents import display_type
+from pactlake.operators.documents import FIELD, display_type
 from pactlake.schemas import DIFF_SECTIONS, PAIR
 
 CHANGE = "struct<kind:string,subject:string,old_type:string,new_type:string>"
 NO_DIFFERENCES = "No semantic differences found."
 
 
-def align_fields(fields: DataFrame, pairs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """One row per pair and field with both sides (`before`, `after`).
+def align_fields(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with `changed`: the fields that differ, as an array of (name, before, after).
 
-    Each pair also gets one row with a null field and its `carry` columns, so pairs of empty
-    documents are not lost. `pairs` must hold each pair once.
+    `pairs` keeps its other columns; both versions must exist in `shapes`.
     """
-    carry = carry or []
-    roles = pairs.select(
-        *PAIR,
-        F.explode(
-            F.array(
-                F.struct(F.col("base_version").alias("version"), F.lit(True).alias("is_base")),
-                F.struct(
-                    F.col("candidate_version").alias("version"), F.lit(False).alias("is_base")
-                ),
-            )
-        ).alias("role"),
-    ).select(*PAIR, "role.version", "role.is_base")
-    spec = F.struct("type", "required", "nullable", "enum_values")
-    sides = fields.join(roles, ["contract_id", "version"]).select(
-        *PAIR, "is_base", "field_name", spec.alias("spec")
+
+    def side(name: str) -> DataFrame:
+        return shapes.select(
+            "contract_id",
+            F.col("version").alias(f"{name}_version"),
+            F.col("shape").alias(f"{name}_shape"),
+        )
+
+    # Pair rows are tiny but each stands for two documents of work. A partition number that is
+    # asked for is kept, where adaptive coalescing would weigh only their bytes.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = pairs.columns
+    both = pairs.repartition(tasks, *PAIR).join(side("base"), ["contract_id", "base_version"]).join(
+        side("candidate"), ["contract_id", "candidate_version"]
     )
-    every_pair = pairs.select(*PAIR, *carry)
-    both = sides.unionByName(every_pair, allowMissingColumns=True).repartition(*PAIR)
-    return both.groupBy(*PAIR, "field_name").agg(
-        F.max(F.when(F.col("is_base"), F.col("spec"))).alias("before"),
-        F.max(F.when(~F.col("is_base"), F.col("spec"))).alias("after"),
-        *[F.max(c).alias(c) for c in carry],
+
+    def decoded(there: str, here: str) -> Column:
+        return F.transform(F.array_except(there, here), lambda t: F.from_json(t, _FIELD_DDL))
+
+    touched = both.select(
+        *rest,
+        decoded("base_shape", "candidate_shape").alias("gone"),
+        decoded("candidate_shape", "base_shape").alias("came"),
+    )
+    named = touched.select(
+        *rest,
+        "gone",
+        "came",
+        F.transform("gone", lambda f: f["name"]).alias("gone_names"),
+        F.transform("came", lambda f: f["name"]).alias("came_names"),
     )
+    missing = F.lit(None).cast(FIELD)
 
+    def entry(name: Column, before: Column, after: Column) -> Column:
+        return F.struct(name.alias("name"), before.alias("before"), after.alias("after"))
 
-def field_changes(field: Column, before: Column, after: Column) -> Column:
+    removed = F.transform(
+        F.filter("gone", lambda g: ~F.array_contains("came_names", g["name"])),
+        lambda g: entry(g["name"], g, missing),
+    )
+    others = F.transform(
+        "came",
+        lambda c: entry(
+            c["name"],
+            F.get(F.col("gone"), (F.array_position("gone_names", c["name"]) - 1).cast("int")),
+            c,
+        ),
+    )
+    return named.select(*rest, F.concat(removed, others).alias("changed"))
+
+
+_FIELD_DDL = "name string, type string, required boolean, nullable boolean, enum_values array<string>"
+
+
+def field_changes(name: Column, before: Column, after: Column) -> Column:
     """All changes of one field as an array of (kind, subject, old_type, new_type)."""
 
     def entry(kind: str, subject: Column, old: Column | None = None, new: Column | None = None):
@@ -60,28 +88,25 @@ def field_changes(field: Column, before: Column, after: Column) -> Column:
             (nothing if new is None else new).alias("new_type"),
         )
 
-    added, removed = before.isNull() & after.isNotNull(), after.isNull() & before.isNotNull()
-    kept = before.isNotNull() & after.isNotNull()
-    was, now = F.coalesce(before["required"], F.lit(False)), F.coalesce(
-        after["required"], F.lit(False)
-    )
+    added, removed = before.isNull(), after.isNull()
+    kept = ~added & ~removed
+    was, now = (F.coalesce(side["required"], F.lit(False)) for side in (before, after))
     type_changed = kept & (
-        (before["type"] != after["type"]) | (before["nullable"] != after["nullable"])
+        ~before["type"].eqNullSafe(after["type"]) | (before["nullable"] != after["nullable"])
     )
     old = display_type(before["type"], before["nullable"])
     new = display_type(after["type"], after["nullable"])
     single = F.array(
-        F.when(added, entry("FIELD_ADDED", field)),
-        F.when(removed, entry("FIELD_REMOVED", field)),
-        F.when(type_changed, entry("FIELD_TYPE_CHANGED", field, old, new)),
-        F.when(now & ~was, entry("REQUIRED_FIELD_ADDED", field)),
-        F.when(was & ~now, entry("REQUIRED_FIELD_REMOVED", field)),
+        F.when(added, entry("FIELD_ADDED", name)),
+        F.when(removed, entry("FIELD_REMOVED", name)),
+        F.when(type_changed, entry("FIELD_TYPE_CHANGED", name, old, new)),
+        F.when(now & ~was, entry("REQUIRED_FIELD_ADDED", name)),
+        F.when(was & ~now, entry("REQUIRED_FIELD_REMOVED", name)),
     )
 
     def enum_delta(kind: str, there: Column, here: Column) -> Column:
         found = F.transform(
-            F.array_except(there, here),
-            lambda v: entry(kind, F.concat(field, F.lit("."), v)),
+            F.array_except(there, here), lambda v: entry(kind, F.concat(name, F.lit("."), v))
         )
         return F.when(kept, found).otherwise(F.array().cast(f"array<{CHANGE}>"))
 
@@ -92,17 +117,23 @@ def field_changes(field: Column, before: Column, after: Column) -> Column:
     )
 
 
-def differs(before: Column, after: Column) -> Column:
-    """Cheap codegen'd test that skips untouched fields before any array work."""
-    return ~before.eqNullSafe(after)
+def pair_changes(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with all their `changes` (an empty array when nothing changed)."""
+    return align_fields(shapes, pairs).select(
+        *pairs.columns,
+        F.flatten(
+            F.transform("changed", lambda f: field_changes(f["name"], f["before"], f["after"]))
+        ).alias("changes"),
+    )
 
 
-def schema_diff(fields: DataFrame, pairs: DataFrame) -> DataFrame:
+def schema_diff(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     """schema_changes rows: one per change, all kinds in one pass."""
-    aligned = align_fields(fields, pairs.select(*PAIR).distinct())
-    changed = aligned.filter(F.col("field_name").isNotNull() & differs(F.col("before"), F.col("after")))
-    changes = field_changes(F.col("field_name"), F.col("before"), F.col("after"))
-    return changed.select(*PAIR, F.explode(changes).alias("change")).select(
+    found = pair_changes(shapes, pairs.select(*PAIR).distinct())
+    # Outer plus filter: a plain explode of a computed array makes Spark test it in a filter of its
+    # own below, which computes the whole diff twice.
+    rows = found.select(*PAIR, F.explode_outer("changes").alias("change"))
+    return rows.filter(F.col("change").isNotNull()).select(
         *PAIR,
         F.col("change.kind").alias("kind"),
         F.col("change.subject").alias("subject"),
@@ -113,26 +144,6 @@ def schema_diff(fields: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_changes(fields: DataFrame, pairs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """One row per pair with all its changes (an empty array when nothing changed)."""
-    carry = carry or []
-    aligned = align_fields(fields, pairs, carry)
-    keep = F.col("field_name").isNull() | differs(F.col("before"), F.col("after"))
-    found = F.when(
-        F.col("field_name").isNotNull(),
-        field_changes(F.col("field_name"), F.col("before"), F.col("after")),
-    )
-    return (
-        aligned.filter(keep)
-        .select(*PAIR, found.alias("found"), *carry)
-        .groupBy(*PAIR)
-        .agg(
-            F.flatten(F.collect_list("found")).alias("changes"),
-            *[F.max(c).alias(c) for c in carry],
-        )
-    )
-
-
 def change_text(change: Column, mirrored: bool = False) -> Column:
     """The subject as shown to people: `name` or `name (old -> new)`."""
     old, new = change["old_type"], change["new_type"]
@@ -144,14 +155,14 @@ def change_text(change: Column, mirrored: bool = False) -> Column:
     ).otherwise(change["subject"])
 
 
-def diff_report(fields: DataFrame, pairs: DataFrame) -> DataFrame:
+def diff_report(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The text report of every pair, sections in fixed order."""
     section = F.create_map(
         *[F.lit(x) for i, (kind, _) in enumerate(DIFF_SECTIONS) for x in (kind, i)]
     )
     label = F.create_map(*[F.lit(x) for kind, text in DIFF_SECTIONS for x in (kind, text)])
     lines = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 "changes",
                 lambda c: F.struct(
@@ -164,7 +175,7 @@ def diff_report(fields: DataFrame, pairs: DataFrame) -> DataFrame:
         lambda line: F.concat(label[line["kind"]], line["text"]),
     )
     body = F.when(F.size("changes") == 0, F.array(F.lit(NO_DIFFERENCES))).otherwise(lines)
-    return pair_changes(fields, pairs.select(*PAIR).distinct()).select(
+    return pair_changes(shapes, pairs.select(*PAIR).distinct()).select(
         *PAIR,
         F.array_join(F.concat(F.array(F.lit("Schema diff:")), body), "\n").alias("report"),
     )

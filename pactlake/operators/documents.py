@@ -1,4 +1,8 @@
-"""Schema documents (JSON text) to one row per top-level field."""
+"""Schema documents (JSON text) to fields: as one array per document, or one row per field.
+
+The array form is the working form: a document is one row, as it is one file, and comparing two
+versions needs no row per field. Only top-level properties count.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactlake.functions.text import trimmed
 from pactlake.schemas import STRICT_JSON
 
+FIELD = (
+    "struct<name:string,type:string,required:boolean,nullable:boolean,enum_values:array<string>>"
+)
+_TEXTS = "array<string>"
 _BODY = "type string, nullable string, enum array<string>"
 
 
 def last_wins(entries: Column) -> Column:
-    """Map entries with repeated keys reduced to the last of each, as JSON readers do."""
+    """Entries with repeated keys reduced to the last of each, as JSON readers do."""
     keys = F.transform(entries, lambda e: e["key"])
     repeated = F.size(F.array_distinct(keys)) < F.size(keys)
     return F.when(
@@ -23,34 +31,23 @@ def last_wins(entries: Column) -> Column:
     ).otherwise(entries)
 
 
-def union_types(type_text: Column, body: Column) -> Column:
-    """The entries of an array `type`, lower-cased and trimmed; null for any other kind."""
-    listed = F.from_json(body, "type array<string>", STRICT_JSON)["type"]
-    return F.when(
-        type_text.startswith("["),
-        F.transform(listed, lambda t: F.lower(trimmed(t))),
-    )
-
-
 def canonical_type(type_text: Column, union: Column) -> Column:
-    concrete = F.array_sort(F.filter(union, lambda t: t != "null"))
+    """Lower-cased type name; a union without its null, sorted and joined by `|`."""
+    concrete = F.sort_array(F.filter(union, lambda t: t != "null"))
     joined = F.when(F.size(concrete) == 0, "null").otherwise(F.array_join(concrete, "|"))
     return F.when(union.isNotNull(), joined).otherwise(F.lower(trimmed(type_text)))
 
 
 def flag_is_true(text: Column) -> Column:
     """JSON truth of `nullable`: true, "true" or a number other than zero."""
-    number = text.try_cast("double")
     return F.coalesce(trimmed(text) == "true", F.lit(False)) | F.coalesce(
-        number != 0, F.lit(False)
+        text.try_cast("double") != 0, F.lit(False)
     )
 
 
 def enum_texts(values: Column) -> Column:
     texts = F.transform(values, lambda v: F.coalesce(v, F.lit("null")))
-    return F.coalesce(
-        F.array_sort(F.array_distinct(texts)), F.array().cast("array<string>")
-    )
+    return F.coalesce(F.sort_array(F.array_distinct(texts)), F.array().cast(_TEXTS))
 
 
 def display_type(type_name: Column, nullable: Column) -> Column:
@@ -59,50 +56,100 @@ def display_type(type_name: Column, nullable: Column) -> Column:
     ).otherwise(type_name)
 
 
-def explode_schema(docs: DataFrame) -> DataFrame:
-    """schema_docs → schema_fields. Reads each document once; no shuffle.
+def parse_documents(docs: DataFrame) -> DataFrame:
+    """Replace `schema_json` by `fields`, an array of FIELD; no shuffle, each document read once.
 
-    Only top-level properties count. Documents that fail lint should be left out first; here
-    their unreadable parts simply yield no rows.
+    Documents that fail lint should be left out first; unreadable parts simply yield no fields.
     """
-    parsed = F.from_json(
-        "schema_json", "properties map<string,string>, required array<string>", STRICT_JSON
+    rest = [c for c in docs.columns if c != "schema_json"]
+    read = docs.select(
+        *rest,
+        F.from_json(
+            "schema_json", "properties map<string,string>, required array<string>", STRICT_JSON
+        ).alias("doc"),
     )
-    rows = docs.select(
-        "contract_id", "version", "version_num", parsed.alias("doc")
-    ).select(
-        "contract_id",
-        "version",
-        "version_num",
-        F.col("doc.required").alias("required_names"),
-        F.explode(last_wins(F.map_entries("doc.properties"))).alias("entry"),
+    # Each step binds what the next uses several times, so no property is parsed twice.
+    bodies = read.select(
+        *rest,
+        F.col("doc.required").alias("needed"),
+        F.transform(
+            last_wins(F.map_entries("doc.properties")),
+            lambda e: F.struct(
+                e["key"].alias("name"),
+                F.from_json(e["value"], _BODY, STRICT_JSON).alias("spec"),
+                F.when(
+                    e["value"].contains("["),
+                    F.from_json(e["value"], "type array<string>", STRICT_JSON)["type"],
+                ).alias("types"),
+            ),
+        ).alias("bodies"),
     )
-    body = F.col("entry.value")
-    rows = rows.select(
-        "contract_id",
-        "version",
-        "version_num",
-        F.col("entry.key").alias("field_name"),
-        F.coalesce(F.array_contains("required_names", F.col("entry.key")), F.lit(False)).alias(
-            "required"
-        ),
-        body.alias("body"),
-        F.from_json(body, _BODY, STRICT_JSON).alias("spec"),
+    typed = bodies.select(
+        *rest,
+        "needed",
+        F.transform(
+            "bodies",
+            lambda b: F.struct(
+                b["name"].alias("name"),
+                b["spec"].alias("spec"),
+                # A type given as a list; its text starts with a bracket.
+                F.when(
+                    b["spec"]["type"].startswith("["),
+                    F.transform(b["types"], lambda t: F.lower(trimmed(t))),
+                ).alias("union"),
+            ),
+        ).alias("typed"),
     )
-    rows = rows.withColumn("union", union_types(F.col("spec.type"), F.col("body")))
-    kind = canonical_type(F.col("spec.type"), F.col("union"))
-    nullable = (
-        flag_is_true(F.col("spec.nullable"))
-        | F.coalesce(F.array_contains("union", "null"), F.lit(False))
-        | F.coalesce(kind == "null", F.lit(False))
+
+    def field(t: Column) -> Column:
+        kind = canonical_type(t["spec"]["type"], t["union"])
+        nullable = (
+            flag_is_true(t["spec"]["nullable"])
+            | F.coalesce(F.array_contains(t["union"], "null"), F.lit(False))
+            | F.coalesce(kind == "null", F.lit(False))
+        )
+        return F.struct(
+            t["name"].alias("name"),
+            kind.alias("type"),
+            F.coalesce(F.array_contains("needed", t["name"]), F.lit(False)).alias("required"),
+            nullable.alias("nullable"),
+            enum_texts(t["spec"]["enum"]).alias("enum_values"),
+        )
+
+    return typed.select(
+        *rest,
+        F.coalesce(F.transform("typed", field), F.array().cast(f"array<{FIELD}>")).alias("fields"),
+    )
+
+
+def explode_schema(docs: DataFrame) -> DataFrame:
+    """schema_docs → schema_fields, one row per field."""
+    # Outer plus filter: a plain explode would test the computed array in a filter of its own.
+    return (
+        parse_documents(docs)
+        .select("contract_id", "version", "version_num", F.inline_outer("fields"))
+        .filter("name is not null")
+        .withColumnRenamed("name", "field_name")
+    )
+
+
+def field_text(field: Column) -> Column:
+    """A field as one exact text: equal texts mean equal fields, and texts compare by hash."""
+    return F.to_json(field)
+
+
+def schema_shapes(docs: DataFrame) -> DataFrame:
+    """contract_id, version, version_num, shape (array of field texts) from JSON documents."""
+    return parse_documents(docs).select(
+        "contract_id", "version", "version_num", F.transform("fields", field_text).alias("shape")
+    )
+
+
+def shapes_of_fields(fields: DataFrame) -> DataFrame:
+    """The same from schema_fields rows. A group is one document, never more."""
+    spec = F.struct(
+        F.col("field_name").alias("name"), "type", "required", "nullable", "enum_values"
     )
-    return rows.select(
-        "contract_id",
-        "version",
-        "version_num",
-        "field_name",
-        kind.alias("type"),
-        "required",
-        nullable.alias("nullable"),
-        enum_texts(F.col("spec.enum")).alias("enum_values"),
+    return fields.groupBy("contract_id", "version", "version_num").agg(
+        F.collect_list(field_text(spec)).alias("shape")
     )

@@ -229,7 +229,7 @@ def run_guidance(runs: DataFrame) -> DataFrame:
             F.transform(parse_details("breaking_changes"), hint), lambda h: h.isNotNull()
         ),
     )
-    return runs.select("run_id", F.array_sort(F.array_distinct(hints)).alias("hints")).select(
+    return runs.select("run_id", F.sort_array(F.array_distinct(hints)).alias("hints")).select(
         "run_id",
         F.when(F.size("hints") == 0, F.array(F.lit(HINT_NONE)))
         .otherwise(F.col("hints"))

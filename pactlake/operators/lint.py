@@ -104,7 +104,7 @@ def _property_violations(entry: Column, file: Column) -> Column:
         ),
         lambda t: t != "null",
     )
-    joined = F.array_join(F.array_sort(names), "|")
+    joined = F.array_join(F.sort_array(names), "|")
     enum_kind = _kind(F.try_variant_get(body, "$.enum", "variant"))
     enum_kinds = F.transform(
         F.try_variant_get(body, "$.enum", "array<variant>"), lambda v: _kind(v)
@@ -189,7 +189,7 @@ def document_violations(docs: DataFrame) -> DataFrame:
         F.coalesce("doc.required", F.array().cast("array<string>")).alias("required_names"),
     )
     names = F.coalesce(F.map_keys("properties"), F.array().cast("array<string>"))
-    ghosts = F.array_sort(F.array_except("required_names", names))
+    ghosts = F.sort_array(F.array_except("required_names", names))
     strings_only = ~F.coalesce(F.exists("required_kinds", lambda k: k != "STRING"), F.lit(False))
     usable = F.col("is_object")
     found = F.concat(

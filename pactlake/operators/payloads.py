@@ -251,7 +251,7 @@ def with_violations(payloads: DataFrame, shapes: DataFrame) -> DataFrame:
         F.when(F.col("payload").isNull(), F.array(F.lit(PAYLOAD_NULL)))
         .when(shape.isNull(), F.array(F.lit(CONTRACT_UNKNOWN)))
         .when(tree.isNull(), F.array(F.lit(PAYLOAD_MALFORMED)))
-        .otherwise(F.array_sort(F.array_distinct(checks)))
+        .otherwise(F.sort_array(F.array_distinct(checks)))
     )
     return joined.select(*payloads.columns, violations.alias("violations")).select(
         *payloads.columns, (F.size("violations") == 0).alias("valid"), "violations"
@@ -265,7 +265,8 @@ def check_payloads(payloads: DataFrame, docs: DataFrame) -> DataFrame:
 def payload_violations(checked: DataFrame) -> DataFrame:
     """Counts per contract, version, code and subject."""
     return (
-        checked.select("contract_id", "version", F.explode("violations").alias("v"))
+        checked.select("contract_id", "version", F.explode_outer("violations").alias("v"))
+        .filter("v is not null")
         .select(
             "contract_id",
             "version",

@@ -1,140 +1,92 @@
-"""Policy packs: configuration text → dense severities, and which pack a contract gets."""
+"""Policy packs: which severity each rule has, and which pack a contract gets.
+
+The configuration is one small file and a parameter of a job, like a threshold: it is read once,
+size-checked and validated before any data is touched. Contracts, changes and checks never pass
+this way.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pactlake.functions.text import blank_to_null
-from pactlake.operators.documents import last_wins
-from pactlake.schemas import BASELINE, RULES, SEVERITIES, STRICT_JSON
+from pactlake.schemas import BASELINE, RULES, SEVERITIES
 
-_CONFIG = (
-    "defaultPack string, packs map<string,struct<description:string,rules:map<string,string>>>"
-)
-_RULES_MAP = "map<string,string>"
-RULE_IDS = [rule for rule, _, _ in RULES]
+BASELINE_RULES = {rule: level for rule, _, level in RULES}
 
 
 def pack_key(name: Column | str) -> Column:
     return F.lower(blank_to_null(name))
 
 
-def rule_key(name: Column) -> Column:
-    return F.translate(F.upper(blank_to_null(name)), "-", "_")
-
-
-def baseline_severities() -> Column:
-    return F.create_map(*[F.lit(x) for rule, _, level in RULES for x in (rule, level)])
-
-
-def _stated_packs(config: DataFrame) -> DataFrame:
-    """Per configuration: its default name and its packs (normalised names, last one wins)."""
-    parsed = F.from_json("value", _CONFIG, {**STRICT_JSON, "mode": "FAILFAST"})
-    named = F.filter(
-        F.transform(
-            F.map_entries("c.packs"),
-            lambda e: F.struct(pack_key(e["key"]).alias("key"), e["value"]["rules"].alias("rules")),
-        ),
-        lambda e: e["key"].isNotNull(),
-    )
-    none = F.array().cast(f"array<struct<key:string,rules:{_RULES_MAP}>>")
-    return config.select(parsed.alias("c")).select(
-        pack_key("c.defaultPack").alias("default_name"),
-        F.coalesce(last_wins(named), none).alias("packs"),
-    )
-
-
-def _severity(rules: Column, rule: str, baseline: str) -> Column:
-    stated = F.filter(F.map_entries(rules), lambda e: rule_key(e["key"]) == rule)
-    level = F.get(F.reverse(stated), F.lit(0))
-    # A rule stated with a null severity is breaking; a rule not stated keeps the baseline.
-    return F.when(level.isNotNull(), F.coalesce(level["value"], F.lit("BREAKING"))).otherwise(
-        baseline
-    )
-
-
-def dense_policy(config: DataFrame) -> DataFrame:
-    """Configuration text (column `value`) → pack, is_default, severities with all five rules.
-
-    A plain projection of one small file, so no shuffle; a bad configuration fails the job.
-    """
-    stated = _stated_packs(config)
-    names = F.transform("packs", lambda p: p["key"])
-    rows = stated.select(
-        F.when(F.array_contains(names, F.col("default_name")), F.col("default_name"))
-        .otherwise(BASELINE)
-        .alias("default_name"),
-        F.explode(
-            F.when(F.array_contains(names, BASELINE), F.col("packs")).otherwise(
-                F.concat(
-                    "packs",
-                    F.array(
-                        F.struct(
-                            F.lit(BASELINE).alias("key"),
-                            F.lit(None).cast(_RULES_MAP).alias("rules"),
-                        )
-                    ),
-                )
+def _name(text: object) -> str | None:
+    return str(text).strip().lower() or None if text is not None else None
+
+
+def _rule(text: str) -> str | None:
+    return text.strip().upper().replace("-", "_") or None
+
+
+def policy_violations(config: dict) -> list[tuple[str, str, str]]:
+    """(pack, rule text, message) for every unknown rule id or severity."""
+    found = []
+    for pack, body in (config.get("packs") or {}).items():
+        for rule, level in ((body or {}).get("rules") or {}).items():
+            if _rule(rule) is not None and _rule(rule) not in BASELINE_RULES:
+                found.append((pack, rule, f"Unknown policy rule id: {rule}"))
+            elif level is not None and level not in SEVERITIES:
+                found.append((pack, rule, f"Unknown severity: {level}"))
+    return found
+
+
+@dataclass(frozen=True)
+class PolicyPacks:
+    """Dense packs (all five rules each) and the default pack's name."""
+
+    default: str
+    severities: dict[str, dict[str, str]]
+
+    @staticmethod
+    def parse(text: str | None) -> PolicyPacks:
+        config = json.loads(text) if text else {}
+        problems = policy_violations(config)
+        if problems:
+            raise ValueError(problems[0][2])
+        packs = {}
+        for raw, body in (config.get("packs") or {}).items():
+            if _name(raw) is None:
+                continue
+            stated = {}
+            for rule, level in ((body or {}).get("rules") or {}).items():
+                if _rule(rule) is not None:
+                    stated[_rule(rule)] = "BREAKING" if level is None else level
+            packs[_name(raw)] = {**BASELINE_RULES, **stated}
+        packs.setdefault(BASELINE, dict(BASELINE_RULES))
+        default = _name(config.get("defaultPack"))
+        return PolicyPacks(default if default in packs else BASELINE, packs)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """pack, is_default, severities (map); a local relation whose size Spark knows."""
+        rows = [
+            F.struct(
+                F.lit(pack).alias("pack"),
+                F.lit(pack == self.default).alias("is_default"),
+                F.create_map(*[F.lit(x) for item in rules.items() for x in item]).alias(
+                    "severities"
+                ),
             )
-        ).alias("entry"),
-    )
-    rules = F.col("entry.rules")
-    problems = F.filter(
-        F.transform(F.map_entries(rules), lambda e: _problem(e["key"], e["value"])),
-        lambda m: m.isNotNull(),
-    )
-    severities = F.create_map(
-        *[x for rule, _, level in RULES for x in (F.lit(rule), _severity(rules, rule, level))]
-    )
-    return rows.select(
-        F.col("entry.key").alias("pack"),
-        (F.col("entry.key") == F.col("default_name")).alias("is_default"),
-        F.when(F.size(problems) > 0, F.raise_error(F.element_at(problems, 1)).cast(_RULES_MAP))
-        .otherwise(severities)
-        .alias("severities"),
-    )
-
-
-def _problem(rule_text: Column, severity: Column) -> Column:
-    rule = rule_key(rule_text)
-    return F.when(
-        rule.isNotNull() & ~rule.isin(*RULE_IDS),
-        F.concat(F.lit("Unknown policy rule id: "), rule_text),
-    ).when(
-        severity.isNotNull() & ~severity.isin(*SEVERITIES),
-        F.concat(F.lit("Unknown severity: "), severity),
-    )
-
-
-def policy_violations(config: DataFrame) -> DataFrame:
-    """Unknown rule ids and severities in the configuration."""
-    rows = _stated_packs(config).select(F.explode("packs").alias("entry"))
-    return (
-        rows.select(F.col("entry.key").alias("pack"), F.explode("entry.rules"))
-        .select(
-            "pack",
-            F.col("key").alias("rule_text"),
-            _problem(F.col("key"), F.col("value")).alias("message"),
-        )
-        .filter("message is not null")
-    )
-
-
-def policy_rules(packs: DataFrame) -> DataFrame:
-    """Long form: five rows per pack."""
-    return packs.select("pack", F.explode("severities").alias("rule_id", "severity"))
-
-
-def resolve_pack(contracts: DataFrame, packs: DataFrame, column: str = "policy_pack") -> DataFrame:
-    """Replace `column` by the pack that applies: requested, else default, else baseline.
-
-    No forced broadcast: the pack table is a handful of rows, which Spark's own size check sees.
-    """
-    default = packs.filter("is_default").select(F.max("pack")).scalar()
-    known = packs.select(F.col("pack").alias("known_pack"))
-    joined = contracts.withColumn("wanted_pack", pack_key(column)).join(
-        known, F.col("wanted_pack") == F.col("known_pack"), "left"
-    )
-    return joined.withColumn(
-        column, F.coalesce("known_pack", default, F.lit(BASELINE))
-    ).drop("wanted_pack", "known_pack")
+            for pack, rules in self.severities.items()
+        ]
+        return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+
+    def rules(self, spark: SparkSession) -> DataFrame:
+        """Long form: five rows per pack."""
+        return self.table(spark).select("pack", F.explode("severities").alias("rule_id", "severity"))
+
+    def resolve(self, requested: Column | str) -> Column:
+        """The pack that applies: the requested one, else the default."""
+        wanted = pack_key(requested)
+        return F.when(wanted.isin(*self.severities), wanted).otherwise(self.default)

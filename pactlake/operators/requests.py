@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import blank_to_null, is_blank, trimmed
-from pactlake.operators.policy import resolve_pack
+from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REQUEST_CONTRACT_ID, VERSION_NAME
 
 # What one distinct piece of work is: requests that agree on these share one check.
@@ -60,7 +60,7 @@ def resolve_requests(
     work: DataFrame,
     contracts: DataFrame,
     versions: DataFrame,
-    packs: DataFrame,
+    packs: PolicyPacks,
     document_errors: DataFrame | None = None,
     root: str = "contracts",
 ) -> DataFrame:
@@ -95,9 +95,7 @@ def resolve_requests(
             F.lit(".json"),
         )
 
-    owned = resolve_pack(
-        contracts.select("contract_id", "policy_pack"), packs
-    ).select("contract_id", F.col("policy_pack").alias("pack"))
+    owned = contracts.select("contract_id", packs.resolve("policy_pack").alias("pack"))
     bad_document = F.concat(
         F.lit("SchemaValidationException: "), F.coalesce("base_error", "candidate_error")
     )

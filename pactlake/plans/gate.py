@@ -9,15 +9,15 @@ from pactlake.operators.catalog import changed_contract_ids
 from pactlake.operators.compat import check_compatibility
 from pactlake.operators.lint import failing_contracts, lint_contracts
 from pactlake.operators.ordering import latest_pairs
-from pactlake.operators.policy import resolve_pack
+from pactlake.operators.policy import PolicyPacks
 
 
 def changed_gate(
     files: DataFrame,
     contracts: DataFrame,
     docs: DataFrame,
-    fields: DataFrame,
-    packs: DataFrame,
+    shapes: DataFrame,
+    packs: PolicyPacks,
     mode: str | None = "BACKWARD",
 ) -> DataFrame:
     """One row per changed contract: lint result, checked pair, verdict, `passed`.
@@ -31,16 +31,16 @@ def changed_gate(
     some_docs = docs.join(changed, "contract_id", "left_semi")
     lint = failing_contracts(lint_contracts(some_contracts, some_docs))
     wanted_mode = F.upper(F.trim("compatibility_mode")) if mode is None else F.lit(mode)
-    owners = resolve_pack(some_contracts, packs).select(
-        "contract_id", wanted_mode.alias("mode"), F.col("policy_pack").alias("pack")
+    owners = some_contracts.select(
+        "contract_id", wanted_mode.alias("mode"), packs.resolve("policy_pack").alias("pack")
     )
     checkable = (
         latest_pairs(some_docs)
         .join(lint, "contract_id", "left_anti")
         .join(owners, "contract_id")
     )
-    some_fields = fields.join(changed, "contract_id", "left_semi")
-    results = check_compatibility(some_fields, checkable, packs)
+    some_shapes = shapes.join(changed, "contract_id", "left_semi")
+    results = check_compatibility(some_shapes, checkable, packs)
     present = (
         some_docs.select("contract_id")
         .unionByName(some_contracts.select("contract_id"))

@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactlake.functions.text import blank_to_null, is_blank, trimmed
 from pactlake.functions.versions import version_num, version_of
 from pactlake.operators.compat import check_compatibility
-from pactlake.operators.documents import explode_schema
+from pactlake.operators.documents import schema_shapes
 from pactlake.operators.lint import document_violations, first_document_error
-from pactlake.operators.policy import resolve_pack
+from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REGISTRY_CONTRACT_ID, VERSION_NAME
 
 
@@ -31,8 +31,8 @@ def register_versions(
     candidates: DataFrame,
     contracts: DataFrame,
     versions: DataFrame,
-    fields: DataFrame,
-    packs: DataFrame,
+    shapes: DataFrame,
+    packs: PolicyPacks,
     strict: bool = True,
 ) -> DataFrame:
     """candidates (contract_id, version, schema_json) → accepted, reason, compatibility status.
@@ -58,10 +58,10 @@ def register_versions(
     ).withColumn("version_num", version_num(F.col("version")))
     latest = versions.groupBy("contract_id").agg(F.max("version_num").alias("latest_num"))
     existing = versions.select("contract_id", "version").withColumn("version_exists", F.lit(True))
-    owners = resolve_pack(contracts, packs).select(
+    owners = contracts.select(
         "contract_id",
         F.upper(trimmed("compatibility_mode")).alias("mode"),
-        F.col("policy_pack").alias("pack"),
+        packs.resolve("policy_pack").alias("pack"),
     )
     top, num = F.col("latest_num"), F.col("version_num")
     placed = (
@@ -110,8 +110,8 @@ def register_versions(
     clean = in_order.join(lint, ["contract_id", "version"], "left_anti")
     base = version_of(top)
     to_check = clean.filter(top.isNotNull())
-    new_fields = explode_schema(to_check)
-    base_fields = fields.join(
+    new_shapes = schema_shapes(to_check)
+    base_shapes = shapes.join(
         to_check.select("contract_id", base.alias("version")),
         ["contract_id", "version"],
         "left_semi",
@@ -124,7 +124,7 @@ def register_versions(
         "pack",
     )
     results = check_compatibility(
-        base_fields.select(*new_fields.columns).unionByName(new_fields), checks, packs
+        base_shapes.select(*new_shapes.columns).unionByName(new_shapes), checks, packs
     ).select(
         "contract_id",
         F.col("candidate_version").alias("version"),

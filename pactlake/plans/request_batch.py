@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pactlake.functions.details import details_json, no_strings
 from pactlake.operators.compat import CHECK, check_compatibility
 from pactlake.operators.insights import EXECUTION_ERROR
+from pactlake.operators.policy import PolicyPacks
 from pactlake.operators.requests import WORK, resolve_requests, validate_requests
 from pactlake.sinks.history import request_hash, run_id_of_request
 
@@ -15,8 +16,8 @@ def request_outcomes(
     requests: DataFrame,
     contracts: DataFrame,
     versions: DataFrame,
-    fields: DataFrame,
-    packs: DataFrame,
+    shapes: DataFrame,
+    packs: PolicyPacks,
     document_errors: DataFrame | None = None,
 ) -> DataFrame:
     """One row per request with its verdict.
@@ -29,7 +30,7 @@ def request_outcomes(
     valid = checked.filter("error is null")
     resolved = resolve_requests(valid, contracts, versions, packs, document_errors)
     results = check_compatibility(
-        fields, resolved.filter("execution_error is null").select(*CHECK), packs
+        shapes, resolved.filter("execution_error is null").select(*CHECK), packs
     )
     judged = resolved.join(results, CHECK, "left").select(
         *WORK,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pactlake.functions.text import clean_names
 from pactlake.functions.versions import version_num
-from pactlake.operators.policy import dense_policy
+from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import ACTIVE, VERSION_FILE
 
 
@@ -115,16 +116,25 @@ def read_contracts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_policy_packs(spark: SparkSession, path: str | None) -> DataFrame:
-    """One policy file → dense packs; without a path, the baseline alone."""
-    if path is None:
-        return dense_policy(policy_text(spark, "{}"))
-    return dense_policy(spark.read.option("wholetext", True).text(path))
+MAX_POLICY_BYTES = 1 << 20
 
 
-def policy_text(spark: SparkSession, text: str) -> DataFrame:
-    """Policy configuration given as text rather than as a file."""
-    return spark.range(1).select(F.lit(text).alias("value"))
+def read_policy_packs(spark: SparkSession, path: str | None) -> PolicyPacks:
+    """One policy file; without a path or a file there, the baseline alone."""
+    if path is None:
+        return PolicyPacks.parse(None)
+    try:
+        found = spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return PolicyPacks.parse(None)
+        raise
+    size = found.select(F.max("length")).first()[0]
+    if size is None:
+        return PolicyPacks.parse(None)
+    if size > MAX_POLICY_BYTES:
+        raise ValueError(f"{path} is no policy configuration: {size} bytes")
+    return PolicyPacks.parse(bytes(found.select("content").first()[0]).decode("utf-8"))
 
 
 def read_changed_files(spark: SparkSession, path: str) -> DataFrame:

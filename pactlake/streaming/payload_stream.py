@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from pactlake.operators.payloads import contract_shapes, with_violations
@@ -11,24 +11,19 @@ from pactlake.operators.payloads import contract_shapes, with_violations
 def start_payload_check(
     payloads: DataFrame,
     docs: DataFrame,
-    valid_path: str,
-    invalid_path: str,
+    path: str,
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Stateless: a stream-static join and a projection.
+    """Stateless: a stream-static join and a projection, written to `path/batch=…/valid=…`.
 
-    Each micro-batch writes its own `batch` folder and overwrites it when replayed, so a restart
-    never doubles rows. The batch is read twice (two sinks) rather than cached in memory.
+    One pass routes both kinds: the `valid` partitions are the two outlets. Each micro-batch
+    overwrites its own folder when replayed, so a restart never doubles rows.
     """
     checked = with_violations(payloads, contract_shapes(docs))
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        for path, rows in (
-            (valid_path, batch.filter("valid")),
-            (invalid_path, batch.filter(~F.col("valid"))),
-        ):
-            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").partitionBy("valid").parquet(f"{path}/batch={batch_id}")
 
     return (
         checked.writeStream.foreachBatch(route)

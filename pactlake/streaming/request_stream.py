@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from pactlake.operators.policy import PolicyPacks
 from pactlake.plans.request_batch import finished_runs, request_outcomes
 from pactlake.sinks.history import RUN_COLUMNS, lifecycle_logs
 
@@ -15,8 +16,8 @@ def start_request_checks(
     requests: DataFrame,
     contracts: DataFrame,
     versions: DataFrame,
-    fields: DataFrame,
-    packs: DataFrame,
+    shapes: DataFrame,
+    packs: PolicyPacks,
     runs_path: str,
     logs_path: str,
     rejected_path: str,
@@ -36,7 +37,7 @@ def start_request_checks(
         at = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         staged = f"{runs_path.rstrip('/')}-outcomes/batch={batch_id}"
         request_outcomes(
-            batch, contracts, versions, fields, packs, document_errors
+            batch, contracts, versions, shapes, packs, document_errors
         ).write.mode("overwrite").parquet(staged)
         outcomes = spark.read.parquet(staged)
         runs = finished_runs(outcomes, at).select(*RUN_COLUMNS)
