@@ -734,7 +734,7 @@ def stream_payload_conformance(spark, sf):
     ).awaitTermination()
     checked = spark.read.parquet(f"{folder}/checked")
     return checked.select(
-        "contract_id", "version", "payload_id", "valid", listed("violations", ",")
+        "contract_id", "version", "payload_id", F.col("valid").cast("boolean"), listed("violations", ",")
     )
 
 
