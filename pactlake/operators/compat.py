@@ -61,22 +61,25 @@ def check_compatibility(shapes: DataFrame, checks: DataFrame, packs: PolicyPacks
 
     Repeated checks fall together before any document is touched.
     """
-    return verdicts(pair_changes(shapes, checks.select(*CHECK).distinct()), packs)
+    results = with_verdict(pair_changes(shapes, checks.select(*CHECK).distinct()), packs)
+    return results.select(*CHECK, "status", "breaking_changes", "warnings")
 
 
-def verdicts(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
-    """Judge pair_changes rows that carry `mode` and `pack`; a projection plus the severity join."""
+def with_verdict(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
+    """Replace `changes` by status, breaking_changes and warnings, judged under the row's `mode`
+    and `pack`; a projection plus the join on the pack's severities."""
+    rest = [c for c in changes.columns if c != "changes"]
     severities = packs.table(changes.sparkSession).select(
         F.col("pack").alias("known_pack"), "severities"
     )
     baseline = F.create_map(*[F.lit(x) for item in BASELINE_RULES.items() for x in item])
     seen = changes.join(severities, F.col("pack") == F.col("known_pack"), "left").select(
-        *CHECK,
+        *rest,
         F.coalesce("severities", baseline).alias("severities"),
         expand_directions(F.col("changes"), F.col("mode")).alias("seen"),
     )
     judged = seen.select(
-        *CHECK, evaluate_rules(F.col("seen"), F.col("severities")).alias("judged")
+        *rest, evaluate_rules(F.col("seen"), F.col("severities")).alias("judged")
     )
 
     def messages(severity: str) -> Column:
@@ -85,12 +88,7 @@ def verdicts(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
         )
 
     return judged.select(
-        *CHECK,
+        *rest,
         messages("BREAKING").alias("breaking_changes"),
         messages("WARNING").alias("warnings"),
-    ).select(
-        *CHECK,
-        F.when(F.size("breaking_changes") == 0, "PASS").otherwise("FAIL").alias("status"),
-        "breaking_changes",
-        "warnings",
-    )
+    ).withColumn("status", F.when(F.size("breaking_changes") == 0, "PASS").otherwise("FAIL"))

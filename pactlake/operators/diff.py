@@ -17,10 +17,11 @@ CHANGE = "struct<kind:string,subject:string,old_type:string,new_type:string>"
 NO_DIFFERENCES = "No semantic differences found."
 
 
-def align_fields(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with `changed`: the fields that differ, as an array of (name, before, after).
+def with_documents(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with the documents of both sides; both versions must exist in `shapes`.
 
-    `pairs` keeps its other columns; both versions must exist in `shapes`.
+    Inner joins, so that Spark may broadcast whichever side passes its size check: the documents
+    of a large registry stay where they are when the pairs are few.
     """
 
     def side(name: str) -> DataFrame:
@@ -33,11 +34,18 @@ def align_fields(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     # Pair rows are tiny but each stands for two documents of work. A partition number that is
     # asked for is kept, where adaptive coalescing would weigh only their bytes.
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = pairs.columns
-    both = pairs.repartition(tasks, *PAIR).join(side("base"), ["contract_id", "base_version"]).join(
-        side("candidate"), ["contract_id", "candidate_version"]
+    return (
+        pairs.repartition(tasks, *PAIR)
+        .join(side("base"), ["contract_id", "base_version"])
+        .join(side("candidate"), ["contract_id", "candidate_version"])
     )
 
+
+def align_fields(both: DataFrame) -> DataFrame:
+    """Replace `base_shape` and `candidate_shape` by `changed`: the fields that differ, as an array
+    of (name, before, after). A projection; other columns stay."""
+    rest = [c for c in both.columns if c not in ("base_shape", "candidate_shape")]
+
     def decoded(there: str, here: str) -> Column:
         return F.transform(F.array_except(there, here), lambda t: F.from_json(t, _FIELD_DDL))
 
@@ -117,16 +125,22 @@ def field_changes(name: Column, before: Column, after: Column) -> Column:
     )
 
 
-def pair_changes(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with all their `changes` (an empty array when nothing changed)."""
-    return align_fields(shapes, pairs).select(
-        *pairs.columns,
+def with_changes(both: DataFrame) -> DataFrame:
+    """Replace both shapes by all `changes` (an empty array when nothing changed)."""
+    aligned = align_fields(both)
+    return aligned.select(
+        *[c for c in aligned.columns if c != "changed"],
         F.flatten(
             F.transform("changed", lambda f: field_changes(f["name"], f["before"], f["after"]))
         ).alias("changes"),
     )
 
 
+def pair_changes(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs with all their `changes`."""
+    return with_changes(with_documents(shapes, pairs))
+
+
 def schema_diff(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     """schema_changes rows: one per change, all kinds in one pass."""
     found = pair_changes(shapes, pairs.select(*PAIR).distinct())

@@ -139,9 +139,11 @@ def field_text(field: Column) -> Column:
 
 
 def schema_shapes(docs: DataFrame) -> DataFrame:
-    """contract_id, version, version_num, shape (array of field texts) from JSON documents."""
-    return parse_documents(docs).select(
-        "contract_id", "version", "version_num", F.transform("fields", field_text).alias("shape")
+    """Replace `schema_json` by `shape`: the array of the document's field texts."""
+    parsed = parse_documents(docs)
+    return parsed.select(
+        *[c for c in parsed.columns if c != "fields"],
+        F.transform("fields", field_text).alias("shape"),
     )
 
 

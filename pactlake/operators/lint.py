@@ -162,21 +162,20 @@ def _property_violations(entry: Column, file: Column) -> Column:
     )
 
 
-def document_violations(docs: DataFrame) -> DataFrame:
-    """Checks on each schema document; one scan, no shuffle."""
+def with_document_violations(docs: DataFrame) -> DataFrame:
+    """Documents with `found`: the array of their violations. One read, no shuffle."""
+    rest = docs.columns
     file = F.concat("version", F.lit(".json"))
     # Repeated keys are valid JSON; session.SETTINGS lets the variant parser keep the last one.
     read = docs.select(
-        "contract_id",
-        "version",
+        *rest,
         file.alias("file"),
         F.try_parse_json("schema_json").alias("tree"),
         is_blank("schema_json").alias("is_empty"),
         F.from_json("schema_json", "required array<string>", STRICT_JSON).alias("doc"),
     )
     read = read.select(
-        "contract_id",
-        "version",
+        *rest,
         "file",
         (F.col("tree").isNotNull() | F.col("is_empty")).alias("is_json"),
         F.coalesce(_kind(F.col("tree")) == "OBJECT", F.lit(False)).alias("is_object"),
@@ -243,8 +242,33 @@ def document_violations(docs: DataFrame) -> DataFrame:
             F.array_join(ghosts, ", "),
         ),
     )
-    return read.select("contract_id", "version", F.explode(found).alias("v")).select(
-        "contract_id", "version", "v.*"
+    return read.select(*rest, found.alias("found"))
+
+
+def document_violations(docs: DataFrame) -> DataFrame:
+    """One row per violation of a schema document."""
+    found = with_document_violations(docs.select("contract_id", "version", "schema_json"))
+    # Outer plus filter: a plain explode would test the computed array in a filter of its own.
+    return (
+        found.select("contract_id", "version", F.explode_outer("found").alias("v"))
+        .filter(F.col("v").isNotNull())
+        .select("contract_id", "version", "v.*")
+    )
+
+
+def with_document_error(docs: DataFrame) -> DataFrame:
+    """Documents with `document_error`: the message a reader would stop at, null when clean."""
+    rank = F.create_map(*[F.lit(x) for i, rule in enumerate(DOCUMENT_ORDER) for x in (rule, i)])
+    ordered = F.transform(
+        "found",
+        lambda v: F.struct(
+            rank[v["rule"]].alias("place"),
+            F.coalesce(v["field_name"], F.lit("")).alias("field_name"),
+            v["message"].alias("message"),
+        ),
+    )
+    return with_document_violations(docs).select(
+        *docs.columns, F.array_min(ordered)["message"].alias("document_error")
     )
 
 
@@ -258,14 +282,12 @@ def failing_contracts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("contract_id").agg(F.count(F.lit(1)).alias("violation_count"))
 
 
-def first_document_error(violations: DataFrame) -> DataFrame:
-    """One message per bad document, the first in check order within a document."""
-    rank = F.create_map(*[F.lit(x) for i, rule in enumerate(DOCUMENT_ORDER) for x in (rule, i)])
-    place = F.struct(rank[F.col("rule")], F.coalesce("field_name", F.lit("")), "message")
+def document_errors(docs: DataFrame) -> DataFrame:
+    """contract_id, version, document_error of the bad documents."""
     return (
-        violations.filter(F.col("version").isNotNull())
-        .groupBy("contract_id", "version")
-        .agg(F.min(place)["message"].alias("document_error"))
+        with_document_error(docs.select("contract_id", "version", "schema_json"))
+        .drop("schema_json")
+        .filter("document_error is not null")
     )
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import blank_to_null, is_blank, trimmed
 from pactlake.functions.versions import version_num, version_of
-from pactlake.operators.compat import check_compatibility
+from pactlake.operators.compat import with_verdict
+from pactlake.operators.diff import with_changes
 from pactlake.operators.documents import schema_shapes
-from pactlake.operators.lint import document_violations, first_document_error
+from pactlake.operators.lint import with_document_error
 from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REGISTRY_CONTRACT_ID, VERSION_NAME
 
@@ -105,33 +106,19 @@ def register_versions(
             ),
         )
     )
-    in_order = placed.filter("sequence_error is null")
-    lint = first_document_error(document_violations(in_order))
-    clean = in_order.join(lint, ["contract_id", "version"], "left_anti")
-    base = version_of(top)
-    to_check = clean.filter(top.isNotNull())
-    new_shapes = schema_shapes(to_check)
-    base_shapes = shapes.join(
-        to_check.select("contract_id", base.alias("version")),
-        ["contract_id", "version"],
-        "left_semi",
+    base = shapes.select(
+        "contract_id", F.col("version_num").alias("latest_num"), F.col("shape").alias("base_shape")
     )
-    checks = to_check.select(
-        "contract_id",
-        base.alias("base_version"),
-        F.col("version").alias("candidate_version"),
-        "mode",
-        "pack",
-    )
-    results = check_compatibility(
-        base_shapes.select(*new_shapes.columns).unionByName(new_shapes), checks, packs
-    ).select(
-        "contract_id",
-        F.col("candidate_version").alias("version"),
-        "base_version",
-        F.col("status").alias("check_status"),
-        "breaking_changes",
+    # The candidate brings its own document: with the latest one joined beside it, lint, diff and
+    # verdict are projections of the candidate's row.
+    checked = with_document_error(placed)
+    both = schema_shapes(checked).withColumnRenamed("shape", "candidate_shape")
+    judged = with_verdict(
+        with_changes(both.join(base, ["contract_id", "latest_num"], "left")), packs
     )
+    usable = F.col("sequence_error").isNull() & F.col("document_error").isNull()
+    compared = usable & top.isNotNull()
+    status = F.when(compared, F.col("status"))
     rejected_by_check = F.concat(
         F.lit("Strict mode rejected version "),
         "version",
@@ -141,19 +128,15 @@ def register_versions(
     reason = _first(
         (F.col("sequence_error").isNotNull(), F.col("sequence_error")),
         (F.col("document_error").isNotNull(), F.col("document_error")),
-        (F.lit(strict) & (F.col("check_status") == "FAIL"), rejected_by_check),
+        (F.lit(strict) & (status == "FAIL"), rejected_by_check),
     )
-    return (
-        placed.join(lint, ["contract_id", "version"], "left")
-        .join(results, ["contract_id", "version"], "left")
-        .select(
-            F.col("given_id").alias("contract_id"),
-            F.col("given_version").alias("version"),
-            F.when(F.col("sequence_error").isNull(), F.col("base_version")).alias("base_version"),
-            F.when(F.col("sequence_error").isNull(), F.col("check_status")).alias("check_status"),
-            reason.isNull().alias("accepted"),
-            reason.alias("reason"),
-        )
+    return judged.select(
+        F.col("given_id").alias("contract_id"),
+        F.col("given_version").alias("version"),
+        F.when(compared, version_of(top)).alias("base_version"),
+        status.alias("check_status"),
+        reason.isNull().alias("accepted"),
+        reason.alias("reason"),
     )
 
 
@@ -190,7 +173,6 @@ def register_contracts(requests: DataFrame, contracts: DataFrame) -> DataFrame:
         }
     )
     taken = contracts.select("contract_id", F.lit(True).alias("taken"))
-    lint = first_document_error(document_violations(asked.filter("request_error is null")))
     reason = _first(
         (F.col("request_error").isNotNull(), F.col("request_error")),
         (
@@ -200,8 +182,8 @@ def register_contracts(requests: DataFrame, contracts: DataFrame) -> DataFrame:
         (F.col("document_error").isNotNull(), F.col("document_error")),
     )
     return (
-        asked.join(taken, "contract_id", "left")
-        .join(lint, ["contract_id", "version"], "left")
+        with_document_error(asked)
+        .join(taken, "contract_id", "left")
         .select(
             F.col("given_id").alias("contract_id"),
             F.col("version").alias("initial_version"),

@@ -48,8 +48,20 @@ def listed(column: str, separator: str = "; ") -> Column:
     return F.array_join(column, separator).alias(column)
 
 
+def stored(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """Derived rows as a written table: a registry is stored, and its readers read it more than
+    once. Cuts the lineage and survives lost executors."""
+    path = shared_folder(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def evolving_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.shapes_of_fields(fx.evolving_fields(spark, sf))
+    return stored(spark, "shapes", documents.shapes_of_fields(fx.evolving_fields(spark, sf)))
+
+
+def versions_of(shapes: DataFrame) -> DataFrame:
+    return shapes.select("contract_id", "version", "version_num")
 
 
 def evolving_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +71,7 @@ def evolving_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def churning_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.shapes_of_fields(fx.churning_fields(spark, sf))
+    return stored(spark, "shapes", documents.shapes_of_fields(fx.churning_fields(spark, sf)))
 
 
 # --- documents and pairs -----------------------------------------------------------------------
@@ -185,7 +197,7 @@ def lint_failing_contracts(spark, sf):
 
 @query
 def document_errors(spark, sf):
-    return lint.first_document_error(lint.document_violations(fx.faulty_docs(spark, sf)))
+    return lint.document_errors(fx.faulty_docs(spark, sf))
 
 
 @query
@@ -519,7 +531,7 @@ def changed_contract_ids(spark, sf):
 
 
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.faulty_docs(spark, sf)
+    docs = stored(spark, "docs", fx.faulty_docs(spark, sf))
     return gate.changed_gate(
         fx.changed_files(spark, sf),
         fx.faulty_contracts(spark, sf),
@@ -545,11 +557,12 @@ def request_validation(spark, sf):
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    shapes = evolving_shapes(spark, sf)
     return request_batch.request_outcomes(
         fx.check_requests(spark, sf),
         fx.contracts(spark, sf),
-        evolving_versions(spark, sf),
-        evolving_shapes(spark, sf),
+        versions_of(shapes),
+        shapes,
         fx.packs(),
     )
 
@@ -612,7 +625,7 @@ def audit_rows(spark, sf):
 def last_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The evolving fields split in two: a registry without each contract's last version, and
     those last versions."""
-    fields = fx.evolving_fields(spark, sf)
+    fields = stored(spark, "fields", fx.evolving_fields(spark, sf))
     last = fields.groupBy("contract_id").agg(F.max("version_num").alias("last_num"))
     both = fields.join(last, "contract_id")
     rest = both.filter("version_num < last_num").drop("last_num")
@@ -640,9 +653,9 @@ def register_versions(spark, sf):
         .otherwise(F.col("schema_json"))
         .alias("schema_json"),
     )
-    versions = rest.select("contract_id", "version", "version_num").distinct()
+    shapes = stored(spark, "shapes", documents.shapes_of_fields(rest))
     return registration.register_versions(
-        candidates, fx.contracts(spark, sf), versions, documents.shapes_of_fields(rest), fx.packs()
+        candidates, fx.contracts(spark, sf), versions_of(shapes), shapes, fx.packs()
     )
 
 
@@ -748,12 +761,11 @@ def stream_request_runs(spark, sf):
     )
     # Each micro-batch joins the registry, so the registry is written once rather than derived
     # again in every batch.
-    evolving_shapes(spark, sf).write.parquet(f"{folder}/shapes")
-    shapes = spark.read.parquet(f"{folder}/shapes")
+    shapes = evolving_shapes(spark, sf)
     start_request_checks(
         stream,
         fx.contracts(spark, sf),
-        shapes.select("contract_id", "version"),
+        versions_of(shapes),
         shapes,
         fx.packs(),
         f"{folder}/runs",
