@@ -256,19 +256,34 @@ def document_violations(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_document_error(docs: DataFrame) -> DataFrame:
-    """Documents with `document_error`: the message a reader would stop at, null when clean."""
+def _by_reading_order(found: str) -> Column:
     rank = F.create_map(*[F.lit(x) for i, rule in enumerate(DOCUMENT_ORDER) for x in (rule, i)])
-    ordered = F.transform(
-        "found",
+    return F.transform(
+        found,
         lambda v: F.struct(
             rank[v["rule"]].alias("place"),
             F.coalesce(v["field_name"], F.lit("")).alias("field_name"),
             v["message"].alias("message"),
         ),
     )
+
+
+def with_document_error(docs: DataFrame) -> DataFrame:
+    """Documents with `document_error`: the message a reader would stop at, null when clean."""
     return with_document_violations(docs).select(
-        *docs.columns, F.array_min(ordered)["message"].alias("document_error")
+        *docs.columns,
+        F.array_min(_by_reading_order("found"))["message"].alias("document_error"),
+    )
+
+
+def document_errors(docs: DataFrame) -> DataFrame:
+    """contract_id, version, document_error of the bad documents."""
+    found = with_document_violations(docs.select("contract_id", "version", "schema_json"))
+    first = F.slice(F.sort_array(_by_reading_order("found")), 1, 1)
+    return (
+        found.select("contract_id", "version", F.explode_outer(first).alias("v"))
+        .filter(F.col("v").isNotNull())
+        .select("contract_id", "version", F.col("v.message").alias("document_error"))
     )
 
 
@@ -282,15 +297,6 @@ def failing_contracts(violations: DataFrame) -> DataFrame:
     return violations.groupBy("contract_id").agg(F.count(F.lit(1)).alias("violation_count"))
 
 
-def document_errors(docs: DataFrame) -> DataFrame:
-    """contract_id, version, document_error of the bad documents."""
-    return (
-        with_document_error(docs.select("contract_id", "version", "schema_json"))
-        .drop("schema_json")
-        .filter("document_error is not null")
-    )
-
-
 # Order in which a reader meets the problems of one document: the structure of `required`, then
 # the properties, then the cross-check, and last the type names.
 DOCUMENT_ORDER = (

@@ -54,7 +54,7 @@ def _is_number(k: Column) -> Column:
 def _whole(value: Column, k: Column) -> Column:
     """A number with zero fraction counts as an integer, however it is written."""
     number = F.when(
-        k == "DECIMAL", value.try_cast("decimal(38,18)") % 1 == 0
+        k == "DECIMAL", value.try_cast("string").rlike(r"^-?[0-9]+([.]0+)?\z")
     ).otherwise(value.try_cast("double") % 1 == 0)
     return (k == "BIGINT") | (_is_number(k) & F.coalesce(number, F.lit(False)))
 

@@ -17,9 +17,7 @@ from pactlake.schemas import ACTIVE, VERSION_FILE
 def read_schema_docs(spark: SparkSession, root: str) -> DataFrame:
     """`<root>/<contract>/v<n>.json`, one whole file per row, with its modification time."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", False)
-        .text(f"{root.rstrip('/')}/*/v*.json")
+        spark.read.text(f"{root.rstrip('/')}/*/v*.json", wholetext=True)
         .select("value", "_metadata.file_path", "_metadata.file_modification_time")
     )
     parts = F.split(F.url_decode(F.regexp_replace("file_path", r"\+", "%2B")), "/")
@@ -96,10 +94,12 @@ def _parse_metadata(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_contracts(spark: SparkSession, root: str) -> DataFrame:
-    """`<root>/<contract>/metadata.yaml` → contracts, with `metadata_error` for unreadable files."""
+    """`<root>/<contract>/metadata.yaml` → contracts, with `metadata_error` for unreadable files.
+
+    Spark's file sources pass over files of zero bytes: such a metadata file counts as missing.
+    """
     files = (
-        spark.read.option("wholetext", True)
-        .text(f"{root.rstrip('/')}/*/metadata.yaml")
+        spark.read.text(f"{root.rstrip('/')}/*/metadata.yaml", wholetext=True)
         .select(
             F.element_at(
                 F.split(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pactlake.operators.payloads import contract_shapes, with_violations
@@ -31,3 +31,8 @@ def start_payload_check(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def read_checked(spark: SparkSession, path: str) -> DataFrame:
+    """What the stream has written so far; a filter on `valid` reads one outlet only."""
+    return spark.read.parquet(path).withColumn("valid", F.col("valid").cast("boolean"))

@@ -26,7 +26,7 @@ from pactlake.plans import gate, refresh, registration, request_batch
 from pactlake.schemas import PAIR
 from pactlake.session import prepare, shared_folder
 from pactlake.sinks import history as sinks
-from pactlake.streaming.payload_stream import start_payload_check
+from pactlake.streaming.payload_stream import read_checked, start_payload_check
 from pactlake.streaming.request_stream import start_request_checks
 from proving import fixtures as fx
 
@@ -745,9 +745,9 @@ def stream_payload_conformance(spark, sf):
         f"{folder}/checked",
         f"{folder}/checkpoint",
     ).awaitTermination()
-    checked = spark.read.parquet(f"{folder}/checked")
+    checked = read_checked(spark, f"{folder}/checked")
     return checked.select(
-        "contract_id", "version", "payload_id", F.col("valid").cast("boolean"), listed("violations", ",")
+        "contract_id", "version", "payload_id", "valid", listed("violations", ",")
     )
 
 
