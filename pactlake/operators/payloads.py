@@ -189,10 +189,7 @@ def _when(condition: Column, code: str) -> Column:
 
 
 def with_violations(payloads: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Payload rows plus `valid` and sorted `violations` (`code:subject`).
-
-    Works on batches and on streams: the join is payloads (stream) to shapes (static).
-    """
+    """Payload rows plus `valid` and sorted `violations` (`code:subject`)."""
     names = {"contract_id": "shape_contract", "version": "shape_version"}
     keyed = payloads.withColumns(
         {

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the caller of every column expression triples the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # A JSON key given twice is legal and the last value counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
@@ -27,7 +29,7 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def prepare(spark: SparkSession) -> SparkSession:
     """Give a session that is already running the settings the operators rely on."""
     for key, value in SETTINGS.items():
-        if spark.conf.get(key, None) != value:
+        if spark.conf.get(key, None) != value and spark.conf.isModifiable(key):
             spark.conf.set(key, value)
     return spark
 

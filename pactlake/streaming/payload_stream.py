@@ -15,18 +15,21 @@ def start_payload_check(
     checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Stateless: a stream-static join and a projection, written to `path/batch=…/valid=…`.
+    """Stateless: a join with the schemas and a projection, written to `path/batch=…/valid=…`.
 
-    One pass routes both kinds: the `valid` partitions are the two outlets. Each micro-batch
-    overwrites its own folder when replayed, so a restart never doubles rows.
+    The join is planned inside each micro-batch, so the schema table's current size decides between
+    broadcast and shuffle, and adaptive execution splits a contract that holds much of a batch. One
+    pass routes both kinds: the `valid` partitions are the two outlets. Each micro-batch overwrites
+    its own folder when replayed, so a restart never doubles rows.
     """
-    checked = with_violations(payloads, contract_shapes(docs))
+    shapes = contract_shapes(docs)
 
     def route(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("valid").parquet(f"{path}/batch={batch_id}")
+        checked = with_violations(batch, shapes)
+        checked.write.mode("overwrite").partitionBy("valid").parquet(f"{path}/batch={batch_id}")
 
     return (
-        checked.writeStream.foreachBatch(route)
+        payloads.writeStream.foreachBatch(route)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
