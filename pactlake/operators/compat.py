@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.operators.diff import change_text, pair_changes
-from pactlake.operators.policy import BASELINE_RULES, PolicyPacks
+from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import FORWARD_PREFIX, MIRRORED_KIND, PAIR, RULES
 
 CHECK = [*PAIR, "mode", "pack"]
@@ -67,15 +67,11 @@ def check_compatibility(shapes: DataFrame, checks: DataFrame, packs: PolicyPacks
 
 def with_verdict(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
     """Replace `changes` by status, breaking_changes and warnings, judged under the row's `mode`
-    and `pack`; a projection plus the join on the pack's severities."""
+    and `pack`. A projection."""
     rest = [c for c in changes.columns if c != "changes"]
-    severities = packs.table(changes.sparkSession).select(
-        F.col("pack").alias("known_pack"), "severities"
-    )
-    baseline = F.create_map(*[F.lit(x) for item in BASELINE_RULES.items() for x in item])
-    seen = changes.join(severities, F.col("pack") == F.col("known_pack"), "left").select(
+    seen = changes.select(
         *rest,
-        F.coalesce("severities", baseline).alias("severities"),
+        packs.severities_of("pack").alias("severities"),
         expand_directions(F.col("changes"), F.col("mode")).alias("seen"),
     )
     judged = seen.select(

@@ -32,10 +32,11 @@ def with_documents(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
         )
 
     # Pair rows are tiny but each stands for two documents of work. A partition number that is
-    # asked for is kept, where adaptive coalescing would weigh only their bytes.
+    # asked for is kept, where adaptive coalescing would weigh only their bytes. (The reversed key
+    # keeps the exchange from being merged into that of a distinct on the pair before it.)
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        pairs.repartition(tasks, *PAIR)
+        pairs.repartition(tasks, *reversed(PAIR))
         .join(side("base"), ["contract_id", "base_version"])
         .join(side("candidate"), ["contract_id", "candidate_version"])
     )

@@ -42,6 +42,10 @@ def policy_violations(config: dict) -> list[tuple[str, str, str]]:
     return found
 
 
+def _rules_map(rules: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for item in rules.items() for x in item])
+
+
 @dataclass(frozen=True)
 class PolicyPacks:
     """Dense packs (all five rules each) and the default pack's name."""
@@ -74,9 +78,7 @@ class PolicyPacks:
             F.struct(
                 F.lit(pack).alias("pack"),
                 F.lit(pack == self.default).alias("is_default"),
-                F.create_map(*[F.lit(x) for item in rules.items() for x in item]).alias(
-                    "severities"
-                ),
+                _rules_map(rules).alias("severities"),
             )
             for pack, rules in self.severities.items()
         ]
@@ -86,6 +88,16 @@ class PolicyPacks:
         """Long form: five rows per pack."""
         return self.table(spark).select("pack", F.explode("severities").alias("rule_id", "severity"))
 
+    def severities_of(self, pack: str) -> Column:
+        """The rule → severity map of a resolved pack, as a lookup in a literal: the configuration
+        is size-checked, and a literal needs neither join nor shuffle. Unknown packs: baseline."""
+        maps = [
+            x
+            for name, rules in self.severities.items()
+            for x in (F.lit(name), _rules_map(rules))
+        ]
+        return F.coalesce(F.create_map(*maps)[F.col(pack)], _rules_map(BASELINE_RULES))
+
     def resolve(self, requested: Column | str) -> Column:
         """The pack that applies: the requested one, else the default."""
         wanted = pack_key(requested)
