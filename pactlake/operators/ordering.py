@@ -15,13 +15,18 @@ from pactlake.functions.versions import version_of
 BUCKET_BITS = 16
 
 
-def adjacent_pairs(versions: DataFrame) -> DataFrame:
-    """Every version with the one just below it; input needs contract_id and version_num."""
-    numbered = (
-        versions.select("contract_id", "version_num")
-        .filter(F.col("version_num").isNotNull())
-        .distinct()
-        .withColumn("bucket", F.shiftright("version_num", BUCKET_BITS))
+def _numbers(versions: DataFrame, unique: bool) -> DataFrame:
+    numbers = versions.select("contract_id", "version_num").filter("version_num is not null")
+    return numbers if unique else numbers.distinct()
+
+
+def adjacent_pairs(versions: DataFrame, unique: bool = False) -> DataFrame:
+    """Every version with the one just below it; input needs contract_id and version_num.
+
+    `unique`: the input has one row per version (documents, shapes), so no distinct is needed.
+    """
+    numbered = _numbers(versions, unique).withColumn(
+        "bucket", F.shiftright("version_num", BUCKET_BITS)
     )
     top = numbered.groupBy("contract_id", "bucket").agg(F.max("version_num").alias("top"))
     over_buckets = Window.partitionBy("contract_id").orderBy("bucket")
@@ -45,16 +50,14 @@ def adjacent_pairs(versions: DataFrame) -> DataFrame:
     )
 
 
-def latest_pairs(versions: DataFrame) -> DataFrame:
+def latest_pairs(versions: DataFrame, unique: bool = False) -> DataFrame:
     """The last two versions of each contract that has two.
 
     Spark keeps only two rows per contract before the shuffle (window group limit).
     """
     newest = Window.partitionBy("contract_id").orderBy(F.desc("version_num"))
     last_two = (
-        versions.select("contract_id", "version_num")
-        .filter(F.col("version_num").isNotNull())
-        .distinct()
+        _numbers(versions, unique)
         .withColumn("place", F.row_number().over(newest))
         .filter(F.col("place") <= 2)
     )

@@ -35,7 +35,7 @@ def changed_gate(
         "contract_id", wanted_mode.alias("mode"), packs.resolve("policy_pack").alias("pack")
     )
     checkable = (
-        latest_pairs(some_docs)
+        latest_pairs(some_docs, unique=True)
         .join(lint, "contract_id", "left_anti")
         .join(owners, "contract_id")
     )

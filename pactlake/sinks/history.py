@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.details import details_json, input_hash
 from pactlake.functions.ids import stable_id
-from pactlake.functions.text import blank_to_null, dash_if_blank, roles_text
+from pactlake.functions.text import blank_to_null, dash_if_blank, is_blank, roles_text
 from pactlake.schemas import CHECK_RUNS
 
 RUN_COLUMNS = [part.split()[0] for part in CHECK_RUNS.split(", ")]
@@ -150,8 +150,15 @@ def lifecycle_logs(outcomes: DataFrame, at: str, max_retries: int = 2) -> DataFr
     )
 
 
+def _audit_detail(fields: list[Column], error: str) -> Column:
+    """JSON detail with its null members kept; `error` appears only when there is one."""
+    keep_nulls = {"ignoreNullFields": "false"}
+    with_error = F.to_json(F.struct(*fields, F.col(error).alias("error")), keep_nulls)
+    return F.when(is_blank(error), F.to_json(F.struct(*fields), keep_nulls)).otherwise(with_error)
+
+
 def request_audit_detail(error: str = "error") -> Column:
-    """The JSON detail of a request's audit row; `error` appears only when there is one."""
+    """Detail of a check request's audit row."""
     fields = [
         F.col("contract_id").alias("contractId"),
         F.col("base_version").alias("baseVersion"),
@@ -160,11 +167,30 @@ def request_audit_detail(error: str = "error") -> Column:
         F.col("commit_sha").alias("commitSha"),
         F.col("triggered_by").alias("triggeredBy"),
     ]
+    return _audit_detail(fields, error)
+
+
+def contract_audit_detail(error: str = "error") -> Column:
+    """Detail of a contract registration's audit row."""
+    fields = [
+        F.col("contract_id").alias("contractId"),
+        F.col("owner_team").alias("ownerTeam"),
+        F.col("domain"),
+        F.col("compatibility_mode").alias("compatibilityMode"),
+        F.col("policy_pack").alias("policyPack"),
+        F.col("initial_version").alias("initialVersion"),
+    ]
+    return _audit_detail(fields, error)
+
+
+def version_audit_detail(error: str = "error") -> Column:
+    """Detail of a version registration's audit row; accepted ones name the created version."""
+    fields = [F.col("contract_id").alias("contractId"), F.col("version")]
+    created = [*fields, F.col("version").alias("createdVersion")]
     keep_nulls = {"ignoreNullFields": "false"}
-    return F.when(
-        F.col(error).isNotNull(),
-        F.to_json(F.struct(*fields, F.col(error).alias("error")), keep_nulls),
-    ).otherwise(F.to_json(F.struct(*fields), keep_nulls))
+    return F.when(is_blank(error), F.to_json(F.struct(*created), keep_nulls)).otherwise(
+        _audit_detail(fields, error)
+    )
 
 
 def audit_rows(
@@ -234,3 +260,9 @@ def write_run_logs(logs: DataFrame, path: str) -> None:
 
 def write_audit_rows(rows: DataFrame, path: str) -> None:
     append(rows, path, ["created_at"])
+
+
+def write_snapshot(rows: DataFrame, path: str) -> None:
+    """A rewritten table (backfill, transitions) goes to a new path, never over the one it is read
+    from; readers are pointed to it once it is complete."""
+    rows.write.mode("errorifexists").parquet(path)

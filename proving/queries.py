@@ -104,13 +104,13 @@ def latest_pairs(spark, sf):
 @query
 def schema_diff(spark, sf):
     shapes = churning_shapes(spark, sf)
-    return diff.schema_diff(shapes, ordering.adjacent_pairs(shapes))
+    return diff.schema_diff(shapes, ordering.adjacent_pairs(shapes, unique=True))
 
 
 @query
 def diff_report(spark, sf):
     shapes = churning_shapes(spark, sf)
-    return diff.diff_report(shapes, ordering.adjacent_pairs(shapes))
+    return diff.diff_report(shapes, ordering.adjacent_pairs(shapes, unique=True))
 
 
 # --- compatibility -----------------------------------------------------------------------------
@@ -118,7 +118,7 @@ def diff_report(spark, sf):
 
 def _adjacent_verdicts(spark, sf, mode: str, pack: str = "baseline") -> DataFrame:
     shapes = evolving_shapes(spark, sf)
-    checks = ordering.adjacent_pairs(shapes).withColumns(
+    checks = ordering.adjacent_pairs(shapes, unique=True).withColumns(
         {"mode": F.lit(mode), "pack": F.lit(pack)}
     )
     return _shown(compat.check_compatibility(shapes, checks, fx.packs()))
@@ -158,14 +158,14 @@ def compat_by_contract_policy(spark, sf):
         F.col("compatibility_mode").alias("mode"),
         packs.resolve("policy_pack").alias("pack"),
     )
-    checks = ordering.adjacent_pairs(shapes).join(owners, "contract_id")
+    checks = ordering.adjacent_pairs(shapes, unique=True).join(owners, "contract_id")
     return _shown(compat.check_compatibility(shapes, checks, packs))
 
 
 @query
 def compat_churn(spark, sf):
     shapes = churning_shapes(spark, sf)
-    checks = ordering.adjacent_pairs(shapes).withColumns(
+    checks = ordering.adjacent_pairs(shapes, unique=True).withColumns(
         {"mode": F.lit("FULL"), "pack": F.lit("relaxed")}
     )
     return _shown(compat.check_compatibility(shapes, checks, fx.packs()))
@@ -591,7 +591,7 @@ def queued_runs(spark, sf):
 @query
 def recorded_runs(spark, sf):
     shapes = evolving_shapes(spark, sf)
-    checks = ordering.latest_pairs(shapes).withColumns(
+    checks = ordering.latest_pairs(shapes, unique=True).withColumns(
         {"mode": F.lit("FULL"), "pack": F.lit("strict")}
     )
     results = compat.check_compatibility(shapes, checks, fx.packs())

@@ -106,6 +106,22 @@ def test_audit_rows(spark, tmp_path):
     assert got["SUCCESS"].audit_id != got["FAILURE"].audit_id
 
 
+def test_audit_details(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("c", "t", "d", "FULL", None, "v1", "v2", None), ("c", "t", "d", "FULL", "p", "v1", "v2", "boom")],
+        "contract_id string, owner_team string, domain string, compatibility_mode string, "
+        "policy_pack string, initial_version string, version string, error string",
+    )
+    rows = df.select(sinks.contract_audit_detail(), sinks.version_audit_detail()).collect()
+    assert json.loads(rows[0][0])["policyPack"] is None and "error" not in json.loads(rows[0][0])
+    assert json.loads(rows[1][0])["error"] == "boom"
+    assert json.loads(rows[0][1]) == {"contractId": "c", "version": "v2", "createdVersion": "v2"}
+    assert json.loads(rows[1][1]) == {"contractId": "c", "version": "v2", "error": "boom"}
+    sinks.write_snapshot(df, str(tmp_path / "next"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_snapshot(df, str(tmp_path / "next"))
+
+
 def test_payload_stream_restarts_without_doubling(spark, docs_of, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     docs = docs_of(("a.b", 1, {"properties": {"x": {"type": "integer"}}, "required": ["x"]}))

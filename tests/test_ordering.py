@@ -15,6 +15,9 @@ def test_pairs_across_gaps_and_buckets(spark):
         for a, b in zip(sorted(ns), sorted(ns)[1:])
     }
     assert {tuple(r) for r in adjacent_pairs(versions).collect()} == expected
+    once = versions.distinct()
+    assert {tuple(r) for r in adjacent_pairs(once, unique=True).collect()} == expected
+    assert latest_pairs(once, unique=True).exceptAll(latest_pairs(versions)).isEmpty()
     assert {tuple(r) for r in latest_pairs(versions).collect()} == {
         ("a", "v400000", "v2147483647"),
         ("c", "v1", "v2"),
@@ -22,9 +25,12 @@ def test_pairs_across_gaps_and_buckets(spark):
 
 
 def test_latest_pairs_cuts_before_the_shuffle(spark):
-    versions = spark.range(1000).selectExpr("'hot' contract_id", "cast(id as int) version_num")
-    plan = latest_pairs(versions)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    versions = spark.range(1000).selectExpr(
+        "concat('c', id % 3) contract_id", "cast(id as int) version_num"
+    )
+    plan = latest_pairs(versions, unique=True)._jdf.queryExecution().executedPlan().toString()
+    cut, shuffle = plan.rindex("WindowGroupLimit"), plan.rindex("Exchange hashpartitioning")
+    assert shuffle < cut, "the limit must also stand below the exchange"
 
 
 def test_hot_contract(spark):
