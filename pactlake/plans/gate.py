@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pactlake.functions.details import no_strings
 from pactlake.operators.catalog import changed_contract_ids
 from pactlake.operators.compat import check_compatibility
+from pactlake.operators.documents import schema_shapes
 from pactlake.operators.lint import failing_contracts, lint_contracts
 from pactlake.operators.ordering import latest_pairs
 from pactlake.operators.policy import PolicyPacks
@@ -16,7 +17,6 @@ def changed_gate(
     files: DataFrame,
     contracts: DataFrame,
     docs: DataFrame,
-    shapes: DataFrame,
     packs: PolicyPacks,
     mode: str | None = "BACKWARD",
 ) -> DataFrame:
@@ -39,8 +39,7 @@ def changed_gate(
         .join(lint, "contract_id", "left_anti")
         .join(owners, "contract_id")
     )
-    some_shapes = shapes.join(changed, "contract_id", "left_semi")
-    results = check_compatibility(some_shapes, checkable, packs)
+    results = check_compatibility(schema_shapes(some_docs), checkable, packs)
     present = (
         some_docs.select("contract_id")
         .unionByName(some_contracts.select("contract_id"))

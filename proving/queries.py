@@ -531,12 +531,10 @@ def changed_contract_ids(spark, sf):
 
 
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
-    docs = stored(spark, "docs", fx.faulty_docs(spark, sf))
     return gate.changed_gate(
-        fx.changed_files(spark, sf),
+        stored(spark, "files", fx.changed_files(spark, sf)),
         fx.faulty_contracts(spark, sf),
-        docs,
-        documents.schema_shapes(docs),
+        stored(spark, "docs", fx.faulty_docs(spark, sf)),
         fx.packs(),
     )
 

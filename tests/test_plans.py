@@ -116,16 +116,16 @@ def test_changed_gate(spark, docs_of):
              "contracts/policy-packs.json"]
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     packs = PolicyPacks.parse(PACKS)
-    gate = changed_gate(files, contracts, docs, schema_shapes(docs), packs)
+    gate = changed_gate(files, contracts, docs, packs)
     assert {r.contract_id: (r.outcome, r.passed) for r in gate.collect()} == {
         "o.c": ("FAIL", False),
         "one.version": ("SKIPPED", True),
         "bad.doc": ("LINT_FAILED", False),
     }
     assert tuple(gate_result(gate).first()) == (3, 2, False)
-    own = changed_gate(files, contracts, docs, schema_shapes(docs), packs, mode=None)
+    own = changed_gate(files, contracts, docs, packs, mode=None)
     assert {r.contract_id: r.outcome for r in own.collect()}["o.c"] == "PASS"
-    nothing = changed_gate(files.filter("path like 'docs%'"), contracts, docs, schema_shapes(docs), packs)
+    nothing = changed_gate(files.filter("path like 'docs%'"), contracts, docs, packs)
     assert tuple(gate_result(nothing).first()) == (0, 0, True)
 
 
