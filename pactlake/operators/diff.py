@@ -1,7 +1,8 @@
 """Semantic diff of schema versions: all pairs in one job.
 
 A pair meets its two documents by two equi-joins on (contract, version), a unique key on the
-document side. Everything after that is a projection of one row per pair: hash-based array
+document side, or for all adjacent versions by one ordered pass (ordering.adjacent_documents).
+Everything after that is a projection of one row per pair: hash-based array
 differences drop the untouched fields, and only changed ones are looked at. Nothing is grouped,
 so no contract, however many versions or checks it has, ends up in one task.
 """
@@ -143,11 +144,15 @@ def pair_changes(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def schema_diff(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """schema_changes rows: one per change, all kinds in one pass."""
-    found = pair_changes(shapes, pairs.select(*PAIR).distinct())
+    """schema_changes rows of the given pairs."""
+    return change_rows(pair_changes(shapes, pairs.select(*PAIR).distinct()))
+
+
+def change_rows(changes: DataFrame) -> DataFrame:
+    """One row per change, all kinds in one pass."""
     # Outer plus filter: a plain explode of a computed array makes Spark test it in a filter of its
     # own below, which computes the whole diff twice.
-    rows = found.select(*PAIR, F.explode_outer("changes").alias("change"))
+    rows = changes.select(*PAIR, F.explode_outer("changes").alias("change"))
     return rows.filter(F.col("change").isNotNull()).select(
         *PAIR,
         F.col("change.kind").alias("kind"),
@@ -171,7 +176,12 @@ def change_text(change: Column, mirrored: bool = False) -> Column:
 
 
 def diff_report(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The text report of every pair, sections in fixed order."""
+    """The text report of the given pairs."""
+    return change_report(pair_changes(shapes, pairs.select(*PAIR).distinct()))
+
+
+def change_report(changes: DataFrame) -> DataFrame:
+    """One text per pair, sections in fixed order."""
     section = F.create_map(
         *[F.lit(x) for i, (kind, _) in enumerate(DIFF_SECTIONS) for x in (kind, i)]
     )
@@ -190,7 +200,7 @@ def diff_report(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
         lambda line: F.concat(label[line["kind"]], line["text"]),
     )
     body = F.when(F.size("changes") == 0, F.array(F.lit(NO_DIFFERENCES))).otherwise(lines)
-    return pair_changes(shapes, pairs.select(*PAIR).distinct()).select(
+    return changes.select(
         *PAIR,
         F.array_join(F.concat(F.array(F.lit("Schema diff:")), body), "\n").alias("report"),
     )

@@ -50,6 +50,47 @@ def adjacent_pairs(versions: DataFrame, unique: bool = False) -> DataFrame:
     )
 
 
+# Documents are wide rows, so fewer of them share a task.
+DOCUMENT_BUCKET_BITS = 12
+
+
+def adjacent_documents(shapes: DataFrame) -> DataFrame:
+    """Every version's document beside the one just below it: adjacent_pairs with both shapes.
+
+    For a whole registry: the documents are shuffled once, where joining them to their pairs would
+    shuffle them for each side. `shapes` has one row per version.
+    """
+    keyed = (
+        shapes.select("contract_id", "version_num", "shape")
+        .filter("version_num is not null")
+        .withColumn("bucket", F.shiftright("version_num", DOCUMENT_BUCKET_BITS))
+    )
+    last = keyed.groupBy("contract_id", "bucket").agg(
+        F.max_by(F.struct("version_num", "shape"), "version_num").alias("last")
+    )
+    over_buckets = Window.partitionBy("contract_id").orderBy("bucket")
+    carried = (
+        last.withColumn("last", F.lag("last").over(over_buckets))
+        .filter(F.col("last").isNotNull())
+        .select("contract_id", "last.version_num", "last.shape", "bucket")
+    )
+    in_bucket = Window.partitionBy("contract_id", "bucket").orderBy("version_num")
+    return (
+        keyed.withColumn("carried", F.lit(False))
+        .unionByName(carried.withColumn("carried", F.lit(True)))
+        .withColumn("base_num", F.lag("version_num").over(in_bucket))
+        .withColumn("base_shape", F.lag("shape").over(in_bucket))
+        .filter(~F.col("carried") & F.col("base_num").isNotNull())
+        .select(
+            "contract_id",
+            version_of(F.col("base_num")).alias("base_version"),
+            version_of(F.col("version_num")).alias("candidate_version"),
+            "base_shape",
+            F.col("shape").alias("candidate_shape"),
+        )
+    )
+
+
 def latest_pairs(versions: DataFrame, unique: bool = False) -> DataFrame:
     """The last two versions of each contract that has two.
 

@@ -103,8 +103,8 @@ def latest_pairs(spark, sf):
 
 @query
 def schema_diff(spark, sf):
-    shapes = churning_shapes(spark, sf)
-    return diff.schema_diff(shapes, ordering.adjacent_pairs(shapes, unique=True))
+    both = ordering.adjacent_documents(churning_shapes(spark, sf))
+    return diff.change_rows(diff.with_changes(both))
 
 
 @query
@@ -117,11 +117,9 @@ def diff_report(spark, sf):
 
 
 def _adjacent_verdicts(spark, sf, mode: str, pack: str = "baseline") -> DataFrame:
-    shapes = evolving_shapes(spark, sf)
-    checks = ordering.adjacent_pairs(shapes, unique=True).withColumns(
-        {"mode": F.lit(mode), "pack": F.lit(pack)}
-    )
-    return _shown(compat.check_compatibility(shapes, checks, fx.packs()))
+    both = ordering.adjacent_documents(evolving_shapes(spark, sf))
+    checks = diff.with_changes(both).withColumns({"mode": F.lit(mode), "pack": F.lit(pack)})
+    return _shown(compat.with_verdict(checks, fx.packs()))
 
 
 def _shown(results: DataFrame) -> DataFrame:

@@ -2,7 +2,12 @@ import random
 
 from pyspark.sql import Window, functions as F
 
-from pactlake.operators.ordering import adjacent_pairs, latest_pairs, number_within
+from pactlake.operators.ordering import (
+    adjacent_documents,
+    adjacent_pairs,
+    latest_pairs,
+    number_within,
+)
 
 
 def test_pairs_across_gaps_and_buckets(spark):
@@ -58,3 +63,18 @@ def test_numbers_within_a_key(spark):
     found = number_within(df, "k", F.col("day"), ["day", "i"], "n")
     assert found.select(plain.columns).exceptAll(plain).isEmpty()
     assert found.count() == 3000
+
+
+def test_adjacent_documents_carry_both_shapes(spark):
+    numbers = {"a": [1, 2, 5, 4095, 4096, 9000, 2147483647], "b": [7], "c": [2, 1]}
+    rows = [(c, n, [f"{c}{n}"]) for c, ns in numbers.items() for n in ns]
+    shapes = spark.createDataFrame(rows, "contract_id string, version_num int, shape array<string>")
+    found = {
+        (r.contract_id, r.base_version, r.candidate_version): (r.base_shape, r.candidate_shape)
+        for r in adjacent_documents(shapes).collect()
+    }
+    assert found == {
+        (c, f"v{a}", f"v{b}"): ([f"{c}{a}"], [f"{c}{b}"])
+        for c, ns in numbers.items()
+        for a, b in zip(sorted(ns), sorted(ns)[1:])
+    }
