@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import near_documents
+from pactlake.llm import decontaminate, near_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,3 +25,44 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 @query
 def op6_simhash_near_dedup(spark, sf):
     return near_documents.near_groups(spark, table(spark, sf, "documents"))
+
+
+@query
+def op8_winnowing(spark, sf):
+    return decontaminate.contamination_report(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    )
+
+
+def sql_words(column: str) -> str:
+    """The words of op4 and op8: A-Z lower-cased, then runs of digits, letters and non-ASCII."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = f"translate(coalesce({column}, ''), '{upper}', '{upper.lower()}')"
+    return f"regexp_extract_all({lowered}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+ORACLE["op8_winnowing"] = f"""
+with doc as (select doc_id, {sql_words("text")} as w from documents),
+item as (select item_id, {sql_words("text")} as w from benchmark),
+windows as (
+    select distinct item_id, w[i : i + least(13, len(w)) - 1] as win
+    from (select *, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from item where len(w) > 0)
+),
+spans as (select distinct len(win) as l from windows),
+places as (
+    select doc_id, i, l, w[i : i + l - 1] as win
+    from (select *, unnest(range(1, len(w) - l + 2)) as i from doc, spans)
+),
+hits as (select doc_id, i, l, item_id from places join windows using (win)),
+covered as (
+    select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + l)) as p from hits) group by 1
+),
+items as (
+    select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+    from (select distinct doc_id, item_id from hits) group by 1
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+    coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+from doc left join covered using (doc_id) left join items using (doc_id)
+"""
