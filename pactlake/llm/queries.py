@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import decontaminate, near_documents
+from pactlake.llm import decontaminate, near_documents, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_positive_unlabelled(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
 @query
 def op6_simhash_near_dedup(spark, sf):
     return near_documents.near_groups(spark, table(spark, sf, "documents"))
