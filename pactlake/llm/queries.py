@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import decontaminate, near_documents, quality
+from pactlake.llm import decontaminate, lines, near_documents, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +28,11 @@ def op3_positive_unlabelled(spark, sf):
     return quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
 
 
+@query
+def op5_fuzzy_lines(spark, sf):
+    return lines.line_report(spark, table(spark, sf, "documents"))
+
+
 @query
 def op6_simhash_near_dedup(spark, sf):
     return near_documents.near_groups(spark, table(spark, sf, "documents"))

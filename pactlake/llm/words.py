@@ -31,12 +31,14 @@ _STEP = 1 << 20
 @dataclass
 class Words:
     """Words of some rows. buf: the (lower-cased) bytes; start, end: of each word in buf;
-    first: index of each row's first word, with the total appended; row: of the first row."""
+    first: index of each row's first word, with the total appended; offsets: of each row in buf, with
+    its length appended; row: of the first row."""
 
     buf: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    offsets: np.ndarray
     row: int
 
     @property
@@ -79,7 +81,7 @@ def words_of(texts: pa.Array, table: np.ndarray, lower: bool) -> Iterator[Words]
             after[offsets[1:][offsets[1:] > 0] - 1] = False
         start = np.flatnonzero(inside & ~before)
         end = np.flatnonzero(inside & ~after) + 1
-        yield Words(buf, start, end, np.searchsorted(start, offsets), row)
+        yield Words(buf, start, end, np.searchsorted(start, offsets), offsets, row)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
