@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import decontaminate, lines, near_documents, quality
+from pactlake.llm import decontaminate, lines, near_documents, packing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op2_best_fit_packing(spark, sf):
+    return packing.packed(table(spark, sf, "documents"))
+
+
 @query
 def op3_positive_unlabelled(spark, sf):
     docs = table(spark, sf, "documents")
