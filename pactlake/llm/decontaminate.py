@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.llm.tables import row_key, text_key
-from pactlake.llm.words import ALNUM, Words, grams, hashes, least, words_of
+from pactlake.llm.words import ALNUM, Words, grams, hashes, joined, least, words_of
 
 GRAM = 5
 _ROWS = 1 << 16
@@ -63,12 +63,13 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("item_id")
             for w in words_of(batch.column("text"), ALNUM, lower=True):
-                joined, start, end = _joined(w)
+                text, start, end = joined(w)
+                start, end = start.tolist(), end.tolist()
                 texts, owner = [], []
                 for i, n in enumerate(w.counts.tolist()):
                     a, span = int(w.first[i]), min(n, window)
                     for s in range(a, a + n - span + 1) if n else ():
-                        texts.append(joined[start[s] : end[s + span - 1]])
+                        texts.append(text[start[s] : end[s + span - 1]])
                         owner.append(w.row + i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(texts, pa.binary()).cast(pa.string()), ids.take(pa.array(owner, pa.int64()))],
@@ -79,18 +80,6 @@ def _item_windows(items: DataFrame, window: int) -> DataFrame:
     return found.groupBy("window_text").agg(F.collect_set("item").alias("items"))
 
 
-def _joined(w: Words) -> tuple[bytes, list[int], list[int]]:
-    """The words joined by one space, with the place of each."""
-    length = w.end - w.start
-    end = np.cumsum(length + 1) - 1
-    start = end - length
-    owner = np.repeat(np.arange(len(length)), length)
-    out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
-    out[start[owner] + step] = w.buf[w.start[owner] + step]
-    return out.tobytes(), start.tolist(), end.tolist()
-
-
 def _windows_around(rows: DataFrame, spans: list[int], pairs: list[tuple[int, int]]) -> DataFrame:
     """For each row its number of words (start null), and its windows that contain a hit."""
     sizes = {s: next(k for k, wide in pairs if k == min(s, GRAM)) for s in spans}
@@ -104,7 +93,8 @@ def _windows_around(rows: DataFrame, spans: list[int], pairs: list[tuple[int, in
                 hit_rows = [i for i in range(len(counts)) if hits[w.row + i].is_valid]
                 if not hit_rows:
                     continue
-                joined, start, end = _joined(w)
+                text, start, end = joined(w)
+                start, end = start.tolist(), end.tolist()
                 owner, place, size, texts = [], [], [], []
                 for i in hit_rows:
                     a, n = int(w.first[i]), int(counts[i])
@@ -120,7 +110,7 @@ def _windows_around(rows: DataFrame, spans: list[int], pairs: list[tuple[int, in
                             owner.append(w.row + i)
                             place.append(s)
                             size.append(span)
-                            texts.append(joined[start[a + s] : end[a + s + span - 1]])
+                            texts.append(text[start[a + s] : end[a + s + span - 1]])
                             if len(owner) == _ROWS:
                                 yield _batch(ids, keys, owner, None, place, size, texts)
                                 owner, place, size, texts = [], [], [], []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pactlake.llm.graph import components, tiles
 from pactlake.llm.simhash import by_group, forest, majority, runs
 from pactlake.llm.tables import row_key, text_key, written
-from pactlake.llm.words import NOT_SPACE, words_of
+from pactlake.llm.words import NOT_SPACE, joined, words_of
 
 #: Fingerprints that meet in one task at a time, at most about twice this.
 TILE = 1024
@@ -26,22 +26,14 @@ def shingle_fingerprints(texts: pa.Array, size: int = 3, seed: int = 42) -> np.n
     """64-bit SimHash of each text over its word shingles, as int64."""
     parts = []
     for w in words_of(texts, NOT_SPACE, lower=True):
-        length = w.end - w.start
-        end = np.cumsum(length + 1) - 1
-        start = end - length
-        # The words joined by one space.
-        joined = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
-        owner = np.repeat(np.arange(len(length)), length)
-        joined[np.arange(len(owner)) + owner] = w.buf[
-            np.arange(len(owner)) + np.repeat(w.start - (end - length - np.arange(len(length))), length)
-        ]
+        data, start, end = joined(w)
         counts = w.counts
         shingles = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
         first = np.concatenate([[0], np.cumsum(shingles)])
         row = np.repeat(np.arange(len(counts)), shingles)
         begin = w.first[:-1][row] + np.arange(first[-1]) - first[:-1][row]
         stop = np.minimum(begin + size, w.first[1:][row]) - 1
-        data, digest = joined.tobytes(), xxhash.xxh64_intdigest
+        digest = xxhash.xxh64_intdigest
         h = np.fromiter(
             (digest(data[a:b], seed) for a, b in zip(start[begin].tolist(), end[stop].tolist())),
             np.uint64,

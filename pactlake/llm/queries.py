@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import decontaminate, lines, near_documents, packing, quality
+from pactlake.llm import decontaminate, lines, near_documents, packing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +43,34 @@ def op6_simhash_near_dedup(spark, sf):
     return near_documents.near_groups(spark, table(spark, sf, "documents"))
 
 
+@query
+def op7_suffix_subtrees(spark, sf):
+    return substrings.report(table(spark, sf, "documents"))
+
+
+#: The words of op6 and op7.
+SPACED = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op7_suffix_subtrees"] = f"""
+with doc as (select doc_id, regexp_extract_all(coalesce(text, ''), '{SPACED}') as w from documents),
+suffixes as (select doc_id, i, w[i : i + 19] as path from (select *, unnest(range(1, len(w) - 18)) as i from doc)),
+again as (
+    select doc_id, i from (
+        select doc_id, i, row_number() over (partition by path order by doc_id, i) as nth from suffixes
+    ) where nth > 1
+),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as i from again),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from doc),
+kept as (
+    select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n
+    from words anti join gone using (doc_id, i) group by 1
+)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+    sha256(coalesce(text, '')) as kept_sha256
+from doc left join kept using (doc_id)
+"""
+
+
 @query
 def op8_winnowing(spark, sf):
     return decontaminate.contamination_report(

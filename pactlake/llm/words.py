@@ -84,6 +84,19 @@ def words_of(texts: pa.Array, table: np.ndarray, lower: bool) -> Iterator[Words]
         yield Words(buf, start, end, np.searchsorted(start, offsets), offsets, row)
 
 
+def joined(w: Words, keep: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words (of `keep`, or all) joined by one space, with the start and end of each."""
+    at, to = (w.start, w.end) if keep is None else (w.start[keep], w.end[keep])
+    length = to - at
+    end = np.cumsum(length + 1) - 1
+    start = end - length
+    owner = np.repeat(np.arange(len(length)), length)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(length) - length, length)
+    out = np.full(int(length.sum()) + len(length), 0x20, np.uint8)
+    out[start[owner] + step] = w.buf[at[owner] + step]
+    return out.tobytes(), start, end
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Every input bit reaches every output bit (the finaliser of SplitMix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
