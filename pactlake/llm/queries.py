@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from pactlake.llm import decontaminate, lines, near_documents, packing, quality, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+QUERIES["pipeline"] = corpus_pipeline.run
+
+
 @query
 def op2_best_fit_packing(spark, sf):
     return packing.packed(table(spark, sf, "documents"))
