@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pactlake.llm import decontaminate, lines, near_documents, packing, quality, substrings
+from pactlake.llm import decontaminate, lines, near_documents, packing, quality, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -114,3 +114,33 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
     coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
 from doc left join covered using (doc_id) left join items using (doc_id)
 """
+
+
+#: The rules of op9.
+RULES = """
+values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+"""
+
+
+@query
+def op9_url_rules(spark, sf):
+    rules = spark.sql(f"select * from ({RULES}) as rules(host, path, verdict)")
+    return urls.judged(spark, table(spark, sf, "pages"), rules)
+
+
+ORACLE["op9_url_rules"] = f"""
+with rules(rule_host, rule_path, verdict) as ({RULES}),
+rests as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+parts as (
+    select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+    from rests
+),
+fits as (
+    select page_id, rule_host || rule_path as rule, verdict,
+        row_number() over (partition by page_id order by length(rule_host || rule_path) desc) as nth
+    from parts join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
+from parts left join (select * from fits where nth = 1) using (page_id)
+"""
