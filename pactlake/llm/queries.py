@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pactlake.llm import decontaminate, lines, near_documents, packing, quality, substrings, urls
+from pactlake.llm import decontaminate, lines, near_documents, packing, quality, spotsigs, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,3 +144,8 @@ fits as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict
 from parts left join (select * from fits where nth = 1) using (page_id)
 """
+
+
+@query
+def op10_spotsigs(spark, sf):
+    return spotsigs.edited_likeness(table(spark, sf, "documents"))
