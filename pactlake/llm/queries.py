@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pactlake.llm import decontaminate, lines, near_documents, packing, quality, spotsigs, substrings, urls
+from pactlake.llm import chats, decontaminate, lines, near_documents, packing, quality, spotsigs, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +26,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 QUERIES["pipeline"] = corpus_pipeline.run
 
 
+@query
+def op1_chat_snapshots(spark, sf):
+    return chats.formatted(spark, table(spark, sf, "conversations"))
+
+
+ORACLE["op1_chat_snapshots"] = """
+with turns as (select distinct conv_id, turn, role, text from conversations),
+convs as (select conv_id, list({'role': role, 'text': text} order by turn) as said from turns group by conv_id),
+shorter as (select distinct said[1:i] as said from (select said, unnest(range(1, len(said))) as i from convs)),
+kept as (select min(conv_id) as conv_id, said from convs anti join shorter using (said) group by said),
+lines as (select conv_id, len(said) as n, unnest(said) as turn, unnest(range(len(said))) as i from kept)
+select conv_id, 0::bigint as part, n::bigint as n_turns, string_agg(
+    '<|' || replace(coalesce(turn.role, ''), '<|', '< |') || '|>' || chr(10)
+    || replace(coalesce(turn.text, ''), '<|', '< |') || '<|end|>' || chr(10), '' order by i) as text
+from lines group by conv_id, n
+"""
+
+
 @query
 def op2_best_fit_packing(spark, sf):
     return packing.packed(table(spark, sf, "documents"))
