@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pactlake.llm import chats, decontaminate, lines, near_documents, packing, quality, spotsigs, substrings, urls
+from pactlake.llm import chats, decontaminate, licenses, lines, near_documents, packing, quality, spotsigs, substrings, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,6 +55,11 @@ def op3_positive_unlabelled(spark, sf):
     return quality.scored(docs, quality.fit(docs, table(spark, sf, "labels")))
 
 
+@query
+def op4_diagonal_voting(spark, sf):
+    return licenses.scan(spark, table(spark, sf, "documents")).drop("spans")
+
+
 @query
 def op5_fuzzy_lines(spark, sf):
     return lines.line_report(spark, table(spark, sf, "documents"))
