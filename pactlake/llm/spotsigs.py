@@ -67,16 +67,15 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
 
 
 def _range_of(doc_id: Column, bounds: list[float]) -> Column:
-    """How many of the ascending bounds are at most doc_id, by two short look-ups; null ids: -1."""
+    """How many of the ascending bounds are at most doc_id, by two short look-ups."""
     if not bounds:
-        return F.when(doc_id.isNull(), -1).otherwise(0)
+        return F.lit(0)
     width = math.isqrt(len(bounds) - 1) + 1
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
     below = lambda values: F.size(F.filter(values, lambda b: b <= doc_id))
     group = below(F.lit([g[0] for g in groups]))
     inside = below(F.get(F.array(*[F.lit(g) for g in groups]), group - 1))
-    place = F.when(group == 0, 0).otherwise((group - 1) * width + inside)
-    return F.when(doc_id.isNull(), -1).otherwise(place)
+    return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
@@ -94,10 +93,13 @@ def beside_next(docs: DataFrame) -> DataFrame:
     if n > 1:
         ids = rows.select("doc_id")
         bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)})
-    rows = rows.withColumn("range", _range_of(F.col("doc_id"), bounds))
+    # Rows without an id come last, in 4,096 ranges of their text's hash.
+    unnamed = (F.shiftright("text_key", 52) - 2048).cast("int")
+    place = F.when(F.col("doc_id").isNull(), unnamed).otherwise(_range_of(F.col("doc_id"), bounds))
+    rows = rows.withColumn("range", place)
     keys = rows.select("range", "doc_id", "text_key")
     firsts = keys.groupBy("range").agg(F.max(F.struct("doc_id", "text_key")).alias("first"))
-    # One row a range, at most RANGES + 1.
+    # One row a range, at most RANGES and 4,096 more.
     onward = Window.orderBy(F.desc("range"))
     whole = onward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = F.coalesce(F.lead("first").over(onward), F.first("first").over(whole))
