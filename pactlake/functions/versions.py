@@ -14,8 +14,14 @@ def version_name(text: Column) -> Column:
 
 
 def version_num(name: Column) -> Column:
-    """The number of a valid version name; null for other text and for numbers beyond INT."""
-    return F.when(name.rlike(VERSION_NAME), F.substring(name, 2, 32).try_cast("int"))
+    """The number of a valid version name; null for other text and for numbers beyond INT, which
+    lint reports and registration rejects."""
+    return F.when(name.rlike(VERSION_NAME), F.substr(name, F.lit(2)).try_cast("int"))
+
+
+def out_of_range(name: Column) -> Column:
+    """A valid version name with a number beyond INT."""
+    return F.coalesce(name.rlike(VERSION_NAME) & version_num(name).isNull(), F.lit(False))
 
 
 def version_of(num: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.operators.diff import change_text, pair_changes
 from pactlake.operators.policy import PolicyPacks
-from pactlake.schemas import FORWARD_PREFIX, MIRRORED_KIND, PAIR, RULES
+from pactlake.schemas import FORWARD_PREFIX, MIRRORED_KIND, MODES, PAIR, RULES
 
 CHECK = [*PAIR, "mode", "pack"]
 
@@ -59,32 +59,51 @@ def evaluate_rules(seen: Column, severities: Column) -> Column:
 def check_compatibility(shapes: DataFrame, checks: DataFrame, packs: PolicyPacks) -> DataFrame:
     """check_results for every distinct check (pair, mode, pack).
 
-    Repeated checks fall together before any document is touched.
+    What cannot be judged (an absent or unreadable document, an unknown mode) has status ERROR and
+    says why in `error`. Repeated checks fall together before any document is touched.
     """
     results = with_verdict(pair_changes(shapes, checks.select(*CHECK).distinct()), packs)
-    return results.select(*CHECK, "status", "breaking_changes", "warnings")
+    return results.select(*CHECK, "status", "breaking_changes", "warnings", "error")
 
 
 def with_verdict(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
-    """Replace `changes` by status, breaking_changes and warnings, judged under the row's `mode`
-    and `pack`. A projection."""
-    rest = [c for c in changes.columns if c != "changes"]
+    """Replace `changes` by status, breaking_changes, warnings and `error`, judged under the row's
+    `mode` and `pack`. A projection."""
+    rest = [c for c in changes.columns if c not in ("changes", "error")]
+    known = F.col("error") if "error" in changes.columns else F.lit(None).cast("string")
+    no_mode = F.concat(
+        F.lit("Unknown compatibility mode: "), F.coalesce("mode", F.lit("none"))
+    )
+    error = F.coalesce(
+        known,
+        F.when(F.col("changes").isNull(), "Schema document cannot be read."),
+        F.when(~F.coalesce(F.col("mode").isin(*MODES), F.lit(False)), no_mode),
+    )
     seen = changes.select(
         *rest,
+        error.alias("error"),
         packs.severities_of("pack").alias("severities"),
         expand_directions(F.col("changes"), F.col("mode")).alias("seen"),
     )
     judged = seen.select(
-        *rest, evaluate_rules(F.col("seen"), F.col("severities")).alias("judged")
+        *rest, "error", evaluate_rules(F.col("seen"), F.col("severities")).alias("judged")
     )
 
     def messages(severity: str) -> Column:
-        return F.transform(
+        found = F.transform(
             F.filter("judged", lambda j: j["severity"] == severity), lambda j: j["message"]
         )
+        nothing = F.array().cast("array<string>")
+        return F.when(F.col("error").isNull(), found).otherwise(nothing)
 
     return judged.select(
         *rest,
         messages("BREAKING").alias("breaking_changes"),
         messages("WARNING").alias("warnings"),
-    ).withColumn("status", F.when(F.size("breaking_changes") == 0, "PASS").otherwise("FAIL"))
+        "error",
+    ).withColumn(
+        "status",
+        F.when(F.col("error").isNotNull(), "ERROR")
+        .when(F.size("breaking_changes") == 0, "PASS")
+        .otherwise("FAIL"),
+    )

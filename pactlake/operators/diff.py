@@ -18,11 +18,23 @@ CHANGE = "struct<kind:string,subject:string,old_type:string,new_type:string>"
 NO_DIFFERENCES = "No semantic differences found."
 
 
+def no_document(version: str, root: str = "") -> Column:
+    """What a reader says of a version that has no document."""
+    return F.concat(
+        F.lit(f"Schema file does not exist: {root}"),
+        "contract_id",
+        F.lit("/"),
+        version,
+        F.lit(".json"),
+    )
+
+
 def with_documents(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with the documents of both sides; both versions must exist in `shapes`.
+    """Pairs with the documents of both sides, and `error` where one is absent or unreadable.
 
-    Inner joins, so that Spark may broadcast whichever side passes its size check: the documents
-    of a large registry stay where they are when the pairs are few.
+    Outer joins on a key that is unique on the document side; Spark may broadcast the documents
+    when they pass its size check. All adjacent pairs of a registry are cheaper by
+    ordering.adjacent_documents.
     """
 
     def side(name: str) -> DataFrame:
@@ -30,16 +42,20 @@ def with_documents(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
             "contract_id",
             F.col("version").alias(f"{name}_version"),
             F.col("shape").alias(f"{name}_shape"),
+            F.col("document_error").alias(f"{name}_error"),
+            F.lit(True).alias(f"{name}_known"),
+        )
+
+    def problem(name: str) -> Column:
+        return F.when(F.col(f"{name}_known").isNull(), no_document(f"{name}_version")).otherwise(
+            F.col(f"{name}_error")
         )
 
-    # Pair rows are tiny but each stands for two documents of work. A partition number that is
-    # asked for is kept, where adaptive coalescing would weigh only their bytes. (The reversed key
-    # keeps the exchange from being merged into that of a distinct on the pair before it.)
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        pairs.repartition(tasks, *reversed(PAIR))
-        .join(side("base"), ["contract_id", "base_version"])
-        .join(side("candidate"), ["contract_id", "candidate_version"])
+        pairs.join(side("base"), ["contract_id", "base_version"], "left")
+        .join(side("candidate"), ["contract_id", "candidate_version"], "left")
+        .withColumn("error", F.coalesce(problem("base"), problem("candidate")))
+        .drop("base_known", "candidate_known", "base_error", "candidate_error")
     )
 
 
@@ -139,7 +155,7 @@ def with_changes(both: DataFrame) -> DataFrame:
 
 
 def pair_changes(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with all their `changes`."""
+    """Pairs with all their `changes`, null where `error` says why."""
     return with_changes(with_documents(shapes, pairs))
 
 
@@ -149,7 +165,18 @@ def schema_diff(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def change_rows(changes: DataFrame) -> DataFrame:
-    """One row per change, all kinds in one pass."""
+    """One row per change, all kinds in one pass; a pair that cannot be compared has one row of
+    kind ERROR."""
+    if "error" in changes.columns:
+        nothing = F.lit(None).cast("string")
+        failed = F.struct(
+            F.lit("ERROR").alias("kind"),
+            F.col("error").alias("subject"),
+            nothing.alias("old_type"),
+            nothing.alias("new_type"),
+        )
+        found = F.when(F.col("error").isNotNull(), F.array(failed)).otherwise(F.col("changes"))
+        changes = changes.withColumn("changes", found)
     # Outer plus filter: a plain explode of a computed array makes Spark test it in a filter of its
     # own below, which computes the whole diff twice.
     rows = changes.select(*PAIR, F.explode_outer("changes").alias("change"))
@@ -200,6 +227,9 @@ def change_report(changes: DataFrame) -> DataFrame:
         lambda line: F.concat(label[line["kind"]], line["text"]),
     )
     body = F.when(F.size("changes") == 0, F.array(F.lit(NO_DIFFERENCES))).otherwise(lines)
+    if "error" in changes.columns:
+        failed = F.array(F.concat(F.lit("Error: "), "error"))
+        body = F.when(F.col("error").isNotNull(), failed).otherwise(body)
     return changes.select(
         *PAIR,
         F.array_join(F.concat(F.array(F.lit("Schema diff:")), body), "\n").alias("report"),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import trimmed
+from pactlake.operators.lint import with_document_error
 from pactlake.schemas import STRICT_JSON
 
 FIELD = (
@@ -139,11 +140,14 @@ def field_text(field: Column) -> Column:
 
 
 def schema_shapes(docs: DataFrame) -> DataFrame:
-    """Replace `schema_json` by `shape`: the array of the document's field texts."""
-    parsed = parse_documents(docs)
+    """Replace `schema_json` by `shape`, the array of the document's field texts, and
+    `document_error`. A document that a reader would refuse has the error and no shape."""
+    checked = docs if "document_error" in docs.columns else with_document_error(docs)
+    parsed = parse_documents(checked)
+    shape = F.transform("fields", field_text)
     return parsed.select(
         *[c for c in parsed.columns if c != "fields"],
-        F.transform("fields", field_text).alias("shape"),
+        F.when(F.col("document_error").isNull(), shape).alias("shape"),
     )
 
 
@@ -153,5 +157,6 @@ def shapes_of_fields(fields: DataFrame) -> DataFrame:
         F.col("field_name").alias("name"), "type", "required", "nullable", "enum_values"
     )
     return fields.groupBy("contract_id", "version", "version_num").agg(
-        F.collect_list(field_text(spec)).alias("shape")
+        F.lit(None).cast("string").alias("document_error"),
+        F.collect_list(field_text(spec)).alias("shape"),
     )

@@ -195,7 +195,7 @@ def explain_runs(runs: DataFrame) -> DataFrame:
         F.lit("\n- Mark field optional OR bump major version\n\nExample:\n{\n"),
         F.lit('  "userId": { "type": "string", "nullable": true }\n}'),
         F.when(
-            F.coalesce(F.trim("status") != "", F.lit(False)),
+            ~is_blank("status"),
             F.concat(line, line, F.lit("Recorded status: "), F.col("status")),
         ).otherwise(""),
     )

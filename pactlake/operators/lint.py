@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import is_blank, trimmed
+from pactlake.functions.versions import out_of_range
 from pactlake.schemas import MODES, REGISTRY_CONTRACT_ID, STRICT_JSON
 
 VIOLATION = "struct<field_name:string,rule:string,message:string>"
@@ -30,6 +31,45 @@ def _kind(value: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
+def _metadata_rules() -> list[tuple[str, Column, Column]]:
+    """(rule, condition, message) of the metadata's values, in reading order."""
+    mode = F.upper(trimmed("compatibility_mode"))
+    return [
+        (
+            "compatibility_mode_missing",
+            is_blank("compatibility_mode"),
+            F.lit("metadata.yaml must define non-empty 'compatibilityMode'."),
+        ),
+        (
+            "compatibility_mode_invalid",
+            ~is_blank("compatibility_mode") & ~mode.isin(*MODES),
+            F.concat(
+                F.lit("Invalid compatibilityMode '"),
+                "compatibility_mode",
+                F.lit("'. Allowed: BACKWARD, FORWARD, FULL."),
+            ),
+        ),
+        (
+            "owner_team_missing",
+            is_blank("owner_team"),
+            F.lit("metadata.yaml must define non-empty 'ownerTeam'."),
+        ),
+        (
+            "domain_missing",
+            is_blank("domain"),
+            F.lit("metadata.yaml must define non-empty 'domain'."),
+        ),
+    ]
+
+
+def metadata_error(contracts: DataFrame) -> Column:
+    """The first problem of a contract's metadata, null when clean."""
+    found = [F.when(wrong, message) for _, wrong, message in _metadata_rules()]
+    if "metadata_error" in contracts.columns:
+        found = [F.col("metadata_error"), *found]
+    return F.coalesce(*found)
+
+
 def contract_violations(contracts: DataFrame, docs: DataFrame) -> DataFrame:
     """Checks on the contract itself: id, metadata, at least one version."""
     with_docs = docs.select("contract_id").distinct().withColumn("has_docs", F.lit(True))
@@ -39,7 +79,6 @@ def contract_violations(contracts: DataFrame, docs: DataFrame) -> DataFrame:
     both = known.join(with_docs, "contract_id", "full")
     has = F.col("has_metadata").isNotNull()
     readable = has & F.col("metadata_error").isNull()
-    mode = F.upper(trimmed("compatibility_mode"))
     found = F.concat(
         _violation(
             ~F.col("contract_id").rlike(REGISTRY_CONTRACT_ID),
@@ -57,28 +96,7 @@ def contract_violations(contracts: DataFrame, docs: DataFrame) -> DataFrame:
         _violation(
             has & F.col("metadata_error").isNotNull(), "metadata_malformed", F.col("metadata_error")
         ),
-        _violation(
-            readable & is_blank("compatibility_mode"),
-            "compatibility_mode_missing",
-            "metadata.yaml must define non-empty 'compatibilityMode'.",
-        ),
-        _violation(
-            readable & ~is_blank("compatibility_mode") & ~mode.isin(*MODES),
-            "compatibility_mode_invalid",
-            "Invalid compatibilityMode '",
-            F.col("compatibility_mode"),
-            "'. Allowed: BACKWARD, FORWARD, FULL.",
-        ),
-        _violation(
-            readable & is_blank("owner_team"),
-            "owner_team_missing",
-            "metadata.yaml must define non-empty 'ownerTeam'.",
-        ),
-        _violation(
-            readable & is_blank("domain"),
-            "domain_missing",
-            "metadata.yaml must define non-empty 'domain'.",
-        ),
+        *[_violation(readable & wrong, rule, message) for rule, wrong, message in _metadata_rules()],
         _violation(
             F.col("has_docs").isNull(),
             "no_version_files",
@@ -192,6 +210,12 @@ def with_document_violations(docs: DataFrame) -> DataFrame:
     strings_only = ~F.coalesce(F.exists("required_kinds", lambda k: k != "STRING"), F.lit(False))
     usable = F.col("is_object")
     found = F.concat(
+        _violation(
+            out_of_range(F.col("version")),
+            "version_out_of_range",
+            "Version number out of range: ",
+            F.col("file"),
+        ),
         _violation(
             ~F.col("is_json"), "schema_invalid_json", "Invalid JSON in schema file: ", F.col("file")
         ),
@@ -300,6 +324,7 @@ def failing_contracts(violations: DataFrame) -> DataFrame:
 # Order in which a reader meets the problems of one document: the structure of `required`, then
 # the properties, then the cross-check, and last the type names.
 DOCUMENT_ORDER = (
+    "version_out_of_range",
     "schema_invalid_json",
     "schema_not_object",
     "required_not_array",

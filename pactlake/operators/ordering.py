@@ -55,38 +55,42 @@ DOCUMENT_BUCKET_BITS = 12
 
 
 def adjacent_documents(shapes: DataFrame) -> DataFrame:
-    """Every version's document beside the one just below it: adjacent_pairs with both shapes.
+    """Every version's document beside the one just below it: adjacent_pairs with both shapes, and
+    `error` where one of them is unreadable.
 
     For a whole registry: the documents are shuffled once, where joining them to their pairs would
     shuffle them for each side. `shapes` has one row per version.
     """
+    if "document_error" not in shapes.columns:
+        shapes = shapes.withColumn("document_error", F.lit(None).cast("string"))
     keyed = (
-        shapes.select("contract_id", "version_num", "shape")
+        shapes.select("contract_id", "version_num", F.struct("shape", "document_error").alias("doc"))
         .filter("version_num is not null")
         .withColumn("bucket", F.shiftright("version_num", DOCUMENT_BUCKET_BITS))
     )
     last = keyed.groupBy("contract_id", "bucket").agg(
-        F.max_by(F.struct("version_num", "shape"), "version_num").alias("last")
+        F.max_by(F.struct("version_num", "doc"), "version_num").alias("last")
     )
     over_buckets = Window.partitionBy("contract_id").orderBy("bucket")
     carried = (
         last.withColumn("last", F.lag("last").over(over_buckets))
         .filter(F.col("last").isNotNull())
-        .select("contract_id", "last.version_num", "last.shape", "bucket")
+        .select("contract_id", "last.version_num", "last.doc", "bucket")
     )
     in_bucket = Window.partitionBy("contract_id", "bucket").orderBy("version_num")
     return (
         keyed.withColumn("carried", F.lit(False))
         .unionByName(carried.withColumn("carried", F.lit(True)))
         .withColumn("base_num", F.lag("version_num").over(in_bucket))
-        .withColumn("base_shape", F.lag("shape").over(in_bucket))
+        .withColumn("base", F.lag("doc").over(in_bucket))
         .filter(~F.col("carried") & F.col("base_num").isNotNull())
         .select(
             "contract_id",
             version_of(F.col("base_num")).alias("base_version"),
             version_of(F.col("version_num")).alias("candidate_version"),
-            "base_shape",
-            F.col("shape").alias("candidate_shape"),
+            F.col("base.shape").alias("base_shape"),
+            F.col("doc.shape").alias("candidate_shape"),
+            F.coalesce("base.document_error", "doc.document_error").alias("error"),
         )
     )
 

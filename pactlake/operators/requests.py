@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import blank_to_null, is_blank, trimmed
+from pactlake.operators.diff import no_document
 from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REQUEST_CONTRACT_ID, VERSION_NAME
 
@@ -59,24 +60,15 @@ def validate_requests(requests: DataFrame) -> DataFrame:
 def resolve_requests(
     work: DataFrame,
     contracts: DataFrame,
-    versions: DataFrame,
+    documents: DataFrame,
     packs: PolicyPacks,
-    document_errors: DataFrame | None = None,
     root: str = "contracts",
 ) -> DataFrame:
     """Distinct work items with the pack that applies, or `execution_error` when something is missing.
 
-    versions: contract_id, version. document_errors: contract_id, version, document_error.
+    documents: contract_id, version, document_error (schema_shapes has them).
     """
-    known = versions.select("contract_id", "version").withColumn(
-        "document_error", F.lit(None).cast("string")
-    )
-    if document_errors is not None:
-        known = known.drop("document_error").join(
-            document_errors.select("contract_id", "version", "document_error"),
-            ["contract_id", "version"],
-            "left",
-        )
+    known = documents.select("contract_id", "version", "document_error")
 
     def side(name: str) -> DataFrame:
         return known.select(
@@ -88,11 +80,7 @@ def resolve_requests(
 
     def no_file(name: str) -> Column:
         return F.concat(
-            F.lit(f"IllegalStateException: Schema file does not exist: {root}/"),
-            "contract_id",
-            F.lit("/"),
-            f"{name}_version",
-            F.lit(".json"),
+            F.lit("IllegalStateException: "), no_document(f"{name}_version", f"{root}/")
         )
 
     owned = contracts.select("contract_id", packs.resolve("policy_pack").alias("pack"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pactlake.functions.details import no_strings
+from pactlake.functions.text import trimmed
 from pactlake.operators.catalog import changed_contract_ids
 from pactlake.operators.compat import check_compatibility
 from pactlake.operators.documents import schema_shapes
@@ -30,7 +31,7 @@ def changed_gate(
     some_contracts = contracts.join(changed, "contract_id", "left_semi")
     some_docs = docs.join(changed, "contract_id", "left_semi")
     lint = failing_contracts(lint_contracts(some_contracts, some_docs))
-    wanted_mode = F.upper(F.trim("compatibility_mode")) if mode is None else F.lit(mode)
+    wanted_mode = F.upper(trimmed("compatibility_mode")) if mode is None else F.lit(mode)
     owners = some_contracts.select(
         "contract_id", wanted_mode.alias("mode"), packs.resolve("policy_pack").alias("pack")
     )

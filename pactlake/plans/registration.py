@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import blank_to_null, is_blank, trimmed
-from pactlake.functions.versions import version_num, version_of
+from pactlake.functions.versions import out_of_range, version_num, version_of
 from pactlake.operators.compat import with_verdict
 from pactlake.operators.diff import with_changes
 from pactlake.operators.documents import schema_shapes
-from pactlake.operators.lint import with_document_error
+from pactlake.operators.lint import metadata_error, with_document_error
 from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REGISTRY_CONTRACT_ID, VERSION_NAME
 
@@ -31,13 +31,15 @@ def _is_object(text: str) -> Column:
 def register_versions(
     candidates: DataFrame,
     contracts: DataFrame,
-    versions: DataFrame,
     shapes: DataFrame,
     packs: PolicyPacks,
     strict: bool = True,
 ) -> DataFrame:
     """candidates (contract_id, version, schema_json) → accepted, reason, compatibility status.
 
+    The contract's metadata and its latest document are linted as well: a version is never accepted on
+    a base that cannot be judged. shapes: schema_shapes of the registry.
+
     A batch holds at most one candidate per contract and version; several new versions of one
     contract go in as several batches, as each must follow the one before it.
     """
@@ -57,12 +59,13 @@ def register_versions(
         )
         .alias("request_error"),
     ).withColumn("version_num", version_num(F.col("version")))
-    latest = versions.groupBy("contract_id").agg(F.max("version_num").alias("latest_num"))
-    existing = versions.select("contract_id", "version").withColumn("version_exists", F.lit(True))
+    latest = shapes.groupBy("contract_id").agg(F.max("version_num").alias("latest_num"))
+    existing = shapes.select("contract_id", "version").withColumn("version_exists", F.lit(True))
     owners = contracts.select(
         "contract_id",
         F.upper(trimmed("compatibility_mode")).alias("mode"),
         packs.resolve("policy_pack").alias("pack"),
+        metadata_error(contracts).alias("metadata_error"),
     )
     top, num = F.col("latest_num"), F.col("version_num")
     placed = (
@@ -86,6 +89,10 @@ def register_versions(
                         "version",
                     ),
                 ),
+                (
+                    out_of_range(F.col("version")),
+                    F.concat(F.lit("Version number out of range: "), "version"),
+                ),
                 (top.isNull() & (F.col("version") != "v1"), "First contract version must be v1."),
                 (
                     num <= top,
@@ -107,16 +114,19 @@ def register_versions(
         )
     )
     base = shapes.select(
-        "contract_id", F.col("version_num").alias("latest_num"), F.col("shape").alias("base_shape")
+        "contract_id",
+        F.col("version_num").alias("latest_num"),
+        F.col("shape").alias("base_shape"),
+        F.col("document_error").alias("base_error"),
     )
     # The candidate brings its own document: with the latest one joined beside it, lint, diff and
     # verdict are projections of the candidate's row.
     checked = with_document_error(placed)
     both = schema_shapes(checked).withColumnRenamed("shape", "candidate_shape")
-    judged = with_verdict(
-        with_changes(both.join(base, ["contract_id", "latest_num"], "left")), packs
-    )
-    usable = F.col("sequence_error").isNull() & F.col("document_error").isNull()
+    both = both.join(base, ["contract_id", "latest_num"], "left")
+    lint_error = F.coalesce("metadata_error", "document_error", "base_error")
+    judged = with_verdict(with_changes(both.withColumn("lint_error", lint_error)), packs)
+    usable = F.col("sequence_error").isNull() & F.col("lint_error").isNull()
     compared = usable & top.isNotNull()
     status = F.when(compared, F.col("status"))
     rejected_by_check = F.concat(
@@ -127,7 +137,8 @@ def register_versions(
     )
     reason = _first(
         (F.col("sequence_error").isNotNull(), F.col("sequence_error")),
-        (F.col("document_error").isNotNull(), F.col("document_error")),
+        (F.col("lint_error").isNotNull(), F.col("lint_error")),
+        (status == "ERROR", F.col("error")),
         (F.lit(strict) & (status == "FAIL"), rejected_by_check),
     )
     return judged.select(

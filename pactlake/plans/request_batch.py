@@ -15,20 +15,22 @@ from pactlake.sinks.history import request_hash, run_id_of_request
 def request_outcomes(
     requests: DataFrame,
     contracts: DataFrame,
-    versions: DataFrame,
     shapes: DataFrame,
     packs: PolicyPacks,
-    document_errors: DataFrame | None = None,
 ) -> DataFrame:
     """One row per request with its verdict.
 
-    status: PASS or FAIL for accepted requests, REJECTED (with `error`) for invalid ones. Equal
+    shapes: schema_shapes of the registry, whose unreadable documents give an execution error.
+    status: PASS or FAIL for accepted requests, REJECTED (with `error`) for invalid ones. A request id
+    that comes more than once is answered once, by its first row in the order of its values. Equal
     requests are checked once: the work is reduced to distinct items first, so a contract that
     gets a third of all requests costs one check per distinct pair.
     """
-    checked = validate_requests(requests)
+    first = F.min(F.struct(*[c for c in requests.columns if c != "request_id"])).alias("r")
+    once = requests.groupBy("request_id").agg(first).select("request_id", "r.*").select(*requests.columns)
+    checked = validate_requests(once)
     valid = checked.filter("error is null")
-    resolved = resolve_requests(valid, contracts, versions, packs, document_errors)
+    resolved = resolve_requests(valid, contracts, shapes, packs)
     results = check_compatibility(
         shapes, resolved.filter("execution_error is null").select(*CHECK), packs
     )

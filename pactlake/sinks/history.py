@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactlake.functions.details import details_json, input_hash
 from pactlake.functions.ids import stable_id
 from pactlake.functions.text import blank_to_null, dash_if_blank, is_blank, roles_text
+from pactlake.operators.insights import EXECUTION_ERROR
 from pactlake.schemas import CHECK_RUNS
 
 RUN_COLUMNS = [part.split()[0] for part in CHECK_RUNS.split(", ")]
@@ -30,6 +31,10 @@ def recorded_runs(
     hashed = input_hash(
         "contract_id", "base_version", "candidate_version", mode, sha, by, blank_mode=blank_mode
     )
+    # A check without a verdict is a failed run that says why.
+    failed = F.col("status") == "ERROR"
+    why = F.array(F.concat(F.lit(EXECUTION_ERROR), "error"))
+    notes = F.when(failed, why).otherwise(F.col("warnings"))
     return results.select(
         stable_id(
             F.lit(batch_id),
@@ -38,9 +43,9 @@ def recorded_runs(
         "contract_id",
         "base_version",
         "candidate_version",
-        "status",
+        F.when(failed, "FAIL").otherwise(F.col("status")).alias("status"),
         details_json("breaking_changes").alias("breaking_changes"),
-        details_json("warnings").alias("warnings"),
+        details_json(notes).alias("warnings"),
         sha.alias("commit_sha"),
         at.alias("created_at"),
         by.alias("triggered_by"),

@@ -15,7 +15,6 @@ from pactlake.sinks.history import RUN_COLUMNS, lifecycle_logs
 def start_request_checks(
     requests: DataFrame,
     contracts: DataFrame,
-    versions: DataFrame,
     shapes: DataFrame,
     packs: PolicyPacks,
     runs_path: str,
@@ -23,7 +22,6 @@ def start_request_checks(
     rejected_path: str,
     checkpoint: str,
     trigger: dict | None = None,
-    document_errors: DataFrame | None = None,
 ) -> StreamingQuery:
     """Each micro-batch is judged once and stored as runs, logs and rejections.
 
@@ -36,9 +34,14 @@ def start_request_checks(
         spark = batch.sparkSession
         at = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         staged = f"{runs_path.rstrip('/')}-outcomes/batch={batch_id}"
-        request_outcomes(
-            batch, contracts, versions, shapes, packs, document_errors
-        ).write.mode("overwrite").parquet(staged)
+        fresh = batch
+        if batch_id:
+            # Ids that an earlier batch has answered; its folders are complete, and this one's not yet there.
+            earlier = spark.read.parquet(f"{runs_path.rstrip('/')}-outcomes").where(f"batch < {batch_id}")
+            fresh = batch.join(earlier.select("request_id"), "request_id", "left_anti")
+        request_outcomes(fresh.select(*batch.columns), contracts, shapes, packs).write.mode(
+            "overwrite"
+        ).parquet(staged)
         outcomes = spark.read.parquet(staged)
         runs = finished_runs(outcomes, at).select(*RUN_COLUMNS)
         runs.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")

@@ -163,13 +163,13 @@ PAIRS = """
 SELECT contract_id, 'v' || base AS base_version, 'v' || num AS candidate_version FROM (
   SELECT contract_id, version_num AS num,
     lag(version_num) OVER (PARTITION BY contract_id ORDER BY version_num) AS base
-  FROM (SELECT DISTINCT contract_id, version_num FROM f)) WHERE base IS NOT NULL"""
+  FROM vs) WHERE base IS NOT NULL"""
 LATEST = """
 SELECT contract_id, 'v' || max(CASE WHEN r = 2 THEN version_num END) AS base_version,
   'v' || max(CASE WHEN r = 1 THEN version_num END) AS candidate_version
 FROM (SELECT contract_id, version_num,
         row_number() OVER (PARTITION BY contract_id ORDER BY version_num DESC) AS r
-      FROM (SELECT DISTINCT contract_id, version_num FROM f))
+      FROM vs)
 WHERE r <= 2 GROUP BY contract_id HAVING count(*) = 2"""
 _KEYS = "contract_id, base_version, candidate_version"
 
@@ -248,13 +248,19 @@ FROM ck LEFT JOIN ms USING (contract_id, base_version, candidate_version, mode,
 GROUP BY ALL"""
 
 
-def diffs(fields: str, pairs: str = PAIRS) -> dict[str, str]:
-    return {"f": f"SELECT * FROM {fields}", "p": pairs, "al": ALIGNED, "ch": CHANGES}
+# Every order is a version, whether it has a field or not.
+ALL_VERSIONS = "SELECT 'cust.' || c AS contract_id, ver AS version_num FROM v"
 
 
-def verdicts(fields: str, checks: str, pairs: str = PAIRS) -> dict[str, str]:
+def diffs(fields: str, pairs: str = PAIRS, versions: str = ALL_VERSIONS) -> dict[str, str]:
+    return {"f": f"SELECT * FROM {fields}", "vs": versions, "p": pairs, "al": ALIGNED, "ch": CHANGES}
+
+
+def verdicts(
+    fields: str, checks: str, pairs: str = PAIRS, versions: str = ALL_VERSIONS
+) -> dict[str, str]:
     return {
-        **diffs(fields, pairs),
+        **diffs(fields, pairs, versions),
         "rl": RULE_ROWS,
         "sev": SEVERITY_ROWS,
         "ck": checks,
@@ -263,6 +269,50 @@ def verdicts(fields: str, checks: str, pairs: str = PAIRS) -> dict[str, str]:
     }
 
 
+# --- lint --------------------------------------------------------------------------------------
+
+_ODD = "CASE WHEN c % 50 = 10 THEN 'Cust-' || c ELSE 'cust.' || c END"
+cte("fd", "cf", f"""
+SELECT DISTINCT c, {_ODD} AS contract_id, version, version_num FROM cf WHERE c % 50 <> 16""")
+cte("docv", "fd", """
+SELECT contract_id, version, field_name, rule, message FROM fd JOIN (VALUES
+ (1, NULL, 'schema_invalid_json', 'Invalid JSON in schema file: v1.json'),
+ (2, NULL, 'schema_not_object', 'Schema must be a JSON object: v1.json'),
+ (3, NULL, 'required_unknown_field', '''required'' references unknown properties in v1.json: Ghost'),
+ (4, 'a', 'type_missing', 'Property ''a'' in v1.json must define ''type''.'),
+ (5, 'a', 'enum_not_array', 'Property ''a'' in v1.json has invalid ''enum''.'),
+ (6, NULL, 'required_not_array', '''required'' must be an array in v1.json.'),
+ (11, 'a', 'enum_value_not_scalar', 'Property ''a'' in v1.json has non-scalar enum value.'),
+ (12, NULL, 'properties_not_object', '''properties'' must be an object in v1.json.'),
+ (13, 'a', 'type_invalid', 'Property ''a'' in v1.json has invalid ''type'' definition.'),
+ (14, NULL, 'required_item_not_string', 'Each value in ''required'' must be a string in v1.json.'),
+ (15, 'a', 'type_unknown', 'Property ''a'' in v1.json must define a valid ''type''.'),
+ (17, 'a', 'property_not_object', 'Property ''a'' must be an object in v1.json.'),
+ (18, 'a', 'type_entry_not_string', 'Property ''a'' in v1.json has non-string type entry.')
+) AS t(fault, field_name, rule, message) ON fd.c % 50 = t.fault WHERE version_num = 1
+UNION ALL SELECT contract_id, 'v3000000000', NULL, 'version_out_of_range',
+  'Version number out of range: v3000000000.json' FROM fd WHERE c % 50 = 23 AND version_num = 1""")
+cte("lintv", "docv", f"""
+SELECT * FROM docv UNION ALL
+SELECT contract_id, NULL, NULL, rule, message FROM (
+  SELECT c, {_ODD} AS contract_id, c IN (SELECT c FROM fd) AS has_docs
+  FROM (SELECT c_custkey AS c FROM customer)) x, LATERAL (
+  SELECT 'contract_id_format' AS rule, 'Invalid contract directory name ''' || contract_id
+    || '''. Expected lowercase dot-separated format.' AS message WHERE c % 50 = 10
+  UNION ALL SELECT 'metadata_missing', 'Missing metadata.yaml in contract directory: ' || contract_id
+    WHERE c % 50 = 7 AND has_docs
+  UNION ALL SELECT 'metadata_malformed', 'metadata.yaml is no mapping.' WHERE c % 50 = 22
+  UNION ALL SELECT 'compatibility_mode_missing',
+    'metadata.yaml must define non-empty ''compatibilityMode''.' WHERE c % 50 = 20
+  UNION ALL SELECT 'compatibility_mode_invalid',
+    'Invalid compatibilityMode ''SIDEWAYS''. Allowed: BACKWARD, FORWARD, FULL.' WHERE c % 50 = 9
+  UNION ALL SELECT 'owner_team_missing', 'metadata.yaml must define non-empty ''ownerTeam''.'
+    WHERE c % 50 = 8
+  UNION ALL SELECT 'domain_missing', 'metadata.yaml must define non-empty ''domain''.'
+    WHERE c % 50 = 19
+  UNION ALL SELECT 'no_version_files',
+    'No versioned schema files found. Expected files like v1.json.'
+    WHERE NOT has_docs AND c % 50 <> 7)""")
 # --- documents, pairs, diff --------------------------------------------------------------------
 
 oracle("schema_fields", "cf", """
@@ -271,8 +321,9 @@ SELECT contract_id, version, version_num, field_name, type, required, nullable,
 oracle("display_types", "cf", """
 SELECT CASE WHEN nullable THEN type || '|null' ELSE type END AS display_type, required,
   count(*) AS fields FROM cf GROUP BY ALL""")
-oracle("adjacent_pairs", "ef", "SELECT * FROM p", f="SELECT * FROM ef", p=PAIRS)
-oracle("latest_pairs", "ef", "SELECT * FROM p", f="SELECT * FROM ef", p=LATEST)
+_FIELD_VERSIONS = "SELECT DISTINCT contract_id, version_num FROM ef"
+oracle("adjacent_pairs", "ef", "SELECT * FROM p", vs=_FIELD_VERSIONS, p=PAIRS)
+oracle("latest_pairs", "ef", "SELECT * FROM p", vs=_FIELD_VERSIONS, p=LATEST)
 oracle("schema_diff", "cf", f"""
 SELECT {_KEYS}, kind, subject,
   CASE WHEN kind = 'FIELD_TYPE_CHANGED' THEN old_type || ' -> ' || new_type END AS detail
@@ -306,51 +357,33 @@ for _name, _fields, _mode, _pack in (
     oracle(_name, _fields, "SELECT * FROM res", **verdicts(_fields, fixed_checks(_mode, _pack)))
 OWN_CHECKS = "SELECT p.*, owners.mode, owners.pack FROM p JOIN owners USING (contract_id)"
 oracle("compat_by_contract_policy", "ef owners", "SELECT * FROM res", **verdicts("ef", OWN_CHECKS))
+oracle("compat_errors", "docv", """
+SELECT contract_id, base_version, candidate_version, mode, error IS NULL AS judged, error FROM (
+  SELECT ck.*, coalesce(
+    CASE WHEN NOT hb THEN 'Schema file does not exist: ' || ck.contract_id || '/' || base_version || '.json' END,
+    b.message,
+    CASE WHEN NOT ha THEN 'Schema file does not exist: ' || ck.contract_id || '/' || candidate_version || '.json' END,
+    a.message,
+    CASE WHEN mode IS NULL OR mode NOT IN ('BACKWARD', 'FULL')
+      THEN 'Unknown compatibility mode: ' || coalesce(mode, 'none') END) AS error
+  FROM (
+    SELECT contract_id, base_version, candidate_version,
+      CASE c % 5 WHEN 0 THEN 'BACKWARD' WHEN 1 THEN 'SIDEWAYS' WHEN 3 THEN 'BACKWARD' || chr(9)
+        WHEN 4 THEN 'FULL' END AS mode,
+      (contract_id, base_version) IN (SELECT (contract_id, version) FROM fdx) AS hb,
+      (contract_id, candidate_version) IN (SELECT (contract_id, version) FROM fdx) AS ha
+    FROM (SELECT DISTINCT c, contract_id FROM fd),
+      (VALUES ('v1', 'v2'), ('v2', 'v9999'), ('v1', 'v3000000000')) AS t(base_version, candidate_version)) ck
+  LEFT JOIN docv b ON b.contract_id = ck.contract_id AND b.version = base_version
+  LEFT JOIN docv a ON a.contract_id = ck.contract_id AND a.version = candidate_version)""", fdx="""
+SELECT contract_id, version FROM fd UNION ALL
+SELECT contract_id, 'v3000000000' FROM fd WHERE c % 50 = 23 AND version_num = 1""")
 oracle("contract_policies", "owners", """
 SELECT contract_id, owners.pack, sev.rule AS rule_id, severity
 FROM owners JOIN sev ON sev.pack = owners.pack""", rl=RULE_ROWS, sev=SEVERITY_ROWS)
 
-# --- lint --------------------------------------------------------------------------------------
+# --- lint: results ----------------------------------------------------------------------------
 
-_ODD = "CASE WHEN c % 50 = 10 THEN 'Cust-' || c ELSE 'cust.' || c END"
-cte("fd", "cf", f"""
-SELECT DISTINCT c, {_ODD} AS contract_id, version, version_num FROM cf WHERE c % 50 <> 16""")
-cte("docv", "fd", """
-SELECT contract_id, version, field_name, rule, message FROM fd JOIN (VALUES
- (1, NULL, 'schema_invalid_json', 'Invalid JSON in schema file: v1.json'),
- (2, NULL, 'schema_not_object', 'Schema must be a JSON object: v1.json'),
- (3, NULL, 'required_unknown_field', '''required'' references unknown properties in v1.json: Ghost'),
- (4, 'a', 'type_missing', 'Property ''a'' in v1.json must define ''type''.'),
- (5, 'a', 'enum_not_array', 'Property ''a'' in v1.json has invalid ''enum''.'),
- (6, NULL, 'required_not_array', '''required'' must be an array in v1.json.'),
- (11, 'a', 'enum_value_not_scalar', 'Property ''a'' in v1.json has non-scalar enum value.'),
- (12, NULL, 'properties_not_object', '''properties'' must be an object in v1.json.'),
- (13, 'a', 'type_invalid', 'Property ''a'' in v1.json has invalid ''type'' definition.'),
- (14, NULL, 'required_item_not_string', 'Each value in ''required'' must be a string in v1.json.'),
- (15, 'a', 'type_unknown', 'Property ''a'' in v1.json must define a valid ''type''.'),
- (17, 'a', 'property_not_object', 'Property ''a'' must be an object in v1.json.'),
- (18, 'a', 'type_entry_not_string', 'Property ''a'' in v1.json has non-string type entry.')
-) AS t(fault, field_name, rule, message) ON fd.c % 50 = t.fault WHERE version_num = 1""")
-cte("lintv", "docv", f"""
-SELECT * FROM docv UNION ALL
-SELECT contract_id, NULL, NULL, rule, message FROM (
-  SELECT c, {_ODD} AS contract_id, c IN (SELECT c FROM fd) AS has_docs
-  FROM (SELECT c_custkey AS c FROM customer)) x, LATERAL (
-  SELECT 'contract_id_format' AS rule, 'Invalid contract directory name ''' || contract_id
-    || '''. Expected lowercase dot-separated format.' AS message WHERE c % 50 = 10
-  UNION ALL SELECT 'metadata_missing', 'Missing metadata.yaml in contract directory: ' || contract_id
-    WHERE c % 50 = 7 AND has_docs
-  UNION ALL SELECT 'compatibility_mode_missing',
-    'metadata.yaml must define non-empty ''compatibilityMode''.' WHERE c % 50 = 20
-  UNION ALL SELECT 'compatibility_mode_invalid',
-    'Invalid compatibilityMode ''SIDEWAYS''. Allowed: BACKWARD, FORWARD, FULL.' WHERE c % 50 = 9
-  UNION ALL SELECT 'owner_team_missing', 'metadata.yaml must define non-empty ''ownerTeam''.'
-    WHERE c % 50 = 8
-  UNION ALL SELECT 'domain_missing', 'metadata.yaml must define non-empty ''domain''.'
-    WHERE c % 50 = 19
-  UNION ALL SELECT 'no_version_files',
-    'No versioned schema files found. Expected files like v1.json.'
-    WHERE NOT has_docs AND c % 50 <> 7)""")
 oracle("lint_violations", "lintv", "SELECT * FROM lintv")
 oracle("lint_failing_contracts", "lintv",
        "SELECT contract_id, count(*) AS violation_count FROM lintv GROUP BY contract_id")
@@ -586,21 +619,25 @@ SELECT * FROM (
 # --- composed work -----------------------------------------------------------------------------
 
 oracle("changed_contract_ids", "", """
-SELECT DISTINCT 'cust.' || o_custkey AS contract_id FROM orders WHERE o_custkey % 10 = 0""")
-# Changed contracts have keys ending in 0: of the faults only 10 (id not found), 20 (no mode) and
-# missing documents can occur among them.
-cte("gatec", "cf", """
-SELECT c, 'cust.' || c AS contract_id, CASE c % 5 WHEN 0 THEN 'baseline' END AS pack,
-  (CASE WHEN c % 50 = 20 THEN 1 ELSE 0 END)
-  + (CASE WHEN c NOT IN (SELECT c FROM cf) THEN 1 ELSE 0 END) AS violations
-FROM (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_custkey % 10 = 0 AND o_custkey % 50 <> 10)""")
-_GATE = verdicts(
-    "cf JOIN gatec USING (contract_id)",
-    "SELECT p.*, 'BACKWARD' AS mode, pack FROM p JOIN gatec USING (contract_id) WHERE violations = 0",
-    LATEST,
-)
-_GATE["f"] = "SELECT cf.* FROM cf JOIN gatec USING (contract_id)"
-_GATE["g"] = """
+SELECT DISTINCT 'cust.' || o_custkey AS contract_id FROM orders WHERE o_custkey % 3 = 0""")
+# Contracts with a key of fault 10 have another id, and are not among the changed ones; those of
+# fault 7 have no metadata, and without documents as well they are unknown.
+cte("gatec", "lintv owners", """
+SELECT x.c, x.contract_id, owners.pack, owners.mode, coalesce(l.n, 0) AS violations
+FROM (SELECT DISTINCT o_custkey AS c, 'cust.' || o_custkey AS contract_id FROM orders
+  WHERE o_custkey % 3 = 0 AND o_custkey % 50 <> 10) x
+JOIN owners ON owners.c = x.c
+LEFT JOIN (SELECT contract_id, count(*) AS n FROM lintv GROUP BY 1) l ON l.contract_id = x.contract_id
+WHERE x.c % 50 <> 7 OR x.c IN (SELECT c FROM fd)""")
+def _gate(mode: str) -> dict[str, str]:
+    parts = verdicts(
+        "cf",
+        f"SELECT p.*, {mode} AS mode, pack FROM p JOIN gatec USING (contract_id) WHERE violations = 0",
+        LATEST,
+        "SELECT DISTINCT contract_id, version_num FROM f",
+    )
+    parts["f"] = "SELECT cf.* FROM cf JOIN gatec USING (contract_id)"
+    parts["g"] = """
 SELECT gatec.contract_id, CAST(violations AS BIGINT) AS violation_count, base_version,
   candidate_version,
   CASE WHEN violations > 0 THEN 'LINT_FAILED' WHEN status IS NULL THEN 'SKIPPED' ELSE status END
@@ -608,10 +645,14 @@ SELECT gatec.contract_id, CAST(violations AS BIGINT) AS violation_count, base_ve
   coalesce(breaking_changes, '') AS breaking_changes, coalesce(warnings, '') AS warnings,
   violations = 0 AND coalesce(status, 'PASS') = 'PASS' AS passed
 FROM gatec LEFT JOIN res USING (contract_id)"""
-oracle("changed_gate", "gatec", "SELECT * FROM g", **_GATE)
-oracle("changed_gate_result", "gatec", """
+    return parts
+
+
+oracle("changed_gate", "gatec cf", "SELECT * FROM g", **_gate("'BACKWARD'"))
+oracle("changed_gate_own_mode", "gatec cf", "SELECT * FROM g", **_gate("gatec.mode"))
+oracle("changed_gate_result", "gatec cf", """
 SELECT count(*) AS contracts, count(*) FILTER (WHERE NOT passed) AS failed,
-  coalesce(bool_and(passed), true) AS passed FROM g""", **_GATE)
+  coalesce(bool_and(passed), true) AS passed FROM g""", **_gate("'BACKWARD'"))
 oracle("request_validation", "rq", """
 SELECT request_id, contract_id, base_version, candidate_version, mode, commit_sha, triggered_by, error
 FROM rq""")
@@ -624,7 +665,9 @@ SELECT {stable_id("request_id", _RQ_HASH)} AS run_id, contract_id, base_version,
   CAST(NULL AS VARCHAR) AS started_at, CAST(NULL AS VARCHAR) AS finished_at
 FROM rq WHERE error IS NULL""")
 _OUT = {
-    "ev": "SELECT DISTINCT contract_id, version FROM ef",
+    "ev": """
+SELECT 'cust.' || c AS contract_id, 'v' || ver AS version, CASE WHEN c % 10 = 8 AND ver = 3
+  THEN 'SchemaValidationException: Invalid JSON in schema file: v3.json' END AS bad FROM v""",
     "rs": f"""
 SELECT rq.*, owners.pack AS own_pack,
   {stable_id("request_id", _RQ_HASH)} AS run_id, {_RQ_HASH} AS input_hash,
@@ -633,7 +676,8 @@ SELECT rq.*, owners.pack AS own_pack,
        WHEN b.version IS NULL THEN 'IllegalStateException: Schema file does not exist: contracts/'
          || rq.contract_id || '/' || base_version || '.json'
        WHEN a.version IS NULL THEN 'IllegalStateException: Schema file does not exist: contracts/'
-         || rq.contract_id || '/' || candidate_version || '.json' END AS execution_error
+         || rq.contract_id || '/' || candidate_version || '.json'
+       ELSE coalesce(b.bad, a.bad) END AS execution_error
 FROM rq LEFT JOIN owners ON owners.contract_id = rq.contract_id
 LEFT JOIN ev b ON b.contract_id = rq.contract_id AND b.version = base_version
 LEFT JOIN ev a ON a.contract_id = rq.contract_id AND a.version = candidate_version
@@ -711,15 +755,14 @@ FROM rq""")
 
 _REG = {
     "tops": """
-SELECT c, last_num, max(version_num) FILTER (WHERE version_num < last_num) AS m
-FROM (SELECT DISTINCT c, version_num, max(version_num) OVER (PARTITION BY c) AS last_num FROM ef)
-GROUP BY c, last_num""",
+SELECT c, max(ver) AS last_num, CASE WHEN max(ver) > 1 THEN max(ver) - 1 END AS m FROM v GROUP BY c""",
     "cand": """
 SELECT *, CAST(substr(version, 2) AS BIGINT) AS num FROM (
   SELECT c, last_num, m, 'cust.' || c AS own_id,
     CASE c % 10 WHEN 3 THEN 'ghost.' || c WHEN 4 THEN 'Cust-' || c ELSE ' cust.' || c END AS given_id,
-    CASE c % 10 WHEN 1 THEN 'v' || (last_num + 2) WHEN 2 THEN 'v2' WHEN 5 THEN 'two'
-      ELSE 'v' || last_num || ' ' END AS given_version,
+    CASE WHEN c % 20 = 0 THEN 'v99999999999' ELSE
+      CASE c % 10 WHEN 1 THEN 'v' || (last_num + 2) WHEN 2 THEN 'v2' WHEN 5 THEN 'two'
+      ELSE 'v' || last_num || ' ' END END AS given_version,
     CASE c % 10 WHEN 1 THEN 'v' || (last_num + 2) WHEN 2 THEN 'v2' WHEN 5 THEN 'v0'
       ELSE 'v' || last_num END AS version FROM tops)""",
     "seq": """
@@ -728,13 +771,19 @@ SELECT *, CASE
   WHEN c % 30 = 7 THEN 'schema must be a JSON object.'
   WHEN c % 10 = 4 THEN 'contractId must use lowercase dot-separated format.'
   WHEN c % 10 = 3 THEN 'Contract not found: ghost.' || c
-  WHEN num < last_num AND EXISTS (SELECT 1 FROM ef WHERE ef.c = cand.c AND ef.version_num = cand.num)
+  WHEN c % 20 = 0 THEN 'Version number out of range: v99999999999'
+  WHEN num < last_num
     THEN 'Version already exists for contract ' || own_id || ': ' || version
   WHEN m IS NULL AND version <> 'v1' THEN 'First contract version must be v1.'
   WHEN num <= m THEN 'New version must be greater than existing latest version v' || m || '.'
   WHEN num <> m + 1 THEN 'Version sequence must be incremental. Expected v' || (m + 1) || '.'
   END AS sequence_error,
-  CASE WHEN c % 10 = 6 THEN 'Property ''a'' in ' || version || '.json must define ''type''.' END
+  CASE WHEN c % 20 = 8
+      THEN 'Invalid compatibilityMode ''SIDEWAYS''. Allowed: BACKWARD, FORWARD, FULL.'
+    WHEN c % 20 = 18 THEN 'metadata.yaml must define non-empty ''compatibilityMode''.'
+    WHEN c % 20 = 10 THEN 'metadata.yaml must define non-empty ''ownerTeam''.'
+    WHEN c % 10 = 6 THEN 'Property ''a'' in ' || version || '.json must define ''type''.'
+    WHEN c % 20 = 9 AND m IS NOT NULL THEN 'Invalid JSON in schema file: v' || m || '.json' END
     AS lint_error FROM cand""",
     "regf": """
 SELECT contract_id, version, field_name, type, required, nullable, enum_values FROM ef

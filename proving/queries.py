@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pactlake.functions import text
 from pactlake.functions.details import details_json, input_hash, parse_details
@@ -26,6 +26,7 @@ from pactlake.plans import gate, refresh, registration, request_batch
 from pactlake.schemas import PAIR
 from pactlake.session import prepare, shared_folder
 from pactlake.sinks import history as sinks
+from pactlake.sources import feeds
 from pactlake.streaming.payload_stream import read_checked, start_payload_check
 from pactlake.streaming.request_stream import start_request_checks
 from proving import fixtures as fx
@@ -57,11 +58,8 @@ def stored(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
 
 
 def evolving_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, "shapes", documents.shapes_of_fields(fx.evolving_fields(spark, sf)))
-
-
-def versions_of(shapes: DataFrame) -> DataFrame:
-    return shapes.select("contract_id", "version", "version_num")
+    docs = fx.all_documents(spark, sf, fx.evolving_fields(spark, sf))
+    return stored(spark, "shapes", documents.schema_shapes(docs))
 
 
 def evolving_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +69,8 @@ def evolving_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def churning_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, "shapes", documents.shapes_of_fields(fx.churning_fields(spark, sf)))
+    docs = fx.all_documents(spark, sf, fx.churning_fields(spark, sf))
+    return stored(spark, "shapes", documents.schema_shapes(docs))
 
 
 # --- documents and pairs -----------------------------------------------------------------------
@@ -109,8 +108,8 @@ def schema_diff(spark, sf):
 
 @query
 def diff_report(spark, sf):
-    shapes = churning_shapes(spark, sf)
-    return diff.diff_report(shapes, ordering.adjacent_pairs(shapes, unique=True))
+    both = ordering.adjacent_documents(churning_shapes(spark, sf))
+    return diff.change_report(diff.with_changes(both))
 
 
 # --- compatibility -----------------------------------------------------------------------------
@@ -123,6 +122,8 @@ def _adjacent_verdicts(spark, sf, mode: str, pack: str = "baseline") -> DataFram
 
 
 def _shown(results: DataFrame) -> DataFrame:
+    if "execution_error" not in results.columns:
+        results = results.drop("error")
     return results.withColumns(
         {"breaking_changes": listed("breaking_changes"), "warnings": listed("warnings")}
     )
@@ -156,17 +157,34 @@ def compat_by_contract_policy(spark, sf):
         F.col("compatibility_mode").alias("mode"),
         packs.resolve("policy_pack").alias("pack"),
     )
-    checks = ordering.adjacent_pairs(shapes, unique=True).join(owners, "contract_id")
-    return _shown(compat.check_compatibility(shapes, checks, packs))
+    both = ordering.adjacent_documents(shapes).join(owners, "contract_id")
+    return _shown(compat.with_verdict(diff.with_changes(both), packs))
 
 
 @query
 def compat_churn(spark, sf):
-    shapes = churning_shapes(spark, sf)
-    checks = ordering.adjacent_pairs(shapes, unique=True).withColumns(
-        {"mode": F.lit("FULL"), "pack": F.lit("relaxed")}
+    both = ordering.adjacent_documents(churning_shapes(spark, sf))
+    checks = diff.with_changes(both).withColumns({"mode": F.lit("FULL"), "pack": F.lit("relaxed")})
+    return _shown(compat.with_verdict(checks, fx.packs()))
+
+
+@query
+def compat_errors(spark, sf):
+    """Checks of which many cannot be judged: bad documents, absent versions, bad modes."""
+    shapes = stored(spark, "shapes", documents.schema_shapes(fx.faulty_docs(spark, sf)))
+    pairs = [("v1", "v2"), ("v2", "v9999"), ("v1", "v3000000000")]
+    pair = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c")) for b, c in pairs]))
+    mode = fx.pick(fx.customer_key(), "BACKWARD", "SIDEWAYS", None, "BACKWARD\t", "FULL")
+    checks = shapes.select("contract_id").distinct().select("contract_id", mode.alias("mode"), pair.alias("p"))
+    checks = checks.select(
+        "contract_id",
+        F.col("p.b").alias("base_version"),
+        F.col("p.c").alias("candidate_version"),
+        "mode",
+        F.lit("baseline").alias("pack"),
     )
-    return _shown(compat.check_compatibility(shapes, checks, fx.packs()))
+    results = compat.check_compatibility(shapes, checks, fx.packs())
+    return results.select(*PAIR, "mode", (F.col("status") != "ERROR").alias("judged"), "error")
 
 
 @query
@@ -528,12 +546,13 @@ def changed_contract_ids(spark, sf):
     return catalog.changed_contract_ids(fx.changed_files(spark, sf))
 
 
-def _gate(spark: SparkSession, sf: str) -> DataFrame:
+def _gate(spark: SparkSession, sf: str, mode: str | None = "BACKWARD") -> DataFrame:
     return gate.changed_gate(
         stored(spark, "files", fx.changed_files(spark, sf)),
         fx.faulty_contracts(spark, sf),
         stored(spark, "docs", fx.faulty_docs(spark, sf)),
         fx.packs(),
+        mode,
     )
 
 
@@ -542,6 +561,11 @@ def changed_gate(spark, sf):
     return _shown(_gate(spark, sf))
 
 
+@query
+def changed_gate_own_mode(spark, sf):
+    return _shown(_gate(spark, sf, None))
+
+
 @query
 def changed_gate_result(spark, sf):
     return gate.gate_result(_gate(spark, sf))
@@ -549,16 +573,19 @@ def changed_gate_result(spark, sf):
 
 @query
 def request_validation(spark, sf):
-    return requests.validate_requests(fx.check_requests(spark, sf))
+    return requests.validate_requests(fx.single_requests(spark, sf))
+
+
+def request_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = fx.broken_third(fx.all_documents(spark, sf, fx.evolving_fields(spark, sf)))
+    return stored(spark, "shapes", documents.schema_shapes(docs))
 
 
 def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    shapes = evolving_shapes(spark, sf)
     return request_batch.request_outcomes(
         fx.check_requests(spark, sf),
         fx.contracts(spark, sf),
-        versions_of(shapes),
-        shapes,
+        request_shapes(spark, sf),
         fx.packs(),
     )
 
@@ -580,7 +607,7 @@ def lifecycle_logs(spark, sf):
 
 @query
 def queued_runs(spark, sf):
-    valid = requests.validate_requests(fx.check_requests(spark, sf)).filter("error is null")
+    valid = requests.validate_requests(fx.single_requests(spark, sf)).filter("error is null")
     return sinks.queued_runs(valid, NOW)
 
 
@@ -601,7 +628,7 @@ def recorded_run_logs(spark, sf):
 
 @query
 def audit_rows(spark, sf):
-    checked = requests.validate_requests(fx.check_requests(spark, sf))
+    checked = requests.validate_requests(fx.single_requests(spark, sf))
     return sinks.audit_rows(
         checked,
         "CHECK_RUN_CREATE",
@@ -619,11 +646,11 @@ def audit_rows(spark, sf):
 
 
 def last_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The evolving fields split in two: a registry without each contract's last version, and
+    """The evolving documents split in two: a registry without each contract's last version, and
     those last versions."""
-    fields = stored(spark, "fields", fx.evolving_fields(spark, sf))
-    last = fields.groupBy("contract_id").agg(F.max("version_num").alias("last_num"))
-    both = fields.join(last, "contract_id")
+    docs = stored(spark, "docs", fx.all_documents(spark, sf, fx.evolving_fields(spark, sf)))
+    last = docs.groupBy("contract_id").agg(F.max("version_num").alias("last_num"))
+    both = docs.join(last, "contract_id")
     rest = both.filter("version_num < last_num").drop("last_num")
     newest = both.filter("version_num = last_num").drop("last_num")
     return rest, newest
@@ -631,9 +658,13 @@ def last_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def register_versions(spark, sf):
-    rest, newest = last_versions(spark, sf)
+    rest, docs = last_versions(spark, sf)
     key = fx.customer_key()
-    docs = fx.schema_docs(newest)
+    top = F.max("version_num").over(Window.partitionBy("contract_id"))
+    broken = (key % 20 == 9) & (F.col("version_num") == F.col("top"))
+    rest = rest.withColumn("top", top).withColumn(
+        "schema_json", F.when(broken, "{not json").otherwise(F.col("schema_json"))
+    )
     candidates = docs.select(
         F.when(key % 10 == 3, F.concat(F.lit("ghost."), key))
         .when(key % 10 == 4, F.concat(F.lit("Cust-"), key))
@@ -642,6 +673,7 @@ def register_versions(spark, sf):
         F.when(key % 10 == 1, version_of(F.col("version_num") + 2))
         .when(key % 10 == 2, "v2")
         .when(key % 10 == 5, "two")
+        .when(key % 20 == 0, "v99999999999")
         .otherwise(F.concat("version", F.lit(" ")))
         .alias("version"),
         F.when(key % 10 == 6, '{"properties":{"a":{}}}')
@@ -649,10 +681,11 @@ def register_versions(spark, sf):
         .otherwise(F.col("schema_json"))
         .alias("schema_json"),
     )
-    shapes = stored(spark, "shapes", documents.shapes_of_fields(rest))
-    return registration.register_versions(
-        candidates, fx.contracts(spark, sf), versions_of(shapes), shapes, fx.packs()
-    )
+    shapes = stored(spark, "shapes", documents.schema_shapes(rest.drop("top")))
+    mode = F.when(key % 20 == 8, "SIDEWAYS").when(key % 20 != 18, F.col("compatibility_mode"))
+    owner = F.when(key % 20 == 10, " \t").otherwise(F.col("owner_team"))
+    owners = fx.contracts(spark, sf).withColumns({"compatibility_mode": mode, "owner_team": owner})
+    return registration.register_versions(candidates, owners, shapes, fx.packs())
 
 
 @query
@@ -751,18 +784,15 @@ def stream_payload_conformance(spark, sf):
 def stream_request_runs(spark, sf):
     """The request batch as a stream over written request files."""
     folder = shared_folder(spark, "request-stream")
-    fx.check_requests(spark, sf).write.parquet(f"{folder}/requests")
-    stream = spark.readStream.schema(fx.check_requests(spark, sf).schema).parquet(
-        f"{folder}/requests"
-    )
+    # Several files, one a micro-batch: a request sent twice may come in two batches.
+    fx.check_requests(spark, sf).repartition(3).write.parquet(f"{folder}/requests")
+    stream = feeds.stream_check_requests(spark, f"{folder}/requests", files_per_trigger=1)
     # Each micro-batch joins the registry, so the registry is written once rather than derived
     # again in every batch.
-    shapes = evolving_shapes(spark, sf)
     start_request_checks(
         stream,
         fx.contracts(spark, sf),
-        versions_of(shapes),
-        shapes,
+        request_shapes(spark, sf),
         fx.packs(),
         f"{folder}/runs",
         f"{folder}/logs",

@@ -1,5 +1,5 @@
 import pytest
-from conftest import ORDERS_V1, ORDERS_V2, PACKS
+from conftest import STATION_V1, STATION_V2, PACKS
 
 from pactlake.operators.compat import check_compatibility
 from pactlake.operators.diff import diff_report, schema_diff
@@ -11,8 +11,8 @@ from pactlake.operators.documents import (
 from pactlake.operators.ordering import adjacent_pairs
 from pactlake.operators.policy import PolicyPacks, policy_violations
 
-ENUM = "Enum value added: status.SHIPPED"
-FORWARD = ["[FORWARD] Field removed: currency", "[FORWARD] Enum value removed: status.SHIPPED"]
+ENUM = "Enum value added: quality.suspect"
+FORWARD = ["[FORWARD] Field removed: unit", "[FORWARD] Enum value removed: quality.suspect"]
 
 
 def verdict(spark, docs_of, base, candidate, mode="BACKWARD", pack="baseline", packs=PACKS):
@@ -38,34 +38,34 @@ def verdict(spark, docs_of, base, candidate, mode="BACKWARD", pack="baseline", p
     ],
 )
 def test_added_field_and_enum_value(spark, docs_of, mode, pack, expected):
-    assert verdict(spark, docs_of, ORDERS_V1, ORDERS_V2, mode, pack) == expected
+    assert verdict(spark, docs_of, STATION_V1, STATION_V2, mode, pack) == expected
 
 
 def test_breaking_changes_in_rule_order(spark, docs_of):
     base = {
         "properties": {
-            "id": {"type": "string"},
-            "state": {"type": "string", "enum": ["NEW", "DONE"]},
-            "zip": {"type": "string"},
-            "age": {"type": "integer"},
+            "depth": {"type": "number"},
+            "phase": {"type": "integer", "enum": [1, 2, 3]},
+            "tide": {"type": "boolean"},
+            "buoy": {"type": "string"},
         }
     }
     candidate = {
         "properties": {
-            "id": {"type": "integer"},
-            "state": {"type": "string", "enum": ["NEW"]},
-            "region": {"type": "string"},
+            "depth": {"type": "string"},
+            "phase": {"type": "integer", "enum": [1, 3]},
+            "datum": {"type": "string"},
         },
-        "required": ["region"],
+        "required": ["datum"],
     }
     assert verdict(spark, docs_of, base, candidate) == (
         "FAIL",
         [
-            "Field removed: age",
-            "Field removed: zip",
-            "Field type changed: id (string -> integer)",
-            "Required field added: region",
-            "Enum value removed: state.DONE",
+            "Field removed: buoy",
+            "Field removed: tide",
+            "Field type changed: depth (number -> string)",
+            "Required field added: datum",
+            "Enum value removed: phase.2",
         ],
         [],
     )
@@ -99,28 +99,55 @@ def test_required_removed_breaks_only_forward(spark, docs_of):
     ]
 
 
+def test_what_cannot_be_judged_is_an_error(spark, docs_of):
+    docs = docs_of(("a.b", 1, STATION_V1), ("a.b", 2, STATION_V1), ("a.b", 3, "{not json"), ("a.b", 4, {}))
+    checks = spark.createDataFrame(
+        [
+            ("a.b", "v1", "v2", mode, "baseline") for mode in ("FULL", "SIDEWAYS", None, "BACKWARD\t")
+        ] + [("a.b", "v1", c, "FULL", "baseline") for c in ("v3", "v4", "v9")],
+        "contract_id string, base_version string, candidate_version string, mode string, pack string",
+    )
+    rows = check_compatibility(schema_shapes(docs), checks, PolicyPacks.parse(PACKS)).collect()
+    found = {(r.candidate_version, r.mode): (r.status, r.error) for r in rows}
+    assert found == {
+        ("v2", "FULL"): ("PASS", None),
+        ("v2", "SIDEWAYS"): ("ERROR", "Unknown compatibility mode: SIDEWAYS"),
+        ("v2", None): ("ERROR", "Unknown compatibility mode: none"),
+        ("v2", "BACKWARD\t"): ("ERROR", "Unknown compatibility mode: BACKWARD\t"),
+        ("v3", "FULL"): ("ERROR", "Invalid JSON in schema file: v3.json"),
+        ("v4", "FULL"): ("FAIL", None),
+        ("v9", "FULL"): ("ERROR", "Schema file does not exist: a.b/v9.json"),
+    }
+    assert all(not r.breaking_changes and not r.warnings for r in rows if r.error)
+    pairs = checks.select("contract_id", "base_version", "candidate_version")
+    errors = [r for r in schema_diff(schema_shapes(docs), pairs).collect() if r.kind == "ERROR"]
+    assert sorted(r.candidate_version for r in errors) == ["v3", "v9"]
+    report = {r.candidate_version: r.report for r in diff_report(schema_shapes(docs), pairs).collect()}
+    assert report["v9"] == "Schema diff:\nError: Schema file does not exist: a.b/v9.json"
+
+
 def test_empty_documents_pass(spark, docs_of):
     assert verdict(spark, docs_of, {}, {"properties": {}}, "FULL") == ("PASS", [], [])
 
 
 def test_reordered_document_is_unchanged(spark, docs_of):
-    turned = {"properties": dict(reversed(ORDERS_V1["properties"].items()))}
-    turned["required"] = ["status", "orderId"]
-    assert verdict(spark, docs_of, ORDERS_V1, turned, "FULL", "strict") == ("PASS", [], [])
+    turned = {"properties": dict(reversed(STATION_V1["properties"].items()))}
+    turned["required"] = ["quality", "station"]
+    assert verdict(spark, docs_of, STATION_V1, turned, "FULL", "strict") == ("PASS", [], [])
 
 
 def test_diff_rows_and_report(spark, docs_of):
-    docs = docs_of(("o.c", 1, ORDERS_V1), ("o.c", 2, ORDERS_V2), ("o.c", 4, ORDERS_V2))
+    docs = docs_of(("o.c", 1, STATION_V1), ("o.c", 2, STATION_V2), ("o.c", 4, STATION_V2))
     shapes = schema_shapes(docs)
     pairs = adjacent_pairs(docs)
     found = {(r.candidate_version, r.kind, r.subject) for r in schema_diff(shapes, pairs).collect()}
     assert found == {
-        ("v2", "FIELD_ADDED", "currency"),
-        ("v2", "ENUM_VALUE_ADDED", "status.SHIPPED"),
+        ("v2", "FIELD_ADDED", "unit"),
+        ("v2", "ENUM_VALUE_ADDED", "quality.suspect"),
     }
     report = {r.candidate_version: r.report for r in diff_report(shapes, pairs).collect()}
     assert report == {
-        "v2": "Schema diff:\n+ field added: currency\n~ enum value added: status.SHIPPED",
+        "v2": "Schema diff:\n+ field added: unit\n~ enum value added: quality.suspect",
         "v4": "Schema diff:\nNo semantic differences found.",
     }
 

@@ -114,26 +114,26 @@ def test_query_ranges():
 
 def test_impact_uses_latest_run_and_consumers(spark, runs_of):
     runs = runs_of(
-        run("r1", "PASS", "user.created", "2024-01-01T00:00:00Z"),
-        run("r2", "FAIL", "user.created", "2024-01-02T00:00:00Z", breaking_changes='["Field removed: userId"]'),
-        run("r3", "PASS", "pay.done", warnings='["Enum value added: s.X"]'),
+        run("r1", "PASS", "tide.measured", "2024-01-01T00:00:00Z"),
+        run("r2", "FAIL", "tide.measured", "2024-01-02T00:00:00Z", breaking_changes='["Field removed: gauge"]'),
+        run("r3", "PASS", "buoy.moved", warnings='["Enum value added: s.X"]'),
     )
     contracts = spark.createDataFrame(
-        [("user.created", ["payment-service", "analytics-service"]), ("pay.done", []), ("x", None)],
+        [("tide.measured", ["harbour-map", "flood-alert"]), ("buoy.moved", []), ("x", None)],
         "contract_id string, consumers array<string>",
     )
     targets = contracts.selectExpr("contract_id", "'v2' version")
     impact = insights.impact_analysis(targets, runs, contracts)
     assert {r.contract_id: (r.risk_level, r.reason) for r in impact.collect()} == {
-        "user.created": ("HIGH", "Field removed: userId"),
-        "pay.done": ("MEDIUM", "Enum value added: s.X"),
+        "tide.measured": ("HIGH", "Field removed: gauge"),
+        "buoy.moved": ("MEDIUM", "Enum value added: s.X"),
         "x": ("LOW", "No historical check run found for this version."),
     }
     names = {(r.contract_id, r.consumer) for r in insights.impact_consumers(impact).collect()}
-    assert ("user.created", "payment-service") in names and ("x", None) in names
+    assert ("tide.measured", "harbour-map") in names and ("x", None) in names
     badges = insights.contract_badge(contracts, runs).collect()
     assert {r.contract_id: r.message for r in badges} == {
-        "user.created": "failing", "pay.done": "passing", "x": "unknown",
+        "tide.measured": "failing", "buoy.moved": "passing", "x": "unknown",
     }
 
 

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from conftest import ORDERS_V1, ORDERS_V2, PACKS
+from conftest import STATION_V1, STATION_V2, PACKS
 from pyspark.sql import functions as F
 
 from pactlake.operators.compat import check_compatibility
@@ -25,9 +25,9 @@ def repository(tmp_path):
 
     put("policy-packs.json", PACKS)
     put("o.c/metadata.yaml", "ownerTeam: 007\ndomain: commerce\ncompatibilityMode: BACKWARD\npolicyPack: strict\nconsumers: [a, ' b ', null, '']\n")
-    put("o.c/v1.json", json.dumps(ORDERS_V1, indent=2))
-    put("o.c/v10.json", json.dumps(ORDERS_V2))
-    put("o.c/v2.json", json.dumps(ORDERS_V1))
+    put("o.c/v1.json", json.dumps(STATION_V1, indent=2))
+    put("o.c/v10.json", json.dumps(STATION_V2))
+    put("o.c/v2.json", json.dumps(STATION_V1))
     put("o.c/v02.json", "not a version")
     put("o.c/vx.json", "not a version")
     put("p.q/metadata.yaml", "ownerTeam: t\ndomain: ~\ncompatibilityMode: full\nconsumers: 'x, ,y'\nextra: 1\n")
@@ -147,7 +147,7 @@ def test_payload_stream_restarts_without_doubling(spark, docs_of, tmp_path):
 
 
 def test_request_stream(spark, docs_of, tmp_path):
-    docs = docs_of(("o.c", 1, ORDERS_V1), ("o.c", 2, ORDERS_V2))
+    docs = docs_of(("o.c", 1, STATION_V1), ("o.c", 2, STATION_V2))
     contracts = spark.createDataFrame(
         [("o.c", "BACKWARD", None)],
         "contract_id string, compatibility_mode string, policy_pack string",
@@ -164,7 +164,7 @@ def test_request_stream(spark, docs_of, tmp_path):
     for _ in range(2):
         start_request_checks(
             feeds.stream_check_requests(spark, str(tmp_path / "in")),
-            contracts, docs, schema_shapes(docs), PolicyPacks.parse(PACKS), *paths,
+            contracts, schema_shapes(docs), PolicyPacks.parse(PACKS), *paths,
         ).awaitTermination()
     runs = spark.read.parquet(paths[0])
     assert sorted(r.status for r in runs.collect()) == ["FAIL", "PASS"]

@@ -1,5 +1,5 @@
 import pytest
-from conftest import ORDERS_V1
+from conftest import STATION_V1
 
 from pactlake.operators.lint import (
     document_errors,
@@ -33,7 +33,7 @@ def test_contract_rules(spark, docs_of):
         CONTRACTS,
     )
     names = [r.contract_id for r in contracts.collect() if r.contract_id != "no.versions"]
-    docs = docs_of(*[(name, 1, ORDERS_V1) for name in [*names, "no.metadata"]])
+    docs = docs_of(*[(name, 1, STATION_V1) for name in [*names, "no.metadata"]])
     assert rules(lint_contracts(contracts, docs)) == {
         ("Bad-Name", None, "contract_id_format"),
         ("no.owner", None, "owner_team_missing"),
@@ -85,7 +85,7 @@ def test_document_rules(docs_of, text, expected):
 def test_first_error_follows_reading_order(docs_of):
     docs = docs_of(
         ("a.b", 1, '{"properties":{"z":{},"a":{"type":"unknown"}},"required":["ghost"]}'),
-        ("a.b", 2, ORDERS_V1),
+        ("a.b", 2, STATION_V1),
     )
     expected = {"v1": "Property 'z' in v1.json must define 'type'."}
     assert {r.version: r.document_error for r in document_errors(docs).collect()} == expected

@@ -1,9 +1,8 @@
 import json
 
-from conftest import ORDERS_V1, ORDERS_V2, PACKS
+from conftest import STATION_V1, STATION_V2, PACKS
 
 from pactlake.operators.documents import schema_shapes
-from pactlake.operators.lint import document_errors
 from pactlake.operators.policy import PolicyPacks
 from pactlake.operators.requests import validate_requests
 from pactlake.plans.gate import changed_gate, gate_result
@@ -55,7 +54,7 @@ def test_request_errors_in_order(spark):
 
 
 def test_request_batch(spark, docs_of):
-    docs = docs_of(("o.c", 1, ORDERS_V1), ("o.c", 2, ORDERS_V2), ("o.c", 3, BROKEN))
+    docs = docs_of(("o.c", 1, STATION_V1), ("o.c", 2, STATION_V2), ("o.c", 3, BROKEN))
     contracts = contracts_of(spark, ("o.c", "BACKWARD", " STRICT"))
     requests = requests_of(
         spark,
@@ -69,16 +68,16 @@ def test_request_batch(spark, docs_of):
         ("o.c", "v1", "v1", "FULL", None, "ci"),
     )
     outcomes = request_outcomes(
-        requests, contracts, docs, schema_shapes(docs), PolicyPacks.parse(PACKS), document_errors(docs)
+        requests.union(requests), contracts, schema_shapes(docs), PolicyPacks.parse(PACKS)
     )
     rows = {r.request_id: r for r in outcomes.collect()}
-    added = "Enum value added: status.SHIPPED"
+    added = "Enum value added: quality.suspect"
     assert (rows["q0"].status, rows["q0"].breaking_changes) == ("FAIL", [added])
     assert rows["q0"].run_id != rows["q1"].run_id
-    assert rows["q2"].breaking_changes[0] == "[FORWARD] Field removed: currency"
+    assert rows["q2"].breaking_changes[0] == "[FORWARD] Field removed: unit"
     assert rows["q3"].breaking_changes == [
-        "Field removed: currency",
-        "Enum value removed: status.SHIPPED",
+        "Field removed: unit",
+        "Enum value removed: quality.suspect",
     ]
     assert rows["q4"].warnings == ["Execution error: IllegalStateException: Contract not found: gone"]
     assert rows["q5"].warnings == [
@@ -101,13 +100,13 @@ def test_request_batch(spark, docs_of):
 
 def test_changed_gate(spark, docs_of):
     docs = docs_of(
-        ("o.c", 1, ORDERS_V2),
-        ("o.c", 2, ORDERS_V1),
-        ("one.version", 1, ORDERS_V1),
-        ("bad.doc", 1, ORDERS_V1),
+        ("o.c", 1, STATION_V2),
+        ("o.c", 2, STATION_V1),
+        ("one.version", 1, STATION_V1),
+        ("bad.doc", 1, STATION_V1),
         ("bad.doc", 2, BROKEN),
-        ("not.changed", 1, ORDERS_V2),
-        ("not.changed", 2, ORDERS_V1),
+        ("not.changed", 1, STATION_V2),
+        ("not.changed", 2, STATION_V1),
     )
     names = ("o.c", "one.version", "bad.doc", "not.changed")
     contracts = contracts_of(spark, *[(n, "FORWARD", None) for n in names])
@@ -130,28 +129,36 @@ def test_changed_gate(spark, docs_of):
 
 
 def test_register_versions(spark, docs_of):
-    registry = docs_of(("o.c", 1, ORDERS_V1), ("g.g", 1, ORDERS_V2), ("g.g", 3, ORDERS_V2))
+    registry = docs_of(
+        ("o.c", 1, STATION_V1), ("g.g", 1, STATION_V2), ("g.g", 3, STATION_V2),
+        ("bad.base", 1, "{not json"), ("bad.mode", 1, STATION_V2), ("no.mode", 1, STATION_V2),
+    )
     contracts = contracts_of(
-        spark, ("o.c", "BACKWARD", None), ("g.g", "FULL", "relaxed"), ("new.one", "FULL", None)
-    )
-    good = json.dumps(ORDERS_V2)
+        spark, ("o.c", "BACKWARD", None), ("g.g", "FULL", "relaxed"), ("new.one", "FULL", None),
+        ("bad.base", "FULL", None), ("bad.mode", "SIDEWAYS", None), ("no.mode", None, None),
+    )
+    good = json.dumps(STATION_V2)
     asked = [
         ("o.c", "v2", good),
         ("o.c", "v1", good),
         ("o.c", "v5", good),
         ("g.g", "v2", good),
-        ("g.g", "v4", json.dumps(ORDERS_V1)),
+        ("g.g", "v4", json.dumps(STATION_V1)),
         ("new.one", "v1", good),
         ("new.one", "v2", good),
         ("gone", "v1", good),
         ("o.c ", "v2", json.dumps(BROKEN)),
+        ("o.c", "v99999999999", good),
+        ("bad.base", "v2", good),
+        ("bad.mode", "v2", good),
+        ("no.mode", "v2", good),
     ]
     found = {}
     for row in asked:
         candidates = spark.createDataFrame([row], "contract_id string, version string, schema_json string")
         for strict in (True, False):
             r = register_versions(
-                candidates, contracts, registry, schema_shapes(registry), PolicyPacks.parse(PACKS), strict
+                candidates, contracts, schema_shapes(registry), PolicyPacks.parse(PACKS), strict
             ).first()
             found[(*row[:2], strict)] = r.reason
     assert found[("o.c", "v2", True)] is None
@@ -159,12 +166,17 @@ def test_register_versions(spark, docs_of):
     assert found[("o.c", "v5", True)] == "Version sequence must be incremental. Expected v2."
     assert found[("g.g", "v2", True)] == "New version must be greater than existing latest version v3."
     assert found[("g.g", "v4", True)].startswith(
-        "Strict mode rejected version v4. Breaking changes: Field removed: currency; "
+        "Strict mode rejected version v4. Breaking changes: Field removed: unit; "
     )
     assert found[("g.g", "v4", False)] is None
     assert found[("new.one", "v1", True)] is None
     assert found[("new.one", "v2", True)] == "First contract version must be v1."
     assert found[("gone", "v1", True)] == "Contract not found: gone"
+    for strict in (True, False):
+        assert found[("o.c", "v99999999999", strict)] == "Version number out of range: v99999999999"
+        assert found[("bad.base", "v2", strict)] == "Invalid JSON in schema file: v1.json"
+        assert found[("bad.mode", "v2", strict)].startswith("Invalid compatibilityMode 'SIDEWAYS'.")
+        assert found[("no.mode", "v2", strict)].endswith("non-empty 'compatibilityMode'.")
     assert found[("o.c ", "v2", True)] == "Property 'a' in v2.json must define 'type'."
 
 
@@ -173,7 +185,7 @@ def test_register_contracts(spark):
         "contract_id string, owner_team string, domain string, compatibility_mode string, "
         "policy_pack string, initial_version string, schema_json string"
     )
-    good = json.dumps(ORDERS_V1)
+    good = json.dumps(STATION_V1)
     asked = spark.createDataFrame(
         [
             (" payments.completed", "t", "d", "full", " ", None, good),
