@@ -5,8 +5,12 @@ all checks are expressions of that row. No Python, no shuffle of payloads when t
 passes Spark's broadcast size check; otherwise a join on (contract, version) whose schema side is
 unique, which AQE splits when one contract has most payloads.
 
-Covered: root `type`, and per property `type`, `required`, `enum`, with `nullable` honoured. Any
-other assertion keyword gives a violation of its own, never a silent pass.
+Covered: root `type`, and per property `type`, `required`, `enum`, `const`, bounds of numbers, lengths,
+sizes and unique items, item types, with `nullable` honoured; at the root also `additionalProperties:
+false`, sizes and `dependentRequired`. Any other assertion keyword (references, applicators that
+recurse, `pattern`, whose dialect differs) gives a violation of its own, never a silent pass.
+
+A value and its kind are bound once in each step, as reading the kind of a variant walks all of it.
 """
 
 from __future__ import annotations
@@ -16,17 +20,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pactlake.functions.text import trimmed
 from pactlake.operators.documents import flag_is_true
 
-# Assertion keywords that the field model does not carry.
+# Assertion keywords that the field model does not carry, at the root or in a property.
 UNSUPPORTED = (
-    "$ref", "$dynamicRef", "additionalProperties", "allOf", "anyOf", "const", "contains",
-    "dependentRequired", "dependentSchemas", "else", "exclusiveMaximum", "exclusiveMinimum", "if",
-    "items", "maxContains", "maxItems", "maxLength", "maxProperties", "maximum", "minContains",
-    "minItems", "minLength", "minProperties", "minimum", "multipleOf", "not", "oneOf", "pattern",
-    "patternProperties", "prefixItems", "propertyNames", "then", "unevaluatedItems",
-    "unevaluatedProperties", "uniqueItems",
+    "$ref", "$dynamicRef", "allOf", "anyOf", "contains", "dependentSchemas", "else", "if",
+    "maxContains", "minContains", "not", "oneOf", "pattern", "patternProperties", "prefixItems",
+    "propertyNames", "then", "unevaluatedItems", "unevaluatedProperties",
+)
+# Keywords carried for a property but not for the root.
+PROPERTY_ONLY = (
+    "const", "enum", "exclusiveMaximum", "exclusiveMinimum", "items", "maxItems", "maxLength",
+    "maximum", "minItems", "minLength", "minimum", "multipleOf", "uniqueItems",
 )
 # Unsupported inside a property only: the root has its own handling of these.
-NESTED_ONLY = ("properties", "required")
+NESTED_ONLY = ("properties", "required", "additionalProperties", "dependentRequired")
 TYPE_NAMES = ("array", "boolean", "integer", "null", "number", "object", "string")
 
 # Violation codes.
@@ -71,9 +77,9 @@ def _type_matches(value: Column, k: Column, name: Column) -> Column:
     )
 
 
-def canonical(value: Column) -> Column:
-    """Text that is equal exactly when two JSON values are: `1` and `1.0` agree, `1` and `"1"` not."""
-    k = kind(value)
+def canonical(value: Column, k: Column) -> Column:
+    """Text that is equal exactly when two JSON values are: `1` and `1.0` agree, `1` and `"1"` not.
+    k: the value's kind."""
     return (
         F.when(
             _is_number(k),
@@ -90,6 +96,15 @@ def canonical(value: Column) -> Column:
     )
 
 
+def _with_kinds(values: Column) -> Column:
+    """Variants as (v, k) with their kinds."""
+    return F.transform(values, lambda v: F.struct(v.alias("v"), kind(v).alias("k")))
+
+
+def _canonical_all(values: Column) -> Column:
+    return F.transform(_with_kinds(values), lambda x: canonical(x["v"], x["k"]))
+
+
 def _type_names(of: Column) -> Column:
     """`type` as a list; null when absent."""
     as_list = F.try_variant_get(of, "$.type", "array<string>")
@@ -111,32 +126,82 @@ def _unsupported(of: Column, extra: tuple[str, ...] = ()) -> Column:
     )
 
 
+# Keyword, how its value is read, and the property of a payload value that it bounds.
+BOUNDS = (
+    ("minimum", "double"),
+    ("maximum", "double"),
+    ("exclusiveMinimum", "double"),
+    ("exclusiveMaximum", "double"),
+    ("multipleOf", "decimal(38,12)"),
+    ("minLength", "bigint"),
+    ("maxLength", "bigint"),
+    ("minItems", "bigint"),
+    ("maxItems", "bigint"),
+    ("uniqueItems", "boolean"),
+    ("minProperties", "bigint"),
+    ("maxProperties", "bigint"),
+)
+_BOUNDS_DDL = ",".join(f"{name}:{kind_of}" for name, kind_of in BOUNDS)
+
+
+def _bounds(of: Column) -> Column:
+    return F.struct(
+        *[F.try_variant_get(of, f"$.{name}", kind_of).alias(name) for name, kind_of in BOUNDS]
+    )
+
+
 def contract_shapes(docs: DataFrame) -> DataFrame:
     """One row per schema document: root types, fields, and violations any payload will have."""
     tree = docs.select(
         F.col("contract_id"), "version", F.try_parse_json("schema_json").alias("tree")
     )
     properties = F.map_entries(F.try_variant_get("tree", "$.properties", "map<string,variant>"))
+    closed = F.try_variant_get("tree", "$.additionalProperties", "boolean")
+    open_schema = F.try_variant_get("tree", "$.additionalProperties", "variant").isNotNull()
     rows = tree.select(
         "contract_id",
         "version",
         _type_names(F.col("tree")).alias("root_types"),
-        _unsupported(F.col("tree")).alias("root_unsupported"),
+        F.concat(
+            _unsupported(F.col("tree"), PROPERTY_ONLY),
+            # A schema for further members, which is no boolean.
+            F.when(open_schema & closed.isNull(), F.array(F.lit("additionalProperties"))).otherwise(
+                F.array().cast(_NO_TEXT)
+            ),
+        ).alias("root_unsupported"),
         F.coalesce(
             F.try_variant_get("tree", "$.required", _NO_TEXT), F.array().cast(_NO_TEXT)
         ).alias("required_names"),
+        F.coalesce(~closed, F.lit(False)).alias("closed"),
+        F.try_variant_get("tree", "$.minProperties", "bigint").alias("min_members"),
+        F.try_variant_get("tree", "$.maxProperties", "bigint").alias("max_members"),
+        F.map_entries(
+            F.try_variant_get("tree", "$.dependentRequired", f"map<string,{_NO_TEXT}>")
+        ).alias("dependent"),
         properties.alias("properties"),
     )
 
     def field(entry: Column) -> Column:
         body = entry["value"]
         enum = F.try_variant_get(body, "$.enum", "array<variant>")
+        const = F.try_variant_get(body, "$.const", "variant")
+        items = F.try_variant_get(body, "$.items", "variant")
+        item_keys = F.map_keys(items.try_cast("map<string,variant>"))
+        only_type = F.coalesce(F.size(F.array_except(item_keys, F.array(F.lit("type")))) == 0, F.lit(False))
         return F.struct(
             entry["key"].alias("name"),
             _type_names(body).alias("types"),
             flag_is_true(F.try_variant_get(body, "$.nullable", "string")).alias("nullable"),
-            F.transform(enum, canonical).alias("allowed"),
-            _unsupported(body, NESTED_ONLY).alias("unsupported"),
+            _canonical_all(enum).alias("allowed"),
+            F.get(_canonical_all(F.when(const.isNotNull(), F.array(const))), F.lit(0)).alias("const"),
+            F.when(only_type, _type_names(items)).alias("item_types"),
+            _bounds(body).alias("bounds"),
+            F.concat(
+                _unsupported(body, NESTED_ONLY),
+                F.when(items.isNotNull() & ~only_type, F.array(F.lit("items"))).otherwise(
+                    F.array().cast(_NO_TEXT)
+                ),
+            ).alias("unsupported"),
         )
 
     rows = rows.withColumn(
@@ -144,8 +209,9 @@ def contract_shapes(docs: DataFrame) -> DataFrame:
         F.coalesce(
             F.transform("properties", field),
             F.array().cast(
-                "array<struct<name:string,types:array<string>,nullable:boolean,"
-                "allowed:array<string>,unsupported:array<string>>>"
+                "array<struct<name:string,types:array<string>,nullable:boolean,allowed:array<string>,"
+                f"const:string,item_types:array<string>,bounds:struct<{_BOUNDS_DDL}>,"
+                "unsupported:array<string>>>"
             ),
         ),
     )
@@ -174,6 +240,10 @@ def contract_shapes(docs: DataFrame) -> DataFrame:
         F.struct(
             "root_types",
             "required_names",
+            "closed",
+            "min_members",
+            "max_members",
+            "dependent",
             "fields",
             F.concat(at_root, inside, unknown_types).alias("unsupported"),
         ).alias("shape"),
@@ -188,6 +258,40 @@ def _when(condition: Column, code: str) -> Column:
     return F.when(condition, F.array(F.lit(code))).otherwise(F.array().cast(_NO_TEXT))
 
 
+def _member_violations(m: Column) -> Column:
+    """Violations of one member (f: field, v: value, k: kind)."""
+    f, value, k = m["f"], m["v"], m["k"]
+    bounds, name = f["bounds"], f["name"]
+    number = F.when(_is_number(k), value.try_cast("double"))
+    text = F.when(k == "STRING", F.length(value.try_cast("string")))
+    items = F.when(k == "ARRAY", value.try_cast("array<variant>"))
+    members = F.when(k == "OBJECT", F.size(value.try_cast("map<string,variant>")))
+    exact = F.when(_is_number(k), value.try_cast("decimal(38,12)"))
+    strange = F.exists(
+        _with_kinds(items), lambda x: ~F.exists(f["item_types"], lambda t: _type_matches(x["v"], x["k"], t))
+    )
+    repeated = F.size(F.array_distinct(_canonical_all(items))) < F.size(items)
+    wrong = [
+        (TYPE, f["types"].isNotNull() & ~F.exists(f["types"], lambda t: _type_matches(value, k, t))),
+        (ENUM, f["allowed"].isNotNull() & ~F.array_contains(f["allowed"], canonical(value, k))),
+        ("const", f["const"].isNotNull() & (f["const"] != canonical(value, k))),
+        ("minimum", bounds["minimum"].isNotNull() & (number < bounds["minimum"])),
+        ("maximum", bounds["maximum"].isNotNull() & (number > bounds["maximum"])),
+        ("exclusiveMinimum", bounds["exclusiveMinimum"].isNotNull() & (number <= bounds["exclusiveMinimum"])),
+        ("exclusiveMaximum", bounds["exclusiveMaximum"].isNotNull() & (number >= bounds["exclusiveMaximum"])),
+        ("multipleOf", (bounds["multipleOf"] > 0) & (exact % bounds["multipleOf"] != 0)),
+        ("minLength", bounds["minLength"].isNotNull() & (text < bounds["minLength"])),
+        ("maxLength", bounds["maxLength"].isNotNull() & (text > bounds["maxLength"])),
+        ("minItems", bounds["minItems"].isNotNull() & (F.size(items) < bounds["minItems"])),
+        ("maxItems", bounds["maxItems"].isNotNull() & (F.size(items) > bounds["maxItems"])),
+        ("uniqueItems", F.coalesce(bounds["uniqueItems"], F.lit(False)) & repeated),
+        ("items", f["item_types"].isNotNull() & strange),
+        ("minProperties", bounds["minProperties"].isNotNull() & (members < bounds["minProperties"])),
+        ("maxProperties", bounds["maxProperties"].isNotNull() & (members > bounds["maxProperties"])),
+    ]
+    return F.array_compact(F.array(*[F.when(broken, _code(code, name)) for code, broken in wrong]))
+
+
 def with_violations(payloads: DataFrame, shapes: DataFrame) -> DataFrame:
     """Payload rows plus `valid` and sorted `violations` (`code:subject`)."""
     names = {"contract_id": "shape_contract", "version": "shape_version"}
@@ -210,25 +314,19 @@ def with_violations(payloads: DataFrame, shapes: DataFrame) -> DataFrame:
         }
     )
     present, tree = F.col("members"), F.col("tree")
-
-    def of_field(f: Column) -> Column:
-        value = F.element_at(present, f["name"])
-        k = kind(value)
-        accepted_null = f["nullable"] & (k == "VOID")
-        typed = f["types"].isNull() | F.exists(
-            f["types"], lambda t: _type_matches(value, k, t)
-        )
-        listed = f["allowed"].isNull() | F.array_contains(f["allowed"], canonical(value))
-        return F.when(
-            value.isNull() | accepted_null, F.array().cast(_NO_TEXT)
-        ).otherwise(
-            F.concat(
-                F.when(typed, F.array().cast(_NO_TEXT)).otherwise(F.array(_code(TYPE, f["name"]))),
-                F.when(listed, F.array().cast(_NO_TEXT)).otherwise(F.array(_code(ENUM, f["name"]))),
-            )
-        )
-
     shape = F.col("shape")
+    # Each member that a field describes: read once, then its kind, then what its kind says.
+    members = F.filter(
+        F.transform(
+            shape["fields"],
+            lambda f: F.struct(f.alias("f"), F.element_at(present, f["name"]).alias("v")),
+        ),
+        lambda m: m["v"].isNotNull(),
+    )
+    kinds = F.filter(
+        F.transform(members, lambda m: F.struct(m["f"], m["v"], kind(m["v"]).alias("k"))),
+        lambda m: ~(m["f"]["nullable"] & (m["k"] == "VOID")),
+    )
     root_ok = shape["root_types"].isNull() | F.exists(
         shape["root_types"], lambda t: _type_matches(tree, F.col("root_kind"), t)
     )
@@ -236,12 +334,31 @@ def with_violations(payloads: DataFrame, shapes: DataFrame) -> DataFrame:
         F.filter(shape["required_names"], lambda n: F.element_at(present, n).isNull()),
         lambda n: _code(REQUIRED, n),
     )
+    names = F.map_keys(present)
+    extra = F.transform(
+        F.array_except(names, F.transform(shape["fields"], lambda f: f["name"])),
+        lambda n: _code("additionalProperties", n),
+    )
+    dependent = F.flatten(
+        F.transform(
+            F.filter(shape["dependent"], lambda d: F.array_contains(names, d["key"])),
+            lambda d: F.transform(
+                F.array_except(d["value"], names), lambda n: _code("dependentRequired", n)
+            ),
+        )
+    )
+    nothing = F.array().cast(_NO_TEXT)
+    of_object = F.concat(
+        missing,
+        F.flatten(F.transform(kinds, _member_violations)),
+        F.when(shape["closed"], extra).otherwise(nothing),
+        _when(F.size(names) < shape["min_members"], "minProperties"),
+        _when(F.size(names) > shape["max_members"], "maxProperties"),
+        F.coalesce(dependent, nothing),
+    )
     checks = F.concat(
         _when(~root_ok, ROOT_TYPE),
-        F.when(F.col("root_kind") == "OBJECT", missing).otherwise(F.array().cast(_NO_TEXT)),
-        F.when(
-            F.col("root_kind") == "OBJECT", F.flatten(F.transform(shape["fields"], of_field))
-        ).otherwise(F.array().cast(_NO_TEXT)),
+        F.when(F.col("root_kind") == "OBJECT", of_object).otherwise(nothing),
         shape["unsupported"],
     )
     violations = (

@@ -280,6 +280,54 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+KEYWORD_DOCUMENT = """{"type":"object","properties":{
+  "n":{"type":"integer","minimum":10,"exclusiveMaximum":5000,"multipleOf":3},
+  "v":{"exclusiveMinimum":20,"maximum":150.5},
+  "s":{"type":"string","minLength":5,"maxLength":6},
+  "a":{"type":"array","minItems":2,"maxItems":3,"uniqueItems":true,"items":{"type":["integer","null"]}},
+  "c":{"const":1.0},
+  "o":{"type":"object","minProperties":1,"maxProperties":1}},
+  "additionalProperties":false,"minProperties":5,"maxProperties":6,"dependentRequired":{"s":["n"]}}"""
+
+
+def keyword_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """A payload per event that meets or breaks each keyword of KEYWORD_DOCUMENT."""
+    i = F.col("event_id")
+    parts = [
+        F.when(i % 7 != 0, F.concat(F.lit('"n":'), i)),
+        F.concat(F.lit('"v":'), F.col("value").cast("string")),
+        F.concat(F.lit('"s":"'), "event_type", F.lit('"')),
+        F.concat(
+            F.lit('"a":['),
+            F.concat_ws(
+                ",",
+                (i % 3).cast("string"),
+                F.when(i % 5 != 0, (i % 4).cast("string")),
+                F.when(i % 6 == 0, '"q"'),
+                F.when(i % 11 == 0, "7,8"),
+            ),
+            F.lit("]"),
+        ),
+        F.concat(F.lit('"c":'), i % 2),
+        F.concat(F.lit('"o":'), F.when(i % 13 == 0, "{}").when(i % 17 == 0, '{"p":1,"q":2}').otherwise('{"p":1}')),
+        F.when(i % 19 == 0, '"x":0'),
+    ]
+    return table(spark, sf, "events").select(
+        F.lit("kw.all").alias("contract_id"),
+        F.lit("v1").alias("version"),
+        i.cast("string").alias("payload_id"),
+        F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("payload"),
+    )
+
+
+def keyword_docs(spark: SparkSession) -> DataFrame:
+    return spark.range(0, 1, 1, 1).select(
+        F.lit("kw.all").alias("contract_id"),
+        F.lit("v1").alias("version"),
+        F.lit(KEYWORD_DOCUMENT).alias("schema_json"),
+    )
+
+
 MALFORMED = "metadata.yaml is no mapping."
 
 
@@ -476,7 +524,7 @@ def event_docs(spark: SparkSession, sf: str) -> DataFrame:
     allowed = ",".join(f'"{t}"' for t in EVENT_TYPES)
     value = (
         F.when(F.col("event_type") == "view", '{"type":"number","nullable":true}')
-        .when(F.col("event_type") == "signup", '{"type":"number","minimum":0}')
+        .when(F.col("event_type") == "signup", '{"type":"number","pattern":"x"}')
         .otherwise('{"type":"number"}')
     )
     return kinds.select(

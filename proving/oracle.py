@@ -851,7 +851,7 @@ SELECT CASE WHEN i % 101 = 0 THEN 'events.ghost' ELSE 'events.' || event_type EN
         WHEN i % 23 = 0 THEN NULL WHEN i % 29 = 0 THEN 'type:eventId' END,
       CASE WHEN i % 17 = 0 THEN 'enum:type' END,
       CASE WHEN i % 19 = 0 AND event_type <> 'view' THEN 'type:value' END,
-      CASE WHEN event_type = 'signup' THEN 'unsupported_keyword:value.minimum' END],
+      CASE WHEN event_type = 'signup' THEN 'unsupported_keyword:value.pattern' END],
       lambda x: x IS NOT NULL)) END AS violations
 FROM (SELECT *, event_id AS i FROM events)""")
 _CHECKED = """
@@ -859,6 +859,27 @@ SELECT contract_id, version, payload_id, len(violations) = 0 AS valid,
   array_to_string(violations, ',') AS violations FROM pay"""
 oracle("payload_conformance", "pay", _CHECKED)
 oracle("stream_payload_conformance", "pay", _CHECKED)
+oracle("payload_keywords", "", """
+SELECT payload_id, len(violations) = 0 AS valid, array_to_string(violations, ',') AS violations
+FROM (SELECT CAST(i AS VARCHAR) AS payload_id, list_sort(list_distinct(list_filter([
+    CASE WHEN i % 7 <> 0 AND i < 10 THEN 'minimum:n' END,
+    CASE WHEN i % 7 <> 0 AND i >= 5000 THEN 'exclusiveMaximum:n' END,
+    CASE WHEN i % 7 <> 0 AND i % 3 <> 0 THEN 'multipleOf:n' END,
+    CASE WHEN value <= 20 THEN 'exclusiveMinimum:v' END,
+    CASE WHEN value > 150.5 THEN 'maximum:v' END,
+    CASE WHEN length(event_type) < 5 THEN 'minLength:s' END,
+    CASE WHEN length(event_type) > 6 THEN 'maxLength:s' END,
+    CASE WHEN len(a) < 2 THEN 'minItems:a' END, CASE WHEN len(a) > 3 THEN 'maxItems:a' END,
+    CASE WHEN len(list_distinct(a)) < len(a) THEN 'uniqueItems:a' END,
+    CASE WHEN i % 6 = 0 THEN 'items:a' END, CASE WHEN i % 2 = 0 THEN 'const:c' END,
+    CASE WHEN i % 13 = 0 THEN 'minProperties:o' WHEN i % 17 = 0 THEN 'maxProperties:o' END,
+    CASE WHEN i % 19 = 0 THEN 'additionalProperties:x' END,
+    CASE WHEN i % 19 = 0 AND i % 7 <> 0 THEN 'maxProperties' END,
+    CASE WHEN i % 7 = 0 THEN 'dependentRequired:n' END], lambda x: x IS NOT NULL))) AS violations
+  FROM (SELECT event_id AS i, event_type, value, list_filter([CAST(event_id % 3 AS VARCHAR),
+      CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 4 AS VARCHAR) END,
+      CASE WHEN event_id % 6 = 0 THEN 'q' END, CASE WHEN event_id % 11 = 0 THEN '7' END,
+      CASE WHEN event_id % 11 = 0 THEN '8' END], lambda x: x IS NOT NULL) AS a FROM events))""")
 oracle("payload_violations", "pay", """
 SELECT contract_id, version, split_part(x, ':', 1) AS code,
   CASE WHEN contains(x, ':') THEN substr(x, instr(x, ':') + 1) END AS subject, count(*) AS payloads

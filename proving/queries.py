@@ -754,6 +754,12 @@ def payload_conformance(spark, sf):
     return checked.drop("payload").withColumn("violations", listed("violations", ","))
 
 
+@query
+def payload_keywords(spark, sf):
+    checked = payloads.check_payloads(fx.keyword_payloads(spark, sf), fx.keyword_docs(spark))
+    return checked.select("payload_id", "valid", listed("violations", ","))
+
+
 @query
 def payload_violations(spark, sf):
     return payloads.payload_violations(

@@ -71,18 +71,42 @@ def test_kinds(spark, docs_of):
 
 def test_unsupported_keywords_never_pass_silently(spark, docs_of):
     doc = {
-        "additionalProperties": False,
-        "properties": {"a": {"type": "date"}, "b": {"type": "string", "minLength": 2}},
+        "additionalProperties": {"type": "string"},
+        "minimum": 3,
+        "properties": {
+            "a": {"type": "date"},
+            "b": {"type": "string", "pattern": "x"},
+            "c": {"items": {"minimum": 1}},
+            "d": {"properties": {}},
+        },
     }
     assert check(spark, docs_of, [{}], doc) == [
         [
             "unsupported_keyword:a.type",
             "unsupported_keyword:additionalProperties",
-            "unsupported_keyword:b.minLength",
+            "unsupported_keyword:b.pattern",
+            "unsupported_keyword:c.items",
+            "unsupported_keyword:d.properties",
+            "unsupported_keyword:minimum",
         ]
     ]
 
 
+def test_bounds_apply_to_their_own_kind_only(spark, docs_of):
+    doc = {
+        "properties": {
+            "a": {"minimum": 2, "minLength": 2, "minItems": 2, "minProperties": 2, "uniqueItems": True},
+            "m": {"multipleOf": 0.1, "nullable": True, "const": None},
+        }
+    }
+    payloads = [{"a": v} for v in (1, "x", [1], {"k": 1}, 2, "xy", [1, 1.0], [1, "1"], {"k": 1, "l": 2}, True, None)]
+    got = check(spark, docs_of, [*payloads, {"m": 0.3}, {"m": 0.35}, {"m": None}], doc)
+    assert got == [
+        ["minimum:a"], ["minLength:a"], ["minItems:a"], ["minProperties:a"], [], [], ["uniqueItems:a"],
+        [], [], [], [], ["const:m"], ["const:m", "multipleOf:m"], [],
+    ]
+
+
 def test_unknown_contract_and_version_text(spark, docs_of):
     df = spark.createDataFrame(
         [(" a.b", " v1.json", "1", "{}"), ("a.b", "v2", "2", "{}"), ("x", "v1", "3", None)],
