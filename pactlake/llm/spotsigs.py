@@ -35,19 +35,34 @@ def _words(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^0-9a-z\x{80}-\x{10FFFF}]+", " "))
 
 
-def signatures(text: Column, chain: int = CHAIN, common: str = COMMON) -> Column:
-    """The distinct signatures of a text as 64-bit hashes, never none: a text without a single anchored
-    chain has its words as signatures, a text without words the empty word."""
-    words = _words(text)
-    anchors = "|".join(sorted(set(common.split())))
-    pieces = F.split(F.concat(F.lit(" "), words), f" (?=(?:{anchors})(?: |$))")
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, by their first letters."""
+    rests: dict[str, list[str]] = {}
+    for word in words:
+        rests.setdefault(word[0], []).append(word[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(r, reverse=True))})" for c, r in sorted(rests.items()))
+
+
+def with_signatures(
+    rows: DataFrame, text: str, name: str, chain: int = CHAIN, common: str = COMMON
+) -> DataFrame:
+    """Rows with the distinct signatures of a text column as 64-bit hashes, never none: a text without a
+    single anchored chain has its words as signatures, a text without words the empty word.
+
+    Each step is a column of its own, so that no text is split more than once.
+    """
+    anchors = _any_of(sorted(set(common.split())))
+    steps = rows.withColumn("_words", _words(F.col(text)))
+    pieces = F.split(F.concat(F.lit(" "), "_words"), f" (?=(?:{anchors})(?: |$))")
+    steps = steps.withColumn("_pieces", F.slice(pieces, 2, 1 << 30))
     chains = F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+        "_pieces",
         lambda p: F.when(F.instr(p, " ") > 0, F.xxhash64(F.substring_index(p, " ", chain + 1))),
     )
-    chains = F.array_distinct(F.array_compact(chains))
-    plain = F.array_distinct(F.transform(F.split(words, " "), lambda w: F.xxhash64(w)))
-    return F.when(F.size(chains) > 0, chains).otherwise(plain)
+    steps = steps.withColumn("_chains", F.array_distinct(F.array_compact(chains)))
+    plain = F.array_distinct(F.transform(F.split("_words", " "), lambda w: F.xxhash64(w)))
+    sigs = F.when(F.size("_chains") > 0, F.col("_chains")).otherwise(plain)
+    return steps.withColumn(name, sigs).drop("_words", "_pieces", "_chains")
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -107,8 +122,8 @@ def beside_next(docs: DataFrame) -> DataFrame:
     firsts = firsts.select("before", F.col("after.doc_id").alias("after_id"), F.col("after.text_key").alias("after_key"))
     at = rows["doc_id"].eqNullSafe(firsts["after_id"]) & (rows["text_key"] == firsts["after_key"])
     edges = rows.join(F.broadcast(firsts), at).groupBy("before").agg(F.max("text").alias("edge"))
-    edges = edges.select(F.col("before").alias("range"), "edge", signatures(F.col("edge")).alias("edge_sigs"))
-    signed = rows.repartition("range").withColumn("sigs", signatures(F.col("text")))
+    edges = with_signatures(edges.select(F.col("before").alias("range"), "edge"), "edge", "edge_sigs")
+    signed = with_signatures(rows.repartition("range"), "text", "sigs")
     order = Window.partitionBy("range").orderBy(F.desc_nulls_last("doc_id"), F.desc("text_key"))
     signed = signed.withColumns({"ahead": F.lead("text").over(order), "ahead_sigs": F.lead("sigs").over(order)})
     last = F.col("ahead").isNull()
@@ -129,7 +144,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     third = F.floor(F.col("n_chars") / 3).cast("int")
     kept = F.substring("text", 1, (F.col("n_chars") - third).cast("int"))
     rows = rows.withColumn("edited", F.concat(kept, F.substring("next_text", 1, third)))
-    rows = rows.withColumn("edited_sigs", signatures(F.col("edited")))
+    rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id",
         "n_chars",
