@@ -65,6 +65,7 @@ def execution_state(status: Column | str) -> Column:
 
 
 def redact_jdbc_url(url: Column | str) -> Column:
+    # What counts as a credential, and the masks.
     masked = F.regexp_replace(_col(url), r"(?i)(password=)[^&;]+", "$1****")
     masked = F.regexp_replace(masked, r"(?s)^(.*?://)[^@]*@", "$1***:***@")
     return F.when(is_blank(url), F.lit("-")).otherwise(masked)

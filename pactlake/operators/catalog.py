@@ -19,7 +19,12 @@ def version_summary(versions: DataFrame) -> DataFrame:
 
 
 def contract_catalog(contracts: DataFrame, versions: DataFrame, packs: PolicyPacks) -> DataFrame:
-    """One summary row per contract, sorted by id.
+    """One summary row per contract, sorted by id for a listing."""
+    return contract_summary(contracts, versions, packs).orderBy("contract_id")
+
+
+def contract_summary(contracts: DataFrame, versions: DataFrame, packs: PolicyPacks) -> DataFrame:
+    """One summary row per contract.
 
     The list of versions is a table of its own (contract_versions): a contract may have very many.
     """
@@ -33,7 +38,7 @@ def contract_catalog(contracts: DataFrame, versions: DataFrame, packs: PolicyPac
         version_of(F.col("latest_num")).alias("latest_version"),
         F.coalesce("version_count", F.lit(0)).cast("long").alias("version_count"),
         F.lit(ACTIVE).alias("status"),
-    ).orderBy("contract_id")
+    )
 
 
 def contract_versions(versions: DataFrame) -> DataFrame:

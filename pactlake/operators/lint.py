@@ -2,6 +2,8 @@
 
 Each document is read once and all its checks are expressions of that one projection. The only
 shuffle is the comparison of contract ids between metadata and documents.
+
+Fixed values: the message texts in this module.
 """
 
 from __future__ import annotations

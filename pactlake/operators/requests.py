@@ -1,4 +1,7 @@
-"""Check requests: validation, and resolution against the registry."""
+"""Check requests: validation, and resolution against the registry.
+
+Fixed values: the message texts in this module.
+"""
 
 from __future__ import annotations
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pactlake.operators.catalog import contract_modified
+from pactlake.operators.catalog import contract_modified, contract_summary
+from pactlake.operators.policy import PolicyPacks
 
 
 def refresh_status(files: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -25,17 +26,26 @@ def refresh_status(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
 
 
-def incremental_refresh(catalog: DataFrame, fresh: DataFrame, status: DataFrame) -> DataFrame:
+def incremental_refresh(
+    catalog: DataFrame,
+    contracts: DataFrame,
+    versions: DataFrame,
+    packs: PolicyPacks,
+    status: DataFrame,
+) -> DataFrame:
     """The new catalogue: stored rows of unchanged contracts, fresh rows of the others.
 
-    `fresh` is the lazily computed catalogue; the semi join keeps only what must be recomputed.
+    Contracts and versions are cut to the stale ids before anything is aggregated.
     """
     stale = status.filter(F.col("state").isin("added", "changed")).select("contract_id")
     kept = status.filter(F.col("state") == "unchanged").select("contract_id")
+    fresh = contract_summary(
+        contracts.join(stale, "contract_id", "left_semi"),
+        versions.join(stale, "contract_id", "left_semi"),
+        packs,
+    )
     return (
         catalog.join(kept, "contract_id", "left_semi")
         .withColumn("recomputed", F.lit(False))
-        .unionByName(
-            fresh.join(stale, "contract_id", "left_semi").withColumn("recomputed", F.lit(True))
-        )
+        .unionByName(fresh.withColumn("recomputed", F.lit(True)))
     )

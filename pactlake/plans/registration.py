@@ -1,4 +1,7 @@
-"""Gates on new contracts and new versions."""
+"""Gates on new contracts and new versions.
+
+Fixed values: the message texts in this module.
+"""
 
 from __future__ import annotations
 

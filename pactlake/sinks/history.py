@@ -2,6 +2,8 @@
 
 Ids are computed from the rows and the batch, and the time is one value per batch: a task that is
 run again after a lost executor writes the same rows, and logs always name the run that was stored.
+
+Fixed values: the codes and message texts of the log rows.
 """
 
 from __future__ import annotations

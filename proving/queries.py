@@ -739,10 +739,15 @@ def refresh_status(spark, sf):
 
 @query
 def incremental_refresh(spark, sf):
-    fresh = contract_catalog(spark, sf)
-    stored = fresh.withColumn("owner_team", F.lit("stored"))
+    before = contract_catalog(spark, sf).withColumn("owner_team", F.lit("stored"))
     status = refresh.refresh_status(version_files(spark, sf), stored_snapshot(spark, sf))
-    return refresh.incremental_refresh(stored, fresh, status)
+    return refresh.incremental_refresh(
+        stored(spark, "catalog", before),
+        fx.contracts(spark, sf),
+        evolving_versions(spark, sf),
+        fx.packs(),
+        stored(spark, "status", status),
+    )
 
 
 # --- payloads and streams ----------------------------------------------------------------------

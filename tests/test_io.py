@@ -63,9 +63,24 @@ def test_policy_file(spark, repository, tmp_path):
     packs = registry.read_policy_packs(spark, f"{repository}/policy-packs.json")
     assert packs == PolicyPacks.parse(PACKS)
     assert registry.read_policy_packs(spark, f"{repository}/none.json") == PolicyPacks.parse(None)
-    (tmp_path / "big.json").write_text(" " * (registry.MAX_POLICY_BYTES + 1))
-    with pytest.raises(ValueError):
-        registry.read_policy_packs(spark, str(tmp_path / "big.json"))
+    (tmp_path / "big.json").write_text(PACKS + " " * (2 << 20))
+    assert registry.read_policy_packs(spark, str(tmp_path / "big.json")) == PolicyPacks.parse(PACKS)
+    (tmp_path / "empty.json").write_text("")
+    assert registry.read_policy_packs(spark, str(tmp_path / "empty.json")) == PolicyPacks.parse(None)
+
+
+def test_files_of_zero_bytes_are_known_from_a_listing(spark, repository):
+    docs = registry.read_schema_docs(spark, repository)
+    listing = spark.createDataFrame(
+        [("o.c", "v1.json"), ("o.c", "v3.json"), ("p.q", "v1.json"), ("p.q", "notes.txt")],
+        "contract_id string, file string",
+    )
+    whole = registry.with_unread(docs, listing)
+    assert whole.columns == docs.columns and whole.count() == docs.count() + 2
+    found = lint_contracts(registry.read_contracts(spark, repository), whole).collect()
+    assert {(r.contract_id, r.version) for r in found if r.rule == "schema_not_object"} == {
+        ("o.c", "v3"), ("p.q", "v1"),
+    }
 
 
 def test_check_from_files_to_history(spark, repository, tmp_path):
