@@ -110,26 +110,44 @@ def contract_violations(contracts: DataFrame, docs: DataFrame) -> DataFrame:
     ).select("contract_id", "version", "v.*")
 
 
-def _property_violations(entry: Column, file: Column) -> Column:
-    name, body = entry["key"], entry["value"]
-    body_kind = _kind(body)
-    kind_of_type = _kind(F.try_variant_get(body, "$.type", "variant"))
-    type_text = F.lower(trimmed(F.try_variant_get(body, "$.type", "string")))
-    entry_kinds = F.transform(
-        F.try_variant_get(body, "$.type", "array<variant>"), lambda v: _kind(v)
+def _property_facts(entries: Column) -> Column:
+    """What the rules ask of each property (name → body), every kind read once: the kind of a variant
+    costs a walk over all of it, so a step binds it before the next uses it several times."""
+    parts = F.transform(
+        entries,
+        lambda e: F.struct(
+            e["key"].alias("name"),
+            _kind(e["value"]).alias("body_kind"),
+            F.try_variant_get(e["value"], "$.type", "variant").alias("type"),
+            F.try_variant_get(e["value"], "$.enum", "variant").alias("enum"),
+        ),
     )
-    names = F.filter(
-        F.transform(
-            F.try_variant_get(body, "$.type", "array<string>"), lambda t: F.lower(trimmed(t))
+    return F.transform(
+        parts,
+        lambda p: F.struct(
+            p["name"].alias("name"),
+            p["body_kind"].alias("body_kind"),
+            _kind(p["type"]).alias("type_kind"),
+            F.lower(trimmed(p["type"].try_cast("string"))).alias("type_text"),
+            F.transform(p["type"].try_cast("array<variant>"), _kind).alias("entry_kinds"),
+            F.filter(
+                F.transform(
+                    p["type"].try_cast("array<string>"), lambda t: F.lower(trimmed(t))
+                ),
+                lambda t: t != "null",
+            ).alias("names"),
+            _kind(p["enum"]).alias("enum_kind"),
+            F.transform(p["enum"].try_cast("array<variant>"), _kind).alias("enum_kinds"),
         ),
-        lambda t: t != "null",
     )
+
+
+def _property_violations(facts: Column, file: Column) -> Column:
+    name, kind_of_type, type_text = facts["name"], facts["type_kind"], facts["type_text"]
+    names, enum_kind, enum_kinds = facts["names"], facts["enum_kind"], facts["enum_kinds"]
+    entry_kinds = facts["entry_kinds"]
     joined = F.array_join(F.sort_array(names), "|")
-    enum_kind = _kind(F.try_variant_get(body, "$.enum", "variant"))
-    enum_kinds = F.transform(
-        F.try_variant_get(body, "$.enum", "array<variant>"), lambda v: _kind(v)
-    )
-    is_object = body_kind == "OBJECT"
+    is_object = facts["body_kind"] == "OBJECT"
     lead = F.concat(F.lit("Property '"), name, F.lit("'"))
     unusable = (kind_of_type == "STRING") & (is_blank(type_text) | (type_text == "unknown"))
     strings_only = ~F.exists(entry_kinds, lambda k: k != "STRING")
@@ -194,11 +212,11 @@ def with_document_violations(docs: DataFrame) -> DataFrame:
         is_blank("schema_json").alias("is_empty"),
         F.from_json("schema_json", "required array<string>", STRICT_JSON).alias("doc"),
     )
-    read = read.select(
+    read = read.withColumn("tree_kind", _kind(F.col("tree"))).select(
         *rest,
         "file",
         (F.col("tree").isNotNull() | F.col("is_empty")).alias("is_json"),
-        F.coalesce(_kind(F.col("tree")) == "OBJECT", F.lit(False)).alias("is_object"),
+        F.coalesce(F.col("tree_kind") == "OBJECT", F.lit(False)).alias("is_object"),
         _kind(F.try_variant_get("tree", "$.required", "variant")).alias("required_kind"),
         _kind(F.try_variant_get("tree", "$.properties", "variant")).alias("properties_kind"),
         F.transform(
@@ -252,7 +270,8 @@ def with_document_violations(docs: DataFrame) -> DataFrame:
             usable & F.col("properties").isNotNull(),
             F.flatten(
                 F.transform(
-                    F.map_entries("properties"), lambda e: _property_violations(e, F.col("file"))
+                    _property_facts(F.map_entries("properties")),
+                    lambda f: _property_violations(f, F.col("file")),
                 )
             ),
         ).otherwise(F.array().cast(_LIST)),
