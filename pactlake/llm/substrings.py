@@ -3,9 +3,9 @@
 A suffix matters only down to its first `window` words: two suffixes that share them meet in one
 internal node of that depth, the suffix that stands first stays, and the others' words go. So each
 suffix is a path of that length, and paths are dealt to groups by a prefix of variable length: up to
-the end of the 8-word gram in it that hashes least. Equal paths have equal prefixes, and neighbouring
+the end of the 4-word gram in it that hashes least. Equal paths have equal prefixes, and neighbouring
 suffixes of a text mostly end their prefixes with the same gram, so they travel as one row: its 64-bit
-hash once, and 32 bits more for the path of each suffix.
+hash once, and 56 bits of the hash of each suffix's whole path.
 
 Groups are read sorted by prefix and place, so a task holds the distinct paths of one prefix and no
 more; within some megabytes of text equal paths are merged before they are sent, which thins a
@@ -23,11 +23,13 @@ from pactlake.llm.tables import row_key, text_key
 from pactlake.llm.words import NOT_SPACE, Words, grams, hashes, joined, least, mixed, words_of
 
 WINDOW = 20
-GRAM = 8
+GRAM = 4
+#: Bytes kept of a path's hash.
+CODE = 7
 #: Stands for a null doc_id, which comes after all others.
 _UNNAMED = np.iinfo(np.int64).max
 
-_SCHEMA = "prefix bigint, doc_id bigint, text_key bigint, start bigint, n int, paths array<int>"
+_SCHEMA = "prefix bigint, doc_id bigint, text_key bigint, start bigint, n int, paths binary"
 
 
 def _paths(w: Words, window: int, gram: int):
@@ -91,13 +93,24 @@ def _suffix_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 def _kept(prefix, path, anchor, row, at, stay):
     i = np.flatnonzero(stay)
     begin, n = _spans(row[i], anchor[i], at[i])
-    codes = pa.array((path[i] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-    return i[begin], prefix[i[begin]], n, pa.ListArray.from_arrays(offsets, codes)
+    codes = np.ascontiguousarray(path[i].view(np.uint8).reshape(-1, 8)[:, 8 - CODE :])
+    offsets = (CODE * np.concatenate([[0], np.cumsum(n)])).astype(np.int32)
+    paths = pa.Array.from_buffers(
+        pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(codes.tobytes())]
+    )
+    return i[begin], prefix[i[begin]], n, paths
+
+
+def _codes(paths: pa.Array) -> np.ndarray:
+    """The codes of rows of paths, one after the other."""
+    data = np.frombuffer(b"".join(paths.to_pylist()), np.uint8).reshape(-1, CODE)
+    whole = np.zeros((len(data), 8), np.uint8)
+    whole[:, :CODE] = data
+    return whole.view(np.uint64)[:, 0]
 
 
 def _batch(doc, key, place, row, begin, prefix, n, paths) -> pa.RecordBatch:
-    paths = pa.nulls(len(begin), pa.list_(pa.int32())) if paths is None else paths
+    paths = pa.nulls(len(begin), pa.binary()) if paths is None else paths
     return pa.RecordBatch.from_arrays(
         [pa.array(prefix.view(np.int64)), pa.array(doc[begin]), pa.array(key[begin]),
          pa.array(place[begin].astype(np.int64)), pa.array(n.astype(np.int32)), paths],
@@ -125,13 +138,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 )
                 own = np.repeat(np.arange(len(rows)), n)
                 step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                code = paths.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+                code = _codes(paths.drop_null())
                 table = np.stack([doc[own], key[own], start[own] + step])
                 group = np.repeat(np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]])), n)
                 if last is None or last != prefix[0]:
                     seen = (np.zeros(0, np.uint64), np.zeros((3, 0), np.int64))
                 table = np.concatenate([seen[1], table], axis=1)
-                node = np.concatenate([seen[0], group.astype(np.uint64) << np.uint64(32) | code])
+                code = np.concatenate([seen[0], code])
+                group = np.concatenate([np.zeros(len(seen[0]), np.int64), group])
+                # One to one for the codes of a group.
+                node = mixed(code ^ mixed(group.astype(np.uint64) + np.uint64(1)))
                 _, first, inverse = np.unique(node, return_index=True, return_inverse=True)
                 head = first[inverse]
                 again = (table != table[:, head]).any(axis=0)[len(seen[0]) :]
@@ -147,8 +163,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 )
                 # The paths of the last prefix, which may go on in the next batch.
                 last = prefix[-1]
-                open_group = first[node[first] >> np.uint64(32) == node[-1] >> np.uint64(32)]
-                seen = (node[open_group] & np.uint64(0xFFFFFFFF), table[:, open_group])
+                open_group = first[group[first] == group[-1]]
+                seen = (code[open_group], table[:, open_group])
             yield from out
 
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
