@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pactlake.functions.details import parse_details
+from pactlake.functions.ids import run_slot
 from pactlake.functions.text import execution_state
 
 DEFAULT_LIMIT = 50
@@ -109,17 +110,30 @@ def recent_runs(runs: DataFrame, contract_id: str | None = None) -> DataFrame:
     return page_runs(runs, RunQuery.of(contract_id=contract_id, limit=RECENT))
 
 
-def find_run(runs: DataFrame, run_id: str) -> DataFrame:
+def page_after(runs: DataFrame, query: RunQuery, created_at: str, run_id: str) -> DataFrame:
+    """The page behind a run, by its time and id: however deep, each task keeps one page of rows,
+    where an offset makes it keep all rows before the page as well."""
+    time = F.lit(created_at).try_cast("timestamp")
+    behind = (time_of() < time) | ((time_of() == time) & (F.col("run_id") < run_id))
+    return page_runs(runs.filter(behind), replace(query, offset=0))
+
+
+def _of_run(rows: DataFrame, run_id: str) -> DataFrame:
+    """Rows of one run. A stored table has them in one of its folders."""
     if not run_id.strip():
         raise ValueError("runId must not be blank.")
-    return run_response(runs.filter(F.col("run_id") == run_id.strip()).limit(1))
+    if "slot" in rows.columns:
+        rows = rows.filter(F.col("slot") == run_slot(F.lit(run_id.strip()))).drop("slot")
+    return rows.filter(F.col("run_id") == run_id.strip())
+
+
+def find_run(runs: DataFrame, run_id: str) -> DataFrame:
+    return run_response(_of_run(runs, run_id).limit(1))
 
 
 def run_logs(logs: DataFrame, run_id: str) -> DataFrame:
     """Logs of one run, oldest first."""
-    if not run_id.strip():
-        raise ValueError("runId must not be blank.")
-    return logs.filter(F.col("run_id") == run_id.strip()).orderBy(time_of(), "log_id")
+    return _of_run(logs, run_id).orderBy(time_of(), "log_id")
 
 
 def run_with_logs(runs: DataFrame, logs: DataFrame) -> DataFrame:

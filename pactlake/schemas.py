@@ -32,6 +32,9 @@ CHECK_REQUESTS = (
 )
 PAYLOADS = "contract_id string, version string, payload_id string, payload string"
 
+# Runs and logs are stored in folders by a hash of the run id, so a look-up by id reads one of them.
+RUN_SLOTS = 64
+
 PAIR = ["contract_id", "base_version", "candidate_version"]
 
 # Compatibility modes, run statuses.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.details import details_json, input_hash
-from pactlake.functions.ids import stable_id
+from pactlake.functions.ids import run_slot, stable_id
 from pactlake.functions.text import blank_to_null, dash_if_blank, is_blank, roles_text
 from pactlake.operators.insights import EXECUTION_ERROR
 from pactlake.schemas import CHECK_RUNS
@@ -246,15 +246,23 @@ def audit_rows(
     )
 
 
-def append(rows: DataFrame, path: str, sort_by: list[str] | None = None) -> None:
-    """Append to a parquet table; sorting inside each file keeps min/max pruning useful."""
+def append(
+    rows: DataFrame, path: str, sort_by: list[str] | None = None, by_run: bool = False
+) -> None:
+    """Append to a parquet table; sorting inside each file keeps min/max pruning useful.
+
+    by_run: in folders by run_slot, each written by one task.
+    """
+    if by_run:
+        rows = rows.withColumn("slot", run_slot(F.col("run_id"))).repartition("slot")
     if sort_by:
-        rows = rows.sortWithinPartitions(*sort_by)
-    rows.write.mode("append").parquet(path)
+        rows = rows.sortWithinPartitions(*(["slot"] if by_run else []), *sort_by)
+    writer = rows.write.mode("append")
+    (writer.partitionBy("slot") if by_run else writer).parquet(path)
 
 
 def write_check_runs(runs: DataFrame, path: str) -> None:
-    append(runs.select(*RUN_COLUMNS), path, ["contract_id", "created_at"])
+    append(runs.select(*RUN_COLUMNS), path, ["contract_id", "created_at"], by_run=True)
 
 
 def write_run_logs(logs: DataFrame, path: str) -> None:
@@ -262,6 +270,7 @@ def write_run_logs(logs: DataFrame, path: str) -> None:
         logs.select("log_id", "run_id", "level", "message", "created_at"),
         path,
         ["run_id", "created_at"],
+        by_run=True,
     )
 
 

@@ -1,4 +1,7 @@
-"""Sources of the history: runs, logs, audit rows, from parquet or a database over JDBC."""
+"""Sources of the history: runs, logs, audit rows, from parquet or a database over JDBC.
+
+Stored runs and logs have one column more, `slot`, by which look-ups of a run read one folder.
+"""
 
 from __future__ import annotations
 

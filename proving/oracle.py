@@ -433,6 +433,15 @@ oracle("recent_runs", "resp", _PAGE.format(offset=0, limit=20, where=""))
 oracle("run_by_id", "resp", "SELECT * EXCLUDE (happened) FROM resp WHERE run_id = 'run-7'")
 oracle("run_logs", "lg",
        "SELECT log_id, run_id, level, message, created_at FROM lg WHERE run_id = 'run-7'")
+oracle("runs_page_after", "resp", _PAGE.format(offset=25, limit=25, where=""))
+oracle("history_round_trip", "cr lg au", """
+SELECT 'run' AS kind, cr.run_id AS id, status, cr.created_at, coalesce(logs, 0) AS logs, l.message
+FROM cr LEFT JOIN (SELECT run_id, count(*) AS logs, max(message) AS message FROM lg GROUP BY run_id) l
+  ON l.run_id = cr.run_id
+UNION ALL SELECT 'audit', audit_id, status, created_at, 0, NULL FROM au""")
+oracle("stored_run_by_id", "cr lg", """
+SELECT cr.run_id, status, commit_sha, log_id, level, message
+FROM cr JOIN lg ON lg.run_id = cr.run_id WHERE cr.run_id = 'run-7'""")
 oracle("run_with_logs", "cr lg", """
 SELECT cr.run_id, contract_id, status, log_id, level, message, lg.created_at
 FROM cr JOIN lg USING (run_id)""")

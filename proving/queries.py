@@ -26,7 +26,7 @@ from pactlake.plans import gate, refresh, registration, request_batch
 from pactlake.schemas import PAIR
 from pactlake.session import prepare, shared_folder
 from pactlake.sinks import history as sinks
-from pactlake.sources import feeds
+from pactlake.sources import feeds, history as read_history
 from pactlake.streaming.payload_stream import read_checked, start_payload_check
 from pactlake.streaming.request_stream import start_request_checks
 from proving import fixtures as fx
@@ -292,6 +292,53 @@ def run_logs(spark, sf):
     return history.run_logs(fx.check_run_logs(spark, sf), "run-7")
 
 
+@query
+def history_round_trip(spark, sf):
+    """Runs, logs and audit rows written, read back, and joined."""
+    folder = shared_folder(spark, "history")
+    sinks.write_check_runs(fx.check_runs(spark, sf), f"{folder}/runs")
+    sinks.write_run_logs(fx.check_run_logs(spark, sf), f"{folder}/logs")
+    sinks.write_audit_rows(fx.audit_logs(spark, sf), f"{folder}/audit")
+    runs = read_history.read_check_runs(spark, f"{folder}/runs")
+    logs = read_history.read_check_run_logs(spark, f"{folder}/logs")
+    audits = read_history.read_audit_logs(spark, f"{folder}/audit")
+    kept = logs.groupBy("run_id").agg(F.count(F.lit(1)).alias("logs"), F.max("message").alias("message"))
+    stored_runs = runs.join(kept, "run_id", "left").select(
+        F.lit("run").alias("kind"),
+        F.col("run_id").alias("id"),
+        "status",
+        "created_at",
+        F.coalesce("logs", F.lit(0)).alias("logs"),
+        "message",
+    )
+    nothing = F.lit(None).cast("string")
+    return stored_runs.union(
+        audits.select(F.lit("audit"), "audit_id", "status", "created_at", F.lit(0).cast("long"), nothing)
+    )
+
+
+@query
+def stored_run_by_id(spark, sf):
+    """One run and its logs from the stored tables, of which one folder each is read."""
+    folder = shared_folder(spark, "history")
+    sinks.write_check_runs(fx.check_runs(spark, sf), f"{folder}/runs")
+    sinks.write_run_logs(fx.check_run_logs(spark, sf), f"{folder}/logs")
+    run = history.find_run(read_history.read_check_runs(spark, f"{folder}/runs"), " run-7 ")
+    logs = history.run_logs(read_history.read_check_run_logs(spark, f"{folder}/logs"), "run-7")
+    return run.select("run_id", "status", "commit_sha").join(
+        logs.select("run_id", "log_id", "level", "message"), "run_id"
+    )
+
+
+@query
+def runs_page_after(spark, sf):
+    """The page behind the newest 25 runs, by the last of them."""
+    runs = fx.check_runs(spark, sf)
+    asked = history.RunQuery.of(limit=25)
+    last = history.page_runs(runs, asked).filter("position = 25").select("created_at", "run_id").first()
+    return _response(history.page_after(runs, asked, last.created_at, last.run_id))
+
+
 @query
 def run_with_logs(spark, sf):
     return history.run_with_logs(fx.check_runs(spark, sf), fx.check_run_logs(spark, sf))

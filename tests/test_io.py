@@ -1,9 +1,11 @@
 import json
+import re
 
 import pytest
 from conftest import STATION_V1, STATION_V2, PACKS
 from pyspark.sql import functions as F
 
+from pactlake.operators import history as questions
 from pactlake.operators.compat import check_compatibility
 from pactlake.operators.documents import schema_shapes
 from pactlake.operators.lint import lint_contracts
@@ -100,6 +102,12 @@ def test_check_from_files_to_history(spark, repository, tmp_path):
     sinks.write_run_logs(logs, str(tmp_path / "logs"))
     back = history.read_check_run_logs(spark, str(tmp_path / "logs"))
     assert back.join(stored, "run_id").count() == 2
+    wanted = runs.first().run_id
+    found = questions.find_run(stored, wanted)
+    assert [r.run_id for r in found.collect()] == [wanted]
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*slot#\d+ = \d+", scan)
+    assert {r.run_id for r in questions.run_logs(back, wanted).collect()} == {wanted}
     assert {r.run_id for r in runs.collect()} == {r.run_id for r in stored.collect()}
 
 
