@@ -74,7 +74,18 @@ def metadata_error(contracts: DataFrame) -> Column:
 
 def contract_violations(contracts: DataFrame, docs: DataFrame) -> DataFrame:
     """Checks on the contract itself: id, metadata, at least one version."""
-    with_docs = docs.select("contract_id").distinct().withColumn("has_docs", F.lit(True))
+    found = with_contract_violations(contracts, docs.select("contract_id").distinct())
+    return found.select(
+        "contract_id", F.lit(None).cast("string").alias("version"), F.explode("found").alias("v")
+    ).select("contract_id", "version", "v.*")
+
+
+def with_contract_violations(contracts: DataFrame, documented: DataFrame) -> DataFrame:
+    """One row per contract that has metadata or documents, with `found`: the array of its violations.
+
+    documented: contract_id, unique, of those with documents; other columns of both sides stay.
+    """
+    with_docs = documented.withColumn("has_docs", F.lit(True))
     known = contracts.withColumn("has_metadata", F.lit(True))
     if "metadata_error" not in known.columns:
         known = known.withColumn("metadata_error", F.lit(None).cast("string"))
@@ -105,9 +116,7 @@ def contract_violations(contracts: DataFrame, docs: DataFrame) -> DataFrame:
             "No versioned schema files found. Expected files like v1.json.",
         ),
     )
-    return both.select(
-        "contract_id", F.lit(None).cast("string").alias("version"), F.explode(found).alias("v")
-    ).select("contract_id", "version", "v.*")
+    return both.withColumn("found", found).drop("has_docs", "has_metadata")
 
 
 def _property_facts(entries: Column) -> Column:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pactlake.functions.details import no_strings
 from pactlake.functions.text import trimmed
 from pactlake.operators.catalog import changed_contract_ids
-from pactlake.operators.compat import check_compatibility
+from pactlake.operators.compat import with_verdict
+from pactlake.operators.diff import with_changes
 from pactlake.operators.documents import schema_shapes
-from pactlake.operators.lint import failing_contracts, lint_contracts
-from pactlake.operators.ordering import latest_pairs
+from pactlake.operators.lint import with_contract_violations, with_document_violations
 from pactlake.operators.policy import PolicyPacks
 
 
@@ -25,45 +25,62 @@ def changed_gate(
 
     `mode=None` takes each contract's own mode. Contracts that fail lint are not checked; those
     with one version are skipped; changed paths of contracts that no longer exist are ignored.
-    Only changed contracts are read past the first semi join.
+    Only changed contracts are read past the first semi join. Their documents are read twice: for the
+    sum of their violations, and for the last two of each contract, which Spark's window group limit
+    cuts before the shuffle; so a contract with very many versions stays spread.
     """
     changed = changed_contract_ids(files)
     some_contracts = contracts.join(changed, "contract_id", "left_semi")
-    some_docs = docs.join(changed, "contract_id", "left_semi")
-    lint = failing_contracts(lint_contracts(some_contracts, some_docs))
-    wanted_mode = F.upper(trimmed("compatibility_mode")) if mode is None else F.lit(mode)
-    owners = some_contracts.select(
-        "contract_id", wanted_mode.alias("mode"), packs.resolve("policy_pack").alias("pack")
+    judged = with_document_violations(
+        docs.join(changed, "contract_id", "left_semi").select(
+            "contract_id", "version", "version_num", "schema_json"
+        )
     )
-    checkable = (
-        latest_pairs(some_docs, unique=True)
-        .join(lint, "contract_id", "left_anti")
-        .join(owners, "contract_id")
+    problems = judged.groupBy("contract_id").agg(F.sum(F.size("found")).alias("in_documents"))
+    linted = with_contract_violations(some_contracts, problems)
+    wanted_mode = F.upper(trimmed("compatibility_mode")) if mode is None else F.lit(mode)
+    count = F.size("found") + F.coalesce("in_documents", F.lit(0))
+    owners = linted.select(
+        "contract_id",
+        count.cast("long").alias("violation_count"),
+        wanted_mode.alias("mode"),
+        packs.resolve("policy_pack").alias("pack"),
     )
-    results = check_compatibility(schema_shapes(some_docs), checkable, packs)
-    present = (
-        some_docs.select("contract_id")
-        .unionByName(some_contracts.select("contract_id"))
-        .distinct()
+    error = F.when(F.size("found") > 0, F.col("found")[0]["message"])
+    shapes = schema_shapes(judged.withColumn("document_error", error).drop("found"))
+    newest = Window.partitionBy("contract_id").orderBy(F.desc("version_num"))
+    last_two = (
+        shapes.filter("version_num is not null")
+        .withColumn("place", F.row_number().over(newest))
+        .filter("place <= 2")
+        .groupBy("contract_id")
     )
+
+    def of(place: int, column: str) -> Column:
+        return F.first(F.when(F.col("place") == place, F.col(column)), ignorenulls=True)
+
+    pairs = last_two.agg(
+        of(2, "version").alias("base_version"),
+        of(1, "version").alias("candidate_version"),
+        of(2, "shape").alias("base_shape"),
+        of(1, "shape").alias("candidate_shape"),
+    ).filter("base_version is not null")
+    results = with_verdict(with_changes(owners.join(pairs, "contract_id", "left")), packs)
+    clean = F.col("violation_count") == 0
+    checked = clean & F.col("base_version").isNotNull()
     outcome = (
-        F.when(F.col("violation_count").isNotNull(), "LINT_FAILED")
-        .when(F.col("status").isNull(), "SKIPPED")
-        .otherwise(F.col("status"))
+        F.when(~clean, "LINT_FAILED").when(~checked, "SKIPPED").otherwise(F.col("status"))
     )
-    return (
-        present.join(lint, "contract_id", "left")
-        .join(results, "contract_id", "left")
-        .select(
-            "contract_id",
-            F.coalesce("violation_count", F.lit(0)).cast("long").alias("violation_count"),
-            "base_version",
-            "candidate_version",
-            outcome.alias("outcome"),
-            F.coalesce("breaking_changes", no_strings()).alias("breaking_changes"),
-            F.coalesce("warnings", no_strings()).alias("warnings"),
-            outcome.isin("PASS", "SKIPPED").alias("passed"),
-        )
+    return results.select(
+        "contract_id",
+        "violation_count",
+        *[F.when(checked, F.col(c)).alias(c) for c in ("base_version", "candidate_version")],
+        outcome.alias("outcome"),
+        *[
+            F.when(checked, F.col(c)).otherwise(no_strings()).alias(c)
+            for c in ("breaking_changes", "warnings")
+        ],
+        outcome.isin("PASS", "SKIPPED").alias("passed"),
     )
 
 
