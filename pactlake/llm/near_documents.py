@@ -104,36 +104,40 @@ def links(codes: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def grouped(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, text_key, fingerprint, component): component is the smallest fingerprint of the group.
+    """(doc_id, text_key, fingerprint, first) for every row: first is (unnamed, doc_id, text_key) of the
+    document that stands for the group, the smallest doc_id, null last.
 
     Documents: columns doc_id and text, others are not looked at. A null or empty text has no words
     and fingerprint 0, linked like any other. Rows with the same text have the same fingerprint.
+
+    Groups are settled on distinct fingerprints and written, so that documents meet them in a plain join
+    of two tables, of which adaptive execution can split a fingerprint that very many documents have.
     """
     codes = written(spark, "fingerprints", fingerprints(docs, size))
     roots = components(spark, links(codes, radius))
-    found = codes.join(roots, codes.fingerprint == roots.node, "left")
-    return found.select(
-        "doc_id", "text_key", "fingerprint", F.coalesce("root", "fingerprint").alias("component")
-    )
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    distinct = codes.groupBy("fingerprint").agg(F.min(place).alias("first"))
+    distinct = distinct.join(roots, F.col("fingerprint") == roots.node, "left")
+    distinct = distinct.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), "first")
+    groups = distinct.groupBy("root").agg(F.min("first").alias("first"))
+    groups = distinct.drop("first").join(groups, "root").drop("root")
+    return codes.join(written(spark, "groups", groups), "fingerprint")
 
 
 def near_groups(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id of the
     group, null ids left aside). Empty input gives no rows; a null doc_id belongs to its group all the same."""
-    rows = grouped(spark, docs, size, radius)
-    ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(ids, "component").select(
+    return grouped(spark, docs, size, radius).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
-        "component_id",
+        F.col("first.doc_id").alias("component_id"),
     )
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """The documents, all their columns, of which one row of each group stays: the smallest doc_id."""
-    rows = grouped(spark, docs, size, radius)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), row_key(key="text_key").alias("row"))
-    kept = rows.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
+    kept = grouped(spark, docs, size, radius).select("first").distinct()
+    kept = kept.select(F.struct("first.doc_id", "first.text_key").alias("_row"))
     stay = docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi")
     # A row listed more than once stays once.
     once = Window.partitionBy("_row").orderBy(F.lit(0))
