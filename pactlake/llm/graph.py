@@ -38,7 +38,9 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = stars.selectExpr("hi as u", "lo as v").union(stars.selectExpr("lo as u", "hi as v"))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below is of two plain tables: adaptive execution can then split a node
+        # with very many neighbours.
+        least = written(spark, "least", least.select("u", F.least("u", "m").alias("m")))
         # Large star: larger neighbours go to the smallest of the neighbourhood.
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = large.distinct()
