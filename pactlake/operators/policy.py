@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pactlake.functions.text import blank_to_null
-from pactlake.schemas import BASELINE, RULES, SEVERITIES
+from pactlake.functions.text import blank_to_null, trimmed
+from pactlake.schemas import BASELINE, RULES, SEVERITIES, STRICT_JSON
 
 BASELINE_RULES = {rule: level for rule, _, level in RULES}
 
@@ -42,6 +42,35 @@ def policy_violations(config: dict) -> list[tuple[str, str, str]]:
     return found
 
 
+def rule_errors(configs: DataFrame) -> DataFrame:
+    """policy_violations of many configurations (config_id, text) at once, as rows: config_id, pack,
+    rule, message. A text that is no JSON object has one row with no pack."""
+    read = configs.select(
+        "config_id",
+        F.from_json(
+            "text", "packs map<string,struct<rules:map<string,string>>>", STRICT_JSON
+        ).alias("config"),
+        F.coalesce(
+            F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False)
+        ).alias("is_object"),
+    )
+    unread = read.filter(~F.col("is_object")).select(
+        "config_id",
+        F.lit(None).cast("string").alias("pack"),
+        F.lit(None).cast("string").alias("rule"),
+        F.lit("Policy configuration is no JSON object.").alias("message"),
+    )
+    packs = read.select("config_id", F.explode("config.packs").alias("pack", "body"))
+    rules = packs.select("config_id", "pack", F.explode("body.rules").alias("rule", "level"))
+    key = F.replace(F.upper(trimmed("rule")), F.lit("-"), F.lit("_"))
+    message = F.when(
+        (key != "") & ~key.isin(*BASELINE_RULES),
+        F.concat(F.lit("Unknown policy rule id: "), "rule"),
+    ).when(~F.col("level").isin(*SEVERITIES), F.concat(F.lit("Unknown severity: "), "level"))
+    found = rules.select("config_id", "pack", "rule", message.alias("message"))
+    return found.filter("message is not null").unionByName(unread)
+
+
 def _rules_map(rules: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for item in rules.items() for x in item])
 

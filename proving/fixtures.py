@@ -350,6 +350,22 @@ def faulty_contracts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def policy_configs(spark: SparkSession, sf: str) -> DataFrame:
+    """A configuration of its own for every customer, many of them wrong."""
+    c = F.col("c_custkey")
+    first = pick(c, "FIELD_REMOVED", " field-removed", "FIELD_GONE", " ")
+    level = pick(c, '"BREAKING"', '"breaking"', "null")
+    second = pick(c, "WARNING", "IGNORE", "LOUD", "BREAKING", "")
+    text = F.concat(
+        F.lit('{"defaultPack":"own","packs":{"none":null,"bare":{},"own":{"rules":{"'),
+        first, F.lit('":'), level, F.lit(',"enum_value-added":"'), second, F.lit('"}}}}'),
+    )
+    return table(spark, sf, "customer").select(
+        contract_of("c_custkey").alias("config_id"),
+        F.when(c % 7 == 0, "[]").when(c % 11 == 0, "{packs").otherwise(text).alias("text"),
+    )
+
+
 def packs() -> PolicyPacks:
     return PolicyPacks.parse(POLICY_TEXT)
 

@@ -378,6 +378,18 @@ SELECT contract_id, base_version, candidate_version, mode, error IS NULL AS judg
   LEFT JOIN docv a ON a.contract_id = ck.contract_id AND a.version = candidate_version)""", fdx="""
 SELECT contract_id, version FROM fd UNION ALL
 SELECT contract_id, 'v3000000000' FROM fd WHERE c % 50 = 23 AND version_num = 1""")
+oracle("policy_rule_errors", "", """
+WITH cfg AS (SELECT c_custkey AS c, 'cust.' || c_custkey AS config_id FROM customer),
+rules AS (
+  SELECT *, CASE c % 4 WHEN 0 THEN 'FIELD_REMOVED' WHEN 1 THEN ' field-removed' WHEN 2 THEN 'FIELD_GONE' ELSE ' ' END AS rule,
+    CASE c % 3 WHEN 0 THEN 'BREAKING' WHEN 1 THEN 'breaking' END AS level FROM cfg WHERE c % 7 <> 0 AND c % 11 <> 0
+  UNION ALL SELECT *, 'enum_value-added', CASE c % 5 WHEN 0 THEN 'WARNING' WHEN 1 THEN 'IGNORE'
+    WHEN 2 THEN 'LOUD' WHEN 3 THEN 'BREAKING' ELSE '' END FROM cfg WHERE c % 7 <> 0 AND c % 11 <> 0)
+SELECT config_id, 'own' AS pack, rule, CASE WHEN rule = 'FIELD_GONE' THEN 'Unknown policy rule id: FIELD_GONE'
+  ELSE 'Unknown severity: ' || level END AS message
+FROM rules WHERE rule = 'FIELD_GONE' OR level NOT IN ('BREAKING', 'WARNING', 'IGNORE')
+UNION ALL SELECT config_id, NULL, NULL, 'Policy configuration is no JSON object.' FROM cfg
+WHERE c % 7 = 0 OR c % 11 = 0""")
 oracle("contract_policies", "owners", """
 SELECT contract_id, owners.pack, sev.rule AS rule_id, severity
 FROM owners JOIN sev ON sev.pack = owners.pack""", rl=RULE_ROWS, sev=SEVERITY_ROWS)

@@ -19,6 +19,7 @@ from pactlake.operators import (
     lint,
     ordering,
     payloads,
+    policy,
     requests,
     upkeep,
 )
@@ -198,6 +199,11 @@ def contract_policies(spark, sf):
     )
 
 
+@query
+def policy_rule_errors(spark, sf):
+    return policy.rule_errors(fx.policy_configs(spark, sf))
+
+
 # --- lint and catalogue ------------------------------------------------------------------------
 
 

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from conftest import STATION_V1, STATION_V2, PACKS
 
@@ -9,7 +11,7 @@ from pactlake.operators.documents import (
     shapes_of_fields,
 )
 from pactlake.operators.ordering import adjacent_pairs
-from pactlake.operators.policy import PolicyPacks, policy_violations
+from pactlake.operators.policy import PolicyPacks, policy_violations, rule_errors
 
 ENUM = "Enum value added: quality.suspect"
 FORWARD = ["[FORWARD] Field removed: unit", "[FORWARD] Enum value removed: quality.suspect"]
@@ -201,3 +203,16 @@ def test_bad_policy_stops_the_job():
     assert policy_violations({"packs": {"x": {"rules": {"FIELD_REMOVED": "breaking"}}}}) == [
         ("x", "FIELD_REMOVED", "Unknown severity: breaking")
     ]
+
+
+def test_policy_problems_as_rows(spark):
+    texts = [
+        '{"packs":{"x":{"rules":{"FIELD_GONE":"BREAKING","field-removed":"breaking","":"LOUD"}},"y":null}}',
+        '{"packs":{"x":{"rules":{" enum_value_added ":null}}}}',
+        "{}",
+    ]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "config_id string, text string")
+    found = sorted((r.config_id, r.pack, r.rule, r.message) for r in rule_errors(rows).collect())
+    assert found == sorted((str(i), *v) for i, t in enumerate(texts) for v in policy_violations(json.loads(t)))
+    bad = spark.createDataFrame([("a", "[]"), ("b", None), ("c", "{x")], "config_id string, text string")
+    assert {(r.config_id, r.pack) for r in rule_errors(bad).collect()} == {("a", None), ("b", None), ("c", None)}
