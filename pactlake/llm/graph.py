@@ -15,7 +15,11 @@ def tiles(members: DataFrame, bucket: str, node: str, size: int) -> DataFrame:
     are alone in their bucket are left out: they meet nobody.
     """
     counts = members.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    met = members.join(counts, bucket)
+    return dealt(members.join(counts, bucket), bucket, node, size)
+
+
+def dealt(met: DataFrame, bucket: str, node: str, size: int) -> DataFrame:
+    """The tiles of members that have the size of their bucket as `_n`."""
     blocks = F.ceil(F.col("_n") / size).cast("int")
     met = met.withColumn("_blocks", blocks).withColumn(
         "_own", F.pmod(F.xxhash64(F.col(node), F.lit("block")), F.col("_blocks")).cast("int")
