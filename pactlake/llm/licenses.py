@@ -3,7 +3,7 @@
 Hashes of all rolling word pairs of the documents are joined to the places of those pairs in license
 templates. A pair at document word i and template word j votes for diagonal i - j; votes are summed by
 diagonal, neighbouring diagonals of a template (words put in or left out) are merged, and the words of
-the span are compared with the template's.
+the span, from the outermost votes on, are compared with the template's, ends left free.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pactlake.llm.lines import distance
 from pactlake.llm.tables import row_key, text_key
 from pactlake.llm.words import ALNUM, grams, hashes, words_of
 
@@ -95,10 +94,39 @@ def _spans(votes: DataFrame, lengths: list[int], n_phrases: int) -> DataFrame:
     runs = notices.withColumn("far", F.coalesce(far, F.lit(True)).cast("int"))
     runs = runs.withColumn("run", F.sum("far").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("doc_id", "text_key", "template", "run").agg(
-        F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), (F.max("diagonal") + F.max(size)).alias("stop")
+        F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), (F.max("diagonal") + F.max(size)).alias("stop"), F.max(size).alias("size")
     )
     merged = merged.where(2 * F.col("votes") >= size - GRAM + 1)
-    return phrases.union(merged.select("doc_id", "text_key", "template", F.greatest("start", F.lit(0)), "stop"))
+    # Edits before the first vote and after the last move the ends.
+    more = F.floor(F.col("size") * (1 - SIMILARITY)).cast("bigint")
+    return phrases.union(
+        merged.select("doc_id", "text_key", "template", F.greatest(F.col("start") - more, F.lit(0)), F.col("stop") + more)
+    )
+
+
+def aligned(template: list[str], words: list[str]) -> tuple[float, int, int]:
+    """(similarity, start, stop) of the part of `words` most like the template (Sellers, 1980): of the
+    parts with the fewest edits up to a word that with the highest similarity, then the nearest length,
+    then the first."""
+    size = len(template)
+    best = (0.0, -size, 0, 0)
+    # For each prefix of the template the fewest edits to a part that ends here, and where that starts.
+    cost, begin = list(range(size + 1)), [0] * (size + 1)
+    for i, word in enumerate(words):
+        cost, last = [0], cost
+        begin, since = [i + 1], begin
+        for j, other in enumerate(template):
+            least, start = last[j] + (word != other), since[j]
+            if last[j + 1] + 1 < least:
+                least, start = last[j + 1] + 1, since[j + 1]
+            if cost[j] + 1 < least:
+                least, start = cost[j] + 1, begin[j]
+            cost.append(least)
+            begin.append(start)
+        length = i + 1 - begin[size]
+        alike = 1 - cost[size] / max(size, length)
+        best = max(best, (alike, -abs(length - size), -begin[size], i + 1))
+    return best[0], -best[2], best[3]
 
 
 def scan(
@@ -146,11 +174,16 @@ def scan(
                     for span in sorted(found.as_py(), key=lambda s: (s["start"], s["template"])):
                         t, stop = span["template"], min(span["stop"], n)
                         here = [w.buf[s:e].tobytes().decode() for s, e in bounds[span["start"] : stop]]
-                        alike = 1 - distance(words[t], here) / max(len(words[t]), len(here), 1)
+                        start = span["start"]
+                        if t < len(phrases):
+                            alike = float(words[t] == here)
+                        else:
+                            alike, low, high = aligned(words[t], here)
+                            start, stop = start + low, start + high
                         if alike < (1 if t < len(phrases) else SIMILARITY):
                             continue
                         label = templates[t][1]
-                        row["spans"].append({"start": span["start"], "stop": stop, "label": label, "similarity": alike})
+                        row["spans"].append({"start": start, "stop": stop, "label": label, "similarity": alike})
                         if t < len(phrases):
                             base.append((span["start"], label))
                     if base:

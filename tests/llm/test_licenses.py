@@ -69,3 +69,35 @@ def test_notices_with_words_put_in_left_out_or_changed(spark):
 def test_empty_table(spark):
     assert scanned(spark, fixture()).limit(0).count() == 0
     assert licenses.scan(spark, spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_a_word_left_out_in_the_middle_of_a_text(spark):
+    rows, want = [], {}
+    for text, label in licenses.NOTICES:
+        notice = text.split()
+        if len(notice) < 14:
+            continue
+        for k in range(1, len(notice) - 1):
+            left = notice[:k] + notice[k + 1 :]
+            want[len(rows)] = (label, 7, 7 + len(left), 1 - 1 / len(notice))
+            rows.append((len(rows), " ".join(["foreign"] * 7 + left + ["words"] * 7)))
+    assert len(rows) > 20
+    for r in scanned(spark, rows).collect():
+        [span] = r.spans
+        label, start, stop, alike = want[r.doc_id]
+        assert (r.labels, span.start, span.stop) == (label, start, stop) and abs(r.score - alike) < 1e-9
+
+
+def test_alignment_with_free_ends():
+    rng = random.Random(1)
+    for _ in range(300):
+        template, text = ([rng.choice("abc") for _ in range(n)] for n in (rng.randint(2, 6), rng.randint(1, 12)))
+        alike, start, stop = licenses.aligned(template, text)
+        here = text[start:stop]
+        row = list(range(len(here) + 1))
+        for i, x in enumerate(template, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(here, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert alike == 0 or abs(alike - (1 - row[-1] / max(len(template), len(here)))) < 1e-9
+    assert licenses.aligned(list("abc"), list("xxabcabcx")) == (1, 2, 5)
