@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pactlake.llm import chats, decontaminate, licenses, lines, near_documents, packing, quality, spotsigs, substrings, urls
+from pactlake.llm import (
+    chats,
+    decontaminate,
+    licenses,
+    lines,
+    near_documents,
+    packing,
+    phrases,
+    quality,
+    spotsigs,
+    substrings,
+    urls,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,3 +184,43 @@ from parts left join (select * from fits where nth = 1) using (page_id)
 @query
 def op10_spotsigs(spark, sf):
     return spotsigs.edited_likeness(table(spark, sf, "documents"))
+
+
+@query
+def op13_hat_trie_phrases(spark, sf):
+    return phrases.collocations(spark, table(spark, sf, "documents"))
+
+
+#: A-Z lower-cased, nothing else.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op13_hat_trie_phrases"] = f"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+),
+said as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w))::bigint as n from said group by lang),
+grams as (
+    select lang, w[i : i + k - 1] as p, count(*) as f
+    from (select *, unnest(range(1, len(w) + 1)) as i from said), (select unnest([1, 2, 3, 4]) as k)
+    where i + k - 1 <= len(w) group by all having count(*) >= 30
+),
+cuts as (select lang, p, f as a, unnest(range(1, len(p))) as k from grams),
+scores as (
+    select c.lang, c.p, a, k, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score
+    from cuts c join grams x on x.lang = c.lang and x.p = c.p[1 : k] join grams y on y.lang = c.lang and y.p = c.p[k + 1 :]
+),
+best as (select * from scores qualify row_number() over (partition by lang, p order by score, k) = 1),
+inner_ones as (
+    select lang, p[i : i + m - 1] as p, max(f) as around
+    from (select *, unnest(range(1, len(p) + 1)) as i from grams where len(p) > 2), (select unnest([2, 3]) as m)
+    where m < len(p) and i + m - 1 <= len(p) group by all
+),
+kept as (
+    select lang, array_to_string(p, ' ') as phrase, a, l, r, score from best left join inner_ones using (lang, p)
+    where around is null or 100::hugeint * around < 80::hugeint * a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept join totals using (lang) qualify rank <= 2000
+"""
