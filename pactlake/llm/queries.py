@@ -10,6 +10,7 @@ import corpus_pipeline
 from pactlake.llm import (
     chats,
     decontaminate,
+    lexical,
     licenses,
     lines,
     near_documents,
@@ -186,6 +187,34 @@ def op10_spotsigs(spark, sf):
     return spotsigs.edited_likeness(table(spark, sf, "documents"))
 
 
+@query
+def op11_aho_corasick_search(spark, sf):
+    return lexical.ranked(spark, table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+ORACLE["op11_aho_corasick_search"] = f"""
+with doc as (select doc_id, {sql_words("text")} as w from documents),
+item as (select item_id, unnest({sql_words("text")}) as term from benchmark),
+wanted as (select item_id, term, count(*) as c from item group by all),
+totals as (select count(*) as nn, sum(len(w))::bigint as ll from doc where len(w) > 0),
+tfs as (
+    select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from doc)
+    where term in (select term from wanted) group by all
+),
+weights as (
+    select term, floor(1000 * ln((2 * any_value(nn) + 2)::double / (2 * count(*) + 1)::double))::bigint as weight
+    from tfs, totals group by term
+),
+lengths as (select doc_id, 100 - 75 + (75 * len(w) * nn) // ll as m from doc, totals where len(w) > 0),
+scores as (
+    select item_id, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from tfs join wanted using (term) join weights using (term) join lengths using (doc_id) group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from scores where score > 0 qualify rank <= 10
+"""
+
+
 @query
 def op13_hat_trie_phrases(spark, sf):
     return phrases.collocations(spark, table(spark, sf, "documents"))
