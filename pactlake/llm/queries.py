@@ -17,6 +17,7 @@ from pactlake.llm import (
     packing,
     phrases,
     quality,
+    secret_parts,
     spotsigs,
     substrings,
     urls,
@@ -215,6 +216,71 @@ from scores where score > 0 qualify rank <= 10
 """
 
 
+@query
+def op12_multipart_secrets(spark, sf):
+    return secret_parts.report(spark, table(spark, sf, "documents"))
+
+
+def sql_matches(kind: str, pattern: str) -> str:
+    """(doc_id, kind, found, start, end) of the matches of a pattern; the pieces between them are split off by it."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+    select doc_id, '{kind}' as kind, found, past - length(found) as start, past as "end" from (
+        select doc_id, found, sum(length(gap) + length(found)) over (partition by doc_id order by nth) as past from (
+            select doc_id, unnest(m) as found, unnest(gaps[: len(m)]) as gap, unnest(range(len(m))) as nth from (
+                select doc_id, regexp_extract_all(coalesce(text, ''), '{quoted}') as m,
+                    string_split_regex(coalesce(text, ''), '{quoted}') as gaps
+                from documents
+            )
+        )
+    )"""
+
+
+def sql_value(kind: str) -> str:
+    """The length of the second group of a match."""
+    quoted = secret_parts.PATTERNS[kind].replace("'", "''")
+    return f"length(regexp_extract(found, '{quoted}', 2))"
+
+
+_KINDS = ", ".join(f"'{kind}'" for kind in secret_parts.KINDS)
+_MATCHES = {**secret_parts.PATTERNS, "blank": secret_parts.BLANK}
+
+ORACLE["op12_multipart_secrets"] = f"""
+with matches as ({" union all ".join(sql_matches(kind, pattern) for kind, pattern in _MATCHES.items())}),
+kinds as (
+    select doc_id, start, "end", case
+        when kind = 'assign' then case when {sql_value("assign")} >= 12 then 'assign' when {sql_value("assign")} >= 6 then 'short' end
+        when kind = 'user' then case when {sql_value("user")} >= 3 then 'user' end
+        when kind = 'key' then case when length(found) = 40 and regexp_matches(found, '[A-Z]')
+            and regexp_matches(found, '[a-z]') and regexp_matches(found, '[0-9]') then 'key' end
+        else kind end as kind
+    from matches
+),
+parts as (
+    select *, list_position([{_KINDS}], kind) as nth, kind in ('assign', 'hex', 'short', 'key') as secret from (
+        select *, count(*) filter (kind = 'blank') over (partition by doc_id order by start, "end" rows unbounded preceding) as scope
+        from kinds where kind is not null
+    ) where kind <> 'blank'
+),
+shown as (
+    select * from parts where nth <= 3 union all
+    select * from parts p where nth > 3 and exists (
+        select 1 from parts q where q.doc_id = p.doc_id and q.scope = p.scope and q.secret <> p.secret
+            and p.start <= q."end" + 200 and q.start <= p."end" + 200
+    )
+),
+told as (
+    select doc_id, count(*) filter (nth = 1) as n_assign, count(*) filter (nth = 2) as n_access,
+        count(*) filter (nth = 3) as n_hex, string_agg(span, ',' order by start, nth) filter (nth <= 3) as base,
+        string_agg(span, ',' order by start, nth) as spans
+    from (select *, kind || ':' || start::bigint || ':' || "end"::bigint as span from shown) group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join told using (doc_id)
+"""
+
+
 @query
 def op13_hat_trie_phrases(spark, sf):
     return phrases.collocations(spark, table(spark, sf, "documents"))
