@@ -17,6 +17,7 @@ words, each row counts. A null language is `und`.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,13 @@ LONGEST = 4
 TOP = 2000
 #: A longer candidate this often, in hundredths of the shorter one's count, makes the shorter one go.
 COVERED = 80
-#: A container bursts beyond so many paths; the trie gives up subtrees beyond so many.
-BURST, ROOM = 1 << 12, 1 << 19
+#: A container bursts beyond so many paths; the trie gives up subtrees beyond so many paths, and all of them
+#: beyond so many words.
+BURST, ROOM, IDS = 1 << 12, 1 << 18, 1 << 18
 #: Bits of the bitmaps of words and pairs that are frequent enough: 8 MB each, at any size of the corpus.
 BITS = 1 << 26
 #: Words worked on at a time; a longer text is cut into such pieces.
-STEP = 1 << 19
+STEP = 1 << 18
 
 #: [.,;:!?\x0A-\x0D] ends a piece.
 BREAK = np.isin(BYTES, [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])
@@ -61,63 +63,59 @@ class HatTrie:
         self._clear()
 
     def _clear(self) -> None:
-        self.root, self.held, self.size = Node(), {}, 0
+        self.root, self.size = Node(), 0
         self.ids, self.names = {}, [0]
 
-    def has_ids(self, n: int) -> bool:
-        return len(self.names) + n <= _MASK
-
-    def number(self, names: np.ndarray) -> np.ndarray:
-        """The trie's own ids of words, given by their hashes, from 1."""
-        distinct, back = np.unique(names, return_inverse=True)
-        ids = self.ids
-        out = np.empty(len(distinct), np.int64)
-        for i, name in enumerate(distinct.tolist()):
+    def number(self, distinct: np.ndarray) -> np.ndarray:
+        """The trie's own ids of different words, given by their hashes, from 1."""
+        ids, names = self.ids, self.names
+        out = []
+        for name in distinct.tolist():
             found = ids.get(name)
             if found is None:
-                found = ids[name] = len(self.names)
-                self.names.append(name)
-            out[i] = found
-        return out[back]
-
-    def add(self, paths: np.ndarray) -> None:
-        """Count paths: rows of `depth` ids, zero after the end."""
-        rest = np.zeros(len(paths), np.int64)
-        for j in range(1, self.depth):
-            rest = rest << _ID | paths[:, j]
-        order = np.lexsort((rest, paths[:, 0]))
-        first, rest = paths[order, 0], rest[order]
-        new = np.ones(len(rest), bool)
-        new[1:] = (rest[1:] != rest[:-1]) | (first[1:] != first[:-1])
-        at = np.flatnonzero(new)
-        count = np.diff(np.append(at, len(rest)))
-        first, rest = first[at], rest[at]
+                found = ids[name] = len(names)
+                names.append(name)
+            out.append(found)
+        return np.array(out, np.int64)
+
+    def add(self, first: np.ndarray, rest: np.ndarray) -> None:
+        """Count paths, each given by its first id and the others packed."""
+        if self.depth == 2:
+            both, count = np.unique(first << _ID | rest, return_counts=True)
+            first, rest = both >> _ID, both & _MASK
+        else:
+            order = np.lexsort((rest, first))
+            first, rest = first[order], rest[order]
+            new = np.ones(len(rest), bool)
+            new[1:] = (rest[1:] != rest[:-1]) | (first[1:] != first[:-1])
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(rest)))
+            first, rest = first[at], rest[at]
         at = runs(first)
-        for low, high in zip(at[:-1].tolist(), at[1:].tolist()):
-            word = int(first[low])
-            grown = self._put(self.root, word, rest[low:high], count[low:high], self.depth - 1)
-            self.held[word] = self.held.get(word, 0) + grown
-            self.size += grown
-
-    def _put(self, node: Node, word: int, rest: np.ndarray, count: np.ndarray, left: int) -> int:
-        """Add to the child of a node; `left` words are in rest. Returns by how many paths it has grown."""
-        child = node.get(word)
-        if type(child) is Node:
-            shift = _ID * (left - 1)
-            top = rest >> shift
-            at = runs(top)
-            return sum(
-                self._put(child, int(top[low]), rest[low:high] & ((1 << shift) - 1), count[low:high], left - 1)
-                for low, high in zip(at[:-1].tolist(), at[1:].tolist())
-            )
-        if child is None:
-            child = node[word] = {}
-        before = len(child)
-        for key, n in zip(rest.tolist(), count.tolist()):
-            child[key] = child.get(key, 0) + n
-        if len(child) > self.burst and left > 1:
-            node[word] = self._burst(child, left)
-        return len(child) - before
+        self._put(self.root, first[at[:-1]].tolist(), at.tolist(), rest, count, self.depth - 1)
+
+    def _put(self, node: Node, words: list, at: list, rest: np.ndarray, count: np.ndarray, left: int) -> None:
+        """Add to the children of a node the paths at[i] to at[i + 1] for words[i]; `left` words are in rest."""
+        keys, counts = rest.tolist(), count.tolist()
+        for word, low, high in zip(words, at, at[1:]):
+            child = node.get(word)
+            if child is None:
+                child = node[word] = {}
+            elif type(child) is Node:
+                shift = _ID * (left - 1)
+                top = rest[low:high] >> shift
+                below = runs(top)
+                under = rest[low:high] & ((1 << shift) - 1)
+                self._put(child, top[below[:-1]].tolist(), below.tolist(), under, count[low:high], left - 1)
+                continue
+            before = len(child)
+            for i in range(low, high):
+                key = keys[i]
+                child[key] = child.get(key, 0) + counts[i]
+            after = len(child)
+            self.size += after - before
+            if after > self.burst and left > 1:
+                node[word] = self._burst(child, left)
 
     def _burst(self, container: dict, left: int) -> Node:
         shift = _ID * (left - 1)
@@ -126,42 +124,56 @@ class HatTrie:
             node.setdefault(key >> shift, {})[key & ((1 << shift) - 1)] = n
         return node
 
-    def _flat(self, child: dict, left: int) -> tuple[np.ndarray, np.ndarray]:
-        if type(child) is Node:
-            shift = _ID * (left - 1)
-            parts = [(word << shift, *self._flat(below, left - 1)) for word, below in child.items()]
-            return np.concatenate([word | rest for word, rest, _ in parts]), np.concatenate([n for *_, n in parts])
-        n = len(child)
-        return np.fromiter(child.keys(), np.int64, n), np.fromiter(child.values(), np.int64, n)
+    def _flat(self, words: list, children: list, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, rest, count) of all paths of some children of a node."""
+        flat = [(word, child) for word, child in zip(words, children) if type(child) is not Node]
+        sizes = [len(child) for _, child in flat]
+        total = sum(sizes)
+        parts = [(
+            np.repeat(np.array([word for word, _ in flat], np.int64), sizes),
+            np.fromiter(chain.from_iterable(child.keys() for _, child in flat), np.int64, total),
+            np.fromiter(chain.from_iterable(child.values() for _, child in flat), np.int64, total),
+        )]
+        for word, child in zip(words, children):
+            if type(child) is Node:
+                below, rest, count = self._flat(list(child), list(child.values()), left - 1)
+                rest = below << _ID * (left - 1) | rest
+                parts.append((np.full(len(rest), word, np.int64), rest, count))
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
     def spill(self, whole: bool):
         """Sorted runs (names of the path's words, counts) of whole subtrees: of all, or of the largest until half
         the room is free. What is given out is gone from the trie."""
         names = np.array(self.names, np.uint64)
+        sizes = {word: _paths(child) if type(child) is Node else len(child) for word, child in self.root.items()}
         goal = 0 if whole else self.room // 2
         batch, held = [], 0
-        for word in sorted(self.held, key=self.held.get, reverse=True):
-            if not whole and self.size <= goal:
+        for word in sorted(sizes, key=sizes.get, reverse=True):
+            if self.size <= goal:
                 break
-            rest, count = self._flat(self.root.pop(word), self.depth - 1)
-            self.size -= self.held.pop(word)
-            order = np.argsort(rest)
-            batch.append((np.full(len(rest), word), rest[order], count[order]))
-            held += len(rest)
+            batch.append(word)
+            held += sizes[word]
+            self.size -= sizes[word]
             if held >= 1 << 16:
-                yield self._named(names, batch)
+                yield self._run(names, batch)
                 batch, held = [], 0
         if batch:
-            yield self._named(names, batch)
+            yield self._run(names, batch)
         if whole:
             self._clear()
 
-    def _named(self, names: np.ndarray, batch: list) -> tuple[list[np.ndarray], np.ndarray]:
-        first, rest, count = (np.concatenate(x) for x in zip(*batch))
+    def _run(self, names: np.ndarray, words: list) -> tuple[list[np.ndarray], np.ndarray]:
+        first, rest, count = self._flat(words, [self.root.pop(word) for word in words], self.depth - 1)
+        order = np.lexsort((rest, first))
+        first, rest, count = first[order], rest[order], count[order]
         ids = [first, *(rest >> _ID * (self.depth - 1 - j) & _MASK for j in range(1, self.depth))]
         return [names[i].view(np.int64) for i in ids], count
 
 
+def _paths(child: dict) -> int:
+    return sum(map(_paths, child.values())) if type(child) is Node else len(child)
+
+
 def _langs(batch: pa.RecordBatch) -> tuple[np.ndarray, list[str], np.ndarray]:
     """(index of each row's language, the languages, their hashes)."""
     langs = batch.column("lang").cast(pa.string()).fill_null("und").dictionary_encode()
@@ -259,19 +271,24 @@ def path_counts(spark: SparkSession, docs: DataFrame, depth: int, words: np.ndar
                 start[: len(start) - j] &= joined[j:]
                 start[len(start) - j :] = False
             for low in range(0, len(ids), STEP):
-                at = low + np.flatnonzero(start[low : low + STEP])
+                at = np.flatnonzero(start[low : low + STEP])
                 if not len(at):
                     continue
-                steps = at[:, None] + np.arange(depth)
-                there = np.ones(steps.shape, bool)
-                there[:, 1:] = joined[np.minimum(steps[:, :-1], len(ids) - 1)]
-                there = np.logical_and.accumulate(there, axis=1)
-                names = ids[np.minimum(steps, len(ids) - 1)][there]
-                if not trie.has_ids(len(names)):
+                # The words of this step and those that its last paths reach.
+                on = joined[low : low + STEP + depth - 1]
+                used = on.copy()
+                used[1:] |= on[:-1]
+                distinct, back = np.unique(ids[low : low + len(on)][used], return_inverse=True)
+                if len(trie.names) + len(distinct) > IDS:
                     yield from (batch_of(*x) for x in trie.spill(whole=True))
-                paths = np.zeros(steps.shape, np.int64)
-                paths[there] = trie.number(names)
-                trie.add(paths)
+                number = np.zeros(len(on) + depth, np.int64)
+                number[: len(on)][used] = trie.number(distinct)[back]
+                on = np.concatenate([on, np.zeros(depth, bool)])
+                rest, alive = np.zeros(len(at), np.int64), np.ones(len(at), bool)
+                for j in range(1, depth):
+                    alive = alive & on[at + j - 1]
+                    rest = rest << _ID | np.where(alive, number[at + j], 0)
+                trie.add(number[at], rest)
                 if trie.size > trie.room:
                     yield from (batch_of(*x) for x in trie.spill(whole=False))
         yield from (batch_of(*x) for x in trie.spill(whole=True))
@@ -367,8 +384,9 @@ def collocations(
     spelt = spelt.select("lang", F.array_join(F.col("said.word"), " ").alias("phrase"), "a", "best.l", "best.r", "best.score")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # A language may hold most candidates: its first are taken from each of many shares of it, then of those.
-    share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(256))).orderBy(*order)
-    firsts = spelt.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top)
-    ranked = firsts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    for shares in (1024, 32):
+        share = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(shares))).orderBy(*order)
+        spelt = spelt.withColumn("rank", F.row_number().over(share)).where(F.col("rank") <= top).drop("rank")
+    ranked = spelt.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     ranked = ranked.where(F.col("rank") <= top).join(totals, "lang")
     return ranked.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")

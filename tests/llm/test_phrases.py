@@ -60,9 +60,9 @@ def fixture(seed=1):
     return rows + rows[-5:]
 
 
-@pytest.mark.parametrize(("burst", "room", "step", "bits"), [(4096, 1 << 19, 1 << 19, 1 << 26), (2, 20, 64, 64)])
-def test_matches_brute_force(spark, monkeypatch, burst, room, step, bits):
-    for name, value in (("BURST", burst), ("ROOM", room), ("STEP", step), ("BITS", bits)):
+@pytest.mark.parametrize(("burst", "room", "ids", "step", "bits"), [(4096, 1 << 18, 1 << 18, 1 << 18, 1 << 26), (2, 20, 6, 64, 64)])
+def test_matches_brute_force(spark, monkeypatch, burst, room, ids, step, bits):
+    for name, value in (("BURST", burst), ("ROOM", room), ("IDS", ids), ("STEP", step), ("BITS", bits)):
         monkeypatch.setattr(phrases, name, value)
     rows = fixture()
     docs = spark.createDataFrame([(i, t, lang, 1, "w", 2, 3) for i, (t, lang) in enumerate(rows)], DOCS)
@@ -101,10 +101,14 @@ def test_trie_counts_paths_through_bursts_and_spills(depth):
         names = np.array(rows, np.uint64)
         want.update(map(tuple, names.tolist()))
         ids = np.zeros(names.shape, np.int64)
-        ids[names > 0] = trie.number(names[names > 0])
-        trie.add(ids)
+        distinct, back = np.unique(names[names > 0], return_inverse=True)
+        ids[names > 0] = trie.number(distinct)[back]
+        rest = np.zeros(len(ids), np.int64)
+        for j in range(1, depth):
+            rest = rest << phrases._ID | ids[:, j]
+        trie.add(ids[:, 0], rest)
         bursts += any(type(child) is phrases.Node for child in trie.root.values())
-        assert trie.size == sum(trie.held.values())
+        assert trie.size == phrases._paths(trie.root)
         if trie.size > trie.room:
             runs += trie.spill(whole=False)
             assert trie.size <= trie.room // 2
