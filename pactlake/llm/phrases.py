@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from pactlake.llm.bitmaps import bitmap, marked
 from pactlake.llm.simhash import runs
 from pactlake.llm.tables import written
 from pactlake.llm.words import BYTES, Words, hashes, mixed, words_of
@@ -35,8 +36,6 @@ COVERED = 80
 #: A container bursts beyond so many paths; the trie gives up subtrees beyond so many paths, and all of them
 #: beyond so many words.
 BURST, ROOM, IDS = 1 << 12, 1 << 18, 1 << 18
-#: Bits of the bitmaps of words and pairs that are frequent enough: 8 MB each, at any size of the corpus.
-BITS = 1 << 26
 #: Words worked on at a time; a longer text is cut into such pieces.
 STEP = 1 << 18
 
@@ -226,21 +225,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("id", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def bitmap(names: DataFrame, name: str) -> np.ndarray:
-    """BITS bits, of which those of the names are set; Spark puts 64 into a row."""
-    bit = names.select(F.pmod(name, F.lit(BITS)).alias("bit"))
-    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
-    rows = bit.groupBy(F.expr("bit div 64").alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
-    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    return out
-
-
-def _marked(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
-    bit = np.mod(names.view(np.int64), BITS)
-    return (bits[bit >> 6] >> (bit & 63) & 1).astype(bool)
-
-
 def pair_name(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * _PAIR + second)
 
@@ -259,12 +243,12 @@ def path_counts(spark: SparkSession, docs: DataFrame, depth: int, words: np.ndar
     def run(batches):
         trie = HatTrie(depth, BURST, ROOM)
         for w, _, _, ids in _texts(batches):
-            marked = _marked(words.value, ids)
+            known = marked(words.value, ids)
             joined = _pieces(w)
-            joined[:-1] &= marked[:-1] & marked[1:]
+            joined[:-1] &= known[:-1] & known[1:]
             if pairs is not None:
                 at = np.flatnonzero(joined)
-                joined[at] = _marked(pairs.value, pair_name(ids[at], ids[at + 1]))
+                joined[at] = marked(pairs.value, pair_name(ids[at], ids[at + 1]))
             least = 1 if pairs is None else 2
             start = joined.copy()
             for j in range(1, least):
@@ -306,8 +290,8 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int) -> tuple[
     counted = word_counts(docs)
     counted = written(spark, "words", counted.where((F.col("n") >= least) | F.col("id").isNull()))
     words, totals = counted.where("id is not null"), counted.where("id is null").select("lang", "n")
-    marked = bitmap(words, "id")
-    pairs = path_counts(spark, docs, 2, marked, None).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
+    known = bitmap(words, "id")
+    pairs = path_counts(spark, docs, 2, known, None).groupBy("w1", "w2").agg(F.sum("n").alias("n"))
     pairs = written(spark, "pairs", pairs.where(F.col("n") >= least))
 
     @F.arrow_udf("bigint")
@@ -315,7 +299,7 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int) -> tuple[
         first, second = (x.to_numpy(zero_copy_only=False).view(np.uint64) for x in (first, second))
         return pa.array(pair_name(first, second).view(np.int64))
 
-    runs_of = path_counts(spark, docs, 4, marked, bitmap(pairs.select(name("w1", "w2").alias("name")), "name"))
+    runs_of = path_counts(spark, docs, 4, known, bitmap(pairs.select(name("w1", "w2").alias("name")), "name"))
     # All runs of a prefix of three words meet in one partition, where both sums are formed.
     prefix = Window.partitionBy("w1", "w2", "w3")
     merged = runs_of.repartition("w1", "w2", "w3").groupBy(*WORDS).agg(F.sum("n").alias("n"))

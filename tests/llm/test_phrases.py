@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pactlake.llm import phrases
+from pactlake.llm import bitmaps, phrases
 
 DOCS = "doc_id bigint, text string, lang string, n int, word string, id bigint, w1 bigint"
 
@@ -62,8 +62,9 @@ def fixture(seed=1):
 
 @pytest.mark.parametrize(("burst", "room", "ids", "step", "bits"), [(4096, 1 << 18, 1 << 18, 1 << 18, 1 << 26), (2, 20, 6, 64, 64)])
 def test_matches_brute_force(spark, monkeypatch, burst, room, ids, step, bits):
-    for name, value in (("BURST", burst), ("ROOM", room), ("IDS", ids), ("STEP", step), ("BITS", bits)):
+    for name, value in (("BURST", burst), ("ROOM", room), ("IDS", ids), ("STEP", step)):
         monkeypatch.setattr(phrases, name, value)
+    monkeypatch.setattr(bitmaps, "BITS", bits)
     rows = fixture()
     docs = spark.createDataFrame([(i, t, lang, 1, "w", 2, 3) for i, (t, lang) in enumerate(rows)], DOCS)
     want = brute(rows, 3, 40)
