@@ -11,8 +11,8 @@ Violations are `code:place`, the place being a JSON pointer into the payload (`#
 `not`, `if`, `contains` and `propertyNames` only the keyword itself is reported.
 
 Not judged, and reported as `unsupported_keyword:pointer into the schema` for every payload of that version: dynamic
-and remote references, `unevaluated*`, a reference that leads back to itself on one value, unknown types, and patterns
-beyond plain regular expressions (classes, groups two deep, quantifiers), as their dialects differ.
+and remote references, `unevaluated*`, unknown types, and patterns beyond plain regular expressions (classes, groups
+two deep, quantifiers), as their dialects differ. A reference that leads back to itself on one value adds nothing.
 """
 
 from __future__ import annotations
@@ -172,8 +172,7 @@ def compile_schemas(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Da
     )
     info = nodes.select(*of, "node", _info(F.col("body")).alias("info"))
     edges = edges.union(refs).join(info, [*of, "node"], "left")
-    edges = edges.withColumnsRenamed({"node": "child", "parent": "node"})
-    edges = _stored(spark, "schema-edges", edges)
+    edges = _stored(spark, "schema-edges", edges.withColumnsRenamed({"node": "child", "parent": "node"}))
     body = F.col("body")
     strange = F.array_intersect(F.map_keys(body.try_cast("map<string,variant>")), F.array(*map(F.lit, UNSUPPORTED)))
     types = F.exists(flat._type_names(body), lambda t: ~t.isin(*flat.TYPE_NAMES))
@@ -324,10 +323,14 @@ def _folded(level: DataFrame, below: DataFrame) -> DataFrame:
     return met.select(level["key"], level["visit"], F.col("of").alias("parent"), "via", F.array_distinct(errors).alias("errors"))
 
 
-def check_whole(spark: SparkSession, payloads: DataFrame, docs: DataFrame) -> DataFrame:
+Compiled = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def check_whole(spark: SparkSession, payloads: DataFrame, docs: DataFrame, compiled: Compiled | None = None) -> DataFrame:
     """Payload rows, all their columns, plus `valid` and sorted `violations`. docs: one document for each contract and
-    version. An unknown contract, a null or malformed payload gives the same codes as in the flat check."""
-    roots, edges, odd = compile_schemas(spark, docs)
+    version; compiled: its compile_schemas, where that is at hand. An unknown contract, a null or malformed payload
+    gives the same codes as in the flat check."""
+    roots, edges, odd = compiled or compile_schemas(spark, docs)
     known = docs.select("contract_id", "version").join(odd, ["contract_id", "version"], "left")
     keyed = payloads.select(
         F.struct("*").alias("row"),

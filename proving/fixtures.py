@@ -320,6 +320,55 @@ def keyword_payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+NESTED_DOCUMENT = """{"type":"object","required":["id","event"],
+  "$defs":{"amount":{"anyOf":[{"type":"number","minimum":50},{"$ref":"#/$defs/code"}]},
+    "code":{"type":"string","pattern":"^[A-Z]{2}-[0-9]+$"}},
+  "properties":{"id":{"type":"integer"},
+    "event":{"type":"object","required":["kind"],"additionalProperties":false,"properties":{
+      "kind":{"enum":["click","error","purchase","signup","view"]},
+      "props":{"type":"object","properties":{"k":{"type":"integer","maximum":90}}}}},
+    "amount":{"$ref":"#/$defs/amount"},
+    "codes":{"type":"array","items":{"$ref":"#/$defs/code"},"contains":{"const":"AA-1"}},
+    "pair":{"prefixItems":[{"type":"integer"},{"type":"string"}],"items":false}},
+  "if":{"properties":{"event":{"properties":{"kind":{"const":"error"}}}}},
+  "then":{"required":["codes"]},"else":{"not":{"required":["trace"]}},
+  "oneOf":[{"required":["a"]},{"required":["b"]}]}"""
+
+
+def nested_payloads(events: DataFrame) -> DataFrame:
+    """A payload per event that meets or breaks each part of NESTED_DOCUMENT; a pure projection."""
+    i = F.col("event_id")
+    kind = F.when(i % 11 == 0, "zzz").otherwise(F.col("event_type"))
+    extra = F.when(i % 13 == 0, ',"e":1').otherwise("")
+    amount = F.when(i % 5 == 0, F.concat(F.lit('"AB-'), i, F.lit('"'))).when(i % 5 == 1, '"ab"')
+    codes = F.concat(
+        F.when(i % 4 == 0, '"AA-2"').otherwise('"AA-1"'), F.lit(',"BB-'), i, F.lit('"'), F.when(i % 19 == 0, ',"bad"').otherwise("")
+    )
+    pair = F.concat(F.when(i % 29 == 0, '"s"').otherwise(i.cast("string")), F.lit(',"s"'), F.when(i % 23 == 0, ",1").otherwise(""))
+    parts = [
+        F.concat(F.lit('"id":'), F.when(i % 7 == 0, '"x"').otherwise(i.cast("string"))),
+        F.when(i % 17 != 0, F.concat(F.lit('"event":{"kind":"'), kind, F.lit('","props":'), "props", extra, F.lit("}"))),
+        F.concat(F.lit('"amount":'), F.coalesce(amount, F.col("value").cast("string"))),
+        F.when(i % 3 != 0, F.concat(F.lit('"codes":['), codes, F.lit("]"))),
+        F.concat(F.lit('"pair":['), pair, F.lit("]")),
+        F.when(i % 31 == 0, '"trace":1'),
+        F.when(i % 2 == 0, '"a":1'),
+        F.when(i % 3 == 0, '"b":1'),
+    ]
+    return events.select(
+        F.lit("nested.all").alias("contract_id"),
+        F.lit("v1").alias("version"),
+        i.cast("string").alias("payload_id"),
+        F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("payload"),
+    )
+
+
+def nested_docs(spark: SparkSession) -> DataFrame:
+    return keyword_docs(spark).select(
+        F.lit("nested.all").alias("contract_id"), "version", F.lit(NESTED_DOCUMENT).alias("schema_json")
+    )
+
+
 def keyword_docs(spark: SparkSession) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(
         F.lit("kw.all").alias("contract_id"),

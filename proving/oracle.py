@@ -901,6 +901,28 @@ FROM (SELECT CAST(i AS VARCHAR) AS payload_id, list_sort(list_distinct(list_filt
       CASE WHEN event_id % 5 <> 0 THEN CAST(event_id % 4 AS VARCHAR) END,
       CASE WHEN event_id % 6 = 0 THEN 'q' END, CASE WHEN event_id % 11 = 0 THEN '7' END,
       CASE WHEN event_id % 11 = 0 THEN '8' END], lambda x: x IS NOT NULL) AS a FROM events))""")
+_NESTED = """
+SELECT CAST(i AS VARCHAR) AS payload_id, len(violations) = 0 AS valid, array_to_string(violations, ',') AS violations
+FROM (SELECT i, list_sort(list_filter([
+    CASE WHEN i % 7 = 0 THEN 'type:#/id' END,
+    CASE WHEN NOT there THEN 'required:#/event' END,
+    CASE WHEN there AND kind = 'zzz' THEN 'enum:#/event/kind' END,
+    CASE WHEN there AND i % 13 = 0 THEN 'additionalProperties:#/event/e' END,
+    CASE WHEN there AND k > 90 THEN 'maximum:#/event/props/k' END,
+    CASE WHEN i % 5 = 1 OR (i % 5 > 1 AND value < 50) THEN 'anyOf:#/amount' END,
+    CASE WHEN coded AND i % 4 = 0 THEN 'contains:#/codes' END,
+    CASE WHEN coded AND i % 19 = 0 THEN 'pattern:#/codes/2' END,
+    CASE WHEN i % 29 = 0 THEN 'type:#/pair/0' END,
+    CASE WHEN i % 23 = 0 THEN 'items:#/pair/2' END,
+    CASE WHEN err AND NOT coded THEN 'required:#/codes' END,
+    CASE WHEN NOT err AND i % 31 = 0 THEN 'not:#' END,
+    CASE WHEN (i % 2 = 0) = (i % 3 = 0) THEN 'oneOf:#' END], lambda x: x IS NOT NULL)) AS violations
+  FROM (SELECT *, NOT there OR kind = 'error' AS err FROM (
+    SELECT event_id AS i, value, event_id % 17 <> 0 AS there, event_id % 3 <> 0 AS coded,
+      CASE WHEN event_id % 11 = 0 THEN 'zzz' ELSE event_type END AS kind, CAST(props ->> '$.k' AS INTEGER) AS k
+    FROM events)))"""
+oracle("payload_nested", "", _NESTED)
+oracle("stream_payload_nested", "", _NESTED)
 oracle("payload_violations", "pay", """
 SELECT contract_id, version, split_part(x, ':', 1) AS code,
   CASE WHEN contains(x, ':') THEN substr(x, instr(x, ':') + 1) END AS subject, count(*) AS payloads

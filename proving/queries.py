@@ -17,6 +17,7 @@ from pactlake.operators import (
     history,
     insights,
     lint,
+    nested,
     ordering,
     payloads,
     policy,
@@ -818,6 +819,25 @@ def payload_keywords(spark, sf):
     return checked.select("payload_id", "valid", listed("violations", ","))
 
 
+@query
+def payload_nested(spark, sf):
+    rows = fx.nested_payloads(fx.table(spark, sf, "events"))
+    checked = nested.check_whole(spark, rows, fx.nested_docs(spark))
+    return checked.select("payload_id", "valid", listed("violations", ","))
+
+
+@query
+def stream_payload_nested(spark, sf):
+    """The whole check as a stream over the event files."""
+    folder = shared_folder(spark, "payload-stream")
+    events = spark.readStream.schema(fx.table(spark, sf, "events").schema).parquet(f"{sf}/*events.parquet")
+    start_payload_check(
+        fx.nested_payloads(events), fx.nested_docs(spark), f"{folder}/checked", f"{folder}/checkpoint", whole=True
+    ).awaitTermination()
+    checked = read_checked(spark, f"{folder}/checked")
+    return checked.select("payload_id", "valid", listed("violations", ","))
+
+
 @query
 def payload_violations(spark, sf):
     return payloads.payload_violations(
