@@ -637,6 +637,39 @@ SELECT * FROM (
       AS reason
   FROM upd LEFT JOIN cr ON cr.run_id = upd.run_id) WHERE reason IS NOT NULL""")
 
+cte("chain", "cr", """
+SELECT *, (expected_status = 'QUEUED' AND new_status = 'RUNNING')
+    OR (expected_status = 'RUNNING' AND new_status IN ('PASS', 'FAIL', 'QUEUED')) AS legal
+FROM (
+  SELECT run_id, 'u-' || k || '-' || turn AS update_id, turn, '2002-01-01T00:00:0' || turn || 'Z' AS stamp,
+    CASE WHEN kind IN (0, 2) THEN 'QUEUED' ELSE 'RUNNING' END AS expected_status,
+    CASE kind WHEN 0 THEN 'RUNNING' WHEN 2 THEN 'RUNNING' WHEN 1 THEN 'QUEUED' WHEN 3 THEN 'PASS' WHEN 4 THEN 'FAIL'
+      ELSE 'LOST' END AS new_status
+  FROM (SELECT run_id, k, turn, (turn * (1 + k % 5) + k) % 6 AS kind FROM cr, (SELECT unnest(range(6)) AS turn)))""")
+cte("turns", "cr chain", """
+SELECT * FROM (
+  WITH RECURSIVE walk AS (
+    SELECT run_id, 0 AS turn, status AS before, status, breaking_changes, warnings, started_at, finished_at FROM cr
+    UNION ALL
+    SELECT w.run_id, w.turn + 1, w.status, CASE WHEN hit THEN new_status ELSE w.status END,
+      CASE WHEN hit AND new_status = 'FAIL' THEN '["Field removed: u' || c.turn || '"]'
+        WHEN hit AND new_status = 'PASS' THEN '[]' ELSE breaking_changes END,
+      CASE WHEN hit AND new_status IN ('FAIL', 'PASS') THEN '[]' ELSE warnings END,
+      CASE WHEN hit AND new_status = 'RUNNING' THEN stamp WHEN hit AND new_status = 'QUEUED' THEN NULL ELSE started_at END,
+      CASE WHEN hit AND new_status IN ('FAIL', 'PASS') THEN stamp WHEN hit AND new_status = 'QUEUED' THEN NULL
+        ELSE finished_at END
+    FROM walk w JOIN (SELECT * FROM chain) c ON c.run_id = w.run_id AND c.turn = w.turn,
+      LATERAL (SELECT c.legal AND w.status = c.expected_status AS hit))
+  SELECT * FROM walk)""")
+oracle("transition_chains", "turns", """
+SELECT run_id, status, breaking_changes, warnings, started_at, finished_at FROM turns WHERE turn = 6""")
+oracle("transition_steps", "cr chain turns", """
+SELECT update_id, chain.run_id, CASE WHEN legal THEN before END AS status_before,
+  legal AND before = expected_status AS applied,
+  CASE WHEN NOT legal THEN 'illegal_transition' WHEN before = expected_status THEN NULL
+    WHEN cr.status = expected_status THEN 'superseded' ELSE 'status_mismatch' END AS reason
+FROM chain JOIN cr ON cr.run_id = chain.run_id JOIN turns ON turns.run_id = chain.run_id AND turns.turn = chain.turn + 1""")
+
 # --- composed work -----------------------------------------------------------------------------
 
 oracle("changed_contract_ids", "", """

@@ -589,7 +589,42 @@ def apply_transitions(spark, sf):
 
 @query
 def skipped_updates(spark, sf):
-    return upkeep.skipped_updates(fx.check_runs(spark, sf), run_updates(spark, sf))
+    return upkeep.skipped_updates(fx.check_runs(spark, sf), run_updates(spark, sf)).drop("status_before")
+
+
+def chained_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Several updates of each run in one batch: claimed, given back, claimed again, ended, ended once more; by key
+    some of them come in another order."""
+    runs = fx.check_runs(spark, sf)
+    key = fx.customer_key("run_id")
+    turn = F.col("turn")
+    rows = runs.select("run_id", key.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("turn"))
+    kind = F.pmod(turn * (1 + F.col("k") % 5) + F.col("k"), F.lit(6))
+    expected = F.when(kind.isin(0, 2), "QUEUED").otherwise("RUNNING")
+    new = F.when(kind.isin(0, 2), "RUNNING").when(kind == 1, "QUEUED").when(kind == 3, "PASS").when(kind == 4, "FAIL")
+    listed_turn = F.array(F.concat(F.lit("Field removed: u"), turn))
+    return rows.select(
+        F.concat(F.lit("u-"), "k", F.lit("-"), turn).alias("update_id"),
+        "run_id",
+        expected.alias("expected_status"),
+        F.coalesce(new, F.lit("LOST")).alias("new_status"),
+        F.when(kind == 4, listed_turn).otherwise(F.array().cast("array<string>")).alias("breaking_changes"),
+        F.array().cast("array<string>").alias("warnings"),
+        F.concat(F.lit("2002-01-01T00:00:0"), turn, F.lit("Z")).alias("at"),
+    )
+
+
+@query
+def transition_chains(spark, sf):
+    return upkeep.apply_transitions(fx.check_runs(spark, sf), chained_updates(spark, sf)).select(
+        "run_id", "status", "breaking_changes", "warnings", "started_at", "finished_at"
+    )
+
+
+@query
+def transition_steps(spark, sf):
+    steps = upkeep.transition_steps(fx.check_runs(spark, sf), chained_updates(spark, sf))
+    return steps.select("update_id", "run_id", "status_before", "applied", "reason")
 
 
 # --- composed work -----------------------------------------------------------------------------

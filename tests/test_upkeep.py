@@ -1,5 +1,9 @@
+import random
+
+import pytest
 from test_history import run
 
+from pactlake.operators import upkeep
 from pactlake.operators.upkeep import (
     FILLED,
     apply_transitions,
@@ -77,3 +81,53 @@ def test_guarded_transitions(spark, runs_of):
     requeue = spark.createDataFrame([("u", "r", "RUNNING", "QUEUED", None, None, "t")], UPDATES)
     back = {r.run_id: r for r in apply_transitions(runs, requeue).collect()}["r"]
     assert (back.status, back.started_at, back.finished_at) == ("QUEUED", None, None)
+
+
+def applied_one_by_one(status, updates):
+    """(statuses before, applied, state of the run) by the definition."""
+    run_, steps = {"status": status, "started": None, "finished": None}, []
+    for update_id, expected, new, at in sorted(updates, key=lambda u: (u[3], u[0])):
+        legal = (expected, new) in {("QUEUED", "RUNNING"), ("RUNNING", "PASS"), ("RUNNING", "FAIL"), ("RUNNING", "QUEUED")}
+        hit = legal and run_["status"] == expected
+        steps.append((update_id, run_["status"] if legal else None, hit))
+        if hit:
+            run_["status"] = new
+            if new == "RUNNING":
+                run_["started"] = at
+            elif new == "QUEUED":
+                run_["started"] = run_["finished"] = None
+            else:
+                run_["finished"] = at
+    return steps, run_
+
+
+@pytest.mark.parametrize(("task", "chunk"), [(50_000, 256), (40, 3)])
+def test_chains_of_updates_in_one_batch(spark, runs_of, monkeypatch, task, chunk):
+    monkeypatch.setattr(upkeep, "TASK_STEPS", task)
+    monkeypatch.setattr(upkeep, "CHUNK", chunk)
+    rng = random.Random(7)
+    kinds = [("QUEUED", "RUNNING"), ("RUNNING", "QUEUED"), ("RUNNING", "PASS"), ("RUNNING", "FAIL"), ("PASS", "QUEUED")]
+    given, rows = {}, []
+    # One run has most of the updates, and only ends late.
+    for n, (name, size) in enumerate([("hot", 300), *((f"r{i}", rng.randint(1, 9)) for i in range(30))]):
+        status = rng.choice(["QUEUED", "RUNNING", "PASS"]) if n else "QUEUED"
+        steps = []
+        for i in range(size):
+            expected, new = rng.choice(kinds[:2] if name == "hot" and i < 290 else kinds)
+            steps.append((f"{name}-{i:03}", expected, new, f"t{rng.randint(0, 150) + (i >= 290) * 200:03}"))
+        given[name] = (status, steps)
+        rows += [(u, name, e, t, ["x"] if t == "FAIL" else None, None, at) for u, e, t, at in steps]
+    runs = runs_of(*[run(name, status) for name, (status, _) in given.items()], run("still", "QUEUED"))
+    updates = spark.createDataFrame(rows, UPDATES).repartition(3)
+    got = {r.update_id: (r.status_before, r.applied) for r in upkeep.transition_steps(runs, updates).collect()}
+    after = {r.run_id: r for r in apply_transitions(runs, updates).collect()}
+    hits = 0
+    for name, (status, steps) in given.items():
+        want, end = applied_one_by_one(status, steps)
+        hits += sum(hit for *_, hit in want)
+        assert {u: got[u] for u, *_ in want} == {u: (before, hit) for u, before, hit in want}
+        row = after[name]
+        assert row.status == end["status"]
+        if any(hit for *_, hit in want):
+            assert (row.started_at, row.finished_at) == (end["started"], end["finished"])
+    assert hits > 100 and after["still"].status == "QUEUED"
