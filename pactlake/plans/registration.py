@@ -15,6 +15,7 @@ from pactlake.operators.documents import schema_shapes
 from pactlake.operators.lint import metadata_error, with_document_error
 from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REGISTRY_CONTRACT_ID, VERSION_NAME
+from pactlake.session import shared_folder
 
 
 def _first(*rules: tuple[Column, Column | str]) -> Column:
@@ -43,8 +44,10 @@ def register_versions(
     The contract's metadata and its latest document are linted as well: a version is never accepted on
     a base that cannot be judged. shapes: schema_shapes of the registry.
 
-    A batch holds at most one candidate per contract and version; several new versions of one
-    contract go in as several batches, as each must follow the one before it.
+    A batch may hold several new versions of a contract. They go in by number, each compared with the one
+    below it, up to the first that is missing or fails; what stands above that is out of sequence. Of rows
+    for the same new version one is judged, the first by a hash of its document; the others are rejected.
+    No contract is worked on in one task: what stops a chain is a grouped minimum.
     """
     asked = candidates.select(
         F.col("contract_id").alias("given_id"),
@@ -76,27 +79,19 @@ def register_versions(
         .join(existing, ["contract_id", "version"], "left")
         .join(latest, "contract_id", "left")
         .withColumn(
-            "sequence_error",
+            "own_error",
             _first(
                 (F.col("request_error").isNotNull(), F.col("request_error")),
                 (
                     F.col("pack").isNull(),
                     F.concat(F.lit("Contract not found: "), "contract_id"),
                 ),
-                (
-                    F.col("version_exists").isNotNull(),
-                    F.concat(
-                        F.lit("Version already exists for contract "),
-                        "contract_id",
-                        F.lit(": "),
-                        "version",
-                    ),
-                ),
+                (F.col("version_exists").isNotNull(), _exists()),
                 (
                     out_of_range(F.col("version")),
                     F.concat(F.lit("Version number out of range: "), "version"),
                 ),
-                (top.isNull() & (F.col("version") != "v1"), "First contract version must be v1."),
+                (top.isNull() & (num < 1), "First contract version must be v1."),
                 (
                     num <= top,
                     F.concat(
@@ -105,32 +100,52 @@ def register_versions(
                         F.lit("."),
                     ),
                 ),
-                (
-                    num != top + 1,
-                    F.concat(
-                        F.lit("Version sequence must be incremental. Expected "),
-                        version_of(top + 1),
-                        F.lit("."),
-                    ),
-                ),
             ),
         )
+        .withColumns({"row": F.monotonically_increasing_id(), "document": F.xxhash64("schema_json")})
     )
+    # Written: row numbers are kept, and lint and shapes are read more than once.
+    path = shared_folder(candidates.sparkSession, "candidates")
+    schema_shapes(with_document_error(placed)).write.parquet(path)
+    placed = candidates.sparkSession.read.parquet(path)
+    version = ["contract_id", "version_num"]
+    sent = placed.where("own_error is null")
+    chosen = sent.groupBy(*version).agg(F.min(F.struct("document", "row"))["row"].alias("row"))
+    chain = sent.join(chosen, [*version, "row"])
+    below = F.coalesce(top, F.lit(0))
+    # The first number that is neither in the registry nor in the batch.
+    numbers = chain.select("contract_id", F.col("version_num").alias("next"))
+    starts = chain.select("contract_id", below.alias("version_num")).distinct()
+    ends = chain.select(*version).union(starts).select("contract_id", (num + 1).alias("next"))
+    hole = ends.join(numbers, ["contract_id", "next"], "left_anti").groupBy("contract_id").agg(F.min("next").alias("hole"))
     base = shapes.select(
         "contract_id",
         F.col("version_num").alias("latest_num"),
-        F.col("shape").alias("base_shape"),
-        F.col("document_error").alias("base_error"),
-    )
-    # The candidate brings its own document: with the latest one joined beside it, lint, diff and
-    # verdict are projections of the candidate's row.
-    checked = with_document_error(placed)
-    both = schema_shapes(checked).withColumnRenamed("shape", "candidate_shape")
-    both = both.join(base, ["contract_id", "latest_num"], "left")
-    lint_error = F.coalesce("metadata_error", "document_error", "base_error")
-    judged = with_verdict(with_changes(both.withColumn("lint_error", lint_error)), packs)
-    usable = F.col("sequence_error").isNull() & F.col("lint_error").isNull()
-    compared = usable & top.isNotNull()
+        F.col("shape").alias("old_shape"),
+        F.col("document_error").alias("old_error"),
+    )
+    before = chain.select(
+        "contract_id",
+        (num + 1).alias("version_num"),
+        F.col("shape").alias("new_shape"),
+        F.col("document_error").alias("new_error"),
+    )
+    on_top = num == below + 1
+    # Each brings its own document; beside the one below it lint, diff and verdict are projections of its row.
+    both = (
+        chain.withColumnRenamed("shape", "candidate_shape")
+        .join(base, ["contract_id", "latest_num"], "left")
+        .join(before, version, "left")
+        .withColumn("base_shape", F.when(on_top, F.col("old_shape")).otherwise(F.col("new_shape")))
+        .withColumn(
+            "lint_error",
+            F.coalesce("metadata_error", "document_error", F.when(on_top, F.col("old_error")).otherwise(F.col("new_error"))),
+        )
+        .drop("old_shape", "new_shape")
+    )
+    judged = with_verdict(with_changes(both), packs)
+    # The first version of a contract has nothing to be compared with.
+    compared = F.col("lint_error").isNull() & (top.isNotNull() | (num > 1))
     status = F.when(compared, F.col("status"))
     rejected_by_check = F.concat(
         F.lit("Strict mode rejected version "),
@@ -138,19 +153,61 @@ def register_versions(
         F.lit(". Breaking changes: "),
         F.array_join("breaking_changes", "; "),
     )
-    reason = _first(
-        (F.col("sequence_error").isNotNull(), F.col("sequence_error")),
-        (F.col("lint_error").isNotNull(), F.col("lint_error")),
-        (status == "ERROR", F.col("error")),
-        (F.lit(strict) & (status == "FAIL"), rejected_by_check),
-    )
-    return judged.select(
-        F.col("given_id").alias("contract_id"),
-        F.col("given_version").alias("version"),
-        F.when(compared, version_of(top)).alias("base_version"),
+    judged = judged.select(
+        "row",
+        "contract_id",
+        "version_num",
         status.alias("check_status"),
-        reason.isNull().alias("accepted"),
-        reason.alias("reason"),
+        F.when(compared, version_of(num - 1)).alias("base_version"),
+        _first(
+            (F.col("lint_error").isNotNull(), F.col("lint_error")),
+            (status == "ERROR", F.col("error")),
+            (F.lit(strict) & (status == "FAIL"), rejected_by_check),
+        ).alias("judged_error"),
+    )
+    path = shared_folder(candidates.sparkSession, "judged")
+    judged.write.parquet(path)
+    judged = candidates.sparkSession.read.parquet(path)
+    failed = judged.where("judged_error is not null").groupBy("contract_id").agg(F.min("version_num").alias("failed"))
+    stops = hole.join(failed, "contract_id", "left").select(
+        "contract_id", F.least("hole", "failed").alias("stop")
+    )
+    stop, taken = F.col("stop"), F.col("judged").isNotNull()
+    told = judged.select("row", F.struct("check_status", "base_version", "judged_error").alias("judged"))
+    expected = _first(
+        (top.isNull() & (stop == 1), "First contract version must be v1."),
+        (
+            F.lit(True),
+            F.concat(
+                F.lit("Version sequence must be incremental. Expected "), version_of(stop), F.lit(".")
+            ),
+        ),
+    )
+    reason = _first(
+        (F.col("own_error").isNotNull(), F.col("own_error")),
+        (num > stop, expected),
+        (taken, F.col("judged.judged_error")),
+        (num < stop, _exists()),
+        (F.lit(True), F.concat(F.lit("Version was sent more than once in this batch: "), "version", F.lit("."))),
+    )
+    reached = taken & (num <= stop)
+    return (
+        placed.join(told, "row", "left")
+        .join(stops, "contract_id", "left")
+        .select(
+            F.col("given_id").alias("contract_id"),
+            F.col("given_version").alias("version"),
+            F.when(reached, F.col("judged.base_version")).alias("base_version"),
+            F.when(reached, F.col("judged.check_status")).alias("check_status"),
+            reason.isNull().alias("accepted"),
+            reason.alias("reason"),
+        )
+    )
+
+
+def _exists() -> Column:
+    return F.concat(
+        F.lit("Version already exists for contract "), "contract_id", F.lit(": "), "version"
     )
 
 

@@ -857,6 +857,37 @@ SELECT *, reason IS NULL AS accepted FROM (
     coalesce(sequence_error, lint_error, CASE WHEN status = 'FAIL' THEN 'Strict mode rejected version '
       || version || '. Breaking changes: ' || breaking_changes END) AS reason
   FROM seq LEFT JOIN res ON res.contract_id = own_id AND res.candidate_version = version)""", **_REG)
+oracle("register_chains", "ef owners", """
+SELECT contract_id, 'v' || num AS version,
+  CASE WHEN copy = 1 AND num <= stop AND num > 1 AND lint IS NULL THEN 'v' || (num - 1) END AS base_version,
+  CASE WHEN copy = 1 AND num <= stop AND num > 1 AND lint IS NULL THEN status END AS check_status,
+  reason IS NULL AS accepted, reason
+FROM (
+  SELECT *, CASE
+    WHEN num > stop AND top = 0 AND stop = 1 THEN 'First contract version must be v1.'
+    WHEN num > stop THEN 'Version sequence must be incremental. Expected v' || stop || '.'
+    WHEN copy = 1 THEN problem
+    WHEN num < stop THEN 'Version already exists for contract ' || contract_id || ': v' || num
+    ELSE 'Version was sent more than once in this batch: v' || num || '.' END AS reason
+  FROM sent JOIN chains USING (c), (SELECT unnest([1, 2]) AS copy)
+  WHERE copy = 1 OR (c % 10 = 2 AND num = last_num))""", **verdicts("ef", OWN_CHECKS) | {
+    "ends": """
+SELECT c, max(ver) AS last_num, greatest(max(ver) - 4, 0) AS top FROM v GROUP BY c""",
+    "sent": """
+SELECT *, coalesce(lint, CASE WHEN num > 1 AND status = 'FAIL' THEN 'Strict mode rejected version v' || num
+  || '. Breaking changes: ' || breaking_changes END) AS problem
+FROM (
+  SELECT v.c, 'cust.' || v.c AS contract_id, ver AS num, last_num, top, res.status, res.breaking_changes,
+    CASE WHEN v.c % 10 = 3 AND ver = last_num - 2 THEN 'Property ''a'' in v' || ver || '.json must define ''type''.' END AS lint
+  FROM v JOIN ends USING (c) LEFT JOIN res ON res.contract_id = 'cust.' || v.c AND res.candidate_version = 'v' || ver
+  WHERE ver > top AND NOT (v.c % 10 = 1 AND ver = last_num - 1))""",
+    "chains": """
+SELECT c, least(hole, coalesce(failed, hole)) AS stop
+FROM (
+  SELECT c, min(m + 1) AS hole FROM (SELECT c, num AS m FROM sent UNION SELECT c, top FROM sent) ends_at
+  WHERE NOT EXISTS (SELECT 1 FROM sent s WHERE s.c = ends_at.c AND s.num = m + 1) GROUP BY c)
+LEFT JOIN (SELECT c, min(num) AS failed FROM sent WHERE problem IS NOT NULL GROUP BY c) USING (c)""",
+})
 oracle("register_contracts", "owners", """
 SELECT *, reason IS NULL AS accepted FROM (
   SELECT CASE WHEN c % 20 = 1 THEN '  ' WHEN c % 20 = 2 THEN 'New.' || c

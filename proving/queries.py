@@ -777,6 +777,25 @@ def register_versions(spark, sf):
     return registration.register_versions(candidates, owners, shapes, fx.packs())
 
 
+@query
+def register_chains(spark, sf):
+    """The last four versions of each contract in one batch; by key one is left out, sent twice, or unreadable."""
+    docs = stored(spark, "docs", fx.all_documents(spark, sf, fx.evolving_fields(spark, sf)))
+    last = docs.groupBy("contract_id").agg(F.max("version_num").alias("last_num"))
+    both = docs.join(last, "contract_id")
+    key, back = fx.customer_key(), F.col("last_num") - F.col("version_num")
+    rest = both.filter(back >= 4).drop("last_num")
+    newest = both.filter((back < 4) & ~((key % 10 == 1) & (back == 1)))
+    candidates = newest.select(
+        "contract_id",
+        "version",
+        F.when((key % 10 == 3) & (back == 2), '{"properties":{"a":{}}}').otherwise(F.col("schema_json")).alias("schema_json"),
+        F.explode(F.when((key % 10 == 2) & (back == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))),
+    ).drop("col")
+    shapes = stored(spark, "shapes", documents.schema_shapes(rest))
+    return registration.register_versions(candidates, fx.contracts(spark, sf), shapes, fx.packs())
+
+
 @query
 def register_contracts(spark, sf):
     rows = fx.contracts(spark, sf)

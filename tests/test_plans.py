@@ -180,6 +180,46 @@ def test_register_versions(spark, docs_of):
     assert found[("o.c ", "v2", True)] == "Property 'a' in v2.json must define 'type'."
 
 
+def test_a_chain_of_versions_in_one_batch(spark, docs_of):
+    registry = docs_of(("a.a", 3, STATION_V1), ("b.b", 3, STATION_V1), ("c.c", 3, STATION_V1), ("d.d", 3, STATION_V2))
+    contracts = contracts_of(
+        spark, ("a.a", "BACKWARD", None), ("b.b", "BACKWARD", None), ("c.c", "BACKWARD", None), ("d.d", "BACKWARD", None),
+        ("e.e", "BACKWARD", None), ("f.f", "BACKWARD", None),
+    )
+    one, two, bad = json.dumps(STATION_V1), json.dumps(STATION_V2), json.dumps(BROKEN)
+    asked = [
+        # v5 takes back what v4 brought, which breaks.
+        ("a.a", "v6", two), ("a.a", "v4", two), ("a.a", "v5", one),
+        ("b.b", "v4", two), ("b.b", "v6", two),
+        # A version sent three times, with two documents.
+        ("c.c", "v4", two), ("c.c", "v4", two), ("c.c", "v4", two + " "), ("c.c", "v5", two),
+        ("d.d", "v4", bad), ("d.d", "v5", two), ("d.d", "v4", bad), ("d.d", "v3", two),
+        ("e.e", "v2", two), ("e.e", "v1", one), ("e.e", "v3", two),
+        ("f.f", "v2", two), ("f.f", "v3", two),
+    ]
+    candidates = spark.createDataFrame(asked, "contract_id string, version string, schema_json string").repartition(3)
+    found = {}
+    for r in register_versions(candidates, contracts, schema_shapes(registry), PolicyPacks.parse(PACKS)).collect():
+        found.setdefault((r.contract_id, r.version), []).append((r.accepted, r.base_version, r.check_status, r.reason))
+    assert found["a.a", "v4"] == [(True, "v3", "PASS", None)]
+    assert found["a.a", "v5"][0][:3] == (False, "v4", "FAIL")
+    assert found["a.a", "v5"][0][3].startswith("Strict mode rejected version v5.")
+    assert found["a.a", "v6"] == [(False, None, None, "Version sequence must be incremental. Expected v5.")]
+    assert found["b.b", "v4"][0][0]
+    assert found["b.b", "v6"] == [(False, None, None, "Version sequence must be incremental. Expected v5.")]
+    again = (False, None, None, "Version already exists for contract c.c: v4")
+    assert sorted(found["c.c", "v4"], key=str) == [again, again, (True, "v3", "PASS", None)]
+    assert found["c.c", "v5"][0][0]
+    assert {r[3] for r in found["d.d", "v4"]} == {
+        "Property 'a' in v4.json must define 'type'.", "Version was sent more than once in this batch: v4."
+    }
+    assert found["d.d", "v5"][0][3] == "Version sequence must be incremental. Expected v4."
+    assert found["d.d", "v3"][0][3] == "Version already exists for contract d.d: v3"
+    assert found["e.e", "v1"] == [(True, None, None, None)]
+    assert [found["e.e", v][0][0] for v in ("v2", "v3")] == [True, True]
+    assert {found["f.f", v][0][3] for v in ("v2", "v3")} == {"First contract version must be v1."}
+
+
 def test_register_contracts(spark):
     schema = (
         "contract_id string, owner_team string, domain string, compatibility_mode string, "
