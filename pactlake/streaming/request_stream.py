@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pactlake.operators.policy import PolicyPacks
@@ -12,6 +12,17 @@ from pactlake.plans.request_batch import finished_runs, request_outcomes
 from pactlake.sinks.history import RUN_COLUMNS, lifecycle_logs
 
 
+def new_requests(requests: DataFrame) -> DataFrame:
+    """Of the requests of a stream those whose id comes for the first time, one row each: the first in the order of its
+    values. An aggregate by id in update mode, whose state remembers every id; an id that comes again in a later batch
+    shows two times of arrival. That of a batch is in the checkpoint, so a replay gives the same rows."""
+    rest = [c for c in requests.columns if c != "request_id"]
+    seen = requests.withColumn("arrived", F.current_timestamp()).groupBy("request_id").agg(
+        F.min(F.struct(*rest)).alias("first"), F.min("arrived").alias("since"), F.max("arrived").alias("last")
+    )
+    return seen.where("since = last").select("request_id", "first.*").select(*requests.columns)
+
+
 def start_request_checks(
     requests: DataFrame,
     contracts: DataFrame,
@@ -27,21 +38,15 @@ def start_request_checks(
 
     Exactly once: the checkpoint replays a batch under the same number, which overwrites the same
     folders, and run ids follow from the requests. Outcomes are written first and then read back
-    for runs and logs, so the check itself runs once per batch.
+    for runs and logs, so the check itself runs once per batch. Which ids have been answered is
+    state of the stream, kept by id, so a batch reads as much in its first hour as after years.
     """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         at = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
         staged = f"{runs_path.rstrip('/')}-outcomes/batch={batch_id}"
-        fresh = batch
-        if batch_id:
-            # Ids that an earlier batch has answered; its folders are complete, and this one's not yet there.
-            earlier = spark.read.parquet(f"{runs_path.rstrip('/')}-outcomes").where(f"batch < {batch_id}")
-            fresh = batch.join(earlier.select("request_id"), "request_id", "left_anti")
-        request_outcomes(fresh.select(*batch.columns), contracts, shapes, packs).write.mode(
-            "overwrite"
-        ).parquet(staged)
+        request_outcomes(batch, contracts, shapes, packs).write.mode("overwrite").parquet(staged)
         outcomes = spark.read.parquet(staged)
         runs = finished_runs(outcomes, at).select(*RUN_COLUMNS)
         runs.write.mode("overwrite").parquet(f"{runs_path}/batch={batch_id}")
@@ -52,7 +57,9 @@ def start_request_checks(
         )
 
     return (
-        requests.writeStream.foreachBatch(process)
+        new_requests(requests)
+        .writeStream.foreachBatch(process)
+        .outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()

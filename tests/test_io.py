@@ -15,6 +15,7 @@ from pactlake.schemas import PAYLOADS
 from pactlake.sinks import history as sinks
 from pactlake.sources import feeds, history, registry
 from pactlake.streaming.payload_stream import read_checked, start_payload_check
+from pactlake.streaming import request_stream
 from pactlake.streaming.request_stream import start_request_checks
 
 
@@ -193,3 +194,54 @@ def test_request_stream(spark, docs_of, tmp_path):
     assert sorted(r.status for r in runs.collect()) == ["FAIL", "PASS"]
     assert spark.read.parquet(paths[1]).count() == 2 + 9
     assert spark.read.parquet(paths[2]).count() == 1
+
+
+def test_request_stream_remembers_ids_over_batches_restarts_and_replays(spark, docs_of, tmp_path, monkeypatch):
+    from test_plans import requests_of
+
+    docs = docs_of(("o.c", 1, STATION_V1), ("o.c", 2, STATION_V2))
+    contracts = spark.createDataFrame(
+        [("o.c", "BACKWARD", None)], "contract_id string, compatibility_mode string, policy_pack string"
+    )
+    shapes = schema_shapes(docs)
+    rows = requests_of(spark, ("o.c", "v1", "v2", "BACKWARD", None, "ci")).first()
+    kinds = requests_of(spark, ("o.c", "v1", "v2", "BACKWARD", None, "ci")).schema
+
+    def send(name, *ids):
+        given = [rows.asDict() | {"request_id": i, "triggered_by": by} for i, by in ids]
+        spark.createDataFrame(given, kinds).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    paths = [str(tmp_path / name) for name in ("runs", "logs", "rejected", "ck")]
+
+    def check():
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        start_request_checks(stream, contracts, shapes, PolicyPacks.parse(PACKS), *paths).awaitTermination()
+
+    def answered():
+        outcomes = spark.read.parquet(f"{paths[0]}-outcomes").collect()
+        return sorted((r.request_id, r.triggered_by, r.batch) for r in outcomes)
+
+    send("1", ("a", "x"), ("b", "z"), ("b", "y"))
+    send("2", ("a", "w"), ("c", "x"))
+    check()
+    first = answered()
+    # Of the rows of an id in one batch the first in the order of its values.
+    assert [r[0] for r in first] == ["a", "b", "c"] and first[1][1] == "y"
+    # A batch that breaks off when its outcomes are written is judged again after the restart.
+    send("3", ("b", "u"), ("d", "x"))
+    real = request_stream.lifecycle_logs
+    monkeypatch.setattr(request_stream, "lifecycle_logs", lambda *a: 1 / 0)
+    with pytest.raises(Exception, match="ZeroDivision|division"):
+        check()
+    monkeypatch.setattr(request_stream, "lifecycle_logs", real)
+    check()
+    assert [r[0] for r in answered()] == ["a", "b", "c", "d"] and answered()[:3] == first
+    assert spark.read.parquet(paths[0]).count() == 4
+    # Nothing of what earlier batches wrote is read.
+    send("4", ("a", "t"), ("e", "x"))
+    reads = []
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, p, real=type(spark.read).parquet: (reads.append(p), real(self, p))[1])
+    check()
+    monkeypatch.undo()
+    assert [r[0] for r in answered()] == ["a", "b", "c", "d", "e"]
+    assert all("batch=" in p for p in reads if "-outcomes" in p)
