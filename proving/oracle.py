@@ -561,6 +561,19 @@ SELECT contract_id, category, count(*) AS failures FROM (
   UNION ALL SELECT CASE WHEN event_id % 7 = 0 THEN 'unknown' ELSE 'cust.' || user_id END,
     'create_error' FROM au WHERE action = 'CHECK_RUN_CREATE' AND status = 'FAILURE')
 GROUP BY ALL""")
+_NONE = "CAST(NULL AS BIGINT) AS total_ms, CAST(NULL AS BIGINT) AS max_ms, CAST(NULL AS VARCHAR) AS run_id, CAST(NULL AS VARCHAR) AS status"
+oracle("stream_metrics", "cr", f"""
+SELECT contract_id, 'queued' AS measure, CAST(NULL AS VARCHAR) AS tag, count(*) AS n, {_NONE} FROM cr GROUP BY contract_id
+UNION ALL SELECT contract_id, 'completed', cr.status, count(*), {_NONE} FROM cr
+  WHERE cr.status IN ('PASS', 'FAIL') GROUP BY contract_id, cr.status
+UNION ALL SELECT contract_id, 'failed', CASE WHEN k % 5 = 1 THEN 'execution_error' ELSE 'compatibility_breaking' END,
+  count(*), {_NONE} FROM cr WHERE cr.status = 'FAIL' GROUP BY contract_id, 3
+UNION ALL SELECT contract_id, 'latency', NULL, count(*), CAST(sum(k % 97 * 1000) AS BIGINT), max(k % 97 * 1000), NULL, NULL
+  FROM cr WHERE status IN ('PASS', 'FAIL') AND k % 5 <> 2 GROUP BY contract_id
+UNION ALL SELECT contract_id, 'latest', NULL, count(*), NULL, NULL, max_by(run_id, (happened, run_id)),
+  max_by(status, (happened, run_id)) FROM cr GROUP BY contract_id
+UNION ALL SELECT contract_id, 'latest_of_version', candidate_version, count(*), NULL, NULL,
+  max_by(run_id, (happened, run_id)), max_by(status, (happened, run_id)) FROM cr GROUP BY contract_id, candidate_version""")
 oracle("log_fields", "lg", """
 SELECT log_id, run_id, level,
   CASE flag WHEN 'A' THEN 'check_run_attempt_failed' WHEN 'N' THEN 'check_run_completed'

@@ -29,6 +29,7 @@ from pactlake.schemas import PAIR
 from pactlake.session import prepare, shared_folder
 from pactlake.sinks import history as sinks
 from pactlake.sources import feeds, history as read_history
+from pactlake.streaming.metrics_stream import read_metrics, start_metrics
 from pactlake.streaming.payload_stream import read_checked, start_payload_check
 from pactlake.streaming.request_stream import start_request_checks
 from proving import fixtures as fx
@@ -941,3 +942,16 @@ def stream_request_runs(spark, sf):
         "run_id", *PAIR, "status", "breaking_changes", "warnings", "commit_sha",
         "triggered_by", "compatibility_mode", "input_hash",
     )
+
+
+@query
+def stream_metrics(spark, sf):
+    """Counters, latencies, failures and latest runs kept by a stream over the runs, cut into micro-batches."""
+    folder = shared_folder(spark, "metrics-stream")
+    runs = fx.check_runs(spark, sf)
+    runs.repartition(5).write.parquet(f"{folder}/runs")
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/runs")
+    start_metrics(spark, stream, f"{folder}/metrics", f"{folder}/checkpoint", every=2).awaitTermination()
+    return read_metrics(spark, f"{folder}/metrics").select(
+        "contract_id", "measure", "tag", "n", "total_ms", "max_ms", F.col("latest.run_id").alias("run_id"), F.col("latest.status").alias("status")
+    )
