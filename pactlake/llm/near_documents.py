@@ -76,7 +76,8 @@ def links(codes: DataFrame, radius: int = 3) -> DataFrame:
     def run(batches):
         for table in by_group(batches, "tile"):
             tile = table.column("tile").to_numpy()
-            code = table.column("fingerprint").to_numpy()
+            # Unsigned, as NumPy counts the bits of absolute values.
+            code = table.column("fingerprint").to_numpy().view(np.uint64)
             at = runs(tile)
             size = np.diff(at)
             two = at[:-1][size == 2]
@@ -88,7 +89,8 @@ def links(codes: DataFrame, radius: int = 3) -> DataFrame:
                 moved = label != np.arange(len(group))
                 a.append(group[moved])
                 b.append(group[label[moved]])
-            yield pa.RecordBatch.from_arrays([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+            ends = [pa.array(np.concatenate(e).view(np.int64)) for e in (a, b)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
     def signed(mask: int) -> int:
         return mask - (1 << 64) if mask >> 63 else mask

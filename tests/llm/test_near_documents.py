@@ -74,6 +74,17 @@ def test_masks_cover_every_pair_within_the_radius():
         assert any(mask & difference == 0 for mask in masks)
 
 
+def test_links_count_the_sign_bit_like_any_other(spark):
+    low, top = 0x0F0F_1234_5678_9ABC, 1 << 63
+    codes = [low, low | top | 1 << 5, ~low, ~low ^ top ^ 3, low ^ 0x7FFF << 40]
+    signed = [((c + top) % (1 << 64)) - top for c in codes]
+    for pair, near in (((0, 1), True), ((2, 3), True), ((0, 2), False), ((0, 4), False), ((1, 4), False)):
+        two = spark.createDataFrame([(signed[i],) for i in pair], "fingerprint bigint")
+        assert (near_documents.links(two).count() > 0) == near
+    got = near_documents.links(spark.createDataFrame([(c,) for c in signed], "fingerprint bigint")).collect()
+    assert {frozenset(r) for r in got} == {frozenset(signed[:2]), frozenset(signed[2:4])}
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(3, "a b c d", 1), (2, "a b c d", 2), (2, "a b c d", 3), (9, None, 4), (8, "", 5), (None, "q", 6)]
     got = near_documents.one_of_each(spark, spark.createDataFrame(rows, DOCS + ", component int"))
