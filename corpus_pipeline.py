@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pactlake.llm import decontaminate, lines, near_documents, packing, quality
+from pactlake.llm import decontaminate, lines, near_copies, packing, quality
 from pactlake.llm.tables import written
 
 
@@ -19,8 +19,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicate documents one stays."""
-    return near_documents.one_of_each(spark, docs)
+    """Of each group of documents alike in four fifths of their five-word shingles one stays."""
+    return near_copies.one_of_each(spark, docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
