@@ -1,5 +1,5 @@
 import corpus_pipeline
-from pactlake.llm import decontaminate, lines, near_documents, quality
+from pactlake.llm import decontaminate, lines, near_copies, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,7 @@ def test_stages_take_effect_in_order(spark):
     after = {r.doc_id: r.text for r in deduped.collect()}
     assert set(after) == set(before) and sum(report.values()) > 0
     assert all((after[d] == before[d]) == (report[d] == 0) for d in after)
-    groups = {r.component_id for r in near_documents.near_groups(spark, deduped).collect()}
+    groups = {r.first.doc_id for r in near_copies.grouped(spark, deduped).select("first").distinct().collect()}
     assert {r.doc_id for r in distinct.collect()} == groups
     bad = {r.doc_id for r in decontaminate.contamination_report(distinct, items).collect() if r.contaminated}
     assert {r.doc_id for r in clean.collect()} == groups - bad
