@@ -26,10 +26,12 @@ WINDOW = 20
 GRAM = 4
 #: Bytes kept of a path's hash.
 CODE = 7
-#: Stands for a null doc_id, which comes after all others.
-_UNNAMED = np.iinfo(np.int64).max
+#: Columns that count a document's words and those of them that go.
+COUNTS = ("_n_words", "_n_removed")
 
-_SCHEMA = "prefix bigint, doc_id bigint, text_key bigint, start bigint, n int, paths binary"
+_SPAN = "doc_id bigint, text_key bigint, start bigint, n int"
+_SCHEMA = f"prefix bigint, {_SPAN}, paths binary"
+_NAMES = ["doc_id", "text_key", "start", "n"]
 
 
 def _paths(w: Words, window: int, gram: int):
@@ -60,12 +62,14 @@ def _suffix_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(_UNNAMED).to_numpy()
+            unnamed = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").fill_null(0).to_numpy()
             keys = batch.column("text_key").to_numpy()
             for w in words_of(batch.column("text"), NOT_SPACE, lower=False):
                 at, prefix, path, anchor = _paths(w, window, gram)
                 row = w.row_of()[at]
-                doc, key, place = ids[row + w.row], keys[row + w.row], at - w.first[row]
+                none, doc, key = (c[row + w.row] for c in (unnamed, ids, keys))
+                place = at - w.first[row]
                 order = np.argsort(path, kind="stable")
                 same = path[order][1:] == path[order][:-1]
                 stay, again = np.ones(len(path), bool), np.zeros(len(path), bool)
@@ -73,19 +77,21 @@ def _suffix_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     doubled = np.zeros(len(path), bool)
                     doubled[order[1:][same]] = doubled[order[:-1][same]] = True
                     i = np.flatnonzero(doubled)
-                    i = i[np.lexsort((place[i], key[i], doc[i], path[i]))]
+                    i = i[np.lexsort((place[i], key[i], doc[i], none[i], path[i]))]
                     edges = runs(path[i])
                     first = np.repeat(i[edges[:-1]], np.diff(edges))
                     later = first != i
                     stay[i[later]] = False
-                    elsewhere = (doc[i] != doc[first]) | (key[i] != key[first]) | (place[i] != place[first])
+                    elsewhere = np.zeros(len(i), bool)
+                    for c in (none, doc, key, place):
+                        elsewhere |= c[i] != c[first]
                     again[i[later & elsewhere]] = True
-                yield _batch(doc, key, place, row, *_kept(prefix, path, anchor, row, at, stay))
+                yield _batch(none, doc, key, place, *_kept(prefix, path, anchor, row, at, stay))
                 marked = np.flatnonzero(again)
                 begin, n = _spans(row[marked], at[marked])
                 begin = marked[begin]
                 spread = mixed(key[begin].view(np.uint64) + place[begin].astype(np.uint64))
-                yield _batch(doc, key, place, row, begin, spread, n, None)
+                yield _batch(none, doc, key, place, begin, spread, n, None)
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -109,20 +115,19 @@ def _codes(paths: pa.Array) -> np.ndarray:
     return whole.view(np.uint64)[:, 0]
 
 
-def _batch(doc, key, place, row, begin, prefix, n, paths) -> pa.RecordBatch:
+def _batch(none, doc, key, place, begin, prefix, n, paths) -> pa.RecordBatch:
     paths = pa.nulls(len(begin), pa.binary()) if paths is None else paths
     return pa.RecordBatch.from_arrays(
-        [pa.array(prefix.view(np.int64)), pa.array(doc[begin]), pa.array(key[begin]),
+        [pa.array(prefix.view(np.int64)), pa.array(doc[begin], mask=none[begin]), pa.array(key[begin]),
          pa.array(place[begin].astype(np.int64)), pa.array(n.astype(np.int32)), paths],
-        ["prefix", "doc_id", "text_key", "start", "n", "paths"],
+        ["prefix", *_NAMES, "paths"],
     )
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text_key, start, n): runs of n suffixes, by their first words, whose first `window` words
     also start earlier: at a smaller doc_id (null last; of equal ids, a smaller text_key), or earlier in
-    the same document. Rows alike in doc_id and text are one document. doc_id is a bigint here, null
-    as the largest."""
+    the same document. Rows alike in doc_id and text are one document. doc_id is a bigint here."""
 
     def run(batches):
         last, seen = None, None
@@ -130,19 +135,19 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             paths = batch.column("paths")
             known = paths.is_null().to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(~known)
-            out = [batch.filter(pa.array(known)).select(["doc_id", "text_key", "start", "n"])]
+            out = [batch.filter(pa.array(known)).select(_NAMES)]
             if len(rows):
+                none = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)[rows]
                 prefix, doc, key, start, n = (
-                    batch.column(c).to_numpy(zero_copy_only=False)[rows]
-                    for c in ("prefix", "doc_id", "text_key", "start", "n")
+                    batch.column(c).fill_null(0).to_numpy(zero_copy_only=False)[rows] for c in ("prefix", *_NAMES)
                 )
                 own = np.repeat(np.arange(len(rows)), n)
                 step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
                 code = _codes(paths.drop_null())
-                table = np.stack([doc[own], key[own], start[own] + step])
+                table = np.stack([none[own].astype(np.int64), doc[own], key[own], start[own] + step])
                 group = np.repeat(np.cumsum(np.concatenate([[0], prefix[1:] != prefix[:-1]])), n)
                 if last is None or last != prefix[0]:
-                    seen = (np.zeros(0, np.uint64), np.zeros((3, 0), np.int64))
+                    seen = (np.zeros(0, np.uint64), np.zeros((4, 0), np.int64))
                 table = np.concatenate([seen[1], table], axis=1)
                 code = np.concatenate([seen[0], code])
                 group = np.concatenate([np.zeros(len(seen[0]), np.int64), group])
@@ -156,9 +161,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 at = hit[begin]
                 out.append(
                     pa.RecordBatch.from_arrays(
-                        [pa.array(doc[own[at]]), pa.array(key[own[at]]),
+                        [pa.array(doc[own[at]], mask=none[own[at]]), pa.array(key[own[at]]),
                          pa.array(start[own[at]] + step[at]), pa.array(size.astype(np.int32))],
-                        ["doc_id", "text_key", "start", "n"],
+                        _NAMES,
                     )
                 )
                 # The paths of the last prefix, which may go on in the next batch.
@@ -169,13 +174,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key().alias("text_key"), "text")
     rows = _suffix_rows(named, window, gram).repartition("prefix")
-    rows = rows.sortWithinPartitions("prefix", "doc_id", "text_key", "start")
-    return rows.mapInArrow(run, "doc_id bigint, text_key bigint, start bigint, n int")
+    rows = rows.sortWithinPartitions("prefix", F.asc_nulls_last("doc_id"), "text_key", "start")
+    return rows.mapInArrow(run, _SPAN)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The documents, all their columns; text is what is left of its words, joined by one space, and
-    `_n_words` and `_n_removed` count them. Null and empty texts become empty.
+    COUNTS are added, in place of columns of those names. Null and empty texts become empty.
 
     Windows are judged on the input, not on what is left.
     """
@@ -207,13 +212,13 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
         )
 
     spans = repeated_spans(docs, window, gram).groupBy("doc_id", "text_key")
-    spans = spans.agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
-    doc_id = F.when(F.col("doc_id") != int(_UNNAMED), F.col("doc_id"))
-    spans = spans.withColumn("doc_id", doc_id).select(row_key(key="text_key").alias("_row"), "_spans")
-    marked = docs.withColumn("_row", row_key()).join(spans, "_row", "left")
-    marked = marked.withColumn("_cut", cut("text", "_spans"))
-    columns = [F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*columns, F.col("_cut.n_words").alias("_n_words"), F.col("_cut.n_removed").alias("_n_removed"))
+    spans = spans.agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = spans.select(row_key(key="text_key").alias("row"), "spans")
+    # The document's own columns travel in a struct, so that none of them clashes with these.
+    marked = docs.select(row_key().alias("row"), F.struct("*").alias("doc")).join(spans, "row", "left")
+    marked = marked.select("doc", cut("doc.text", "spans").alias("cut"))
+    columns = [F.col("cut.text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in COUNTS]
+    return marked.select(*columns, *[F.col("cut")[c.removeprefix("_")].alias(c) for c in COUNTS])
 
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -61,3 +61,24 @@ def test_matches_brute_force(spark, monkeypatch, chunk):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert substrings.report(docs).count() == 0
+
+
+def test_the_largest_id_is_an_id_like_any_other(spark):
+    text, largest = " ".join(f"w{i}" for i in range(30)), 2**63 - 1
+    rows = [(1, text), (largest, text), (None, text + " more"), (-(2**63), "x"), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in substrings.report(docs).collect()), key=str)
+    want = sorted(brute(rows), key=str)
+    assert got == want
+    assert {(r[0], r[2]) for r in got} >= {(1, 0), (largest, 30), (None, 30)}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["_row", "row", "doc", "cut", "spans", "_cut", "_spans"]
+    docs = spark.createDataFrame(
+        [(1, text, *range(7)), (2, text, *range(7))], "doc_id bigint, text string, " + ", ".join(f"{n} int" for n in names)
+    )
+    got = substrings.dedup(docs)
+    assert got.columns == ["doc_id", "text", *names, "_n_words", "_n_removed"]
+    assert {(r.doc_id, r.text, r._row, r.spans, r._n_removed) for r in got.collect()} == {(1, text, 0, 4, 0), (2, "", 0, 4, 30)}
