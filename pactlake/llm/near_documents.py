@@ -139,8 +139,9 @@ def near_groups(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int
 def one_of_each(spark: SparkSession, docs: DataFrame, size: int = 3, radius: int = 3) -> DataFrame:
     """The documents, all their columns, of which one row of each group stays: the smallest doc_id."""
     kept = grouped(spark, docs, size, radius).select("first").distinct()
-    kept = kept.select(F.struct("first.doc_id", "first.text_key").alias("_row"))
-    stay = docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi")
+    kept = kept.select(F.struct("first.doc_id", "first.text_key").alias("at"))
+    # The document's own columns travel in a struct, so that none of them clashes with these.
+    stay = docs.select(row_key().alias("at"), F.struct("*").alias("row")).join(kept, "at", "left_semi")
     # A row listed more than once stays once.
-    once = Window.partitionBy("_row").orderBy(F.lit(0))
-    return stay.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth", "_row")
+    once = Window.partitionBy("at").orderBy(F.lit(0))
+    return stay.withColumn("nth", F.row_number().over(once)).where("nth = 1").select("row.*")

@@ -94,6 +94,13 @@ def test_one_document_of_each_group_stays(spark):
     assert near_documents.one_of_each(spark, spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_columns_named_like_helpers_stay(spark):
+    rows = [(3, "a b c d", 1, 2, 3), (2, "a b c d", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, DOCS + ", _row int, `at` int, _nth int")
+    got = near_documents.one_of_each(spark, docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [rows[1]]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)]
