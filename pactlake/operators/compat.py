@@ -66,11 +66,20 @@ def check_compatibility(shapes: DataFrame, checks: DataFrame, packs: PolicyPacks
     return results.select(*CHECK, "status", "breaking_changes", "warnings", "error")
 
 
-def with_verdict(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
+def with_verdict(changes: DataFrame, packs: PolicyPacks | None = None) -> DataFrame:
     """Replace `changes` by status, breaking_changes, warnings and `error`, judged under the row's
-    `mode` and `pack`. A projection."""
-    rest = [c for c in changes.columns if c not in ("changes", "error")]
+    `mode` and `pack`. A projection.
+
+    Without packs the rows bring their pack's `levels`, and a `config_error` in place of one that cannot
+    be had (pack_tables.resolved); both go."""
+    given = ("levels", "config_error") if packs is None else ()
+    rest = [c for c in changes.columns if c not in ("changes", "error", *given)]
     known = F.col("error") if "error" in changes.columns else F.lit(None).cast("string")
+    if packs is None:
+        known = F.coalesce(known, "config_error")
+        severities = F.map_from_arrays(F.lit([rule for rule, _, _ in RULES]), F.col("levels"))
+    else:
+        severities = packs.severities_of("pack")
     no_mode = F.concat(
         F.lit("Unknown compatibility mode: "), F.coalesce("mode", F.lit("none"))
     )
@@ -82,7 +91,7 @@ def with_verdict(changes: DataFrame, packs: PolicyPacks) -> DataFrame:
     seen = changes.select(
         *rest,
         error.alias("error"),
-        packs.severities_of("pack").alias("severities"),
+        severities.alias("severities"),
         expand_directions(F.col("changes"), F.col("mode")).alias("seen"),
     )
     judged = seen.select(

@@ -42,6 +42,27 @@ def policy_violations(config: dict) -> list[tuple[str, str, str]]:
     return found
 
 
+#: Fixed message: a configuration that cannot be read.
+NO_OBJECT = "Policy configuration is no JSON object."
+
+
+def is_json_object(text: str) -> Column:
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return F.coalesce(kind.startswith("OBJECT"), F.lit(False))
+
+
+def rule_key(rule: Column | str) -> Column:
+    return F.replace(F.upper(trimmed(rule)), F.lit("-"), F.lit("_"))
+
+
+def rule_problem(rule: Column, level: Column) -> Column:
+    """What is wrong with a stated rule, null if nothing; a blank rule's severity is looked at too."""
+    key = rule_key(rule)
+    return F.when(
+        (key != "") & ~key.isin(*BASELINE_RULES), F.concat(F.lit("Unknown policy rule id: "), rule)
+    ).when(~level.isin(*SEVERITIES), F.concat(F.lit("Unknown severity: "), level))
+
+
 def rule_errors(configs: DataFrame) -> DataFrame:
     """policy_violations of many configurations (config_id, text) at once, as rows: config_id, pack,
     rule, message. A text that is no JSON object has one row with no pack."""
@@ -50,23 +71,17 @@ def rule_errors(configs: DataFrame) -> DataFrame:
         F.from_json(
             "text", "packs map<string,struct<rules:map<string,string>>>", STRICT_JSON
         ).alias("config"),
-        F.coalesce(
-            F.schema_of_variant(F.try_parse_json("text")).startswith("OBJECT"), F.lit(False)
-        ).alias("is_object"),
+        is_json_object("text").alias("is_object"),
     )
     unread = read.filter(~F.col("is_object")).select(
         "config_id",
         F.lit(None).cast("string").alias("pack"),
         F.lit(None).cast("string").alias("rule"),
-        F.lit("Policy configuration is no JSON object.").alias("message"),
+        F.lit(NO_OBJECT).alias("message"),
     )
     packs = read.select("config_id", F.explode("config.packs").alias("pack", "body"))
     rules = packs.select("config_id", "pack", F.explode("body.rules").alias("rule", "level"))
-    key = F.replace(F.upper(trimmed("rule")), F.lit("-"), F.lit("_"))
-    message = F.when(
-        (key != "") & ~key.isin(*BASELINE_RULES),
-        F.concat(F.lit("Unknown policy rule id: "), "rule"),
-    ).when(~F.col("level").isin(*SEVERITIES), F.concat(F.lit("Unknown severity: "), "level"))
+    message = rule_problem(F.col("rule"), F.col("level"))
     found = rules.select("config_id", "pack", "rule", message.alias("message"))
     return found.filter("message is not null").unionByName(unread)
 

@@ -150,6 +150,14 @@ def read_policy_packs(spark: SparkSession, path: str | None) -> PolicyPacks:
     return PolicyPacks.parse(found and found[0])
 
 
+def read_policy_configs(spark: SparkSession, root: str) -> DataFrame:
+    """`<root>/<config>/policy-packs.json`, one whole file per row (config_id, text). Spark skips files of
+    zero bytes; such a configuration states nothing, like one that is not there."""
+    files = spark.read.text(f"{root.rstrip('/')}/*/policy-packs.json", wholetext=True)
+    parts = F.split(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "/")
+    return files.select(F.element_at(parts, -2).alias("config_id"), F.col("value").alias("text"))
+
+
 def read_changed_files(spark: SparkSession, path: str) -> DataFrame:
     """A list of changed paths, one per line."""
     return spark.read.text(path).select(F.col("value").alias("path")).filter("path <> ''")

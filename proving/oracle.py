@@ -390,6 +390,36 @@ SELECT config_id, 'own' AS pack, rule, CASE WHEN rule = 'FIELD_GONE' THEN 'Unkno
 FROM rules WHERE rule = 'FIELD_GONE' OR level NOT IN ('BREAKING', 'WARNING', 'IGNORE')
 UNION ALL SELECT config_id, NULL, NULL, 'Policy configuration is no JSON object.' FROM cfg
 WHERE c % 7 = 0 OR c % 11 = 0""")
+cte("configs", "", """
+SELECT c_custkey AS c, 'cust.' || c_custkey AS contract_id,
+  CASE WHEN c_custkey % 7 = 0 OR c_custkey % 11 = 0 THEN 'Policy configuration is no JSON object.'
+    WHEN c_custkey % 4 = 2 THEN 'Unknown policy rule id: FIELD_GONE'
+    WHEN c_custkey % 3 = 1 THEN 'Unknown severity: breaking'
+    WHEN c_custkey % 5 = 2 THEN 'Unknown severity: LOUD'
+    WHEN c_custkey % 5 = 4 THEN 'Unknown severity: ' END AS config_error,
+  CASE c_custkey % 5 WHEN 0 THEN 'WARNING' WHEN 1 THEN 'IGNORE' WHEN 3 THEN 'BREAKING' END AS own
+FROM customer""")
+oracle("pack_table", "configs", """
+SELECT contract_id AS config_id, pack, pack = 'own' AS is_default,
+  'BREAKING,BREAKING,BREAKING,BREAKING,' || CASE WHEN pack = 'own' THEN own ELSE 'WARNING' END AS levels,
+  CAST(NULL AS VARCHAR) AS config_error
+FROM configs, (VALUES ('none'), ('bare'), ('own'), ('baseline')) AS t(pack) WHERE config_error IS NULL
+UNION ALL SELECT contract_id, NULL, true, NULL, config_error FROM configs WHERE config_error IS NOT NULL""")
+# A contract's own pack has the contract's name here, as severities are looked up by pack.
+oracle("compat_own_packs", "ef owners configs", """
+SELECT res.contract_id, base_version, candidate_version, res.mode,
+  CASE WHEN config_error IS NULL THEN CASE WHEN res.pack = 'baseline' THEN 'baseline' ELSE 'own' END END AS pack,
+  CASE WHEN config_error IS NULL THEN status ELSE 'ERROR' END AS status,
+  CASE WHEN config_error IS NULL THEN breaking_changes ELSE '' END AS breaking_changes,
+  CASE WHEN config_error IS NULL THEN warnings ELSE '' END AS warnings, config_error AS error
+FROM res JOIN configs USING (contract_id)""", **{
+    **verdicts("ef", """
+SELECT p.*, owners.mode, CASE WHEN owners.asked_pack = 'BASELINE ' THEN 'baseline' ELSE contract_id END AS pack
+FROM p JOIN owners USING (contract_id)"""),
+    "sev": SEVERITY_ROWS + """
+UNION ALL SELECT contract_id, rule, CASE WHEN rule <> 'ENUM_VALUE_ADDED' THEN 'BREAKING' ELSE own END
+FROM configs, rl WHERE config_error IS NULL""",
+})
 oracle("contract_policies", "owners", """
 SELECT contract_id, owners.pack, sev.rule AS rule_id, severity
 FROM owners JOIN sev ON sev.pack = owners.pack""", rl=RULE_ROWS, sev=SEVERITY_ROWS)

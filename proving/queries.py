@@ -19,6 +19,7 @@ from pactlake.operators import (
     lint,
     nested,
     ordering,
+    pack_tables,
     payloads,
     policy,
     requests,
@@ -206,6 +207,31 @@ def policy_rule_errors(spark, sf):
     return policy.rule_errors(fx.policy_configs(spark, sf))
 
 
+@query
+def pack_table(spark, sf):
+    """Every pack of every customer's configuration, and why a configuration has none."""
+    rows = pack_tables.pack_rows(fx.policy_configs(spark, sf))
+    return rows.withColumn("levels", listed("levels", ","))
+
+
+@query
+def compat_own_packs(spark, sf):
+    """All adjacent versions, each contract under its mode and a pack of its own configuration."""
+    packs = stored(spark, "packs", pack_tables.pack_rows(fx.policy_configs(spark, sf)))
+    owners = fx.contracts(spark, sf).select(
+        "contract_id",
+        F.col("contract_id").alias("config_id"),
+        "policy_pack",
+        F.col("compatibility_mode").alias("mode"),
+    )
+    owners = pack_tables.resolved(owners, packs).drop("config_id", "policy_pack")
+    both = ordering.adjacent_documents(evolving_shapes(spark, sf)).join(owners, "contract_id")
+    results = compat.with_verdict(diff.with_changes(both))
+    return results.withColumns(
+        {"breaking_changes": listed("breaking_changes"), "warnings": listed("warnings")}
+    )
+
+
 # --- lint and catalogue ------------------------------------------------------------------------
 
 
