@@ -1,6 +1,7 @@
 """Set-based upkeep of the history: filling legacy rows, status transitions.
 
-Parquet has no MERGE: these operators return the new snapshot, to be written beside the old one.
+Parquet has no MERGE: these operators return the new snapshot, to be written beside the old one, or slot
+by slot in place of it (plans.stored_upkeep).
 """
 
 from __future__ import annotations
@@ -191,7 +192,13 @@ def apply_transitions(runs: DataFrame, updates: DataFrame) -> DataFrame:
 
     updates: update_id, run_id, expected_status, new_status, breaking_changes, warnings (arrays), at.
     """
-    steps = transition_steps(runs, updates).where("applied")
+    return after_steps(runs, transition_steps(runs, updates))
+
+
+def after_steps(runs: DataFrame, steps: DataFrame) -> DataFrame:
+    """The runs with what the applied ones of transition_steps leave. Values are assigned, whatever the run
+    holds, so doing it again changes nothing."""
+    steps = steps.where("applied")
     to, order = F.col("new_status"), F.struct("at", "update_id")
     ended = to.isin("PASS", "FAIL")
 

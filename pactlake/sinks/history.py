@@ -246,23 +246,43 @@ def audit_rows(
     )
 
 
+def _in_slots(rows: DataFrame) -> DataFrame:
+    """Rows dealt by run_slot. Adaptive execution splits a large slot over several tasks, and gives several
+    small ones to one."""
+    return rows.withColumn("slot", run_slot(F.col("run_id"))).hint("rebalance", F.col("slot"))
+
+
 def append(
     rows: DataFrame, path: str, sort_by: list[str] | None = None, by_run: bool = False
 ) -> None:
     """Append to a parquet table; sorting inside each file keeps min/max pruning useful.
 
-    by_run: in folders by run_slot, each written by one task.
+    by_run: in folders by run_slot.
     """
     if by_run:
-        rows = rows.withColumn("slot", run_slot(F.col("run_id"))).repartition("slot")
+        rows = _in_slots(rows)
     if sort_by:
         rows = rows.sortWithinPartitions(*(["slot"] if by_run else []), *sort_by)
     writer = rows.write.mode("append")
     (writer.partitionBy("slot") if by_run else writer).parquet(path)
 
 
+RUN_ORDER = ["contract_id", "created_at"]
+
+
 def write_check_runs(runs: DataFrame, path: str) -> None:
-    append(runs.select(*RUN_COLUMNS), path, ["contract_id", "created_at"], by_run=True)
+    append(runs.select(*RUN_COLUMNS), path, RUN_ORDER, by_run=True)
+
+
+def overwrite_slots(runs: DataFrame, path: str) -> None:
+    """Put whole slots of runs in place of the stored ones; the files of other slots stay as they are.
+
+    Spark writes the new files beside the table and exchanges folders once all of them are complete, so
+    the runs may come from the same table, and a lost executor leaves it untouched.
+    """
+    rows = _in_slots(runs.select(*RUN_COLUMNS)).sortWithinPartitions("slot", *RUN_ORDER)
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("slot").parquet(path)
 
 
 def write_run_logs(logs: DataFrame, path: str) -> None:

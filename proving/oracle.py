@@ -706,6 +706,11 @@ SELECT * FROM (
   SELECT * FROM walk)""")
 oracle("transition_chains", "turns", """
 SELECT run_id, status, breaking_changes, warnings, started_at, finished_at FROM turns WHERE turn = 6""")
+ORACLE["stored_transitions"] = ORACLE["transition_chains"]
+oracle("stored_backfill", "bf cr lg", """
+SELECT bf.*, CASE WHEN n IS NULL AND cr.status IN ('PASS', 'FAIL') THEN 1 ELSE coalesce(n, 0) END AS logs
+FROM bf JOIN cr ON cr.run_id = bf.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n FROM lg GROUP BY 1) l ON l.run_id = bf.run_id""")
 oracle("transition_steps", "cr chain turns", """
 SELECT update_id, chain.run_id, CASE WHEN legal THEN before END AS status_before,
   legal AND before = expected_status AS applied,

@@ -25,7 +25,7 @@ from pactlake.operators import (
     requests,
     upkeep,
 )
-from pactlake.plans import gate, refresh, registration, request_batch
+from pactlake.plans import gate, refresh, registration, request_batch, stored_upkeep
 from pactlake.schemas import PAIR
 from pactlake.session import prepare, shared_folder
 from pactlake.sinks import history as sinks
@@ -648,6 +648,35 @@ def transition_chains(spark, sf):
     )
 
 
+@query
+def stored_transitions(spark, sf):
+    """The same in a stored history, whose touched slots are written again in place."""
+    folder = shared_folder(spark, "history")
+    sinks.write_check_runs(fx.check_runs(spark, sf), f"{folder}/runs")
+    steps = stored_upkeep.decide_transitions(
+        spark, f"{folder}/runs", chained_updates(spark, sf), f"{folder}/steps"
+    )
+    stored_upkeep.put_transitions(spark, f"{folder}/runs", steps)
+    return read_history.read_check_runs(spark, f"{folder}/runs").select(
+        "run_id", "status", "breaking_changes", "warnings", "started_at", "finished_at"
+    )
+
+
+@query
+def stored_backfill(spark, sf):
+    """A stored history after its legacy runs are filled, and the logs of each run counted."""
+    folder = shared_folder(spark, "history")
+    runs, logs = f"{folder}/runs", f"{folder}/logs"
+    sinks.write_check_runs(fx.check_runs(spark, sf), runs)
+    sinks.write_run_logs(fx.check_run_logs(spark, sf), logs)
+    stored_upkeep.backfill(spark, runs, logs, fx.contracts(spark, sf), NOW)
+    counted = read_history.read_check_run_logs(spark, logs).groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("logs")
+    )
+    filled = read_history.read_check_runs(spark, runs).drop("slot").join(counted, "run_id", "left")
+    return filled.withColumn("logs", F.coalesce("logs", F.lit(0)))
+
+
 @query
 def transition_steps(spark, sf):
     steps = upkeep.transition_steps(fx.check_runs(spark, sf), chained_updates(spark, sf))
