@@ -199,6 +199,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, window: int = 13) ->
 def clean(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """The documents, all their columns, that are not contaminated."""
     found = contamination(docs, items, window).where("contaminated")
-    found = found.select(row_key(key="text_key").alias("_row"))
-    return docs.withColumn("_row", row_key()).join(found, "_row", "left_anti").drop("_row")
+    found = found.select(row_key(key="text_key").alias("at"))
+    # The document's own columns travel in a struct, so that none of them clashes with these.
+    rows = docs.select(row_key().alias("at"), F.struct("*").alias("row"))
+    return rows.join(found, "at", "left_anti").select("row.*")
 

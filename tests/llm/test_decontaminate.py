@@ -50,7 +50,7 @@ def fixture():
 
 def test_matches_brute_force(spark):
     docs, items = fixture()
-    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id bigint, text string, hits int")
+    d = spark.createDataFrame([(*r, 1, 2, 3) for r in docs], "doc_id bigint, text string, hits int, _row int, `at` int")
     b = spark.createDataFrame([(*r, 2) for r in items], "item_id bigint, text string, items int")
     got = decontaminate.contamination_report(d, b)
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
@@ -58,7 +58,7 @@ def test_matches_brute_force(spark):
     judged = brute(docs, items)
     assert 5 < sum(r[-1] for r in judged) < len(judged) - 5
     left = decontaminate.clean(d, b)
-    assert left.columns == d.columns
+    assert left.columns == d.columns and {(r.hits, r._row, r["at"]) for r in left.collect()} == {(1, 2, 3)}
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in judged if not r[-1])
     nothing = decontaminate.contamination_report(d, b.limit(0))
     assert {(r.n_hit, r.n_items, r.contaminated) for r in nothing.collect()} == {(0, 0, False)}
