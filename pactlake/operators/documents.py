@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.functions.text import trimmed
+from pactlake.functions.versions import out_of_range
 from pactlake.operators.lint import with_document_error
 from pactlake.schemas import STRICT_JSON
 
@@ -141,8 +142,24 @@ def field_text(field: Column) -> Column:
 
 def schema_shapes(docs: DataFrame) -> DataFrame:
     """Replace `schema_json` by `shape`, the array of the document's field texts, and
-    `document_error`. A document that a reader would refuse has the error and no shape."""
-    checked = docs if "document_error" in docs.columns else with_document_error(docs)
+    `document_error`. A document that a reader would refuse has the error and no shape.
+
+    Plain documents (plain_shape) are read in one pass; only the others are linted and taken apart
+    member by member, which gives the same shape at many times the cost.
+    """
+    if "document_error" in docs.columns:
+        return _careful_shapes(docs)
+    plain = F.col("plain_shape").isNotNull()
+    read = with_plain_shape(docs).withColumn("schema_json", F.when(~plain, F.col("schema_json")))
+    rest = [c for c in docs.columns if c != "schema_json"]
+    return _careful_shapes(with_document_error(read)).select(
+        *rest,
+        F.when(~plain, F.col("document_error")).alias("document_error"),
+        F.coalesce("plain_shape", "shape").alias("shape"),
+    )
+
+
+def _careful_shapes(checked: DataFrame) -> DataFrame:
     parsed = parse_documents(checked)
     shape = F.transform("fields", field_text)
     return parsed.select(
@@ -151,6 +168,79 @@ def schema_shapes(docs: DataFrame) -> DataFrame:
     )
 
 
+# The types that a plain document may use, alone or in a union with null.
+PLAIN_TYPES = ("string", "number", "integer", "boolean", "object", "array")
+PLAIN_CHARS = 1_000_000
+_PLAIN_DDL = (
+    "array<struct<properties:map<string,struct<type:string,nullable:string,enum:array<string>>>,"
+    "required:array<string>>>"
+)
+# A member of another kind than the reader asks for.
+_MISPLACED = r'"(?:enum|required)"\s*:\s*[^\[\s]|"properties"\s*:\s*[^{\s]'
+# The text of a JSON value that is no string.
+_NO_STRING = r"^(?:[-0-9\[{]|true$|false$)"
+
+
+def with_plain_shape(docs: DataFrame) -> DataFrame:
+    """Documents with `plain_shape`: the shape of a document that certainly passes lint, else null.
+
+    Without escapes and without strings that begin with a bracket, the text of a member says of which
+    kind it is, and a field's text needs no escaping. What is rare (escapes, unusual types, repeated
+    properties, other flags, any fault) is left to the careful reading.
+    """
+    rest = docs.columns
+    text = F.col("schema_json")
+    legible = (
+        (F.length(text) < PLAIN_CHARS)
+        & ~text.contains("\\")
+        & ~text.contains('"[')
+        & ~text.contains('"{')
+        & ~text.rlike(_MISPLACED)
+        & ~out_of_range(F.col("version"))
+    )
+    # In brackets, as the reader would not look behind the end of a lone object.
+    listed = F.from_json(F.when(legible, F.concat(F.lit("["), text, F.lit("]"))), _PLAIN_DDL, STRICT_JSON)
+    first = F.get("docs", F.lit(0))
+    read = docs.select(*rest, listed.alias("docs")).select(
+        *rest,
+        F.when(F.size("docs") == 1, first["properties"]).alias("entries"),
+        F.coalesce(first["required"], F.array().cast(_TEXTS)).alias("needed"),
+    )
+    single = {t: t for t in PLAIN_TYPES}
+    unions = {u: t for t in PLAIN_TYPES for u in (f'["{t}","null"]', f'["null","{t}"]')}
+    kinds = F.create_map(*[F.lit(x) for pair in {**single, **unions}.items() for x in pair])
+
+    def field(name: Column, spec: Column) -> Column:
+        """The text of a field as field_text writes it; null where the property is not plain."""
+        kind, flag = kinds[spec["type"]], F.coalesce(spec["nullable"], F.lit("false"))
+        nullable = F.when(spec["type"].startswith("["), "true").when(flag.isin("true", "false"), flag)
+        values = spec["enum"]
+        scalars = ~F.exists(values, lambda v: v.isNull() | v.startswith("[") | v.startswith("{"))
+        quoted = F.concat(F.lit('"'), F.array_join(F.sort_array(F.array_distinct(values)), '","'), F.lit('"'))
+        enum = F.when(values.isNull() | (F.size(values) == 0), "").when(scalars, quoted)
+        return F.concat(
+            F.lit('{"name":"'), name,
+            F.lit('","type":"'), kind,
+            F.lit('","required":'), F.when(F.array_contains("needed", name), "true").otherwise("false"),
+            F.lit(',"nullable":'), nullable,
+            F.lit(',"enum_values":['), enum, F.lit("]}"),
+        )
+
+    shaped = read.select(
+        *rest,
+        F.map_keys("entries").alias("names"),
+        "needed",
+        F.transform(F.map_entries("entries"), lambda e: field(e["key"], e["value"])).alias("texts"),
+    )
+    plain = (
+        ~F.exists("texts", lambda t: t.isNull())
+        & (F.size(F.array_distinct("names")) == F.size("names"))
+        & ~F.exists("needed", lambda n: n.isNull() | n.rlike(_NO_STRING))
+        & (F.size(F.array_except("needed", "names")) == 0)
+    )
+    return shaped.select(*rest, F.when(plain, F.col("texts")).alias("plain_shape"))
+
+
 def shapes_of_fields(fields: DataFrame) -> DataFrame:
     """The same from schema_fields rows. A group is one document, never more."""
     spec = F.struct(
