@@ -68,20 +68,14 @@ def adjacent_documents(shapes: DataFrame) -> DataFrame:
         .filter("version_num is not null")
         .withColumn("bucket", F.shiftright("version_num", DOCUMENT_BUCKET_BITS))
     )
-    last = keyed.groupBy("contract_id", "bucket").agg(
-        F.max_by(F.struct("version_num", "doc"), "version_num").alias("last")
-    )
-    over_buckets = Window.partitionBy("contract_id").orderBy("bucket")
-    carried = (
-        last.withColumn("last", F.lag("last").over(over_buckets))
-        .filter(F.col("last").isNotNull())
-        .select("contract_id", "last.version_num", "last.doc", "bucket")
-    )
+    # Numbers within the first bucket, as nearly all registries have them, leave nothing to carry; what
+    # does is found by a look at the numbers alone, as carrying sorts and shuffles documents once more.
+    rows = keyed.withColumn("carried", F.lit(False))
+    if not shapes.filter(F.col("version_num") >= 1 << DOCUMENT_BUCKET_BITS).select("version_num").isEmpty():
+        rows = rows.unionByName(_carried_documents(keyed).withColumn("carried", F.lit(True)))
     in_bucket = Window.partitionBy("contract_id", "bucket").orderBy("version_num")
     return (
-        keyed.withColumn("carried", F.lit(False))
-        .unionByName(carried.withColumn("carried", F.lit(True)))
-        .withColumn("base_num", F.lag("version_num").over(in_bucket))
+        rows.withColumn("base_num", F.lag("version_num").over(in_bucket))
         .withColumn("base", F.lag("doc").over(in_bucket))
         .filter(~F.col("carried") & F.col("base_num").isNotNull())
         .select(
@@ -95,6 +89,19 @@ def adjacent_documents(shapes: DataFrame) -> DataFrame:
     )
 
 
+def _carried_documents(keyed: DataFrame) -> DataFrame:
+    """The last document of each bucket, put into the contract's next one."""
+    last = keyed.groupBy("contract_id", "bucket").agg(
+        F.max_by(F.struct("version_num", "doc"), "version_num").alias("last")
+    )
+    over_buckets = Window.partitionBy("contract_id").orderBy("bucket")
+    return (
+        last.withColumn("last", F.lag("last").over(over_buckets))
+        .filter(F.col("last").isNotNull())
+        .select("contract_id", "last.version_num", "last.doc", "bucket")
+    )
+
+
 def latest_pairs(versions: DataFrame, unique: bool = False) -> DataFrame:
     """The last two versions of each contract that has two.
 
