@@ -62,7 +62,7 @@ def stored(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
 
 
 def evolving_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.all_documents(spark, sf, fx.evolving_fields(spark, sf))
+    docs = fx.evolving_documents(spark, sf)
     return stored(spark, "shapes", documents.schema_shapes(docs))
 
 
@@ -73,7 +73,7 @@ def evolving_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def churning_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.all_documents(spark, sf, fx.churning_fields(spark, sf))
+    docs = fx.churning_documents(spark, sf)
     return stored(spark, "shapes", documents.schema_shapes(docs))
 
 
@@ -722,7 +722,7 @@ def request_validation(spark, sf):
 
 
 def request_shapes(spark: SparkSession, sf: str) -> DataFrame:
-    docs = fx.broken_third(fx.all_documents(spark, sf, fx.evolving_fields(spark, sf)))
+    docs = fx.broken_third(fx.evolving_documents(spark, sf))
     return stored(spark, "shapes", documents.schema_shapes(docs))
 
 
@@ -793,7 +793,7 @@ def audit_rows(spark, sf):
 def last_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """The evolving documents split in two: a registry without each contract's last version, and
     those last versions."""
-    docs = stored(spark, "docs", fx.all_documents(spark, sf, fx.evolving_fields(spark, sf)))
+    docs = stored(spark, "docs", fx.evolving_documents(spark, sf))
     last = docs.groupBy("contract_id").agg(F.max("version_num").alias("last_num"))
     both = docs.join(last, "contract_id")
     rest = both.filter("version_num < last_num").drop("last_num")
@@ -836,7 +836,7 @@ def register_versions(spark, sf):
 @query
 def register_chains(spark, sf):
     """The last four versions of each contract in one batch; by key one is left out, sent twice, or unreadable."""
-    docs = stored(spark, "docs", fx.all_documents(spark, sf, fx.evolving_fields(spark, sf)))
+    docs = stored(spark, "docs", fx.evolving_documents(spark, sf))
     last = docs.groupBy("contract_id").agg(F.max("version_num").alias("last_num"))
     both = docs.join(last, "contract_id")
     key, back = fx.customer_key(), F.col("last_num") - F.col("version_num")
