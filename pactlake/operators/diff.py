@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.operators.documents import FIELD, display_type
 from pactlake.schemas import DIFF_SECTIONS, PAIR
+from pactlake.session import never_broadcast
 
 CHANGE = "struct<kind:string,subject:string,old_type:string,new_type:string>"
 NO_DIFFERENCES = "No semantic differences found."
@@ -32,19 +33,19 @@ def no_document(version: str, root: str = "") -> Column:
 def with_documents(shapes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs with the documents of both sides, and `error` where one is absent or unreadable.
 
-    Outer joins on a key that is unique on the document side; Spark may broadcast the documents
-    when they pass its size check. All adjacent pairs of a registry are cheaper by
-    ordering.adjacent_documents.
+    Outer joins on a key that is unique on the document side, which is never broadcast. All adjacent
+    pairs of a registry are cheaper by ordering.adjacent_documents.
     """
 
     def side(name: str) -> DataFrame:
-        return shapes.select(
+        documents = shapes.select(
             "contract_id",
             F.col("version").alias(f"{name}_version"),
             F.col("shape").alias(f"{name}_shape"),
             F.col("document_error").alias(f"{name}_error"),
             F.lit(True).alias(f"{name}_known"),
         )
+        return never_broadcast(documents)
 
     def problem(name: str) -> Column:
         return F.when(F.col(f"{name}_known").isNull(), no_document(f"{name}_version")).otherwise(

@@ -11,6 +11,7 @@ from pactlake.functions.text import blank_to_null, is_blank, trimmed
 from pactlake.operators.diff import no_document
 from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REQUEST_CONTRACT_ID, VERSION_NAME
+from pactlake.session import never_broadcast
 
 # What one distinct piece of work is: requests that agree on these share one check.
 WORK = ["contract_id", "base_version", "candidate_version", "mode"]
@@ -69,24 +70,30 @@ def resolve_requests(
 ) -> DataFrame:
     """Distinct work items with the pack that applies, or `execution_error` when something is missing.
 
-    documents: contract_id, version, document_error (schema_shapes has them).
+    documents: contract_id, version, document_error (schema_shapes has them); their `shape`, if they have
+    one, comes along as `base_shape` and `candidate_shape`.
     """
-    known = documents.select("contract_id", "version", "document_error")
+    with_shapes = "shape" in documents.columns
 
     def side(name: str) -> DataFrame:
-        return known.select(
+        known = documents.select(
             "contract_id",
             F.col("version").alias(f"{name}_version"),
             F.lit(True).alias(f"has_{name}"),
             F.col("document_error").alias(f"{name}_error"),
+            *([F.col("shape").alias(f"{name}_shape")] if with_shapes else []),
         )
+        return never_broadcast(known)
 
     def no_file(name: str) -> Column:
         return F.concat(
             F.lit("IllegalStateException: "), no_document(f"{name}_version", f"{root}/")
         )
 
-    owned = contracts.select("contract_id", packs.resolve("policy_pack").alias("pack"))
+    owned = never_broadcast(
+        contracts.select("contract_id", packs.resolve("policy_pack").alias("pack"))
+    )
+    shapes = ["base_shape", "candidate_shape"] if with_shapes else []
     bad_document = F.concat(
         F.lit("SchemaValidationException: "), F.coalesce("base_error", "candidate_error")
     )
@@ -105,5 +112,5 @@ def resolve_requests(
         .join(owned, "contract_id", "left")
         .join(side("base"), ["contract_id", "base_version"], "left")
         .join(side("candidate"), ["contract_id", "candidate_version"], "left")
-        .select(*WORK, "pack", problem.alias("execution_error"))
+        .select(*WORK, "pack", *shapes, problem.alias("execution_error"))
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pactlake.functions.details import details_json, no_strings
-from pactlake.operators.compat import CHECK, check_compatibility
+from pactlake.operators.compat import with_verdict
+from pactlake.operators.diff import with_changes
 from pactlake.operators.insights import EXECUTION_ERROR
 from pactlake.operators.policy import PolicyPacks
 from pactlake.operators.requests import WORK, resolve_requests, validate_requests
+from pactlake.session import never_broadcast
 from pactlake.sinks.history import request_hash, run_id_of_request
 
 
@@ -30,27 +32,26 @@ def request_outcomes(
     once = requests.groupBy("request_id").agg(first).select("request_id", "r.*").select(*requests.columns)
     checked = validate_requests(once)
     valid = checked.filter("error is null")
+    # What is looked up brings its document, so the registry is met once a side.
     resolved = resolve_requests(valid, contracts, shapes, packs)
-    results = check_compatibility(
-        shapes, resolved.filter("execution_error is null").select(*CHECK), packs
-    )
-    judged = resolved.join(results, CHECK, "left").select(
+    changes = with_changes(resolved.withColumn("error", F.col("execution_error")))
+    judged = with_verdict(changes, packs).select(
         *WORK,
         "pack",
         "execution_error",
         F.when(F.col("execution_error").isNotNull(), "FAIL")
         .otherwise(F.col("status"))
         .alias("status"),
-        F.coalesce("breaking_changes", no_strings()).alias("breaking_changes"),
+        "breaking_changes",
         F.when(
             F.col("execution_error").isNotNull(),
             F.array(F.concat(F.lit(EXECUTION_ERROR), "execution_error")),
         )
-        .otherwise(F.coalesce("warnings", no_strings()))
+        .otherwise(F.col("warnings"))
         .alias("warnings"),
     )
     # Invalid requests keep null work columns on the right side only; they stay as they came in.
-    keys = checked.join(judged, WORK, "left")
+    keys = checked.join(never_broadcast(judged), WORK, "left")
     rejected = F.col("error").isNotNull()
     return keys.select(
         F.when(~rejected, run_id_of_request()).alias("run_id"),
