@@ -999,13 +999,21 @@ def stream_request_runs(spark, sf):
     )
 
 
+def in_batches(rows: DataFrame, batches: int, path: str) -> int:
+    """Rows written for a stream of so many micro-batches; returns the files of each. Every core has one, as a file of
+    its own for a whole micro-batch is read by a single task."""
+    files = rows.sparkSession.sparkContext.defaultParallelism
+    rows.repartition(batches * files).write.parquet(path)
+    return files
+
+
 @query
 def stream_metrics(spark, sf):
     """Counters, latencies, failures and latest runs kept by a stream over the runs, cut into micro-batches."""
     folder = shared_folder(spark, "metrics-stream")
     runs = fx.check_runs(spark, sf)
-    runs.repartition(5).write.parquet(f"{folder}/runs")
-    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/runs")
+    files = in_batches(runs, 5, f"{folder}/runs")
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/runs")
     start_metrics(spark, stream, f"{folder}/metrics", f"{folder}/checkpoint", every=2).awaitTermination()
     return read_metrics(spark, f"{folder}/metrics").select(
         "contract_id", "measure", "tag", "n", "total_ms", "max_ms", F.col("latest.run_id").alias("run_id"), F.col("latest.status").alias("status")

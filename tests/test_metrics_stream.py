@@ -1,12 +1,14 @@
 """Metrics kept by a stream against those of one batch, over cuts, restarts and snapshots."""
 
 import random
+import re
 
 import pytest
 from test_history import run
 
 from pactlake.streaming import metrics_stream
 from pactlake.streaming.metrics_stream import measures, read_metrics, start_metrics, totals
+from proving.queries import in_batches
 
 
 def some_runs(n, seed):
@@ -47,3 +49,21 @@ def test_equal_to_one_batch_after_any_cut(spark, runs_of, tmp_path, monkeypatch,
             monkeypatch.undo()
         check()
         assert rows_of(read_metrics(spark, paths[0])) == rows_of(totals(measures(runs_of(*given))))
+
+
+def test_measures_are_compiled(spark, runs_of, tmp_path):
+    runs_of(*some_runs(3, 0)).write.parquet(str(tmp_path / "runs"))
+    plan = measures(spark.read.parquet(str(tmp_path / "runs")))._jdf.queryExecution().executedPlan().toString()
+    # Spark interprets what stands inside an explode.
+    assert re.search(r"explode(_outer)?\(every#", plan) and "explode(filter(" not in plan
+
+
+def test_a_micro_batch_is_read_by_many_tasks(spark, tmp_path):
+    files = in_batches(spark.range(1000), 3, str(tmp_path / "rows"))
+    assert files == spark.sparkContext.defaultParallelism > 1
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "rows"))
+    batches = []
+    stream.writeStream.foreachBatch(lambda rows, n: batches.append(rows.count())).trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "checkpoint")
+    ).start().awaitTermination()
+    assert len(batches) == 3 and sum(batches) == 1000
