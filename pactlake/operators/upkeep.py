@@ -138,15 +138,23 @@ def _spread(groups: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return rows.select(*group, *[F.col(f"one.steps.{c}").alias(c) for c in order], F.col("one.seen").alias("status_before"))
 
 
-def transition_steps(runs: DataFrame, updates: DataFrame) -> DataFrame:
+def stored_updates(updates: DataFrame) -> DataFrame:
+    """A batch of updates as a written table: it is read several times, and deriving it may be dear."""
+    path = shared_folder(updates.sparkSession, "updates")
+    updates.write.parquet(path)
+    return updates.sparkSession.read.parquet(path)
+
+
+def transition_steps(runs: DataFrame, updates: DataFrame, stored: bool = False) -> DataFrame:
     """The updates, all their columns, with `status_before`, the run's status when an update's turn comes, whether it is
     `applied`, and the reason if not.
 
     Each update of a run meets the status that those before it, by time and id, have left. An update maps each status
     to one, and such maps compose, so a run's updates are cut into ranges that tasks compose on their own, each in
     chunks; the maps of the ranges are run through once and the statuses handed down again. A run with very many
-    updates is spread like any others. update_id is unique."""
+    updates is spread like any others. update_id is unique. stored: the updates are a written table already."""
     spark = runs.sparkSession
+    updates = updates if stored else stored_updates(updates)
     place = ["run_id", "at", "update_id"]
     legal = updates.filter(legal_transition()).select(
         *place,
@@ -168,9 +176,9 @@ def transition_steps(runs: DataFrame, updates: DataFrame) -> DataFrame:
     before = _spread(ranges.join(before, ["run_id", "range"]), ["run_id", "range"], ["chunk"])
     before = _spread(chunks.join(before, ["run_id", "range", "chunk"]), ["run_id"], ["at", "update_id"])
     before = before.select(F.col("update_id").alias("step_id"), F.col("status_before").alias("then"))
-    stored = runs.select(F.col("run_id").alias("stored_id"), F.col("status").alias("stored"))
+    current = runs.select(F.col("run_id").alias("stored_id"), F.col("status").alias("stored"))
     met = updates.join(before, F.col("update_id") == F.col("step_id"), "left").join(
-        stored, F.col("run_id") == F.col("stored_id"), "left"
+        current, F.col("run_id") == F.col("stored_id"), "left"
     )
     expected, then = F.col("expected_status"), F.col("then")
     legal_now = F.coalesce(legal_transition(), F.lit(False))

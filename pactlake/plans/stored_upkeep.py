@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pactlake.functions.ids import run_slot
-from pactlake.operators.upkeep import after_steps, backfill_logs, backfill_runs, transition_steps
+from pactlake.operators.upkeep import after_steps, backfill_logs, backfill_runs, stored_updates, transition_steps
 from pactlake.sinks.history import RUN_COLUMNS, overwrite_slots, write_run_logs
 
 
@@ -42,8 +42,9 @@ def decide_transitions(
 ) -> DataFrame:
     """transition_steps of a batch against the stored runs, written and read back. Only ids and statuses of
     the touched slots are read. It may be done again until put_transitions has begun."""
+    updates = stored_updates(updates)
     runs = _stored(spark, runs_path, touched_slots(updates)).select("run_id", "status")
-    transition_steps(runs, updates).write.mode("overwrite").parquet(decisions_path)
+    transition_steps(runs, updates, stored=True).write.mode("overwrite").parquet(decisions_path)
     return spark.read.parquet(decisions_path)
 
 

@@ -1,5 +1,6 @@
 import glob
 
+from pyspark.sql import functions as F
 from test_history import run
 from test_upkeep import NOW, UPDATES
 
@@ -104,3 +105,14 @@ def test_backfill_in_place(spark, runs_of, tmp_path):
     # Again: a queued run has no start to fill, and nothing is left to write.
     assert stored_upkeep.backfill(spark, path, logs, contracts, NOW) == []
     assert sorted(r.run_id for r in read_check_run_logs(spark, logs).collect()) == ["loud", "silent"]
+
+
+def test_updates_are_derived_once(spark, runs_of, tmp_path):
+    path, steps = str(tmp_path / "runs"), str(tmp_path / "steps")
+    write_check_runs(runs_of(run("r0", "QUEUED", **FULL), run("r1", "RUNNING", **FULL)), path)
+    derived = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda i: derived.add(1) or i, "string").asNondeterministic()
+    updates = updates_of(spark, ("u1", "r0", "QUEUED", "RUNNING", "t1"), ("u2", "r1", "RUNNING", "PASS", "t2"))
+    updates = updates.withColumn("run_id", seen("run_id"))
+    assert stored_upkeep.decide_transitions(spark, path, updates, steps).filter("applied").count() == 2
+    assert derived.value == 2
