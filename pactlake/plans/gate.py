@@ -9,7 +9,7 @@ from pactlake.functions.text import trimmed
 from pactlake.operators.catalog import changed_contract_ids
 from pactlake.operators.compat import with_verdict
 from pactlake.operators.diff import with_changes
-from pactlake.operators.documents import schema_shapes
+from pactlake.operators.documents import schema_shapes, with_plain_shape
 from pactlake.operators.lint import with_contract_violations, with_document_violations
 from pactlake.operators.policy import PolicyPacks
 
@@ -26,17 +26,22 @@ def changed_gate(
     `mode=None` takes each contract's own mode. Contracts that fail lint are not checked; those
     with one version are skipped; changed paths of contracts that no longer exist are ignored.
     Only changed contracts are read past the first semi join. Their documents are read twice: for the
-    sum of their violations, and for the last two of each contract, which Spark's window group limit
-    cuts before the shuffle; so a contract with very many versions stays spread.
+    sum of their violations, where plain documents, which certainly pass, are not linted member by member; and for
+    the last two of each contract, which Spark's window group limit cuts before the shuffle, so a contract with very
+    many versions stays spread. Only these two are taken apart.
     """
     changed = changed_contract_ids(files)
     some_contracts = contracts.join(changed, "contract_id", "left_semi")
-    judged = with_document_violations(
-        docs.join(changed, "contract_id", "left_semi").select(
-            "contract_id", "version", "version_num", "schema_json"
-        )
+    some_docs = docs.join(changed, "contract_id", "left_semi").select(
+        "contract_id", "version", "version_num", "schema_json"
     )
-    problems = judged.groupBy("contract_id").agg(F.sum(F.size("found")).alias("in_documents"))
+    plain = F.col("plain_shape").isNotNull()
+    suspect = with_plain_shape(some_docs).select(
+        "contract_id", "version", plain.alias("plain"), F.when(~plain, F.col("schema_json")).alias("schema_json")
+    )
+    faults = F.when(F.col("plain"), 0).otherwise(F.size("found"))
+    judged = with_document_violations(suspect).groupBy("contract_id")
+    problems = judged.agg(F.sum(faults).alias("in_documents"))
     linted = with_contract_violations(some_contracts, problems)
     wanted_mode = F.upper(trimmed("compatibility_mode")) if mode is None else F.lit(mode)
     count = F.size("found") + F.coalesce("in_documents", F.lit(0))
@@ -46,15 +51,13 @@ def changed_gate(
         wanted_mode.alias("mode"),
         packs.resolve("policy_pack").alias("pack"),
     )
-    error = F.when(F.size("found") > 0, F.col("found")[0]["message"])
-    shapes = schema_shapes(judged.withColumn("document_error", error).drop("found"))
     newest = Window.partitionBy("contract_id").orderBy(F.desc("version_num"))
     last_two = (
-        shapes.filter("version_num is not null")
+        some_docs.filter("version_num is not null")
         .withColumn("place", F.row_number().over(newest))
         .filter("place <= 2")
-        .groupBy("contract_id")
     )
+    last_two = schema_shapes(last_two).groupBy("contract_id")
 
     def of(place: int, column: str) -> Column:
         return F.first(F.when(F.col("place") == place, F.col(column)), ignorenulls=True)

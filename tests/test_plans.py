@@ -98,6 +98,25 @@ def test_request_batch(spark, docs_of):
     assert steps[rows["q4"].run_id][-1] == "code=check_run_failed"
 
 
+def test_the_gate_takes_only_the_last_two_documents_apart(spark, docs_of):
+    docs = docs_of(("o.c", 1, STATION_V2), ("o.c", 2, STATION_V1), ("o.c", 3, STATION_V1), ("old.fault", 1, BROKEN),
+                   ("old.fault", 2, STATION_V1), ("old.fault", 3, STATION_V1), ("odd.text", 1, "{}"), ("odd.text", 2, None))
+    names = ("o.c", "old.fault", "odd.text")
+    contracts = contracts_of(spark, *[(n, "BACKWARD", None) for n in names])
+    files = spark.createDataFrame([(f"contracts/{n}/v1.json",) for n in names], "path string")
+    gate = changed_gate(files, contracts, docs, PolicyPacks.parse(PACKS))
+    # The fault of a version that is not compared still counts.
+    assert {r.contract_id: (r.outcome, r.violation_count > 0) for r in gate.collect()} == {
+        "o.c": ("PASS", False), "old.fault": ("LINT_FAILED", True), "odd.text": ("LINT_FAILED", True),
+    }
+    lines = gate._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    window = next(i for i, line in enumerate(lines) if "Window [row_number()" in line)
+    end = next((i for i in range(window + 1, len(lines)) if depth[i] <= depth[window]), len(lines))
+    assert end > window + 1
+    assert not any("json(" in line for line in lines[window + 1 : end])
+
+
 def test_changed_gate(spark, docs_of):
     docs = docs_of(
         ("o.c", 1, STATION_V2),
