@@ -258,10 +258,9 @@ def _when(condition: Column, code: str) -> Column:
     return F.when(condition, F.array(F.lit(code))).otherwise(F.array().cast(_NO_TEXT))
 
 
-def _member_violations(m: Column) -> Column:
-    """Violations of one member (f: field, v: value, k: kind)."""
-    f, value, k = m["f"], m["v"], m["k"]
-    bounds, name = f["bounds"], f["name"]
+def member_checks(f, value: Column, k: Column) -> list[tuple[str, Column]]:
+    """(code, whether broken) of every assertion that a field f may make of a value of kind k."""
+    bounds = f["bounds"]
     number = F.when(_is_number(k), value.try_cast("double"))
     text = F.when(k == "STRING", F.length(value.try_cast("string")))
     items = F.when(k == "ARRAY", value.try_cast("array<variant>"))
@@ -271,7 +270,7 @@ def _member_violations(m: Column) -> Column:
         _with_kinds(items), lambda x: ~F.exists(f["item_types"], lambda t: _type_matches(x["v"], x["k"], t))
     )
     repeated = F.size(F.array_distinct(_canonical_all(items))) < F.size(items)
-    wrong = [
+    return [
         (TYPE, f["types"].isNotNull() & ~F.exists(f["types"], lambda t: _type_matches(value, k, t))),
         (ENUM, f["allowed"].isNotNull() & ~F.array_contains(f["allowed"], canonical(value, k))),
         ("const", f["const"].isNotNull() & (f["const"] != canonical(value, k))),
@@ -289,7 +288,12 @@ def _member_violations(m: Column) -> Column:
         ("minProperties", bounds["minProperties"].isNotNull() & (members < bounds["minProperties"])),
         ("maxProperties", bounds["maxProperties"].isNotNull() & (members > bounds["maxProperties"])),
     ]
-    return F.array_compact(F.array(*[F.when(broken, _code(code, name)) for code, broken in wrong]))
+
+
+def _member_violations(m: Column) -> Column:
+    """Violations of one member (f: field, v: value, k: kind)."""
+    wrong = member_checks(m["f"], m["v"], m["k"])
+    return F.array_compact(F.array(*[F.when(broken, _code(code, m["f"]["name"])) for code, broken in wrong]))
 
 
 def with_violations(payloads: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from pactlake.operators.nested import check_whole, plain
+from pactlake.operators.nested import check_whole, compile_schemas, plain
 from pactlake.operators.payloads import check_payloads
 
 PAYLOADS = "contract_id string, version string, payload_id string, payload string, valid string, node int"
@@ -208,3 +208,66 @@ def test_flat_check_agrees_where_it_judges(spark):
     rows = spark.createDataFrame(rows, PAYLOADS).drop("valid")
     one = {r.payload_id: r.valid for r in check_payloads(rows, docs).collect()}
     assert one == {r.payload_id: r.valid for r in check_whole(spark, rows, docs).collect()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_few_documents_are_judged_in_the_row(spark):
+    names = [n for n in SCHEMAS if n != "tree"]
+    docs = spark.createDataFrame([(n, "v1", 1, json.dumps(SCHEMAS[n])) for n in names] + [("bad", "v1", 1, "{")], DOCS)
+    rows, want = [], {}
+    for i, (name, value) in enumerate(itertools.product(names, VALUES)):
+        rows.append((f"{name} ", "v1.json" if i % 2 else "v1", str(i), json.dumps(value), "x", 1))
+        want[str(i)] = sorted(errors(SCHEMAS[name], value, SCHEMAS[name]))
+    rows += [("flag", "v1", "null", None, "x", 1), ("flag", "v1", "bad", "{", "x", 1), ("tree", "v1", "gone", "{}", "x", 1), ("bad", "v1", "doc", "{}", "x", 1)]
+    want |= {"null": ["payload_null"], "bad": ["payload_malformed"], "gone": ["contract_unknown"], "doc": ["payload_malformed"]}
+    payloads = spark.createDataFrame([*rows, rows[0]], PAYLOADS)
+    compiled = compile_schemas(spark, docs)
+    got = check_whole(spark, payloads, docs, compiled)
+    # No visit is shuffled, joined or grouped.
+    assert "Join" not in plan_of(got) and "Aggregate" not in plan_of(got)
+    found = {r.payload_id: (r.valid, r.violations) for r in got.collect()}
+    assert found == {k: (not v, v) for k, v in want.items()}
+    assert got.count() == len(rows) + 1
+    # The tables give the same.
+    tables = check_whole(spark, payloads, docs, compiled._replace(inlined=None))
+    assert tables.columns == got.columns
+    assert {r.payload_id: (r.valid, r.violations) for r in tables.collect()} == found
+
+
+def test_odd_schemas_are_judged_alike_in_the_row(spark):
+    schemas = {
+        "nullable": {"nullable": True, "anyOf": [{"type": "null", "nullable": False}, {"required": ["a"]}], "contains": {"nullable": True, "type": "string"}},
+        "deep": {"items": {"items": {"if": {"type": "integer"}, "then": {"minimum": 3}, "else": {"properties": {"a": {"const": None}}}}, "prefixItems": [{"type": ["array", "null"]}]}},
+        "old": {"items": [{"const": 1}, {"enum": [None, "x"]}], "uniqueItems": True, "contains": True, "minContains": 0, "maxContains": 2},
+        "names": {"properties": {"a.b": {"type": "string"}, "a'b": False, 'q"': {"minimum": 2}, "": {"type": "null"}}, "required": ["a.b", "~/"], "additionalProperties": {"multipleOf": 0.1}},
+        "rest": {"patternProperties": {"^a": {"minLength": 2}, "(?=x)": False}, "additionalProperties": {"properties": {"b": False}, "required": ["c"]}},
+        "refs": {"$defs": {"a": {"$ref": "#/$defs/b", "minimum": 3}, "b": {"$ref": "#/$defs/a", "type": "integer"}}, "$ref": "#/$defs/a", "oneOf": [{"$ref": "#"}, True]},
+        "far": {"properties": {"a": {"$ref": "other.json"}}, "type": ["text", "object"]},
+        "wants": {"dependentRequired": {"a": ["b", "b"], "c": []}, "dependentSchemas": {"b": {"not": {"required": ["c"]}}}, "propertyNames": {"pattern": "^[a-c]$"}, "type": []},
+    }
+    values = VALUES + [
+        {"a.b": "x", "~/": 0.3, "z": 0.25}, {"a'b": None, 'q"': 1, "": None}, {"": 1, 'q"': 2}, {"a": "x", "ab": "xx", "x": 1}, {"x": {"b": 1}, "y": {"c": 1}},
+        [1, None, 1], [1, "x", 2], [None, [1, 3, "x", {"a": None}, {"a": 1}]], [[[2]], [None, 5, 2]], {"a": 1, "b": 2, "c": 3}, {"a": 1}, 2, 3, 4.0, "x", [None], ["a"],
+    ]
+    docs = spark.createDataFrame([(n, "v1", 1, json.dumps(s)) for n, s in schemas.items()], DOCS)
+    pairs = enumerate(itertools.product(schemas, values))
+    payloads = spark.createDataFrame([(n, "v1", str(i), json.dumps(v), "x", 1) for i, (n, v) in pairs], PAYLOADS)
+    compiled = compile_schemas(spark, docs)
+    assert compiled.inlined
+    got = {r.payload_id: r.violations for r in check_whole(spark, payloads, docs, compiled).collect()}
+    assert got == {r.payload_id: r.violations for r in check_whole(spark, payloads, docs, compiled._replace(inlined=None)).collect()}
+    assert len(got) == len(schemas) * len(values) and sum(not v for v in got.values()) > 30
+
+
+def test_recursive_and_many_documents_go_by_tables(spark):
+    def inlined(*schemas):
+        return compile_schemas(spark, spark.createDataFrame([(str(i), "v1", 1, json.dumps(s)) for i, s in enumerate(schemas)], DOCS)).inlined
+
+    assert inlined({"type": "object"})
+    assert not inlined(SCHEMAS["tree"])
+    assert not inlined(*[{"type": "object"}] * 17)
+    assert not inlined({"required": [str(i) for i in range(300)]})
+    assert not inlined({"enum": ["x" * 70_000]})
