@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pactlake.llm.tables import row_key, text_key
 from pactlake.llm.words import ALNUM, Words, grams, hashes, joined, least, words_of
+from pactlake.session import never_broadcast
 
 GRAM = 5
+#: Bytes of the items' windows, and of the names of their items, up to which Spark may broadcast them.
+SMALL = 16 << 20
 _ROWS = 1 << 16
 
 
@@ -152,13 +155,17 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, least_sha
     words; an item without words has no window; an item with a null id hits but is not counted in
     n_items. Columns other than doc_id, item_id and text are not looked at.
 
-    The spans present are at most `window` integers, taken to the driver. No side is broadcast by hint.
+    The spans present are at most `window` integers, taken to the driver. No side is broadcast by hint, and windows
+    beyond SMALL not at all: Spark takes them for no larger than the items, of which each word begins one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint"), text_key().alias("text_key"), "text")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     texts = _item_windows(items, window)
     size = F.size(F.split("window_text", " "))
-    spans = sorted(r[0] for r in texts.select(size.alias("span")).distinct().collect())
+    length = F.octet_length("window_text") + F.octet_length(F.array_join("items", ","))
+    found = texts.groupBy(size.alias("span")).agg(F.sum(length.cast("bigint")).alias("bytes")).collect()
+    spans = sorted(r.span for r in found)
+    judged_by_size = (lambda rows: rows) if sum(r.bytes for r in found) <= SMALL else never_broadcast
     pairs = scheme(spans)
     # Every k-gram that a window may keep (w = 1 keeps them all), by the one scheme its span falls under.
     pieces = texts.select(
@@ -167,12 +174,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, least_sha
     )
     kept = fingerprints(pieces, [(k, 1) for k, _ in pairs]).where(F.col("size") == F.least("text_key", F.lit(GRAM)))
     kept = kept.select("code", "size").distinct()
-    found = fingerprints(docs, pairs).join(kept, ["code", "size"], "left_semi")
+    found = fingerprints(docs, pairs).join(judged_by_size(kept), ["code", "size"], "left_semi")
     hits = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "size")).alias("hits"))
     hits = hits.select(row_key(key="text_key").alias("_row"), "hits")
-    marked = docs.withColumn("_row", row_key(key="text_key")).join(hits, "_row", "left")
+    marked = docs.withColumn("_row", row_key(key="text_key")).join(never_broadcast(hits), "_row", "left")
     rows = _windows_around(marked.select("doc_id", "text_key", "text", "hits"), spans, pairs)
-    judged = rows.join(texts, "window_text", "left").where("n_words is not null or items is not null")
+    judged = rows.join(judged_by_size(texts), "window_text", "left").where("n_words is not null or items is not null")
     here = F.when(F.col("items").isNotNull(), F.struct("start", F.col("span").cast("bigint").alias("span")))
     result = judged.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),

@@ -68,3 +68,16 @@ def test_matches_brute_force(spark):
 def test_scheme_guarantees_each_span():
     assert decontaminate.scheme([13]) == [(5, 9)]
     assert decontaminate.scheme([1, 3, 7, 13]) == [(5, 3), (1, 1), (3, 1)]
+
+
+def test_many_windows_are_not_broadcast(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(rows := [(i, f"a b c {i}") for i in range(20)], "doc_id bigint, text string").write.parquet(str(tmp_path / "docs"))
+    spark.createDataFrame([(str(i), t) for i, t in rows[:9]], "item_id string, text string").write.parquet(str(tmp_path / "items"))
+    docs, items = (spark.read.parquet(str(tmp_path / t)) for t in ("docs", "items"))
+    hit, joins = [], []
+    for small in (decontaminate.SMALL, 0):
+        monkeypatch.setattr(decontaminate, "SMALL", small)
+        found = decontaminate.contamination(docs, items)
+        hit.append(sorted(r.doc_id for r in found.where("contaminated").collect()))
+        joins.append(found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin"))
+    assert hit == [list(range(9))] * 2 and joins[1] == 0 < joins[0]

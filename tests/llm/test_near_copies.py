@@ -134,3 +134,22 @@ def test_many_near_copies_and_a_long_text(spark):
         rows.append((i, " ".join(edited)))
     kept = near_copies.one_of_each(spark, spark.createDataFrame(rows, DOCS))
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == [0, 1]
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark, tmp_path):
+    # Spark takes what an explode makes for no larger than its input: here a few rows, that is a broadcast.
+    rows = [(i, i * 7919, i * 104729, (False, i, i)) for i in range(50)]
+    schema = "node bigint, w0 bigint, w1 bigint, first struct<unnamed: boolean, doc_id: bigint, text_key: bigint>"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "nodes"))
+    pairs = near_copies.candidates(spark.read.parquet(str(tmp_path / "nodes")), 32, 4, 2)
+    assert "SortMergeJoin" in plan(pairs) and "Broadcast" not in plan(pairs)
+    spark.createDataFrame([(i, f"a b c d {i}") for i in range(50)], DOCS).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    texts = docs.withColumnRenamed("doc_id", "node")
+    linked = near_copies.links(spark.createDataFrame([(1, 2)], "a bigint, b bigint"), texts)
+    for made in (linked, near_copies.grouped(spark, docs)):
+        assert "SortMergeJoin" in plan(made) and "Broadcast" not in plan(made)
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
