@@ -1,9 +1,10 @@
 """Counters, latencies and latest runs, maintained while runs come in.
 
 A run is a few measures: its counters, its latency, its failure, and itself as the latest of its contract and of its
-version. A stateful aggregate keeps each measure by key; what a micro-batch changes is written as a folder of its own,
-which a replay overwrites, and every so many batches all current values as a snapshot. A reader takes the last snapshot
-and the few batches after it, never the history."""
+version. What a micro-batch adds to each key is written as a folder of its own, which a replay overwrites, and every so
+many batches the values of all keys as a snapshot: the last one and the batches after it. Values merge in any order, so
+that is all the state there is; none is held in memory, and a batch costs what it brings. A reader takes the last
+snapshot and the few batches after it, never the history."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pactlake.operators.history import time_of
 from pactlake.operators.insights import EXECUTION_ERROR, is_finished
 
 KEYS = ["contract_id", "measure", "tag"]
-VALUES = "n bigint, total_ms bigint, max_ms bigint, latest struct<run_id:string,status:string,breaking_changes:string,warnings:string>"
+VALUES = "n bigint, total_ms bigint, max_ms bigint, latest struct<run_id:string,status:string,breaking_changes:string,warnings:string>, at timestamp"
 METRICS = f"contract_id string, measure string, tag string, {VALUES}"
 
 
@@ -54,11 +55,29 @@ def measures(runs: DataFrame) -> DataFrame:
 
 def totals(rows: DataFrame) -> DataFrame:
     """Measures by key; the latest run is the newest, ties by run id."""
+    return _parts(rows).drop("at")
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Totals with the time of the latest run, by which parts can be put together."""
     return rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("ms").alias("total_ms"),
         F.max("ms").alias("max_ms"),
         F.max_by("run", F.struct("at", "by")).alias("latest"),
+        F.max("at").alias("at"),
+    )
+
+
+def _together(parts: DataFrame) -> DataFrame:
+    """The totals of what the parts are of. Each part has a row for a key, so a key has few, and rows that
+    lie together are sorted once."""
+    return parts.repartition(*KEYS).groupBy(*KEYS).agg(
+        F.sum("n").alias("n"),
+        F.sum("total_ms").alias("total_ms"),
+        F.max("max_ms").alias("max_ms"),
+        F.max_by("latest", F.struct("at", F.col("latest.run_id"))).alias("latest"),
+        F.max("at").alias("at"),
     )
 
 
@@ -72,29 +91,27 @@ def start_metrics(
         none.write.mode("overwrite").parquet(f"{path}/{kind}/batch=-1")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        _parts(measures(batch)).write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
         if batch_id % every == every - 1:
-            now = read_metrics(batch.sparkSession, path, batch_id)
+            now = read_metrics(batch.sparkSession, path, batch_id, True)
             now.write.mode("overwrite").parquet(f"{path}/snapshots/batch={batch_id}")
 
     return (
-        totals(measures(runs))
-        .writeStream.foreachBatch(keep)
-        .outputMode("update")
+        runs.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_metrics(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The current value of every key: the last snapshot before batch `upto`, and the changes since, up to it."""
+def read_metrics(spark: SparkSession, path: str, upto: int | None = None, timed: bool = False) -> DataFrame:
+    """The current value of every key: the last snapshot before batch `upto`, and the changes since, up to it.
+    timed: with the time of the latest run, as a snapshot holds it."""
     rows = {k: spark.read.schema(f"{METRICS}, batch int").parquet(f"{path}/{k}") for k in ("snapshots", "changes")}
     if upto is not None:
         rows = {"snapshots": rows["snapshots"].where(F.col("batch") < upto), "changes": rows["changes"].where(F.col("batch") <= upto)}
     last = rows["snapshots"].agg(F.max("batch")).first()[0]
     last = -1 if last is None else last
     both = rows["snapshots"].where(F.col("batch") == last).union(rows["changes"].where(F.col("batch") > last))
-    names = ["n", "total_ms", "max_ms", "latest"]
-    now = both.groupBy(*KEYS).agg(F.max_by(F.struct(*names), "batch").alias("v"))
-    return now.select(*KEYS, *[f"v.{c}" for c in names])
+    now = _together(both.drop("batch"))
+    return now if timed else now.drop("at")

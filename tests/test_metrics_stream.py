@@ -67,3 +67,16 @@ def test_a_micro_batch_is_read_by_many_tasks(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "checkpoint")
     ).start().awaitTermination()
     assert len(batches) == 3 and sum(batches) == 1000
+
+
+def test_nothing_is_held_in_memory_and_a_batch_writes_what_it_brings(spark, runs_of, tmp_path):
+    paths = str(tmp_path / "metrics"), str(tmp_path / "checkpoint")
+    for seed, size in enumerate([30, 1]):
+        runs_of(*some_runs(size, seed)).coalesce(1).write.parquet(str(tmp_path / "in" / str(seed)))
+        stream = spark.readStream.schema(runs_of(*some_runs(1, 0)).schema).parquet(str(tmp_path / "in" / "*"))
+        start_metrics(spark, stream, *paths).awaitTermination()
+    # A state store would grow with the keys.
+    assert not (tmp_path / "checkpoint" / "state").exists()
+    added = spark.read.parquet(f"{paths[0]}/changes/batch=1")
+    assert {r.n for r in added.collect()} == {1} and added.where("measure = 'queued'").count() == 1
+    assert rows_of(read_metrics(spark, paths[0])) == rows_of(totals(measures(runs_of(*some_runs(30, 0), *some_runs(1, 1)))))
