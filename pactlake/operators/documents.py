@@ -144,14 +144,15 @@ def schema_shapes(docs: DataFrame) -> DataFrame:
     """Replace `schema_json` by `shape`, the array of the document's field texts, and
     `document_error`. A document that a reader would refuse has the error and no shape.
 
-    Plain documents (plain_shape) are read in one pass; only the others are linted and taken apart
-    member by member, which gives the same shape at many times the cost.
+    Plain documents (plain_shape, made here unless docs bring it) are read in one pass; only the others are
+    linted and taken apart member by member, which gives the same shape at many times the cost.
     """
     if "document_error" in docs.columns:
         return _careful_shapes(docs)
     plain = F.col("plain_shape").isNotNull()
-    read = with_plain_shape(docs).withColumn("schema_json", F.when(~plain, F.col("schema_json")))
-    rest = [c for c in docs.columns if c != "schema_json"]
+    read = docs if "plain_shape" in docs.columns else with_plain_shape(docs)
+    read = read.withColumn("schema_json", F.when(~plain, F.col("schema_json")))
+    rest = [c for c in docs.columns if c not in ("schema_json", "plain_shape")]
     return _careful_shapes(with_document_error(read)).select(
         *rest,
         F.when(~plain, F.col("document_error")).alias("document_error"),

@@ -11,7 +11,7 @@ from pactlake.functions.text import blank_to_null, is_blank, trimmed
 from pactlake.functions.versions import out_of_range, version_num, version_of
 from pactlake.operators.compat import with_verdict
 from pactlake.operators.diff import with_changes
-from pactlake.operators.documents import schema_shapes
+from pactlake.operators.documents import schema_shapes, with_plain_shape
 from pactlake.operators.lint import metadata_error, with_document_error
 from pactlake.operators.policy import PolicyPacks
 from pactlake.schemas import MODES, REGISTRY_CONTRACT_ID, VERSION_NAME
@@ -55,16 +55,24 @@ def register_versions(
         trimmed("contract_id").alias("contract_id"),
         trimmed("version").alias("version"),
         "schema_json",
-        F.when(is_blank("version"), "version must not be blank.")
-        .when(~trimmed("version").rlike(VERSION_NAME), "version must match the format v{number}.")
-        .when(~_is_object("schema_json"), "schema must be a JSON object.")
-        .when(is_blank("contract_id"), "contractId must not be blank.")
-        .when(
-            ~trimmed("contract_id").rlike(REGISTRY_CONTRACT_ID),
-            "contractId must use lowercase dot-separated format.",
-        )
-        .alias("request_error"),
-    ).withColumn("version_num", version_num(F.col("version")))
+        F.xxhash64("schema_json").alias("document"),
+    )
+    # A plain document is an object and clean; only the others are parsed as a whole, here and below.
+    other = F.col("plain_shape").isNull()
+    asked = with_plain_shape(asked).withColumns(
+        {
+            "schema_json": F.when(other, F.col("schema_json")),
+            "request_error": F.when(is_blank("version"), "version must not be blank.")
+            .when(~F.col("version").rlike(VERSION_NAME), "version must match the format v{number}.")
+            .when(other & ~_is_object("schema_json"), "schema must be a JSON object.")
+            .when(is_blank("contract_id"), "contractId must not be blank.")
+            .when(
+                ~F.col("contract_id").rlike(REGISTRY_CONTRACT_ID),
+                "contractId must use lowercase dot-separated format.",
+            ),
+            "version_num": version_num(F.col("version")),
+        }
+    )
     latest = shapes.groupBy("contract_id").agg(F.max("version_num").alias("latest_num"))
     existing = shapes.select("contract_id", "version").withColumn("version_exists", F.lit(True))
     owners = contracts.select(
@@ -76,8 +84,8 @@ def register_versions(
     top, num = F.col("latest_num"), F.col("version_num")
     placed = (
         asked.join(never_broadcast(owners), "contract_id", "left")
-        .join(never_broadcast(existing), ["contract_id", "version"], "left")
         .join(never_broadcast(latest), "contract_id", "left")
+        .join(never_broadcast(existing), ["contract_id", "version"], "left")
         .withColumn(
             "own_error",
             _first(
@@ -102,16 +110,16 @@ def register_versions(
                 ),
             ),
         )
-        .withColumns({"row": F.monotonically_increasing_id(), "document": F.xxhash64("schema_json")})
+        .withColumn("row", F.monotonically_increasing_id())
     )
     # Written: row numbers are kept, and lint and shapes are read more than once.
     path = shared_folder(candidates.sparkSession, "candidates")
-    schema_shapes(with_document_error(placed)).write.parquet(path)
+    schema_shapes(placed).write.parquet(path)
     placed = candidates.sparkSession.read.parquet(path)
     version = ["contract_id", "version_num"]
     sent = placed.where("own_error is null")
-    chosen = sent.groupBy(*version).agg(F.min(F.struct("document", "row"))["row"].alias("row"))
-    chain = sent.join(never_broadcast(chosen), [*version, "row"])
+    chosen = sent.groupBy(*version).agg(F.min(F.struct("document", "row"))["row"].alias("first"))
+    chain = sent.join(never_broadcast(chosen), version).where("row = first").drop("first")
     below = F.coalesce(top, F.lit(0))
     # The first number that is neither in the registry nor in the batch.
     numbers = chain.select("contract_id", F.col("version_num").alias("next"))
@@ -134,8 +142,8 @@ def register_versions(
     # Each brings its own document; beside the one below it lint, diff and verdict are projections of its row.
     both = (
         chain.withColumnRenamed("shape", "candidate_shape")
-        .join(never_broadcast(base), ["contract_id", "latest_num"], "left")
         .join(never_broadcast(before), version, "left")
+        .join(never_broadcast(base), ["contract_id", "latest_num"], "left")
         .withColumn("base_shape", F.when(on_top, F.col("old_shape")).otherwise(F.col("new_shape")))
         .withColumn(
             "lint_error",

@@ -148,3 +148,25 @@ def test_few_versions_are_sorted_once(spark, docs_of):
     assert shuffles(1, 2, 5) == (["v1", "v2"], 0)
     pairs, sorts = shuffles(1, 4095, 4096, 9000)
     assert sorted(pairs) == ["v1", "v4095", "v4096"] and sorts > 0
+
+
+def test_plain_candidates_are_not_taken_apart(spark, docs_of, monkeypatch):
+    """Registration lints member by member only what is not plain, and judges it alike."""
+    careful, seen = documents._careful_shapes, []
+    monkeypatch.setattr(documents, "_careful_shapes", lambda rows: (seen.append(rows), careful(rows))[1])
+    plain, odd = '{"properties":{"a":{"type":"string"}},"required":[]}', '{"properties":{"a":{"type":"String"}}}'
+    owners = spark.createDataFrame(
+        [(c, "team", "dom", "FULL", None) for c in ("x.y", "x.z")],
+        "contract_id string, owner_team string, domain string, compatibility_mode string, policy_pack string",
+    )
+    shapes = documents.schema_shapes(docs_of(("x.y", 1, plain), ("x.z", 1, plain)))
+    seen.clear()
+    candidates = docs_of(("x.y", 2, plain), ("x.y", 3, "[]"), ("x.z", 2, odd), ("x.z", 3, '{"properties":5}'))
+    candidates = candidates.select("contract_id", "version", "schema_json")
+    found = registration.register_versions(candidates, owners, shapes, fixtures.packs())
+    assert sorted((r.contract_id, r.version, r.reason) for r in found.collect()) == [
+        ("x.y", "v2", None), ("x.y", "v3", "schema must be a JSON object."),
+        ("x.z", "v2", None), ("x.z", "v3", "'properties' must be an object in v3.json."),
+    ]
+    read = seen[0].select("schema_json").where("schema_json is not null").collect()
+    assert len(seen) == 1 and plain not in {r.schema_json for r in read}
